@@ -56,13 +56,15 @@ def compatible(a: Column, b: Column) -> Column:
     return F.coalesce(rule, F.lit(False))
 
 
-def _tail(name: Column) -> Column:
-    """Proper dotted suffixes; the bare leaf only where the leaf is not a method."""
+def _tail(name: Column, bare_methods: bool) -> Column:
+    """Proper dotted suffixes; by default the bare leaf only where it is not a method."""
     p = parts(name)
     n = F.size(p)
     tails = F.when(
         n > 1, F.transform(F.sequence(F.lit(2), n), lambda i: F.array_join(F.slice(p, i, n - i + 1), "."))
     ).otherwise(F.array().cast("array<string>"))
+    if bare_methods:
+        return tails
     return F.when(in_class(name), F.slice(tails, 1, F.greatest(n - 2, F.lit(0)))).otherwise(tails)
 
 
@@ -76,12 +78,13 @@ def _prefixed(tag: str, names: Column) -> Column:
     return F.transform(names, lambda x: F.concat_ws("\x1f", F.lit(tag), x))
 
 
-def build_keys(name: Column) -> Column:
+def build_keys(name: Column, bare_methods: bool = False) -> Column:
     """Keys under which a catalog name is filed.
 
     ``build_keys(a)`` and ``probe_keys(b)`` have an element in common exactly when
     ``compatible(a, b)``. A match is then an equi-join on single keys, and each key
     needs only its first catalog name, so no pairs within a hot leaf are formed.
+    ``bare_methods`` also lets a method meet its bare name.
     """
     p, n = parts(name), F.size(parts(name))
     method, lf, rt = in_class(name), leaf(name), root(name)
@@ -95,11 +98,11 @@ def build_keys(name: Column) -> Column:
             ((n == 2) & ~method, ("short", rt, lf)),
             ((n >= 2) & ~method, ("any", rt, lf)),
         ),
-        _prefixed("tail", _tail(name)),
+        _prefixed("tail", _tail(name, bare_methods)),
     )
 
 
-def probe_keys(name: Column) -> Column:
+def probe_keys(name: Column, bare_methods: bool = False) -> Column:
     """Keys under which a symbol looks for its catalog names."""
     p, n = parts(name), F.size(parts(name))
     method, lf, rt, cls = in_class(name), leaf(name), root(name), parent(name)
@@ -119,5 +122,5 @@ def probe_keys(name: Column) -> Column:
             ((n >= 2) & ~method, ("short", rt, lf)),
             ((n == 2) & ~method, ("any", rt, lf)),
         ),
-        _prefixed("whole", _tail(name)),
+        _prefixed("whole", _tail(name, bare_methods)),
     )

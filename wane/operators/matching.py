@@ -26,25 +26,27 @@ def pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, ho
     return a.join(b, cond, how).drop("leaf", "leaf_r")
 
 
-def first_keys(catalog: DataFrame, name: str, order: list[Column], first_only: bool = True) -> DataFrame:
+def first_keys(catalog: DataFrame, name: str, order: list[Column], bare_methods: bool = False) -> DataFrame:
     """One row per lookup key: the first catalog name filed under it."""
     keyed = catalog.select(
-        F.col(name).alias("_match"), F.struct(*order).alias("_ord"), F.explode(build_keys(F.col(name))).alias("_key"))
+        F.col(name).alias("_match"), F.struct(*order).alias("_ord"), 
+        F.explode(build_keys(F.col(name), bare_methods)).alias("_key"))
     return keyed.groupBy("_key").agg(
         F.min_by("_match", F.struct("_ord", "_match")).alias("_match"), F.min("_ord").alias("_ord"))
 
 
 def first_match(rows: DataFrame, symbol: str, catalog: DataFrame, name: str, order: list[str],
-                out: str = "matched", exact_first: bool = True) -> DataFrame:
+                out: str = "matched", exact_first: bool = True, bare_methods: bool = False) -> DataFrame:
     """Add the first catalog name compatible with ``symbol`` (null when there is none).
 
     Distinct symbols are looked up once, so a symbol that fills a third of the rows
     costs one probe. Every key leads to at most one catalog row: the join is N:1.
     """
     order_cols = [F.col(c) for c in order]
-    keys = first_keys(catalog.where(F.col(name).isNotNull()), name, order_cols)
+    keys = first_keys(catalog.where(F.col(name).isNotNull()), name, order_cols, bare_methods)
     symbols = rows.select(F.col(symbol).alias("_symbol")).where(F.col(symbol).isNotNull()).distinct()
-    probes = symbols.select("_symbol", F.explode(F.array_distinct(probe_keys(F.col("_symbol")))).alias("_key"))
+    probes = symbols.select(
+        "_symbol", F.explode(F.array_distinct(probe_keys(F.col("_symbol"), bare_methods))).alias("_key"))
     rank = F.struct((F.col("_match") != F.col("_symbol")).alias("x") if exact_first else F.lit(0).alias("x"),
                     F.col("_ord"), F.col("_match"))
     found = probes.join(keys, "_key").groupBy("_symbol").agg(F.min_by("_match", rank).alias(out))
