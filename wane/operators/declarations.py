@@ -193,9 +193,11 @@ def find_candidates(files: DataFrame, detectors=DETECTORS, recount_parameters: b
     them once more, as the published raw totals do.
     """
     keep = [c for c in files.columns if c not in ("source", "prefix")]
-    parsed = files.withColumn("defs", definitions("source")).where(F.size("defs") > 0)
-    rows = parsed.select(
-        *keep, "prefix", local_warning_classes(F.col("defs")).alias("local"), F.explode("defs").alias("d"))
+    parsed = files.withColumn("defs", definitions("source"))
+    # explode_outer: for explode the optimizer infers a filter on the array, pushes it
+    # below the parse and parses twice
+    parsed = parsed.select(*keep, "prefix", "defs", local_warning_classes(F.col("defs")).alias("local"))
+    rows = parsed.select(*keep, "prefix", "local", F.explode_outer("defs").alias("d")).where(F.col("d").isNotNull())
     d = F.col("d")
     name = F.when(F.coalesce(F.col("prefix"), F.lit("")) == "", d["local_name"]).otherwise(
         F.concat_ws(".", "prefix", d["local_name"]))

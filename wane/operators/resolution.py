@@ -53,9 +53,10 @@ def call_statuses(samples: DataFrame, catalog: DataFrame, preamble: Column, name
         F.lit(None).cast("string").alias("resolved"), F.col("s.error.message").alias("resolved_late"),
         F.array().cast("array<string>").alias("wildcards"), F.col("s.error.line").alias("line"),
         F.col("s.error.offset").alias("col"), F.lit(0).alias("node_col"), F.col("s.error.text").alias("text"))
+    # explode_outer keeps the optimizer from parsing twice (see find_candidates)
     calls = parsed.select(
-        *carry, F.explode(F.when(F.col("s.ok"), F.col("s.calls")).otherwise(F.array(failed))).alias("c")
-    ).select(*carry, "c.*")
+        *carry, F.explode_outer(F.when(F.col("s.ok"), F.col("s.calls")).otherwise(F.array(failed))).alias("c")
+    ).where(F.col("c").isNotNull()).select(*carry, "c.*")
     known = leaf_lookup(calls, catalog, name).where(
         F.col("leaf_match").isNotNull() | (F.col("kind") == "syntax_error"))
     # the last wildcard import can supply a bare name that the catalog knows

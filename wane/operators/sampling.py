@@ -97,7 +97,7 @@ def _pool_calls(samples: DataFrame, pools: DataFrame, first_only: bool) -> DataF
     hits = F.filter("calls", lambda c: c["kind"].isin("name", "attribute")
                     & F.map_contains_key(F.col("callees"), c["callee"]))
     hits = F.slice(hits, 1, 1) if first_only else hits
-    j = j.select("*", F.explode(hits).alias("c"))
+    j = j.select("*", F.explode_outer(hits).alias("c")).where(F.col("c").isNotNull())
     line = F.try_element_at(F.split("function", "\r?\n"), F.col("c.line"))
     return j.select(
         F.concat_ws("_", "sample_id", "tag", F.col("c.line").cast("string"), F.col("c.node_col").cast("string")).alias("candidate_id"),
