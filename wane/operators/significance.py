@@ -135,12 +135,13 @@ def mcnemar_power(counts: DataFrame, total: int | Column, alpha: float = 0.05, p
     p = ratio(F.col("b"), n)
     var = p * (1 - p)
     se = F.sqrt(n * var)
-    high = (n * 0.5 + z_alpha * F.sqrt(n * 0.25) - n * p) / se
-    low = (n * 0.5 - z_alpha * F.sqrt(n * 0.25) - n * p) / se
-    needed = F.ceil(F.pow(F.lit(z_alpha * 0.5) + z_beta * F.sqrt(var), 2) / F.pow(p - 0.5, 2))
+    # null where every discordant pair is on one side, or as many on each
+    high = F.try_divide(n * 0.5 + z_alpha * F.sqrt(n * 0.25) - n * p, se)
+    low = F.try_divide(n * 0.5 - z_alpha * F.sqrt(n * 0.25) - n * p, se)
+    needed = F.ceil(F.try_divide(F.pow(F.lit(z_alpha * 0.5) + z_beta * F.sqrt(var), 2), F.pow(p - 0.5, 2)))
     c = counts.withColumn("discordant", n.cast("bigint")).withColumn("p_observed", p).withColumn(
         "effect", F.abs(p - 0.5)).withColumn("_high", high).withColumn("_low", low).withColumn(
-        "required_discordant", needed).withColumn("required_total", F.ceil(needed / (n / total)))
+        "required_discordant", needed).withColumn("required_total", F.ceil(F.try_divide(needed * total, n)))
     return c.withColumn("post_hoc_power", 1 - cdf("_high") + cdf("_low")).drop("_high", "_low")
 
 
