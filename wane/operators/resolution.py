@@ -10,7 +10,9 @@ from wane import fixed_values as fixed
 from wane.functions.keys import candidate_id
 from wane.functions.names import compatible, leaf
 from wane.functions.syntax import snippet_calls
+from wane.operators.evidence import add_evidence
 from wane.operators.matching import first_match, leaf_lookup, match_target
+from wane.session import cut_lineage
 
 def baseline_preamble() -> Column:
     return F.lit("\n".join(fixed.BASELINE_IMPORTS) + "\n")
@@ -59,6 +61,8 @@ def call_statuses(samples: DataFrame, catalog: DataFrame, preamble: Column, name
     ).where(F.col("c").isNotNull()).select(*carry, "c.*")
     known = leaf_lookup(calls, catalog, name).where(
         F.col("leaf_match").isNotNull() | (F.col("kind") == "syntax_error"))
+    # the calls are read twice below; keep the small result of the parse, not the parse
+    known = cut_lineage(known)
     # the last wildcard import can supply a bare name that the catalog knows
     guess = F.when(F.size("wildcards") > 0, F.concat_ws(".", F.element_at("wildcards", -1), "callee"))
     usable = ~F.col("kind").isin("getattr", "syntax_error")
@@ -139,13 +143,13 @@ def outcome_report(outcomes: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
-def build_manifest(statuses: DataFrame, samples: DataFrame, evidence_of) -> DataFrame:
+def build_manifest(statuses: DataFrame, samples: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Candidates for verification: resolved calls of target APIs, and low-confidence
     calls of outdated samples that look like one.
 
-    ``statuses`` carries ``sample_idx`` and ``category``; ``evidence_of`` adds the
-    grounding columns for ``target_api``. The snippet text joins last, so that it is not
-    moved by the matching steps.
+    ``statuses`` carries ``sample_idx`` and ``category``. Targets and their evidence are
+    looked up per distinct name; the snippet text joins last, so that it is not moved by
+    the matching.
     """
     spark = statuses.sparkSession
     low = F.col("status") == "low_confidence"
@@ -154,24 +158,25 @@ def build_manifest(statuses: DataFrame, samples: DataFrame, evidence_of) -> Data
     nth = F.row_number().over(W.partitionBy("sample_id", "status").orderBy("idx")) - 1
     wanted = wanted.withColumn("nth", nth).withColumn("symbol", F.coalesce("matched", "qualified_name"))
     pilot_leaves = sorted({t.rsplit(".", 1)[-1] for t in fixed.PILOT_TARGETS})
-    wanted = wanted.where(~low | ((F.col("category") == "outdated") & F.col("callee").isin(pilot_leaves)))
-    matched = match_target(wanted, "symbol", "_target")
-    pilot = spark.createDataFrame(
-        [(t, t.rsplit(".", 1)[-1], t.split(".")[0], i) for i, t in enumerate(fixed.PILOT_TARGETS)],
-        "target string, leaf string, lib string, ord int")
-    same_lib = pilot.groupBy("leaf", "lib").agg(F.min_by("target", "ord").alias("_of_lib"))
-    any_lib = pilot.groupBy("leaf").agg(F.min_by("target", "ord").alias("_of_any"))
-    m = matched.join(
-        F.broadcast(same_lib), (matched["callee"] == same_lib["leaf"]) & (matched["library"] == same_lib["lib"]), "left"
-    ).drop("leaf", "lib")
-    m = m.join(F.broadcast(any_lib), m["callee"] == any_lib["leaf"], "left").drop("leaf")
-    target = F.when(low, F.coalesce("_target", "_of_lib", "_of_any")).otherwise(F.col("_target"))
+    wanted = cut_lineage(wanted.where(~low | ((F.col("category") == "outdated") & F.col("callee").isin(pilot_leaves))))
+    of_leaf: dict[str, tuple[str, dict[str, str]]] = {}
+    for t in fixed.PILOT_TARGETS:
+        _, of_lib = of_leaf.setdefault(t.rsplit(".", 1)[-1], (t, {}))
+        of_lib.setdefault(t.split(".")[0], t)
+    by_lib = spark.createDataFrame(
+        [(k, *v) for k, v in of_leaf.items()], "leaf string, _any string, _of_lib map<string,string>")
+    names = match_target(wanted.select("symbol").distinct(), "symbol", "_target")
+    m = wanted.join(names, wanted["symbol"].eqNullSafe(names["symbol"]), "left").drop(names["symbol"])
+    m = m.join(F.broadcast(by_lib), m["callee"] == by_lib["leaf"], "left")
+    target = F.when(low, F.coalesce("_target", F.try_element_at("_of_lib", "library"), "_any")).otherwise(F.col("_target"))
     m = m.withColumn("target_api", target).where(F.col("target_api").isNotNull())
-    m = evidence_of(m).join(samples.select("sample_id", "function"), "sample_id")
+    # at most one row per target API
+    grounds = add_evidence(match_dim(spark), catalog)
+    m = m.join(F.broadcast(grounds), "target_api").join(samples.select("sample_id", "function"), "sample_id")
     return m.select(
         candidate_id(F.col("sample_id"), F.when(low, F.lit("lc")).otherwise(F.lit("res")), F.col("nth"),
                      F.col("client_line"), F.col("client_col")).alias("candidate_id"),
-        "sample_id", "sample_idx", "library", F.col("category").alias("cohort"),
+        "sample_id", "sample_idx", m["library"], F.col("category").alias("cohort"),
         F.col("status").alias("stage2_status"),
         F.when(low, F.lit("inference")).otherwise(F.lit("confirmation")).alias("mode"),
         "target_api", F.col("symbol").alias("resolved_symbol"), "client_line", F.col("client_col").alias("column"),
@@ -181,6 +186,10 @@ def build_manifest(statuses: DataFrame, samples: DataFrame, evidence_of) -> Data
         F.col("function").alias("enclosing_code"))
 
 
+def match_dim(spark) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in fixed.TARGET_LIST], "target_api string")
+
+
 def census(manifest: DataFrame) -> DataFrame:
     """Candidate call sites per library and overall."""
     low = F.col("stage2_status") == "low_confidence"

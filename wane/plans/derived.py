@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wane.session import spread
+
 _NL = "chr(10)"
 
 
@@ -150,7 +152,7 @@ REQUESTS = ("documents", [
 
 
 def load(spark: SparkSession, folder: str, spec: tuple[str, list[str]]) -> DataFrame:
-    """The derived records as a DataFrame."""
+    """The derived records as a DataFrame; code to be parsed is spread over the cores."""
     table, exprs = spec
     if " join " in table:
         left, rest = table.split(" join ")
@@ -160,6 +162,8 @@ def load(spark: SparkSession, folder: str, spec: tuple[str, list[str]]) -> DataF
         df = l.join(r, l[a] == r[b])
     else:
         df = spark.read.parquet(f"{folder}/{table}.parquet")
+        if spec in (SOURCES, SNIPPETS):
+            df = spread(df)
     return df.selectExpr(*exprs)
 
 

@@ -9,7 +9,6 @@ from wane import fixed_values as fixed
 from wane.functions import keys
 from wane.functions.text import as_array
 from wane.operators import audit, reconcile as rec, resolution as res, verification as ver
-from wane.operators.evidence import add_evidence
 from wane.operators.matching import target_dim
 from wane.operators.ranking import upsert
 from wane.plans import derived
@@ -115,7 +114,7 @@ def reconstructed_preamble(spark, d):
 
 def manifest(spark, d) -> DataFrame:
     s = statuses(spark, d, ("sample_id", "library", "sample_idx", "category"))
-    return res.build_manifest(s, samples(spark, d), lambda m: add_evidence(m))
+    return res.build_manifest(s, samples(spark, d))
 
 
 _NUMPY = {t: (w, doc) for t, w, doc, _ in fixed.GROUNDING}

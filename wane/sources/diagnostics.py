@@ -31,12 +31,13 @@ def _candidates(rows: DataFrame, checker: str) -> DataFrame:
 def from_mypy(lines: DataFrame, prefix: Column | None = None) -> DataFrame:
     """``value`` lines of mypy output with ``source`` (run id), ``module`` and ``ord``."""
     prefix = F.lit("") if prefix is None else prefix
-    text = strip(F.col("value"))
-    part = lambda i: F.regexp_extract(text, fixed.MYPY_LINE, i)
-    hit = text.rlike(fixed.MYPY_LINE)
-    rows = lines.where(hit).select(
-        "source", "ord", part(1).alias("file"), part(2).cast("int").alias("line"),
-        clean_symbol(part(3), F.col("module"), prefix).alias("symbol"), strip(part(4)).alias("msg"))
+    # one application of the pattern: its groups become an array, other lines stay whole
+    groups = F.split(F.regexp_replace(strip(F.col("value")), fixed.MYPY_LINE, "$1\u001f$2\u001f$3\u001f$4"), "\u001f")
+    hits = lines.select("source", "ord", "module", groups.alias("g")).where(F.size("g") == 4)
+    part = lambda i: F.col("g")[i]
+    rows = hits.select(
+        "source", "ord", part(0).alias("file"), part(1).cast("int").alias("line"),
+        clean_symbol(part(2), F.col("module"), prefix).alias("symbol"), strip(part(3)).alias("msg"))
     shown = F.concat(F.lit("mypy [deprecated]: "), "symbol", F.lit(" is deprecated"),
                      F.when(F.col("msg") != "", F.concat(F.lit(" ("), "msg", F.lit(")"))).otherwise(F.lit("")))
     return _candidates(rows.withColumn("raw_evidence", shown), "mypy")
