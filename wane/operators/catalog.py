@@ -52,25 +52,24 @@ def union_candidates(candidates: DataFrame, across_snapshots: bool = False) -> D
         strip(F.coalesce("raw_evidence", F.lit(""))).alias("_evidence"),
         F.struct("ord", "qualified_name", "origin", "file", "line", "scope", "param_name", "function_name").alias("_rep"),
         F.when(F.col("line") > 0, F.col("line")).alias("_line"),
-        F.array_sort(F.col("origins")).alias("_origins"),
-        F.array_sort(F.array_union("origins", F.array("origin"))).alias("_tags"),
+        F.struct("origins", "origin").alias("_origins"),
         F.when(has_message, F.struct("ord", "message")).alias("_last"),
         F.when(has_message & declared, F.struct("ord", "message")).alias("_declared"))
     key = ["_key", "_file", "_scope", "_params"]
     texts = keyed.groupBy(*key, "_evidence").agg(
         F.min("_rep").alias("_rep"), F.min("_line").alias("_line"),
-        F.array_distinct(F.flatten(F.collect_set("_origins"))).alias("_origins"),
-        F.array_distinct(F.flatten(F.collect_set("_tags"))).alias("_tags"),
+        F.collect_set("_origins").alias("_origins"),
         F.max("_last").alias("_last"), F.min("_declared").alias("_declared"), F.count("*").alias("_n"))
     merged = texts.groupBy(*key).agg(
         F.min("_rep").alias("_rep"), F.min("_line").alias("_line"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_origins")))).alias("origins"),
-        F.array_distinct(F.flatten(F.collect_list("_tags"))).alias("_tags"),
+        F.array_distinct(F.flatten(F.collect_list("_origins"))).alias("_origins"),
         F.max("_last").alias("_last"), F.min("_declared").alias("_declared"),
         F.array_sort(F.collect_list(
             F.when(F.col("_evidence") != "", F.struct(F.col("_rep.ord").alias("ord"), F.col("_evidence").alias("text")))
         )).alias("_texts"),
         F.sum("_n").alias("raw_hits"))
+    merged = merged.withColumn("origins", F.array_sort(F.array_distinct(F.flatten("_origins.origins")))).withColumn(
+        "_tags", F.array_union("origins", F.col("_origins.origin")))
     origin = F.coalesce(
         *[F.when(F.array_contains("_tags", p), F.lit(p)) for p in fixed.ORIGIN_PRIORITY], F.col("_rep.origin"))
     return merged.select(

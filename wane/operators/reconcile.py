@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wane.functions.names import compatible, leaf
 from wane.functions.text import canonical_path
 from wane.operators.ranking import id_bucket, positions
+from wane.session import cut_lineage
 
 _SITE = ["_file", "_line", "_leaf"]
 
@@ -92,7 +93,8 @@ def reconcile(matches: DataFrame, diagnostics: DataFrame) -> DataFrame:
     left = matches.withColumn("line", F.col("line").cast("int")).withColumn("ord", F.col("ord").cast("bigint"))
     right = diagnostics.withColumn("line", F.col("line").cast("int")).withColumn("ord", F.col("ord").cast("bigint"))
     ls, rs = _site(left, "client_file", "target_symbol"), _site(right, "file", "qualified_name")
-    pairs = match_pairs(ls, rs).select("_lo", "_ro")
+    # used by both outcomes below
+    pairs = cut_lineage(match_pairs(ls, rs).select("_lo", "_ro"))
     r = right.select(
         F.col("ord").alias("_ro"), F.col("file").alias("r_file"), F.col("line").alias("r_line"),
         F.col("qualified_name").alias("r_symbol"), F.col("raw_evidence").alias("r_evidence"),

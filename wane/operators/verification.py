@@ -152,9 +152,9 @@ def verify(requests: DataFrame, cache: DataFrame, verifier=rule_verifier, model:
            version: str = fixed.PROMPT_VERSION, with_context: bool = True, store: str | None = None):
     """Return (predictions, cache with the new responses).
 
-    ``store`` is a folder in shared storage. With a paid or non-deterministic verifier it
-    must be given: the responses are written there once and read back, so that lost
-    executors or reuse of the result do not repeat calls.
+    ``store`` is a folder in shared storage for the responses of this run. With a paid or
+    non-deterministic verifier it must be given: the responses are written there once and
+    read back, so that lost executors or reuse of the result do not repeat calls.
     """
     keyed = add_key(requests, model, version, with_context)
     misses, first = split_by_cache(keyed, cache)
@@ -167,7 +167,7 @@ def verify(requests: DataFrame, cache: DataFrame, verifier=rule_verifier, model:
         F.to_json(decode(F.col("response_json"))).alias("response_json"),
         "prompt_tokens", "candidate_tokens", "total_tokens", "created_at")
     if store is not None:
-        fresh.write.mode("append").parquet(store)
+        fresh.write.mode("overwrite").parquet(store)
         fresh = requests.sparkSession.read.parquet(store)
     known = upsert(cache, fresh, ["cache_key"], "created_at")
     answers = known.select("cache_key", "response_json", "prompt_tokens", "candidate_tokens", "total_tokens")

@@ -20,7 +20,7 @@ def clean_symbol(symbol: Column, module: Column, prefix: Column) -> Column:
 
 def _candidates(rows: DataFrame, checker: str) -> DataFrame:
     """One candidate per file, symbol and line: the first diagnostic of it."""
-    kept = first_per_key(rows.where("symbol is not null"), ["source", "symbol", "line"], [F.col("ord")])
+    kept = first_per_key(rows, ["source", "symbol", "line"], [F.col("ord")])
     return kept.select(
         F.col("symbol").alias("qualified_name"), F.lit(f"pep702:{checker}").alias("origin"), "file", "line",
         "raw_evidence", F.array(F.lit("pep702"), F.lit(f"pep702:{checker}")).alias("origins"),

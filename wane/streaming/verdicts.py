@@ -2,38 +2,38 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from wane.operators.verification import empty_cache, rule_verifier, verify
-from wane.schemas import MANIFEST, RESPONSE_CACHE
+from wane.schemas import MANIFEST
+
+
+def responses_before(spark: SparkSession, cache: str, batch_id: int) -> DataFrame:
+    """Stored responses of earlier batches; none before the first."""
+    try:
+        return spark.read.parquet(cache).where(f"batch < {batch_id}").drop("batch")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return empty_cache(spark)
 
 
 def verify_stream(spark: SparkSession, arrivals: str, verdicts: str, cache: str, checkpoint: str,
                   verifier=rule_verifier) -> StreamingQuery:
     """Append JSON-lines verdicts for every new manifest file.
 
-    Each batch writes to its own folder, so a batch that is repeated after a failure
-    replaces its output instead of doubling it. Responses join the cache the same way.
+    A batch writes its responses and its verdicts to folders of its own. When it is
+    repeated after a failure it replaces them, so nothing is counted twice.
     """
-    source = spark.readStream.schema(MANIFEST).json(arrivals)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        try:
-            known = session.read.schema(RESPONSE_CACHE).parquet(f"{cache}/*").where(f"created_in < {batch_id}") \
-                if False else session.read.parquet(cache).where(f"batch < {batch_id}").drop("batch")
-        except Exception:
-            known = empty_cache(session)
-        _, table = verify(batch, known, verifier)
-        fresh = table.join(known.select("cache_key"), "cache_key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{cache}/batch={batch_id}")
-        stored = session.read.parquet(cache).where(f"batch <= {batch_id}").drop("batch")
-        first, _ = verify(batch, known, lambda misses: stored.select(
-            "cache_key", "response_json", "prompt_tokens", "candidate_tokens", "total_tokens"
-        ).join(misses.select("cache_key"), "cache_key", "left_semi"))
-        first.write.mode("overwrite").json(f"{verdicts}/batch={batch_id}")
+        known = responses_before(batch.sparkSession, cache, batch_id)
+        predictions, _ = verify(batch, known, verifier, store=f"{cache}/batch={batch_id}")
+        predictions.write.mode("overwrite").json(f"{verdicts}/batch={batch_id}")
 
+    source = spark.readStream.schema(MANIFEST).json(arrivals)
     return (
         source.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start())
