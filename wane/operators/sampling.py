@@ -15,6 +15,7 @@ from wane.functions.keys import draw
 from wane.functions.syntax import snippet_calls
 from wane.functions.text import contains_any
 from wane.operators.ranking import numbered, top_per_key
+from wane.operators.reports import expectations
 
 
 def quota_sample(rows: DataFrame, key: str, quotas: DataFrame, ids: list[str], seed: int = 42, strict: bool = True) -> DataFrame:
@@ -173,15 +174,11 @@ def assemble_benchmark(manifest: DataFrame, samples: DataFrame, seed: int = 42)
 def benchmark_checks(benchmark: DataFrame) -> DataFrame:
     """One row per expectation about the assembled benchmark."""
     calibration = F.col("sample_id").isin(fixed.CALIBRATION_SAMPLES)
-    got = benchmark.agg(
-        F.count("*").alias("total"), F.count_if("expected_ground_truth").alias("positive"),
-        F.count_if(~F.col("expected_ground_truth")).alias("negative"),
-        F.count_if((F.col("stratum") == "hard_negative") & calibration).alias("contaminated"))
-    return got.select(F.inline(F.array(
-        F.struct(F.lit("total").alias("name"), F.col("total").alias("found"), F.lit(150).alias("expected")),
-        F.struct(F.lit("positive"), F.col("positive"), F.lit(108)),
-        F.struct(F.lit("negative"), F.col("negative"), F.lit(42)),
-        F.struct(F.lit("contaminated"), F.col("contaminated"), F.lit(0))))).withColumn("ok", F.col("found") == F.col("expected"))
+    return expectations(
+        {"total": F.count("*"), "positive": F.count_if("expected_ground_truth"),
+         "negative": F.count_if(~F.col("expected_ground_truth")),
+         "contaminated": F.count_if((F.col("stratum") == "hard_negative") & calibration)},
+        {"total": 150, "positive": 108, "negative": 42, "contaminated": 0}, benchmark)
 
 
 def fresh_wrapper_rows(manifest: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def build_catalog(spark: SparkSession, base: str, out: str, snapshots: dict[str,
                   across_snapshots: bool = False) -> DataFrame:
     """Catalog of all snapshots below ``base``, partitioned by library."""
     files = scan_snapshots(spark, base, snapshots or fixed.SNAPSHOTS)
-    catalog = cat.union_candidates(find_candidates(files), across_snapshots)
+    catalog = cat.union_candidates(find_candidates(files.where("error is null").drop("error")), across_snapshots)
     library = F.element_at(F.split("qualified_name", "[.]"), 1)
     return stored(catalog.withColumn("library", library), out, "library")
 

@@ -2,59 +2,82 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wane.functions.text import module_path
 
 
-def scan_tree(spark: SparkSession, root: str, library: str, version: str | None = None) -> DataFrame:
-    """All ``*.py`` files below ``root``: file, prefix, source and the library columns.
-
-    Undecodable bytes become the replacement character, as everywhere in this engine.
+def _list_files(batches):
+    """Python files below each root. Spark's own listing hides names that begin with an underscore."""
+    for batch in batches:
+        for root in batch["root"]:
+            system, base = fs.FileSystem.from_uri(root)
+            found = system.get_file_info(fs.FileSelector(base, recursive=True))
+            paths = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".py"))
+            yield pd.DataFrame({"root": root, "file": paths, "below": [p[len(base.rstrip("/")) + 1:] for p in paths]})
+
+
+def _read_files(batches):
+    """Text of each file; bytes that are not UTF-8 become the replacement character."""
+    for batch in batches:
+        sources, errors = [], []
+        for root, path in zip(batch["root"], batch["file"]):
+            try:
+                with fs.FileSystem.from_uri(root)[0].open_input_stream(path) as f:
+                    text = f.read().decode("utf-8", "replace")
+                sources.append(text.replace("\r\n", "\n").replace("\r", "\n"))
+                errors.append(None)
+            except OSError as e:
+                sources.append(None)
+                errors.append(f"Read error: {e}")
+        yield batch.assign(source=sources, error=errors)
+
+
+def scan_roots(roots: DataFrame) -> DataFrame:
+    """Files of all trees in ``root, library, version``: file, prefix, source, error.
+
+    Folders are listed by tasks, and the paths are spread before the files are read, so
+    neither names nor contents pass through the driver.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.py").load(root))
-    path = F.regexp_replace("path", "^file:/+", "/")
-    top = root.rstrip("/") + "/"
-    below = F.element_at(F.split(path, top, 2), -1) if "://" not in root else F.element_at(F.split("path", top, 2), -1)
-    return files.select(
-        path.alias("file"), module_path(below, F.lit(library)).alias("prefix"),
-        _decoded(F.col("content")).alias("source"),
-        F.lit(library).alias("library"), F.lit(version).alias("version"))
+    listed = roots.select("root").distinct().repartition("root").mapInPandas(
+        _list_files, "root string, file string, below string")
+    read = listed.repartition("file").mapInPandas(
+        _read_files, "root string, file string, below string, source string, error string")
+    return read.join(F.broadcast(roots), "root").select(
+        "file", module_path(F.col("below"), F.col("library")).alias("prefix"), "source", "library", "version", "error")
 
 
-def _decoded(content):
-    # try_validate_utf8 keeps good text; bad bytes are replaced rather than dropped
-    text = content.cast("string")
-    return F.make_valid_utf8(text)
+def scan_tree(spark: SparkSession, root: str, library: str, version: str | None = None) -> DataFrame:
+    """All Python files below one folder."""
+    return scan_roots(spark.createDataFrame([(root, library, version)], "root string, library string, version string"))
 
 
 def scan_snapshots(spark: SparkSession, base: str, snapshots: dict[str, list[str]]) -> DataFrame:
     """Every snapshot folder ``base/<library>-<version>/<library>`` in one DataFrame."""
-    parts = [
-        scan_tree(spark, f"{base.rstrip('/')}/{snap}/{lib}", lib, snap.split("-", 1)[1])
-        for lib, names in snapshots.items() for snap in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = [(f"{base.rstrip('/')}/{snap}/{lib}", lib, snap.split("-", 1)[1]) for lib, names in snapshots.items() for snap in names]
+    return scan_roots(spark.createDataFrame(rows, "root string, library string, version string"))
 
 
 def coverage_gaps(files: DataFrame) -> DataFrame:
-    """Files that hold bytes which are not UTF-8, or no text at all."""
-    bad = F.contains("source", F.lit("�"))
-    return files.where(bad | (F.length("source") == 0)).select(
-        "file", F.when(bad, F.lit("undecodable bytes")).otherwise(F.lit("empty")).alias("error"))
+    """Files that cannot be read, or that hold bytes which are not UTF-8."""
+    bad = F.contains("source", F.lit("\ufffd"))
+    return files.where(F.col("error").isNotNull() | bad).select(
+        "file", F.coalesce("error", F.lit("undecodable bytes")).alias("error"))
 
 
 def scan_file(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """One file; a missing path is an error."""
-    one = spark.read.format("binaryFile").load(path)
-    return one.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("file"), F.lit(prefix).alias("prefix"),
-        _decoded(F.col("content")).alias("source"))
+    row = spark.createDataFrame([(path, path)], "root string, file string")
+    read = row.mapInPandas(_read_files, "root string, file string, source string, error string")
+    found = F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).cast("boolean"))
+    return read.where(found).select("file", F.lit(prefix).alias("prefix"), "source")
 
 
 def from_archives(spark: SparkSession, pattern: str, library: str) -> DataFrame:
@@ -62,12 +85,6 @@ def from_archives(spark: SparkSession, pattern: str, library: str) -> DataFrame:
 
     An archive is read by one task, its members become rows.
     """
-    import io
-    import tarfile
-    import zipfile
-
-    import pandas as pd
-
     def members(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
