@@ -56,7 +56,7 @@ def test_diagnostics(spark):
     out = {"generalDiagnostics": [
         {"rule": "reportDeprecated", "message": 'The method "x" in class "K" is deprecated\n  use y', "range": {"start": {"line": 4}}},
         {"rule": "reportDeprecated", "message": "strange", "range": {"start": {"line": 0}}}, {"rule": "other", "message": "z"}]}
-    rows = from_pyright(spark.createDataFrame([("a.py", "", json.dumps(out))], "source string, module string, value string")).orderBy("line").collect()
+    rows = from_pyright(spark.createDataFrame([("a.py", "", 1, json.dumps(out))], "source string, module string, ord long, value string")).orderBy("line").collect()
     assert [(r.qualified_name, r.line, r.message) for r in rows] == [("deprecated_symbol", 1, "strange"), ("K.x", 5, "use y")]
 
 

@@ -45,9 +45,9 @@ def audit_receivers(items: DataFrame, overrides: DataFrame | None = None) -> Dat
         "receiver_expr", F.when(collision, F.lit("itertools")).otherwise(F.lit("<native_call>"))))
     if overrides is None:
         return r
-    o = F.broadcast(overrides.select(
+    o = overrides.select(
         "benchmark_id", F.col("receiver_expr").alias("_e"), F.col("receiver_category").alias("_c"),
-        F.col("invokes_target_api").alias("_i")))
+        F.col("invokes_target_api").alias("_i"))
     j = r.join(o, "benchmark_id", "left")
     return j.withColumn("receiver_expr", F.coalesce("_e", "receiver_expr")).withColumn(
         "receiver_category", F.coalesce("_c", "receiver_category")).withColumn(
@@ -59,7 +59,7 @@ def second_labels(items: DataFrame, overrides: DataFrame | None = None) -> DataF
     if overrides is None:
         overrides = items.sparkSession.createDataFrame(
             fixed.LABEL_OVERRIDES, "benchmark_id string, label boolean, reason string")
-    j = items.join(F.broadcast(overrides), "benchmark_id", "left")
+    j = items.join(overrides, "benchmark_id", "left")
     changed = F.col("label").isNotNull() & ~F.col("label").eqNullSafe(F.col("is_deprecated_call"))
     return j.withColumn("v1_label", F.col("is_deprecated_call")).withColumn("label_changed", changed).withColumn(
         "is_deprecated_call", F.coalesce("label", "is_deprecated_call")).withColumn(

@@ -69,7 +69,7 @@ def call_statuses(samples: DataFrame, catalog: DataFrame, preamble: Column, name
     firm = F.when(usable, F.coalesce("resolved", "resolved_late"))
     known = known.withColumn("symbol", F.coalesce(firm, F.when(usable, guess))).withColumn("firm", firm.isNotNull())
     if aliases is not None:
-        a = F.broadcast(aliases.select(F.col("from_symbol").alias("symbol"), "to_symbol"))
+        a = aliases.select(F.col("from_symbol").alias("symbol"), "to_symbol")
         known = known.join(a, "symbol", "left").withColumn("symbol", F.coalesce("to_symbol", "symbol")).drop("to_symbol")
     found = first_match(known, "symbol", catalog, name, order, "matched")
     hit = F.col("matched").isNotNull()

@@ -22,7 +22,7 @@ def quota_sample(rows: DataFrame, key: str, quotas: DataFrame, ids: list[str], s
     """``quota`` rows of each key; with ``strict`` a key with too few rows is an error."""
     most = quotas.agg(F.max("quota")).first()[0] or 0
     wanted = quotas.where("quota > 0")
-    keyed = rows.join(F.broadcast(wanted), key).withColumn("_draw", draw(seed, *[F.col(i) for i in ids]))
+    keyed = rows.join(wanted, key).withColumn("_draw", draw(seed, *[F.col(i) for i in ids]))
     kept = top_per_key(keyed, [key], [F.col("_draw"), *[F.col(i) for i in ids]], int(most), "_rank").where(
         F.col("_rank") <= F.col("quota"))
     if strict:
@@ -48,7 +48,8 @@ def proportional_sample(rows: DataFrame, strata: list[str], size: int, ids: list
     before = total.orderBy(*strata).rowsBetween(W.unboundedPreceding, -1)
     alloc = counts.withColumn("_ask", ask).withColumn(
         "_left", F.lit(size) - F.coalesce(F.sum("_ask").over(before), F.lit(0)))
-    alloc = alloc.select(*strata, F.greatest(F.least("_ask", "_left"), F.lit(0)).alias("_take"))
+    # every kept stratum takes at least one row: no more than ``size`` strata remain
+    alloc = alloc.select(*strata, F.least("_ask", "_left").alias("_take")).where("_take > 0")
     drawn = rows.withColumn("_draw", draw(seed, *[F.col(i) for i in ids]))
     order = [F.col("_draw"), *[F.col(i) for i in ids]]
     ranked = top_per_key(drawn, strata, order, size, "_rank")
@@ -66,7 +67,7 @@ def fixed_allocation(rows: DataFrame, keys: list[str], allocation: DataFrame, ex
     """``n`` rows per key; rows that are in ``existing`` come first."""
     most = allocation.agg(F.max("n")).first()[0] or 0
     flagged = rows.join(existing.select(*ids).distinct().withColumn("_old", F.lit(1)), ids, "left")
-    drawn = flagged.join(F.broadcast(allocation), keys).withColumn("_draw", draw(seed, *[F.col(i) for i in ids]))
+    drawn = flagged.join(allocation, keys).withColumn("_draw", draw(seed, *[F.col(i) for i in ids]))
     order = [F.coalesce("_old", F.lit(0)).desc(), F.col("_draw"), *[F.col(i) for i in ids]]
     kept = top_per_key(drawn, keys, order, int(most), "_rank").where(F.col("_rank") <= F.col("n"))
     return kept.withColumn("reused", F.col("_old").isNotNull()).drop("_old", "_draw", "_rank", "n")
@@ -88,7 +89,8 @@ def candidate_positives(manifest: DataFrame, seed: int = 42) -> DataFrame:
 def _pool_calls(samples: DataFrame, pools: DataFrame, first_only: bool) -> DataFrame:
     """Calls of the pools' callees in the samples that pass the pools' text filter."""
     passing = F.exists("words", lambda w: F.contains("function", w)) | (F.size("words") == 0)
-    rows = samples.join(F.broadcast(pools), F.array_contains(pools["libraries"], samples["library"])).where(
+    per_library = pools.withColumn("library", F.explode("libraries")).drop("libraries")
+    rows = samples.join(F.broadcast(per_library), "library").where(
         passing & (F.col("only").isNull() | (F.col("only") == F.col("category")))
         & F.col("sample_idx").between(F.col("lo"), F.col("hi")))
     # parse once per sample, not once per pool

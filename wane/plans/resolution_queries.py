@@ -273,10 +273,10 @@ def pyright_diagnostics(spark, d):
         'message', case when event_type = 'error' then 'odd text' when event_type = 'view' then 'The method "view" in class "K" is deprecated'
           else 'The method "' || event_type || '" in class "K" is deprecated' || chr(10) || chr(160) || chr(160) || 'use ' || event_id end,
         'range', named_struct('start', named_struct('line', hour(ts)))) as diag""")
-    # one saved checker output per user
-    out = diag.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "diag"))), lambda x: x["diag"]).alias("generalDiagnostics"))
-    out = out.select(F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".py")).alias("source"), F.lit("").alias("module"),
-                     F.to_json(F.struct("generalDiagnostics")).alias("value"))
+    # every event is one saved checker output about the user's file
+    out = diag.select(
+        F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".py")).alias("source"), F.lit("").alias("module"),
+        F.col("event_id").alias("ord"), F.to_json(F.struct(F.array("diag").alias("generalDiagnostics"))).alias("value"))
     return from_pyright(out).select("file", "line", "qualified_name", "message")
 
 

@@ -47,11 +47,14 @@ PYRIGHT_OUTPUT = "generalDiagnostics array<struct<rule:string,message:string,ran
 
 
 def from_pyright(outputs: DataFrame, prefix: Column | None = None) -> DataFrame:
-    """``value`` JSON outputs of pyright with ``source`` (file) and ``module``."""
+    """``value`` JSON outputs of pyright with ``source`` (file), ``module`` and ``ord``.
+
+    A file may have several outputs; ``ord`` puts them in order.
+    """
     prefix = F.lit("") if prefix is None else prefix
-    d = outputs.select("source", "module", F.posexplode(
+    d = outputs.select("source", "module", F.col("ord").alias("run"), F.posexplode(
         F.from_json("value", f"struct<{PYRIGHT_OUTPUT.replace(' array', ':array', 1)}>")["generalDiagnostics"]
-    ).alias("ord", "d")).where(F.col("d.rule") == "reportDeprecated")
+    ).alias("pos", "d")).where(F.col("d.rule") == "reportDeprecated")
     message = F.coalesce("d.message", F.lit(""))
     part = lambda i: F.regexp_extract(message, fixed.PYRIGHT_MESSAGE, i)
     hit = message.rlike(fixed.PYRIGHT_MESSAGE)
@@ -59,7 +62,7 @@ def from_pyright(outputs: DataFrame, prefix: Column | None = None) -> DataFrame:
         F.lit("deprecated_symbol"))
     body = strip(F.translate(F.when(hit, part(3)).otherwise(message), " ", " "))
     rows = d.select(
-        "source", F.col("source").alias("file"), F.col("ord").cast("bigint").alias("ord"),
+        "source", F.col("source").alias("file"), F.struct("run", "pos").alias("ord"),
         (F.coalesce("d.range.start.line", F.lit(0)) + 1).alias("line"), raw.alias("raw"),
         clean_symbol(raw, F.col("module"), prefix).alias("symbol"), body.alias("msg"))
     shown = F.concat(F.lit("pyright [reportDeprecated]: "), F.when(F.col("msg") != "", F.col("msg")).otherwise(

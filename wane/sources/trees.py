@@ -50,7 +50,7 @@ def scan_roots(roots: DataFrame) -> DataFrame:
         _list_files, "root string, file string, below string")
     read = listed.repartition("file").mapInPandas(
         _read_files, "root string, file string, below string, source string, error string")
-    return read.join(F.broadcast(roots), "root").select(
+    return read.join(roots, "root").select(
         "file", module_path(F.col("below"), F.col("library")).alias("prefix"), "source", "library", "version", "error")
 
 
