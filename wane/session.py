@@ -26,11 +26,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder the cluster names.
 
-    Only a session without ``spark.checkpoint.dir`` (tests) gets a folder here.
+    Only a local session without ``spark.checkpoint.dir`` (tests) gets a folder here.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wane-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wane-checkpoint-"))
     return df.checkpoint()
 
 
