@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wane.llm import packing, warc
-from wane.llm.common import shared_folder, table
+from wane.llm import fingerprints, language, packing, toxicity, warc
+from wane.llm.common import bucket_of, shared_folder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,27 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_warc": op5_warc}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), bucket_of("doc_id", 3) == 1
+    machine = toxicity.learn(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), machine).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), bucket_of("doc_id", 5) == 0
+    network = language.learn(docs.filter(~held_out))
+    return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), network).select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES = {"op1_packing": op1_packing, "op5_warc": op5_warc, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
+           "op10_spotsigs": op10_spotsigs}
 
 CHECKS: dict[str, str] = {}
