@@ -16,14 +16,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 SCHEMA = "{id} {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long"
-#: Distinct words whose ids a task remembers; the memory is emptied when it is full and results do not depend on it.
-REMEMBERED_WORDS = 600_000
+#: Distinct words whose ids a Python worker remembers, over all its tasks. The memory is emptied when it is full; results do not
+#: depend on it.
+REMEMBERED_WORDS = 1_000_000
+_known: dict[str, Words] = {}
 
 
 class Words(dict):
     """Token ids of blank-separated pieces of text, computed once for each.
 
-    The vocabulary's pre-tokenizer never joins characters across blanks and drops the blanks themselves.
+    The vocabulary's pre-tokenizer never joins characters across blanks and drops the blanks themselves. Marks after a letter
+    are tokens of their own, and ASCII capitals count as small letters.
     """
 
     def __init__(self, tokenizer):
@@ -31,7 +34,14 @@ class Words(dict):
         self.encode = tokenizer.encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        bare = word.rstrip(".,;:!?")
+        if bare != word and bare and bare[-1].isalpha():
+            ids = self[bare] + self[word[len(bare) :]]
+        elif word.isascii() and word.isalpha() and not word.islower():
+            ids = self[word.lower()]
+        else:
+            ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
@@ -90,7 +100,9 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        words, bins = Words(Tokenizer.from_file(tokenizer_file)), OpenBins(capacity, open_bins)
+        if tokenizer_file not in _known:
+            _known[tokenizer_file] = Words(Tokenizer.from_file(tokenizer_file))
+        words, bins = _known[tokenizer_file], OpenBins(capacity, open_bins)
         first = TaskContext.get().partitionId() << 36
         end, width = array("I", [end_id]).tobytes(), 4 * capacity
         kept: list[tuple] = []
