@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wane.llm import fingerprints, language, neardup, packing, toxicity, warc
+from wane.llm import fingerprints, language, neardup, packing, substrings, toxicity, warc
 from wane.llm.common import bucket_of, shared_folder, table
 
 
@@ -20,6 +20,12 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
@@ -53,7 +59,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_neardup": op3_neardup, "op5_warc": op5_warc, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
+QUERIES = {"op1_packing": op1_packing, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
            "op10_spotsigs": op10_spotsigs}
 
 CHECKS: dict[str, str] = {}
