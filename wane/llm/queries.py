@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wane.llm import fingerprints, language, neardup, packing, substrings, toxicity, warc
+from wane.llm import fingerprints, language, lm, neardup, packing, substrings, toxicity, warc
 from wane.llm.common import bucket_of, shared_folder, table
 
 
@@ -39,6 +39,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), bucket_of("doc_id", 7) == 2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), bucket_of("doc_id", 3) == 1
     machine = toxicity.learn(docs.filter(~held_out), table(spark, sf_dir, "labels"))
@@ -59,7 +63,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
+QUERIES = {"op1_packing": op1_packing, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op7_language_model": op7_language_model, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
            "op10_spotsigs": op10_spotsigs}
 
 CHECKS: dict[str, str] = {}
