@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wane.llm import fingerprints, language, lm, neardup, packing, substrings, toxicity, warc
+from wane.llm import ann, fingerprints, language, lm, neardup, packing, substrings, toxicity, warc
 from wane.llm.common import bucket_of, shared_folder, table
 
 
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -63,7 +67,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op7_language_model": op7_language_model, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
+QUERIES = {"op1_packing": op1_packing, "op2_neighbours": op2_neighbours, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op7_language_model": op7_language_model, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
            "op10_spotsigs": op10_spotsigs}
 
 CHECKS: dict[str, str] = {}
