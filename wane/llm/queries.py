@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wane.llm import ann, fingerprints, language, lm, neardup, packing, substrings, toxicity, warc
+from wane.llm import ann, fingerprints, language, lm, neardup, packing, pieces, substrings, toxicity, warc
 from wane.llm.common import bucket_of, shared_folder, table
 
 
@@ -43,6 +43,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return pieces.decode(encoded, vocabulary).select(
+        "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), bucket_of("doc_id", 7) == 2)
 
@@ -67,7 +74,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_neighbours": op2_neighbours, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op7_language_model": op7_language_model, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
+QUERIES = {"op1_packing": op1_packing, "op2_neighbours": op2_neighbours, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op6_pieces": op6_pieces, "op7_language_model": op7_language_model, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
            "op10_spotsigs": op10_spotsigs}
 
 CHECKS: dict[str, str] = {}
