@@ -190,13 +190,13 @@ def _dealt_cells(docs: DataFrame, length: int, shards: int, block_bytes: int) ->
 def _judged(dealt: DataFrame, most_cells: int) -> DataFrame:
     """What is known of cells from anchors and contents: kind 1 repeats as a whole; kind 2 must be compared with the other cells
     of its anchor; kind 3 the same for an anchor with more than `most_cells` different ones."""
-    schema = "kind int, anchor long, doc long, first long, windows int"
+    schema = "kind int, anchor long, cells int, doc long, first long, windows int"
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for n, raw in zip(pdf["n"][pdf["kind"] == 1], pdf["packed"][pdf["kind"] == 1], strict=True):
             doc, first, windows = _unpack(raw, n, *_CELL[2:])
-            out.append(pd.DataFrame({"kind": 1, "anchor": 0, "doc": doc, "first": first, "windows": windows}))
+            out.append(pd.DataFrame({"kind": 1, "anchor": 0, "cells": 0, "doc": doc, "first": first, "windows": windows}))
         parts = [_unpack(raw, n, *_CELL) for n, raw in zip(pdf["n"][pdf["kind"] == 0], pdf["packed"][pdf["kind"] == 0], strict=True)]
         if parts:
             anchor, content, doc, first, windows = (np.concatenate([p[i] for p in parts]) for i in range(5))
@@ -212,42 +212,97 @@ def _judged(dealt: DataFrame, most_cells: int) -> DataFrame:
             fresh = np.ones(len(order), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (windows[1:] != windows[:-1])
             _, back, different = np.unique(anchor[fresh], return_inverse=True, return_counts=True)
-            kind = np.ones(len(order), np.int32)
+            kind, cells = np.ones(len(order), np.int32), np.zeros(len(order), np.int32)
+            cells[fresh] = different[back]
             kind[fresh] = np.select([different[back] > most_cells, different[back] > 1], [3, 2], 0)
             keep = kind > 0
-            out.append(pd.DataFrame({"kind": kind[keep], "anchor": anchor[keep].view(np.int64), "doc": doc[keep], "first": first[keep], "windows": windows[keep]}))
-        return pd.concat(out)[["kind", "anchor", "doc", "first", "windows"]] if out else pd.DataFrame({c: [] for c in ("kind", "anchor", "doc", "first", "windows")})
+            out.append(pd.DataFrame({"kind": kind[keep], "anchor": anchor[keep].view(np.int64), "cells": cells[keep], "doc": doc[keep], "first": first[keep], "windows": windows[keep]}))
+        names = ["kind", "anchor", "cells", "doc", "first", "windows"]
+        return pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names})
 
     return dealt.groupBy("shard").applyInPandas(judge, schema)
 
 
-def _fetched(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """Bytes of the cells asked for (kind 2), or a row per window with its two digests (kind 3)."""
-    schema = "kind int, anchor long, doc long, first long, cell binary, one long, two long"
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("first", "windows", "kind", "anchor")).alias("cells"))
+def _earliest(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple]]:
+    """Of windows with equal digests: the numbers of the earliest, and (document, start, end) spans of the others."""
+    order = np.lexsort((start, doc, two, one))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    late = order[~fresh]
+    late = late[np.lexsort((start[late], doc[late]))]
+    cut = np.ones(len(late), bool)
+    cut[1:] = (doc[late][1:] != doc[late][:-1]) | (start[late][1:] != start[late][:-1] + 1)
+    at = np.flatnonzero(cut)
+    last = np.append(at[1:], len(late)) - 1
+    return order[fresh], list(zip(doc[late[at]].tolist(), start[late[at]].tolist(), (start[late[last]] + length).tolist(), strict=True)) if len(late) else []
+
+
+_WINDOW = ("<u8", "<u8", "<i8", "<i8")  # both digests, document, first byte
+
+
+def _fetched(docs: DataFrame, asked: DataFrame, length: int, shards: int, most_windows: int = 300_000) -> DataFrame:
+    """Bytes of the cells asked for (kind 2), and packed digests of windows by their shard (kind 3: `anchor` is the shard and `cells`
+    their number). Of equal windows that a task has together only the earliest is packed, the others are spans at once (kind 4:
+    `first` to `end`)."""
+    schema = "kind int, anchor long, cells int, doc long, first long, end long, cell binary"
+    names = ["kind", "anchor", "cells", "doc", "first", "end", "cell"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("first", "windows", "kind", "anchor", F.col("cells").alias("of"))).alias("cells"))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def reduced() -> pa.RecordBatch:
+            one, two, doc, start = (np.concatenate([h[i] for h in held]) for i in range(4))
+            held.clear()
+            at, spans = _earliest(one, two, doc, start, length)
+            rows = [(4, None, None, *x, None) for x in spans]
+            shard = ((one[at] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+            at = at[np.lexsort((start[at], doc[at], shard))]
+            cuts = np.searchsorted(np.sort(shard), np.arange(shards + 1))
+            for s in range(shards):
+                own = at[cuts[s] : cuts[s + 1]]
+                if len(own):
+                    rows.append((3, s, len(own), None, None, None, _pack(one[own], two[own], doc[own], start[own])))
+            return batch_of(rows)
+
+        many = 0
         for block in byte_blocks(batches, "text", 1_000_000):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[tuple] = []
             for doc, text, cells in zip(block["doc"].to_pylist(), block["text"].to_pylist(), block["cells"].to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for c in cells:
-                    piece = raw[c["first"] : c["first"] + c["windows"] + length - 1]
+                    piece, n = raw[c["first"] : c["first"] + c["windows"] + length - 1], c["windows"]
                     if c["kind"] == 2:
-                        rows = [(2, c["anchor"], doc, c["first"], piece, None, None)]
+                        out.append((2, c["anchor"], c["of"], doc, c["first"], None, piece))
                     else:
                         data = np.frombuffer(piece, np.uint8)
-                        one, two = rolled(data, length, BASE).view(np.int64), rolled(data, length, _SECOND).view(np.int64)
-                        rows = [(3, None, doc, c["first"] + k, None, int(x), int(y)) for k, (x, y) in enumerate(zip(one, two, strict=True))]
-                    for r in rows:
-                        for column, v in zip(out, r, strict=True):
-                            column.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["kind", "anchor", "doc", "first", "cell", "one", "two"])
+                        held.append((rolled(data, length, BASE), rolled(data, length, _SECOND), np.full(n, doc, np.int64), np.arange(c["first"], c["first"] + n)))
+                        many += n
+            yield batch_of(out)
+            if many >= most_windows:
+                yield reduced()
+                many = 0
+        if held:
+            yield reduced()
 
     return docs.join(wanted, "doc").select("doc", "text", "cells").mapInArrow(run, schema)
 
 
+def _late_windows(windows: DataFrame, length: int) -> DataFrame:
+    """Spans of all but the earliest of equal windows. windows: packed rows (shard, n, packed)."""
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpack(raw, n, *_WINDOW) for n, raw in zip(pdf["n"], pdf["packed"], strict=True)]
+        _, spans = _earliest(*(np.concatenate([p[i] for p in parts]) for i in range(4)), length)
+        return pd.DataFrame(spans, columns=["doc", "start", "end"]).astype(np.int64)
+
+    return windows.groupBy("shard").applyInPandas(judge, "doc long, start long, end long")
+
+
 def _compared(cells: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     """Spans of repeated windows among cells that share an anchor."""
 
@@ -255,7 +310,6 @@ def _compared(cells: DataFrame, length: int, batch_bytes: int) -> DataFrame:
         held: list[tuple] = []
 
         def found(rows: list[tuple]) -> pa.RecordBatch:
-            # Texts of like length take like numbers of steps.
             _, number, count = np.unique([r[0] for r in rows], return_inverse=True, return_counts=True)
             by = np.lexsort((np.arange(len(rows)), number, count[number]))
             rows, of = [rows[i] for i in by], number[by]
@@ -278,22 +332,26 @@ def _compared(cells: DataFrame, length: int, batch_bytes: int) -> DataFrame:
         if held:
             yield found(held)
 
-    return cells.select("anchor", "doc", "first", "cell").repartition("anchor").sortWithinPartitions("anchor", "doc", "first").mapInArrow(run, "doc long, start long, end long")
+    # Anchors with like numbers of cells come together: texts of like length take like numbers of steps.
+    dealt = cells.repartition("anchor").sortWithinPartitions("cells", "anchor", "doc", "first")
+    return dealt.select("anchor", "doc", "first", "cell").mapInArrow(run, "doc long, start long, end long")
 
 
 def remove_repeats(
     docs: DataFrame, length: int = 100, most_cells: int = 32, shards: int | None = None, block_bytes: int = 32_000_000,
-    id_column: str = "doc_id", text_column: str = "text",
+    id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, n_bytes, spans, kept) of every row: the maximal removed runs of bytes and the bytes left, concatenated.
+    """(id, n_bytes, spans, kept, kept_text, rest) of every row: the maximal removed runs of bytes and the bytes left, concatenated.
 
+    kept_text is those bytes as text without what a cut has left of a character. rest is a struct of the columns in `carry`.
     A byte is removed if a string of `length` bytes that covers it also begins earlier: in a row of a smaller id or before in the same
     text. Strings are judged on the input. Ids are integers; if some are null or repeat, rows are ordered by id (nulls last), then
     text. Null texts are empty. Texts shorter than `length` stay as they are. An empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(0)
+    plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     plain_ids = plain.agg(F.count("id").alias("known"), F.count(F.lit(1)).alias("all")).first()
     if plain_ids["known"] == plain_ids["all"] and not plain.groupBy("id").count().filter("count > 1").limit(1).count():
         numbered = plain.withColumn("doc", F.col("id").cast("long"))
@@ -307,13 +365,11 @@ def remove_repeats(
     judged = stored(_judged(_dealt_cells(known, length, shards, block_bytes), most_cells), "substrings-cells")
     whole = judged.filter("kind = 1").select("doc", F.col("first").alias("start"), (F.col("first") + F.col("windows") + length - 1).alias("end"))
     asked = judged.filter("kind > 1")
-    fetched = stored(_fetched(known, asked, length), "substrings-texts")
+    fetched = stored(_fetched(known, asked, length, shards), "substrings-texts")
     compared = _compared(fetched.filter("kind = 2"), length, 1_000_000)
-    # Windows of anchors with very many cells: the earliest of each digest stays.
-    windows = fetched.filter("kind = 3").select("one", "two", "doc", F.col("first").alias("start"))
-    earliest = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two", "e")
-    single = windows.join(earliest, ["one", "two"]).filter(F.struct("doc", "start") != F.col("e")).select("doc", "start", (F.col("start") + length).alias("end"))
-    spans = whole.union(compared).union(single).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    single = _late_windows(fetched.filter("kind = 3").select(F.col("anchor").alias("shard"), F.col("cells").alias("n"), F.col("cell").alias("packed")), length)
+    early = fetched.filter("kind = 4").select("doc", F.col("first").alias("start"), "end")
+    spans = whole.union(compared).union(single).union(early).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -330,8 +386,11 @@ def remove_repeats(
                 sizes.append(len(raw))
                 merged.append([{"start": a, "end": b} for a, b in runs])
                 kept.append(b"".join(raw[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)], strict=True)))
-            yield pa.RecordBatch.from_arrays([block["id"], pa.array(sizes, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], names=[id_column, "n_bytes", "spans", "kept"])
+            texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            columns = [block["id"], pa.array(sizes, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary()), texts, block["rest"]]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_bytes", "spans", "kept", "kept_text", "rest"])
 
     id_kind = docs.schema[id_column].dataType.simpleString()
-    rows = numbered.join(spans, "doc", "left").select("id", "text", "found")
-    return rows.mapInArrow(cut, f"`{id_column}` {id_kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    rows = numbered.join(spans, "doc", "left").select("id", "text", "found", "rest")
+    rest_kind = rows.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"`{id_column}` {id_kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string, rest {rest_kind}")
