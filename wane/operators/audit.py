@@ -69,18 +69,21 @@ def second_labels(items: DataFrame, overrides: DataFrame | None = None) -> DataF
 
 def low_confidence_rule(snippet: Column, code: Column, target: Column, sample: Column) -> Column:
     """Receiver category of a low-confidence candidate; anything but native is benign."""
-    has = lambda c, w: F.contains(c, F.lit(w))
-    low = F.lower(snippet)
-    torch = has(target, "scipy.misc.logsumexp") & (sample == "scipy_555") & (
-        has(code, "torch.") | (has(code, "isinstance(values, np.ndarray)") & has(snippet, "log_denominator = logsumexp(values")))
-    return (
-        F.when(contains_any(snippet, ["itertools.product", "it.product"]), F.lit("standard_library"))
-        .when(contains_any(snippet, ["psdf.", "psser.", "modin_df.", "kdf."]), F.lit("wrapper_receiver"))
-        .when(has(snippet, "tensor.iteritems") | has(low, "faketensor"), F.lit("custom_class"))
-        .when(has(snippet, "new_list.swapaxes") & has(low, "griddata"), F.lit("ndarray_receiver"))
-        .when(torch, F.lit("torch_tensor"))
-        .when(has(target, "scipy.misc.logsumexp") & has(code, "torch."), F.lit("native_scipy"))
-        .otherwise(F.lit("native_library")))
+    texts = {"snippet": snippet, "code": code}
+    result = F.lit(fixed.LOW_CONFIDENCE_DEFAULT)
+    for category, only, targets, alternatives in reversed(fixed.LOW_CONFIDENCE_RULES):
+        holds = F.lit(False)
+        for tests in alternatives:
+            all_hold = F.lit(True)
+            for text, words, any_case in tests:
+                all_hold = all_hold & contains_any(F.lower(texts[text]) if any_case else texts[text], words)
+            holds = holds | all_hold
+        if targets:
+            holds = holds & contains_any(target, targets)
+        if only:
+            holds = holds & sample.eqNullSafe(F.lit(only))
+        result = F.when(holds, F.lit(category)).otherwise(result)
+    return result
 
 
 def audit_low_confidence(predictions: DataFrame, manifest: DataFrame) -> DataFrame:

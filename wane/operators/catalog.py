@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wane import fixed_values as fixed
 from wane.functions.text import canonical_path, strip
+from wane.operators.agreement import half_even
 from wane.operators.matching import first_match, target_dim
 
 
@@ -158,7 +159,7 @@ def coverage_summary(coverage: DataFrame) -> DataFrame:
     detected = F.count_if(F.col("status") == "DETECTED")
     return coverage.rollup("library").agg(
         F.count("*").alias("n_targets"), detected.alias("n_detected"),
-        F.coalesce(F.round(F.try_divide(detected * 100.0, F.count("*")), 1), F.lit(0.0)).alias("coverage_pct"))
+        F.coalesce(half_even(F.try_divide(detected * 100.0, F.count("*")), 1), F.lit(0.0)).alias("coverage_pct"))
 
 
 def origin_label(coverage: DataFrame) -> DataFrame:

@@ -137,14 +137,15 @@ def warning_rule(d: Column, name: Column, local: Column) -> Column:
         scoped = F.transform(
             params,
             lambda p, j: _candidate(
-                0, d, 2, i * 256 + j, name=_member(name, p), origin="warning", line=w["line"],
+                0, d, 2, F.lit(0), name=_member(name, p), origin="warning", line=w["line"],
                 evidence=F.concat(call, F.lit(" conditioned on param '"), p, F.lit("' (if "), shown, F.lit(")")),
                 scope="parameter", param=p, function=name))
-        plain = F.array(_candidate(0, d, 2, i * 256, name=name, origin="warning", line=w["line"], evidence=call))
+        plain = F.array(_candidate(0, d, 2, F.lit(0), name=name, origin="warning", line=w["line"], evidence=call))
         hit = category.isNotNull() | message.rlike(DEPRECATION)
         return F.when(~hit, _none()).when(guard.isNull(), plain).otherwise(scoped)
 
-    return F.flatten(F.transform(d["warns"], rows))
+    # the place in the list is the order, however many warnings and parameters there are
+    return F.transform(F.flatten(F.transform(d["warns"], rows)), lambda c, k: c.withField("ord", c["ord"] + k.cast("bigint")))
 
 
 def assignment_rule(d: Column, name: Column) -> Column:

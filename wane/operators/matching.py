@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wane import fixed_values as fixed
 from wane.functions.names import build_keys, compatible, leaf, probe_keys
+from wane.functions.text import strip
 
 
 def target_dim(spark) -> DataFrame:
@@ -56,7 +57,7 @@ def first_match(rows: DataFrame, symbol: str, catalog: DataFrame, name: str, ord
 
 def match_target(rows: DataFrame, symbol: str, out: str = "target_api") -> DataFrame:
     """The target API that a symbol denotes, if any."""
-    clean = rows.withColumn("_clean", F.trim(F.col(symbol)))
+    clean = rows.withColumn("_clean", strip(F.col(symbol)))
     dim = target_dim(rows.sparkSession).withColumnRenamed("target_api", "_target")
     return first_match(clean, "_clean", dim, "_target", ["ord"], out).drop("_clean")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def id_bucket(c: Column, bits: int = 16) -> Column:
@@ -42,17 +43,29 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, out
     return ranked.where(F.col(out) <= F.lit(k))
 
 
+def _has_map(kind) -> bool:
+    if isinstance(kind, T.MapType):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
+def _one_per_key(df: DataFrame, keys: list[str], order: list[Column], pick) -> DataFrame:
+    """Ties go by the other columns, as far as they can be ordered (maps cannot)."""
+    rest = [c for c in df.columns if c not in keys]
+    ties = [F.col(c) for c in rest if not _has_map(df.schema[c].dataType)]
+    place = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate([*order, *ties])])
+    return df.groupBy(*keys).agg(pick(F.struct(*rest), place).alias("_r")).select(*keys, "_r.*").select(*df.columns)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row per key, by partial aggregation instead of a sort of the group."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.max(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("_row")))
-    return df.groupBy(*keys).agg(row.alias("_r")).select(*keys, "_r._row.*").select(*df.columns)
+    return _one_per_key(df, keys, order, F.max_by)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    row = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("_row")))
-    return df.groupBy(*keys).agg(row.alias("_r")).select(*keys, "_r._row.*").select(*df.columns)
+    return _one_per_key(df, keys, order, F.min_by)
 
 
 def numbered(df: DataFrame, draw: Column, pattern: str = "bench_%03d", out: str = "benchmark_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wane.operators.agreement import ratio
+from wane.operators.agreement import half_even, ratio
 from wane.operators.ranking import top_per_key
 
 
@@ -15,7 +15,7 @@ def verdict_report(predictions: DataFrame, verdict: str = "is_deprecated_usage",
     hit = F.count_if(F.col(verdict))
     return predictions.groupingSets([[], *[[d] for d in dims]], *dims).agg(
         F.count("*").alias("total"), hit.alias("deprecated"), (F.count("*") - hit).alias("benign"),
-        F.round(ratio(hit, F.count("*")) * 100, 2).alias("deprecated_pct"))
+        half_even(ratio(hit, F.count("*")) * 100, 2).alias("deprecated_pct"))
 
 
 def exemplars(rows: DataFrame, key: str, order: list[Column], n: int = 5) -> DataFrame:
@@ -30,7 +30,7 @@ def api_profile(samples: DataFrame, apis: str = "deprecated_api") -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("category") == "outdated").alias("outdated"),
         F.count_if(F.col("category") == "up-to-dated").alias("up_to_dated"))
     return per.crossJoin(F.broadcast(total)).select(
-        "api", "n", "outdated", "up_to_dated", F.round(F.col("n") * 100.0 / F.col("_total"), 1).alias("share_pct")
+        "api", "n", "outdated", "up_to_dated", half_even(F.col("n") * 100.0 / F.col("_total"), 1).alias("share_pct")
     ).orderBy(F.desc("n"), "api")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wane import fixed_values as fixed
 from wane.functions.keys import draw
 from wane.functions.syntax import snippet_calls
-from wane.functions.text import contains_any
+from wane.functions.text import contains_any, strip
 from wane.operators.ranking import numbered, top_per_key
 from wane.operators.reports import expectations
 
@@ -106,7 +106,7 @@ def _pool_calls(samples: DataFrame, pools: DataFrame, first_only: bool) -> DataF
         F.concat_ws("_", "sample_id", "tag", F.col("c.line").cast("string"), F.col("c.node_col").cast("string")).alias("candidate_id"),
         "sample_id", "sample_idx", "library", F.col("category").alias("cohort"), F.col("pool").alias("sub_stratum"),
         F.element_at("callees", F.col("c.callee")).alias("target_api"), F.col("c.line").alias("client_line"),
-        F.col("c.node_col").alias("column"), F.trim(line).alias("call_site_snippet"),
+        F.col("c.node_col").alias("column"), strip(line).alias("call_site_snippet"),
         F.col("function").alias("enclosing_code"), F.col("c.callee").alias("callee"), "pool", "quota")
 
 

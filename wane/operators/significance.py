@@ -100,15 +100,15 @@ def _beta_cdf(x: float, a: float, b: float) -> float:
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     d = 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
     c, h = 1.0, d
-    for m in range(1, 10000):
+    for m in range(1, 10_000 + 10 * int(math.sqrt(a + b))):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + num * d or 1e-300)
             c = 1 + num / c or 1e-300
             h *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"the continued fraction at x={x}, a={a}, b={b} has not converged")
 
 
 def _beta_quantile(p: float, a: float, b: float) -> float:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wane import fixed_values as fixed
 from wane.functions.keys import cache_key, draw, evidence_text, zero_shot_key
 from wane.functions.text import contains_any
+from wane.operators.agreement import half_even
 from wane.operators.ranking import upsert
 
 DECISION = "struct<is_deprecated_usage:boolean,confidence:double,rationale:string>"
@@ -91,16 +92,23 @@ def rule_verifier(misses: DataFrame) -> DataFrame:
                     (used + said).alias("total_tokens"))
 
 
-class Retryable(Exception):
-    """Raised by a backend for rate limits and temporary failures."""
+rule_verifier.repeatable = True  # the same answers each time, at no cost
+
+
+def code_verifier(misses: DataFrame) -> DataFrame:
+    """The rule applied to the whole code of a request instead of its call."""
+    return rule_verifier(misses.withColumn("call_site_snippet", F.col("enclosing_code")))
+
+
+code_verifier.repeatable = True
 
 
 def remote_verifier(send: Callable[[str], tuple[str, int, int]], parallel: int = 5, interval: float = 0.2,
                     attempts: int = 5, version: str = fixed.PROMPT_VERSION):
     """Verifier that asks a service: paced per task, with exponential back-off.
 
-    ``send`` takes a prompt and returns (text, prompt tokens, answer tokens). The number
-    of tasks bounds the load on the service, not on Spark.
+    ``send`` takes a prompt and returns (text, prompt tokens, answer tokens). Whatever it raises is tried
+    again up to the limit, then ends the run. The number of tasks bounds the load on the service, not on Spark.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +121,7 @@ def remote_verifier(send: Callable[[str], tuple[str, int, int]], parallel: int =
                         answer, used, said = send(text)
                         rows.append((key, answer.strip(), used, said, used + said))
                         break
-                    except Retryable:
+                    except Exception:
                         if attempt == attempts - 1:
                             raise
                         time.sleep(2 ** attempt + random.uniform(0.5, 1.5))
@@ -152,10 +160,13 @@ def verify(requests: DataFrame, cache: DataFrame, verifier=rule_verifier, model:
            version: str = fixed.PROMPT_VERSION, with_context: bool = True, store: str | None = None):
     """Return (predictions, cache with the new responses).
 
-    ``store`` is a folder in shared storage for the responses of this run. With a paid or
-    non-deterministic verifier it must be given: the responses are written there once and
-    read back, so that lost executors or reuse of the result do not repeat calls.
+    ``store`` is a folder in shared storage for the responses of this run. Only a verifier that is
+    marked ``repeatable`` may go without: all other responses are written there once and read back, so
+    that lost executors or reuse of the result do not repeat calls. A request without an answer stays,
+    as a negative that says so.
     """
+    if store is None and not getattr(verifier, "repeatable", False):
+        raise ValueError("store must name a shared folder for the responses of this verifier")
     keyed = add_key(requests, model, version, with_context)
     misses, first = split_by_cache(keyed, cache)
     fresh = verifier(misses).withColumn("created_at", F.current_timestamp())
@@ -172,13 +183,14 @@ def verify(requests: DataFrame, cache: DataFrame, verifier=rule_verifier, model:
     known = upsert(cache, fresh, ["cache_key"], "created_at")
     answers = known.select("cache_key", "response_json", "prompt_tokens", "candidate_tokens", "total_tokens")
     called = first.select("cache_key", "candidate_id", F.lit(False).alias("_cached"))
-    out = keyed.join(answers, "cache_key").join(called, ["cache_key", "candidate_id"], "left")
-    d = decode(F.col("response_json"))
+    out = keyed.join(answers, "cache_key", "left").join(called, ["cache_key", "candidate_id"], "left")
+    unanswered = F.struct(F.lit(False).alias("is_deprecated_usage"), F.lit(0.0).alias("confidence"), F.lit(fixed.NO_ANSWER).alias("rationale"))
+    d = F.when(F.col("response_json").isNull(), unanswered).otherwise(decode(F.col("response_json")))
     kept = [c for c in ("candidate_id", "sample_id", "sample_idx", "library", "cohort", "stage2_status", "mode",
                         "target_api", "client_line", "column", "call_site_snippet", "failure_reason") if c in out.columns]
     predictions = out.select(
         *kept, F.array().cast("array<string>").alias("origin_channels"), F.lit(model).alias("model"),
-        F.coalesce("_cached", F.lit(True)).alias("cached"), "cache_key",
+        F.coalesce("_cached", F.col("response_json").isNotNull()).alias("cached"), "cache_key",
         d["is_deprecated_usage"].alias("is_deprecated_usage"), d["confidence"].alias("confidence"),
         d["rationale"].alias("rationale"), F.coalesce("prompt_tokens", F.lit(0)).alias("prompt_tokens"),
         F.coalesce("candidate_tokens", F.lit(0)).alias("candidate_tokens"),
@@ -195,9 +207,9 @@ def telemetry(predictions: DataFrame, by: list[str] = ()) -> DataFrame:
     return predictions.groupBy(*by).agg(
         F.count("*").alias("total_requests"), F.count_if(miss).alias("api_calls"),
         F.count_if("cached").alias("cache_hits"),
-        F.coalesce(F.round(F.try_divide(F.count_if("cached") * 100.0, F.count("*")), 2), F.lit(0.0)).alias("cache_hit_rate_pct"),
+        F.coalesce(half_even(F.try_divide(F.count_if("cached") * 100.0, F.count("*")), 2), F.lit(0.0)).alias("cache_hit_rate_pct"),
         used.alias("prompt_tokens"), said.alias("candidate_tokens"), (used + said).alias("total_tokens"),
-        F.round(used / 1e6 * price_in + said / 1e6 * price_out, 4).alias("estimated_cost_usd"))
+        half_even(used / 1e6 * price_in + said / 1e6 * price_out, 4).alias("estimated_cost_usd"))
 
 
 def validation_cost(n: Column) -> Column:
@@ -236,7 +248,7 @@ def spot_check(samples: DataFrame, cache: DataFrame, size: int = 40, seed: int =
     report = verdicts.agg(
         F.count("*").alias("total_spot_checked"), (F.count("*") - flagged).alias("clean_count"),
         flagged.alias("latent_deprecated_flagged"),
-        F.coalesce(F.round(F.try_divide((F.count("*") - flagged) * 100.0, F.count("*")), 2), F.lit(0.0)).alias("clean_rate_pct"))
+        F.coalesce(half_even(F.try_divide((F.count("*") - flagged) * 100.0, F.count("*")), 2), F.lit(0.0)).alias("clean_rate_pct"))
     return verdicts, report
 
 

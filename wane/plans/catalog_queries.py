@@ -319,7 +319,7 @@ def target_coverage_suffix(spark, d):
 @query("coverage_rollup", f"""
     with c as ({COVERAGE_SQL})
     select library, count(*) as n_targets, count(*) filter (where status = 'DETECTED') as n_detected,
-      round(count(*) filter (where status = 'DETECTED') * 100.0 / count(*), 1) as coverage_pct from c group by rollup (library)""")
+      round_even(count(*) filter (where status = 'DETECTED') * 100.0 / count(*), 1) as coverage_pct from c group by rollup (library)""")
 def coverage_rollup(spark, d):
     return cat.coverage_summary(cat.target_coverage(names_catalog(spark, d)))
 

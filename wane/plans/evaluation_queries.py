@@ -298,13 +298,18 @@ def fresh_wrappers(spark, d):
     return words.select("candidate_id", "call_site_snippet")
 
 
+def _any_sql(col: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
 @query("benign_spot_check", f"""
-    select count(*) as total_spot_checked, count(*) as clean_count from (select 1 from ({sql(derived.SNIPPETS)}) where category = 'up-to-dated' order by {_draw_sql(42, 'sample_id')} limit 40)""")
+    with s as (select function as f from ({sql(derived.SNIPPETS)}) where category = 'up-to-dated' order by {_draw_sql(42, 'sample_id')} limit 40),
+    v as (select not {_any_sql('f', fixed.NATIVE_CALL_WORDS)} and ({_any_sql('f', fixed.WRAPPER_CALL_WORDS)} or contains(f, 'itertools.')) as clean from s)
+    select count(*) as total_spot_checked, count(*) filter (where clean) as clean_count, count(*) filter (where not clean) as latent_deprecated_flagged,
+      round_even(count(*) filter (where clean) * 100.0 / count(*), 2) as clean_rate_pct from v""")
 def benign_spot_check(spark, d):
-    clean = lambda misses: ver.rule_verifier(misses).withColumn(
-        "response_json", F.lit('{"is_deprecated_usage": false, "confidence": 0.9, "rationale": "clean"}'))
-    _, report = ver.spot_check(samples(spark, d), ver.empty_cache(spark), verifier=clean)
-    return report.select("total_spot_checked", "clean_count")
+    _, report = ver.spot_check(samples(spark, d), ver.empty_cache(spark), verifier=ver.code_verifier)
+    return report
 
 
 # ---- annotation --------------------------------------------------------------------
@@ -350,7 +355,7 @@ def annotation_adjudicated(spark, d):
 # ---- reports -----------------------------------------------------------------------
 @query("stage_report", """
     select event_type as stage2_status, cast(user_id % 3 as varchar) as library, count(*) as total, count(*) filter (where value > 20) as deprecated,
-      count(*) filter (where value <= 20) as benign, round(count(*) filter (where value > 20) * 100.0 / count(*), 2) as deprecated_pct
+      count(*) filter (where value <= 20) as benign, round_even(count(*) filter (where value > 20) * 100.0 / count(*), 2) as deprecated_pct
     from events group by grouping sets ((), (event_type), (cast(user_id % 3 as varchar)))""")
 def stage_report(spark, d):
     e = table(spark, d, "events").selectExpr("event_type as stage2_status", "cast(user_id % 3 as string) as library", "value > 20 as is_deprecated_usage")
@@ -376,7 +381,7 @@ def _profiled(spark, d):
 
 @query("api_profile", f"""
     select api, count(*) as n, count(*) filter (where n_chars > 500) as outdated, count(*) filter (where n_chars <= 500) as up_to_dated,
-      round(count(*) * 100.0 / (select count(*) from documents), 1) as share_pct from (select n_chars, unnest({_APIS}) as api from documents) group by 1""")
+      round_even(count(*) * 100.0 / (select count(*) from documents), 1) as share_pct from (select n_chars, unnest({_APIS}) as api from documents) group by 1""")
 def api_profile(spark, d):
     return rep.api_profile(_profiled(spark, d))
 
@@ -446,10 +451,10 @@ def line_numbers(spark, d):
 _WORDS = ["/the", "nav", "script", "müll", "track(7)"]
 
 
-@query("keyword_any", "select page_id, " + " or ".join(f"contains(lower(html), '{w}')" for w in _WORDS[3:]) + " or contains(lower(url), '/en/') as hit from pages")
+@query("keyword_any", "select page_id, " + " or ".join(f"contains(lower(html), '{w}')" for w in _WORDS) + " or contains(lower(url), '/en/') as hit from pages")
 def keyword_any(spark, d):
     return table(spark, d, "pages").select(
-        "page_id", (tx.contains_any(F.lower("html"), _WORDS[3:]) | tx.contains_any(F.lower("url"), ["/en/"])).alias("hit"))
+        "page_id", (tx.contains_any(F.lower("html"), _WORDS) | tx.contains_any(F.lower("url"), ["/en/"])).alias("hit"))
 
 
 def _rule_sql(col: str) -> str:
@@ -459,9 +464,9 @@ def _rule_sql(col: str) -> str:
     return f"case {whens} else 'native_inferred' end"
 
 
-@query("rule_classifier", f"select category, count(*) as n from (select {_rule_sql('substring(text, 1, 40)')} as category from documents) group by 1")
+@query("rule_classifier", f"select category, count(*) as n from (select {_rule_sql('text')} as category from documents) group by 1")
 def rule_classifier(spark, d):
-    p = table(spark, d, "documents").select(audit.receiver_category(F.substring("text", 1, 40), F.lit("")).alias("category"))
+    p = table(spark, d, "documents").select(audit.receiver_category(F.col("text"), F.lit("")).alias("category"))
     return p.groupBy("category").agg(F.count("*").alias("n"))
 
 
@@ -470,10 +475,13 @@ def call_receiver_label(spark, d):
     return load(spark, d, derived.REQUESTS).select("candidate_id", audit.call_receiver_label(F.col("call_site_snippet")).alias("native"))
 
 
-@query("multi_sort", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem order by l_suppkey, l_quantity desc, l_partkey, l_orderkey, l_linenumber limit 50")
+@query("multi_sort", """
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+      row_number() over (order by l_suppkey, l_quantity desc, l_partkey, l_orderkey, l_linenumber) as position from lineitem""")
 def multi_sort(spark, d):
-    return table(spark, d, "lineitem").orderBy("l_suppkey", F.desc("l_quantity"), "l_partkey", "l_orderkey", "l_linenumber").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").limit(50)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    order = [F.col("l_suppkey"), F.desc("l_quantity"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return rank.positions(rows, [], order, F.col("l_suppkey"))
 
 
 @query("union_by_name", "select n_nationkey, n_name, n_regionkey, null as r_name from nation union all select null, null, r_regionkey, r_name from region")

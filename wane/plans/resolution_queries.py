@@ -339,6 +339,17 @@ _VERDICT = f"""
     from r left join c on cache_key = k join f on cache_key = fk"""
 
 
+@query("unanswered_requests", f"""
+    select candidate_id, cache_key, stored or (cached and cache_key < '8') as cached, is_deprecated_usage and (stored or cache_key < '8') as is_deprecated_usage,
+      stored or cache_key < '8' as answered from ({_VERDICT})""")
+def unanswered_requests(spark, d):
+    """A verifier that leaves half of its requests without an answer: they stay, marked."""
+    half = lambda misses: ver.rule_verifier(misses).where("cache_key < '8'")
+    half.repeatable = True
+    p, _ = ver.verify(load(spark, d, derived.REQUESTS), cached_responses(spark, d), half, with_context=False)
+    return p.select("candidate_id", "cache_key", "cached", "is_deprecated_usage", (F.col("rationale") != fixed.NO_ANSWER).alias("answered"))
+
+
 @query("cache_hit_miss", f"select candidate_id, cache_key, cached, is_deprecated_usage, confidence from ({_VERDICT})")
 def cache_hit_miss(spark, d):
     p, _ = ver.verify(load(spark, d, derived.REQUESTS), cached_responses(spark, d), with_context=False)
@@ -347,7 +358,7 @@ def cache_hit_miss(spark, d):
 
 @query("run_telemetry", f"""
     select library, count(*) as total_requests, count(*) filter (where not cached) as api_calls, count(*) filter (where cached) as cache_hits,
-      round(count(*) filter (where cached) * 100.0 / count(*), 2) as cache_hit_rate_pct from ({_VERDICT}) group by 1""")
+      round_even(count(*) filter (where cached) * 100.0 / count(*), 2) as cache_hit_rate_pct from ({_VERDICT}) group by 1""")
 def run_telemetry(spark, d):
     p, _ = ver.verify(load(spark, d, derived.REQUESTS), cached_responses(spark, d), with_context=False)
     return ver.telemetry(p, ["library"]).select("library", "total_requests", "api_calls", "cache_hits", "cache_hit_rate_pct")
@@ -364,7 +375,7 @@ def cache_repeat_run(spark, d):
 
 @query("cost_estimate", """
     select event_type, sum(cast(json_extract(props, '$.k') as bigint)) as prompt_tokens, cast(sum(hour(ts)) as bigint) as candidate_tokens,
-      round(sum(cast(json_extract(props, '$.k') as bigint)) / 1e6 * 0.10 + sum(hour(ts)) / 1e6 * 0.40, 4) as estimated_cost_usd from events group by 1""")
+      round_even(sum(cast(json_extract(props, '$.k') as bigint)) / 1e6 * 0.10 + sum(hour(ts)) / 1e6 * 0.40, 4) as estimated_cost_usd from events group by 1""")
 def cost_estimate(spark, d):
     e = table(spark, d, "events").select(
         "event_type", F.lit(False).alias("cached"), F.from_json("props", "k int")["k"].alias("prompt_tokens"), F.hour("ts").alias("candidate_tokens"))

@@ -36,11 +36,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wane-checkpoint-"))
     return df.checkpoint()
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for costly work on a scan that has fewer splits than cores.
-
-    Only for plain scans: a large table has enough splits and is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -19,11 +19,11 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def write_text(df: DataFrame, path: str, order: list[str], head: list[str] = ()) -> None:
     """``line`` column as text below the given head lines (Markdown, TeX)."""
-    first = df.sparkSession.createDataFrame([(i, h) for i, h in enumerate(head)], "i int, line string")
-    body = df.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
-    if head:
-        first.coalesce(1).sortWithinPartitions("i").select("line").write.mode("overwrite").text(path)
-    body.write.mode("append" if head else "overwrite").text(path)
+    session = df.sparkSession
+    body = df.select(F.lit(1).alias("_side"), F.lit(0).alias("_n"), *(c for c in order if c != "line"), "line")
+    rows = session.createDataFrame([(0, i, h) for i, h in enumerate(head)], "_side int, _n int, line string").unionByName(body, allowMissingColumns=True)
+    keys = ["_side", "_n", *order]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("line").write.mode("overwrite").text(path)
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
