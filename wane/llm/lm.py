@@ -47,13 +47,13 @@ def tokens(texts: list[str | None], contexts: int) -> tuple[np.ndarray, np.ndarr
     count = np.bincount(doc, minlength=n)
     at = np.arange(len(word)) + doc  # one end after each earlier text
     out = np.full(len(word) + n, END, np.uint64)
-    of = np.repeat(np.arange(n), count + 1)
+    of = np.repeat(np.arange(n, dtype=np.int32), count + 1)
     out[at] = word
     last = np.cumsum(count + 1)
     before = np.empty_like(out)
     before[1:] = out[:-1]
     before[np.concatenate(([0], last[:-1]))] = BEGIN
-    return out, (mixed(before ^ BEGIN) % np.uint64(contexts)).astype(np.int64), of
+    return out, (mixed(before ^ BEGIN) % np.uint64(contexts)).astype(np.int32), of
 
 
 def _dealt(docs: DataFrame, kind: str, contexts: int, shards: int, block_bytes: int) -> DataFrame:
@@ -71,9 +71,10 @@ def _dealt(docs: DataFrame, kind: str, contexts: int, shards: int, block_bytes:
             nonlocal turn
             word, context, of = tokens(texts, contexts)
             teaches = ~np.array(held)[of]
-            shard = (word >> np.uint64(20)) % np.uint64(shards)
-            order = np.lexsort((of, context, word, shard))
-            word, context, of, teaches, shard = word[order], context[order], of[order], teaches[order], shard[order].astype(np.int64)
+            order = np.lexsort((context, word))  # stable: texts stay in order; the shard grows with the word
+            word, context, of, teaches = word[order], context[order], of[order], teaches[order]
+            del order
+            shard = ((word >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
             pair = np.ones(len(word), bool)
             pair[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
             post = pair.copy()
@@ -250,7 +251,7 @@ def _totals(shards: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, fl
 
 def score(
     docs: DataFrame, held_out, contexts: int = 1024, strengths: tuple[float, float] = (50.0, 5.0), discounts: tuple[float, float] = (0.5, 0.8),
-    sweeps: int = 3, burn_in: int = 1, shards: int | None = None, block_bytes: int = 24_000_000, seed: int = 3, id_column: str = "doc_id", text_column: str = "text",
+    sweeps: int = 3, burn_in: int = 1, shards: int | None = None, block_bytes: int = 7_000_000, seed: int = 3, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities.
 
@@ -259,7 +260,8 @@ def score(
     every word is unknown. An empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Texts send a number to every shard that has words of theirs: as many shards for small inputs, or that traffic grows faster than they do.
+    shards = shards or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     dealt = stored(_dealt(rows, kind, contexts, shards, block_bytes), "lm-dealt")
