@@ -137,7 +137,9 @@ def index(points: DataFrame, k: int, shard_size: int, width: int, breadth: int)
     nodes = keyed.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1).groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = stored(nodes.withColumn("dim", F.size("v")), "ann-nodes")
     counts = nodes.groupBy("dim").count().select("dim", F.ceil(F.col("count") / shard_size).cast("int").alias("shards"))
-    dealt = nodes.join(counts, "dim").withColumn("shard", F.pmod("h", F.col("shards")).cast("int"))
+    # A shard's work is large and its bytes are few: a fixed number of partitions keeps shards from being put together.
+    total = counts.agg(F.sum("shards")).first()[0] or 1
+    dealt = nodes.join(counts, "dim").withColumn("shard", F.pmod("h", F.col("shards")).cast("int")).repartition(4 * int(total), "dim", "shard")
 
     def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h", kind="stable")
