@@ -77,4 +77,20 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_packing": op1_packing, "op2_neighbours": op2_neighbours, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op6_pieces": op6_pieces, "op7_language_model": op7_language_model, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
            "op10_spotsigs": op10_spotsigs}
 
-CHECKS: dict[str, str] = {}
+#: Where SQL can express an operator. The others are compared with brute force, an exact round trip or held-out rows in tests/llm.
+CHECKS = {
+    "op5_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hexed FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_page FROM p
+)
+SELECT page_id,
+  CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (CAST('0x' || substr(hexed, 1 + 5 * (k // 4), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) % 32, 1) FOR k IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM f
+""",
+}
