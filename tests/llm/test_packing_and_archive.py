@@ -112,7 +112,7 @@ def test_best_path_is_the_largest_sum(spark, vocabulary):
     scores = {"a": -1.0, "b": -1.5, "ab": -2.0, "ba": -1.2, "aba": -3.9, "c": -0.5}
     small = pieces.Vocabulary.__new__(pieces.Vocabulary)
     small.texts, small.bytes = [*scores], [1000 + b for b in range(256)]
-    small.plain, small.longest = {t: (i, s) for i, (t, s) in enumerate(scores.items())}, 3
+    small.plain, small.longest, small.rank = {t: (i, s) for i, (t, s) in enumerate(scores.items())}, 3, dict.fromkeys(scores.values(), 0)
     words = ["abab", "abac", "bbaa", "a?b", "c", "abaab"]
 
     def best(w):

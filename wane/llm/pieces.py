@@ -26,8 +26,10 @@ from wane.llm.common import byte_blocks, stored
 from wane.llm.suffixes import _runs
 
 SPACE = "▁"
-#: Blanks stay with the word after them; a line end is a word.
-_WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+#: Blanks stay with the word after them; a line end is a word. Where no piece mixes them, runs of ASCII digits, of other ASCII
+#: marks and of letters (with all that is not ASCII) are words of their own, which makes far fewer different words.
+_COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+_FINE = re.compile(f"{SPACE}*(?:(?:[A-Za-z]|[^\x00-\x7f{SPACE}])+|[0-9]+|[^A-Za-z0-9\n\x80-\U0010ffff]+)|{SPACE}+|\n")
 #: Words of more characters are merged with a queue instead of a fold.
 LONG_WORD = 48
 
@@ -47,32 +49,37 @@ class Vocabulary:
         self.longest = max(map(len, self.plain))
         if any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", t) for t in self.plain) or len(self.bytes) != 256:
             raise ValueError("pieces that cross words, or no byte pieces")
+        self.word = _FINE if all(_FINE.fullmatch(t) for t in self.plain) else _COARSE
+        self.rank = {s: k for k, s in enumerate(sorted({s for _, s in self.plain.values()}))}
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(t, i, s) for t, (i, s) in self.plain.items()], "piece string, id int, score double")
+        rows = [(t, i, s, self.rank[s]) for t, (i, s) in self.plain.items()]
+        return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
 
 
-def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, edges array<struct<start, length, id, score>>) of distinct words; words without a match have no row.
+def lattice(words: DataFrame, vocabulary: Vocabulary, edge: Column) -> DataFrame:
+    """(word, edges): for each distinct word the list of `edge`, an expression over (start, length, id, score, rank).
 
     The piece table is as large as the vocabulary file and is broadcast. Exploding and joining keep the words' partitioning, so the
-    edges are grouped where they are.
+    edges are grouped where they are; a number in front of the word makes that sort cheap. Words without a match have no edges.
     """
     size = F.char_length("word")
-    at = words.repartition("word").select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    parts = at.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start")))).alias("length"))
+    at = words.withColumn("h", F.xxhash64("word")).repartition("h", "word").select("h", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    parts = at.select("h", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start")))).alias("length"))
     parts = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("length")))
-    edges = parts.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece")
-    return edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("start", "length", "id", "score"))).alias("edges"))
+    first = (F.col("start") == 0) & (F.col("length") == 1)
+    edges = parts.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left").filter(F.col("id").isNotNull() | first)
+    edges = edges.select("h", "word", F.when(F.col("id").isNotNull(), edge).alias("edge"))
+    return edges.groupBy("h", "word").agg(F.collect_list("edge").alias("edges")).select("word", "edges")
 
 
 def _key(start: Column, length: Column) -> Column:
     return start * 64 + length
 
 
-def scores_of(edges: Column) -> Column:
-    """Score and number of the piece of each edge, by its key."""
-    return F.map_from_entries(F.transform(edges, lambda e: F.struct(_key(e["start"], e["length"]), F.struct(e["score"].alias("score"), e["id"].alias("id")))))
+def packed_edge() -> Column:
+    """An edge as one number: its key, the rank of its score among all scores, its piece."""
+    return _key(F.col("start"), F.col("length")).cast("long") * 2**42 + F.col("rank").cast("long") * 2**21 + F.col("id")
 
 
 def _bound(value: Column, use) -> Column:
@@ -80,21 +87,31 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def ranked(edges: Column) -> Column:
+    """Rank and piece, as one number, of each packed edge by its key."""
+    return F.map_from_entries(F.transform(edges, lambda e: F.struct(F.shiftright(e, 42).cast("int"), e.bitwiseAND(2**42 - 1))))
+
+
 def merged(word: Column, known: Column) -> Column:
     """Ends of the pieces after merging, again and again, the neighbours whose joint piece has the highest score, the leftmost first."""
     size = F.char_length(word)
 
     def step(cuts: Column, _: Column) -> Column:
         pairs = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(cuts) - 2, F.lit(1))),
-            lambda i: F.struct(known[_key(F.get(cuts, i - 1), F.get(cuts, i + 1) - F.get(cuts, i - 1))]["score"].alias("score"), (-i).alias("i")),
+            F.sequence(F.lit(1), F.size(cuts) - 2),
+            lambda i: F.struct(F.shiftright(known[_key(F.get(cuts, i - 1), F.get(cuts, i + 1) - F.get(cuts, i - 1))], 21).alias("value"), (-i).alias("i")),
         )
-        without = lambda b: F.when(b["score"].isNull(), cuts).otherwise(F.concat(F.slice(cuts, F.lit(1), -b["i"]), F.slice(cuts, 2 - b["i"], F.size(cuts))))
+        without = lambda b: F.when(b["value"].isNull(), cuts).otherwise(F.concat(F.slice(cuts, F.lit(1), -b["i"]), F.slice(cuts, 2 - b["i"], F.size(cuts))))
         return F.when(F.size(cuts) < 3, cuts).otherwise(_bound(F.array_max(pairs), without))
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.sequence(F.lit(0), size), step)
 
 
+def scored(edges: Column) -> Column:
+    """Score and piece of each edge struct by its key."""
+    return F.map_from_entries(F.transform(edges, lambda e: F.struct(_key(e["start"], e["length"]), F.struct(e["score"].alias("score"), e["id"].alias("id")))))
+
+
 def best_path(word: Column, known: Column, unknown: float = -100.0) -> Column:
     """Ends of the pieces with the largest sum of scores (Viterbi); a character without a piece counts `unknown`.
 
@@ -116,15 +133,15 @@ def best_path(word: Column, known: Column, unknown: float = -100.0) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), first, step, lambda best: F.element_at(best, -1)["cuts"])
 
 
-def numbers_of(word: Column, cuts: Column, known: Column, bytes_of: list[int]) -> Column:
-    """Numbers of the pieces that end at `cuts`; a character without a piece gives those of its bytes."""
+def numbers_of(word: Column, cuts: Column, bytes_of: list[int], piece) -> Column:
+    """Numbers of the pieces that end at `cuts`; piece(key) is a piece's number, and a character without one gives its bytes'."""
     numbers = F.array(*(F.lit(b) for b in bytes_of))
 
     def one(i: Column) -> Column:
         start, length = F.get(cuts, i - 1), F.get(cuts, i) - F.get(cuts, i - 1)
         raw = F.hex(F.substring(word, start + 1, length).cast("binary"))
         single = F.transform(F.sequence(F.lit(1), (F.length(raw) / 2).cast("int")), lambda k: F.get(numbers, F.conv(F.substring(raw, 2 * k - 1, F.lit(2)), 16, 10).cast("int")))
-        return _bound(known[_key(start, length)]["id"], lambda found: F.when(found.isNotNull(), F.array(found)).otherwise(single))
+        return _bound(piece(_key(start, length)), lambda found: F.when(found.isNotNull(), F.array(found)).otherwise(single))
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), one))
 
@@ -167,11 +184,14 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, fold=merged) -> DataF
         for pdf in frames:
             yield pd.DataFrame({"word": pdf["word"], "ids": [merge_word(w, plain, bytes_of) for w in pdf["word"]]})
 
-    # A word whose characters are all unknown has no edges. Columns of their own, so that folds do not compute them anew.
+    # Maps and cuts are columns of their own, so that later folds do not compute them anew.
     short = words.filter(F.char_length("word") <= LONG_WORD)
-    folded = short.join(lattice(short, vocabulary), "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,length:int,id:int,score:double>>")))
-    folded = folded.withColumn("known", scores_of(F.col("edges"))).withColumn("cuts", fold(F.col("word"), F.col("known")))
-    found = folded.select("word", numbers_of(F.col("word"), F.col("cuts"), F.col("known"), bytes_of).alias("ids"))
+    if fold is merged:
+        edge, known, piece = packed_edge(), ranked(F.col("edges")), lambda key: F.col("known")[key].bitwiseAND(2**21 - 1).cast("int")
+    else:
+        edge, known, piece = F.struct("start", "length", "id", "score"), scored(F.col("edges")), lambda key: F.col("known")[key]["id"]
+    folded = lattice(short, vocabulary, edge).withColumn("known", known).withColumn("cuts", fold(F.col("word"), F.col("known")))
+    found = folded.select("word", numbers_of(F.col("word"), F.col("cuts"), bytes_of, piece).alias("ids"))
     other = words.filter(F.char_length("word") > LONG_WORD).mapInPandas(long_ones, "word string, ids array<int>")
     return found.union(other)
 
@@ -184,7 +204,7 @@ def _expand(raw: bytes, size: int) -> bytes:
     return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def _numbered(docs: DataFrame, kind: str, shards: int, block_bytes: int) -> DataFrame:
+def _numbered(docs: DataFrame, kind: str, word: re.Pattern, shards: int, block_bytes: int) -> DataFrame:
     """Blocks of documents as numbers of their distinct words (shard -1), and those words by shard, in order of number."""
     schema = f"shard int, block long, n int, raw long, packed binary, ids array<{kind}>, sizes array<int>"
 
@@ -197,7 +217,7 @@ def _numbered(docs: DataFrame, kind: str, shards: int, block_bytes: int) -> Data
             seen: dict[str, int] = {}
             parts = []
             for t in texts:
-                words = _WORD.findall(SPACE + t.replace(" ", SPACE)) if t else []
+                words = word.findall(SPACE + t.replace(" ", SPACE)) if t else []
                 parts.append(np.array([seen.setdefault(w, len(seen)) for w in words], np.uint32))
             raw = [w.encode("utf-8", "surrogatepass") for w in seen]
             shard = np.array([zlib.crc32(w) % shards for w in raw], np.int64)
@@ -235,17 +255,17 @@ def _words_of(packed: bytes, raw: int) -> list[bytes]:
 
 
 def encode(
-    docs: DataFrame, vocabulary: Vocabulary, shards: int | None = None, block_bytes: int = 12_000_000, id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, vocabulary: Vocabulary, shards: int | None = None, block_bytes: int = 6_000_000, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """(id, n_tokens, ids) of every row; ids are little-endian unsigned 32-bit numbers, as the model's own library gives them.
 
     Null and empty texts have no ids. Null ids and repeated rows are encoded like others. An empty table gives no rows. Other
     columns are left out.
     """
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    blocks = stored(_numbered(plain, kind, shards, block_bytes), "pieces-blocks")
+    blocks = stored(_numbered(plain, kind, vocabulary.word, shards, block_bytes), "pieces-blocks")
     cells = blocks.filter("shard >= 0").select("shard", "block", "n", "raw", "packed")
 
     def distinct(pdf: pd.DataFrame) -> pd.DataFrame:
