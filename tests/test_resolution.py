@@ -97,3 +97,24 @@ def test_leaf_prediction_reports_the_first_target(spark):
     items = spark.createDataFrame([("x.pad()\ny.zip()", 1), ("x.pad()\ny.zip()", 2)], "enclosing_code string, client_line int")
     rows = res.leaf_on_line(items, fixed.TARGET_LIST).orderBy("client_line").collect()
     assert [(r.pred_a, r.matched_target_a) for r in rows] == [(True, "pandas.Series.pad"), (False, None)]
+
+
+def test_long_chains_and_deep_code_stay_rows():
+    from wane.functions.syntax import definition_rows, snippet_rows
+
+    chain = "from numpy import product as p0\n" + "".join(f"p{i + 1} = p{i}\n" for i in range(50)) + "p50(x)\n"
+    assert [c["resolved"] for c in snippet_rows(chain, None)["calls"]] == ["numpy.product"]
+    assert snippet_rows("a = b\nb = a\na.x()\n", None)["calls"][0]["resolved"] is None
+    methods = snippet_rows("x" + ".f()" * 1500, None)
+    assert methods["ok"] and len(methods["calls"]) == 1500 and methods["calls"][0]["receiver_expr"] == "x" + ".f()" * 1499
+    terms = "+".join(["a"] * 6000)
+    assert snippet_rows(f"({terms}).sum()", None)["calls"][0]["receiver_expr"].strip("()") == terms
+    (row,) = definition_rows(f"def f(b):\n    if {terms}:\n        warnings.warn('deprecated', DeprecationWarning)\n")
+    assert row["warns"][0]["guards"][0]["test"] == terms
+
+
+def test_place_of_a_call_over_several_lines():
+    from wane.functions.syntax import snippet_rows
+
+    (call,) = snippet_rows("y = (df\n     .é\n     .iteritems())\n", None)["calls"]
+    assert (call["line"], call["col"], call["receiver"], call["text"]) == (3, 6, "é", ".iteritems())")

@@ -74,3 +74,22 @@ def test_verdict_stream(spark, tmp_path):
     rows = {r.candidate_id: (r.cached, r.is_deprecated_usage) for r in spark.read.json(args[0]).collect()}
     assert rows == {"c1": (False, True), "c2": (True, True)}
     assert empty_cache(spark).count() == 0
+
+
+def test_text_keeps_its_head_first_and_its_order(spark, tmp_path):
+    from wane.sinks.writers import write_text
+
+    rows = spark.range(500).selectExpr("id as n", "concat('row ', id) as line").repartition(7)
+    write_text(rows, str(tmp_path / "t"), ["n"], ["# head", "second"])
+    lines = [line for f in sorted((tmp_path / "t").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines == ["# head", "second", *(f"row {i}" for i in range(500))]
+
+
+def test_last_row_per_key_with_maps(spark):
+    from pyspark.sql import functions as F
+
+    from wane.operators.ranking import first_per_key, latest_per_key
+
+    rows = spark.createDataFrame([("a", 1, {"x": 1}), ("a", 2, {"y": 2}), ("b", 1, None)], "k string, n int, m map<string,int>")
+    assert {(r.k, r.n) for r in latest_per_key(rows, ["k"], [F.col("n")]).collect()} == {("a", 2), ("b", 1)}
+    assert {(r.k, r.n) for r in first_per_key(rows, ["k"], [F.col("n")]).collect()} == {("a", 1), ("b", 1)}

@@ -106,3 +106,44 @@ def test_fresh_wrappers_never_share_a_key(spark):
     rows = audit.wrapper_evaluation(r).orderBy("candidate_id").collect()
     assert [x.receiver_type for x in rows] == ["native_pandas" if t else "wrapper_lookalike" for t in (False, True, True, False)]
     assert all(x.cache_key_v1 != x.cache_key_v2 for x in rows)
+
+
+def test_requests_without_an_answer_stay(spark):
+    silent = lambda misses: ver.rule_verifier(misses).limit(0)
+    silent.repeatable = True
+    rows = ver.verify(requests(spark, [{}] * 3), ver.empty_cache(spark), silent)[0].collect()
+    assert len(rows) == 3 and not any(r.cached or r.is_deprecated_usage for r in rows)
+    assert {r.rationale for r in rows} == {fixed.NO_ANSWER}
+
+
+def test_only_repeatable_verifiers_go_without_a_store(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        ver.verify(requests(spark, [{}]), ver.empty_cache(spark), lambda misses: ver.rule_verifier(misses))
+
+
+def test_any_failure_is_retried(spark):
+    seen = spark.sparkContext.accumulator(0)
+    state = {"n": 0}
+
+    def send(prompt):
+        seen.add(1)
+        state["n"] += 1
+        if state["n"] == 1:
+            raise OSError("reset by peer")
+        return '{"is_deprecated_usage": true, "confidence": 0.8, "rationale": "r"}', 1, 1
+
+    with tempfile.TemporaryDirectory() as d:
+        p, _ = ver.verify(requests(spark, [{}]), ver.empty_cache(spark), ver.remote_verifier(send, parallel=1, interval=0), store=f"{d}/run")
+        assert p.first().is_deprecated_usage and seen.value == 2
+
+
+def test_low_confidence_rules_in_order(spark):
+    ndarray = "isinstance(values, np.ndarray)"
+    rows = [("log_denominator = logsumexp(values)", ndarray, "scipy.misc.logsumexp", "scipy_555"),
+            ("log_denominator = logsumexp(values)", ndarray, "scipy.misc.logsumexp", "scipy_1"),
+            ("x = it.product(a)", "torch.", "scipy.misc.logsumexp", "scipy_555"), ("f(FakeTensor)", "", "numpy.product", "s"), ("a.b()", "", "numpy.product", "s")]
+    out = spark.createDataFrame(rows, "a string, b string, c string, d string").select(
+        audit.low_confidence_rule(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("k"))
+    assert [r.k for r in out.collect()] == ["torch_tensor", "native_scipy", "standard_library", "custom_class", "native_library"]
