@@ -11,6 +11,11 @@ from wane.operators.agreement import half_even
 from wane.operators.matching import first_match, target_dim
 
 
+def catalog_order(df: DataFrame) -> list[str]:
+    """Columns that put catalog rows in order: ``ord`` counts within a file, so rows of several snapshots need all three."""
+    return ["snapshot", "file", "ord"] if "snapshot" in df.columns else ["ord"]
+
+
 def with_defaults(candidates: DataFrame) -> DataFrame:
     """Fill origins from origin and function_name from the qualified name."""
     own = F.when(
@@ -37,8 +42,11 @@ def union_candidates(candidates: DataFrame, across_snapshots: bool = False) -> D
     second step as its few distinct texts.
 
     ``across_snapshots`` keys on the path below the snapshot folder, so that the same
-    declaration in several library versions becomes one row.
+    declaration in several library versions becomes one row. With a ``snapshot`` number, first and last
+    go by (snapshot, file, ord), and the row keeps the snapshot it was first seen in.
     """
+    place = F.struct(*catalog_order(candidates))
+    seen_in = ["snapshot"] if "snapshot" in candidates.columns else []
     c = with_defaults(candidates)
     of_param = F.col("scope") == "parameter"
     path = canonical_path(F.col("file"))
@@ -51,11 +59,11 @@ def union_candidates(candidates: DataFrame, across_snapshots: bool = False) -> D
         path.alias("_file"), F.col("scope").alias("_scope"),
         F.when(of_param, param_tuple(F.col("param_name"))).otherwise(F.array().cast("array<string>")).alias("_params"),
         strip(F.coalesce("raw_evidence", F.lit(""))).alias("_evidence"),
-        F.struct("ord", "qualified_name", "origin", "file", "line", "scope", "param_name", "function_name").alias("_rep"),
+        F.struct(place.alias("place"), "qualified_name", "origin", "file", "line", "scope", "param_name", "function_name", "ord", *seen_in).alias("_rep"),
         F.when(F.col("line") > 0, F.col("line")).alias("_line"),
         F.struct("origins", "origin").alias("_origins"),
-        F.when(has_message, F.struct("ord", "message")).alias("_last"),
-        F.when(has_message & declared, F.struct("ord", "message")).alias("_declared"))
+        F.when(has_message, F.struct(place.alias("place"), "message")).alias("_last"),
+        F.when(has_message & declared, F.struct(place.alias("place"), "message")).alias("_declared"))
     key = ["_key", "_file", "_scope", "_params"]
     texts = keyed.groupBy(*key, "_evidence").agg(
         F.min("_rep").alias("_rep"), F.min("_line").alias("_line"),
@@ -66,7 +74,7 @@ def union_candidates(candidates: DataFrame, across_snapshots: bool = False) -> D
         F.array_distinct(F.flatten(F.collect_list("_origins"))).alias("_origins"),
         F.max("_last").alias("_last"), F.min("_declared").alias("_declared"),
         F.array_sort(F.collect_list(
-            F.when(F.col("_evidence") != "", F.struct(F.col("_rep.ord").alias("ord"), F.col("_evidence").alias("text")))
+            F.when(F.col("_evidence") != "", F.struct(F.col("_rep.place").alias("place"), F.col("_evidence").alias("text")))
         )).alias("_texts"),
         F.sum("_n").alias("raw_hits"))
     merged = merged.withColumn("origins", F.array_sort(F.array_distinct(F.flatten("_origins.origins")))).withColumn(
@@ -80,7 +88,7 @@ def union_candidates(candidates: DataFrame, across_snapshots: bool = False) -> D
         "origins", F.col("_rep.scope").alias("scope"), F.col("_rep.param_name").alias("param_name"),
         F.col("_rep.function_name").alias("function_name"),
         F.coalesce("_declared.message", "_last.message").alias("message"),
-        F.col("_rep.ord").alias("ord"), "raw_hits")
+        F.col("_rep.ord").alias("ord"), *(F.col(f"_rep.{c}").alias(c) for c in seen_in), "raw_hits")
 
 
 def catalog_records(catalog: DataFrame) -> DataFrame:
@@ -129,9 +137,10 @@ def target_coverage(catalog: DataFrame, targets: DataFrame | None = None, suffix
                     snippet: int = 150) -> DataFrame:
     """For each target the first compatible catalog name and the last entry under that name."""
     targets = target_dim(catalog.sparkSession) if targets is None else targets
+    place = F.struct("snapshot", "file", "ord") if "snapshot" in catalog.columns else F.struct("file", "ord")
     names = catalog.groupBy("qualified_name").agg(
-        F.min(F.struct("file", "ord")).alias("first_at"),
-        F.max_by(F.struct("origins", "file", "line", "raw_evidence"), F.struct("file", "ord")).alias("entry"))
+        F.min(place).alias("first_at"),
+        F.max_by(F.struct("origins", "file", "line", "raw_evidence"), place).alias("entry"))
     names = names.withColumnRenamed("qualified_name", "name")
     if suffix_only:
         a, b = F.col("target_api"), F.col("name")

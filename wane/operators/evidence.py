@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wane import fixed_values as fixed
+from wane.operators.catalog import catalog_order
 from wane.operators.matching import first_match
 
 
@@ -18,17 +19,18 @@ def _dims(spark):
 
 
 def entry_evidence(catalog: DataFrame) -> DataFrame:
-    """First usable warning, docstring and location among the entries of each name."""
+    """First usable warning, docstring and location among the entries of each name, in catalog order."""
+    order = catalog_order(catalog)
     text = lambda c: F.when(F.col(c) != "", F.col(c))
     warned = F.coalesce(text("message"), F.when(F.col("origin") == "warning", text("raw_evidence")))
     described = F.when(
         (F.col("origin") == "docstring") | F.contains(F.lower("raw_evidence"), F.lit("deprecated")), text("raw_evidence"))
     place = F.regexp_replace(text("location"), r"^.*/benchmark_libs/", "")
     e = catalog.select(
-        "qualified_name", "ord", warned.alias("w"), described.alias("d"), place.alias("p"))
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("ord", c)))[c]
+        "qualified_name", F.struct(*order).alias("place"), warned.alias("w"), described.alias("d"), place.alias("p"))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("place", c)))[c]
     return e.groupBy("qualified_name").agg(
-        F.min("ord").alias("first_ord"), first("w").alias("e_warning"),
+        F.min("place").alias("first_at"), first("w").alias("e_warning"),
         first("d").alias("e_docstring"), first("p").alias("e_location"))
 
 
@@ -49,8 +51,8 @@ def add_evidence(rows: DataFrame, catalog: DataFrame | None = None, symbol: str
             s = s.withColumn(c, F.lit(None).cast("string"))
     else:
         entries = entry_evidence(catalog)
-        s = first_match(s, "_of", entries, "qualified_name", ["first_ord"], "_name", bare_methods=True)
-        s = s.join(entries.drop("first_ord"), s["_name"] == entries["qualified_name"], "left")
+        s = first_match(s, "_of", entries, "qualified_name", ["first_at"], "_name", bare_methods=True)
+        s = s.join(entries.drop("first_at"), s["_name"] == entries["qualified_name"], "left")
     s = s.select(
         "_of", F.col("replacement").alias("recommended_replacement"),
         F.coalesce("c_warning", "e_warning").alias("warning"),

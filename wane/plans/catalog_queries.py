@@ -10,7 +10,8 @@ from wane.functions.names import leaf
 from wane.functions.text import canonical_path, location_file, module_path
 from wane.operators import catalog as cat
 from wane.operators import declarations as dec
-from wane.operators.evidence import add_evidence
+from wane.operators import ranking as rank
+from wane.operators.evidence import add_evidence, entry_evidence
 from wane.operators.matching import first_match, leaf_lookup, match_target, pairs, target_dim
 from wane.plans import derived
 from wane.plans.derived import load, sql
@@ -371,6 +372,57 @@ def evidence_fill(spark, d):
         F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("recommended_replacement", "warning", "docstring", "source_location")])
 
 
+# ---- catalogs of several snapshots: names recur in files whose ords clash --------
+SNAPSHOT_ENTRIES = ("part", [
+    "'lib.' || replace(p_brand, '#', '_') as qualified_name",
+    "cast(p_size % 3 as int) as snapshot",
+    "'/b/lib-' || case p_size % 3 when 0 then '1.2.3' when 1 then '1.12.0' else '0.9' end || '/m' || cast(p_partkey % 4 as varchar(9)) || '.py' as file",
+    "cast(p_partkey % 5 as bigint) as ord",
+    "cast(p_partkey as int) as line",
+    "case when p_partkey % 3 = 0 then 'warning' else 'docstring' end as origin",
+    "case when p_partkey % 7 = 0 then 'message ' || cast(p_partkey as varchar(9)) else null end as message",
+    "'text ' || cast(p_partkey as varchar(9)) as raw_evidence",
+])
+
+
+def snapshot_entries(spark, d):
+    rows = load(spark, d, SNAPSHOT_ENTRIES).withColumn("origins", F.array("origin"))
+    return rows.withColumn("location", F.concat_ws(":", "file", F.col("line").cast("string")))
+
+
+def _first_sql(value: str, where: str = "true") -> str:
+    return f"min(struct_pack(s := snapshot, f := file, o := ord, v := {value})) filter (where {where}).v"
+
+
+@query("evidence_snapshots", f"""
+    select qualified_name, {_first_sql("coalesce(message, raw_evidence)", "message is not null or origin = 'warning'")} as e_warning,
+      {_first_sql("raw_evidence", "origin = 'docstring'")} as e_docstring, {_first_sql("file || ':' || line")} as e_location
+    from ({sql(SNAPSHOT_ENTRIES)}) group by 1""")
+def evidence_snapshots(spark, d):
+    return entry_evidence(snapshot_entries(spark, d)).select("qualified_name", "e_warning", "e_docstring", "e_location")
+
+
+@query("coverage_snapshots", f"""
+    with c as (select * from ({sql(SNAPSHOT_ENTRIES)}) qualify row_number() over (partition by qualified_name, snapshot, file, ord order by line) = 1),
+    last as (select qualified_name, max(struct_pack(s := snapshot, f := file, o := ord, l := line, e := raw_evidence)) as m from c group by 1),
+    t as (select distinct qualified_name from c)
+    select qualified_name as target_api, qualified_name as matched_symbol, m.f || ':' || m.l as location, m.e as evidence_snippet from t join last using (qualified_name)""")
+def coverage_snapshots(spark, d):
+    once = rank.first_per_key(snapshot_entries(spark, d), ["qualified_name", "snapshot", "file", "ord"], [F.col("line")])
+    targets = once.select(F.lit("lib").alias("library"), F.col("qualified_name").alias("target_api")).distinct()
+    return cat.target_coverage(once, targets).select("target_api", "matched_symbol", "location", "evidence_snippet")
+
+
+@query("union_snapshots", f"""
+    with c as (select *, regexp_replace(file, '^.*?[A-Za-z]+-[0-9][^/]*/', '') as key_file from ({sql(SNAPSHOT_ENTRIES)}))
+    select qualified_name, count(*) as raw_hits, {_first_sql("file")} as file, {_first_sql("snapshot")} as snapshot,
+      max(struct_pack(s := snapshot, f := file, o := ord, v := message)) filter (where message is not null).v as message from c group by qualified_name, key_file""")
+def union_snapshots(spark, d):
+    null = F.lit(None).cast("string")
+    rows = snapshot_entries(spark, d).withColumns({"scope": F.lit("function"), "param_name": null, "function_name": null})
+    return cat.union_candidates(rows, across_snapshots=True).select("qualified_name", "raw_hits", "file", "snapshot", "message")
+
+
 # ---- small text operators --------------------------------------------------------
 @query("dotted_prefix", r"""
     select page_id, case when s = '' then 'site' else 'site.' || replace(s, '/', '.') end as module from (

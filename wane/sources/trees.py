@@ -14,44 +14,66 @@ from pyspark.sql import functions as F
 from wane.functions.text import module_path
 
 
+#: Bytes of text that a reader hands on at a time.
+BATCH_BYTES = 8_000_000
+
+
 def _list_files(batches):
     """Python files below each root. Spark's own listing hides names that begin with an underscore."""
     for batch in batches:
         for root in batch["root"]:
             system, base = fs.FileSystem.from_uri(root)
-            found = system.get_file_info(fs.FileSelector(base, recursive=True))
-            paths = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".py"))
-            yield pd.DataFrame({"root": root, "file": paths, "below": [p[len(base.rstrip("/")) + 1:] for p in paths]})
+            folders, below = [base], len(base.rstrip("/")) + 1
+            while folders:  # folder by folder, so that a large tree is not held as a whole
+                found = system.get_file_info(fs.FileSelector(folders.pop()))
+                folders += [f.path for f in found if f.type == fs.FileType.Directory]
+                paths = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".py"))
+                yield pd.DataFrame({"root": root, "file": paths, "below": [p[below:] for p in paths]})
+
+
+def _batches_by_bytes(rows, columns):
+    """Frames of about BATCH_BYTES; each row comes with the size of its text."""
+    held, size = [], 0
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if size >= BATCH_BYTES:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def _read_files(batches):
     """Text of each file; bytes that are not UTF-8 become the replacement character."""
     for batch in batches:
-        sources, errors = [], []
-        for root, path in zip(batch["root"], batch["file"]):
-            try:
-                with fs.FileSystem.from_uri(root)[0].open_input_stream(path) as f:
-                    text = f.read().decode("utf-8", "replace")
-                sources.append(text.replace("\r\n", "\n").replace("\r", "\n"))
-                errors.append(None)
-            except OSError as e:
-                sources.append(None)
-                errors.append(f"Read error: {e}")
-        yield batch.assign(source=sources, error=errors)
+        def read(batch=batch):
+            for row in batch.itertuples(index=False):
+                try:
+                    with fs.FileSystem.from_uri(row.root)[0].open_input_stream(row.file) as f:
+                        text = f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+                    yield (*row, text, None), len(text)
+                except OSError as e:
+                    yield (*row, None, f"Read error: {e}"), 0
+
+        yield from _batches_by_bytes(read(), [*batch.columns, "source", "error"])
 
 
 def scan_roots(roots: DataFrame) -> DataFrame:
-    """Files of all trees in ``root, library, version``: file, prefix, source, error.
+    """Files of all trees in ``root, library, version[, snapshot]``: file, prefix, source, the other columns, error.
 
     Folders are listed by tasks, and the paths are spread before the files are read, so
-    neither names nor contents pass through the driver.
+    neither names nor contents pass through the driver. The columns of a root are joined to
+    paths, never to texts.
     """
+    others = [c for c in roots.columns if c not in ("root", "library")]
     listed = roots.select("root").distinct().repartition("root").mapInPandas(
         _list_files, "root string, file string, below string")
-    read = listed.repartition("file").mapInPandas(
-        _read_files, "root string, file string, below string, source string, error string")
-    return read.join(roots, "root").select(
-        "file", module_path(F.col("below"), F.col("library")).alias("prefix"), "source", "library", "version", "error")
+    paths = listed.join(roots, "root").repartition("file")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in paths.schema.fields)
+    read = paths.mapInPandas(_read_files, f"{kinds}, source string, error string")
+    return read.select(
+        "file", module_path(F.col("below"), F.col("library")).alias("prefix"), "source", "library", *others, "error")
 
 
 def scan_tree(spark: SparkSession, root: str, library: str, version: str | None = None) -> DataFrame:
@@ -60,9 +82,13 @@ def scan_tree(spark: SparkSession, root: str, library: str, version: str | None
 
 
 def scan_snapshots(spark: SparkSession, base: str, snapshots: dict[str, list[str]]) -> DataFrame:
-    """Every snapshot folder ``base/<library>-<version>/<library>`` in one DataFrame."""
-    rows = [(f"{base.rstrip('/')}/{snap}/{lib}", lib, snap.split("-", 1)[1]) for lib, names in snapshots.items() for snap in names]
-    return scan_roots(spark.createDataFrame(rows, "root string, library string, version string"))
+    """Every snapshot folder ``base/<library>-<version>/<library>`` in one DataFrame.
+
+    ``snapshot`` is the number of the folder in the order given: catalog order is (snapshot, file, ord).
+    """
+    names = [(lib, snap) for lib, of_lib in snapshots.items() for snap in of_lib]
+    rows = [(f"{base.rstrip('/')}/{snap}/{lib}", lib, snap.split("-", 1)[1], i) for i, (lib, snap) in enumerate(names)]
+    return scan_roots(spark.createDataFrame(rows, "root string, library string, version string, snapshot int"))
 
 
 def coverage_gaps(files: DataFrame) -> DataFrame:
@@ -83,25 +109,29 @@ def scan_file(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
 def from_archives(spark: SparkSession, pattern: str, library: str) -> DataFrame:
     """Python members of wheels and source archives; compiled members are left out.
 
-    An archive is read by one task, its members become rows.
+    An archive is read by one task, its members become rows. Only members whose names fit are inflated.
     """
+    def place(name):
+        head, mark, rest = f"/{name}".partition(f"/{library}/")
+        return rest if mark and name.endswith(".py") and head.count("/") <= 1 else None
+
+    def texts(path, data):
+        if zipfile.is_zipfile(data):
+            with zipfile.ZipFile(data) as z:
+                for name in z.namelist():
+                    if place(name) is not None:
+                        yield (f"{path}!{name}", place(name), text := z.read(name).decode("utf-8", "replace")), len(text)
+            return
+        data.seek(0)
+        with tarfile.open(fileobj=data) as t:
+            for m in t:
+                if m.isfile() and place(m.name) is not None:
+                    yield (f"{path}!{m.name}", place(m.name), text := t.extractfile(m).read().decode("utf-8", "replace")), len(text)
+
     def members(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                data = io.BytesIO(content)
-                if zipfile.is_zipfile(data):
-                    with zipfile.ZipFile(data) as z:
-                        found = [(n, z.read(n)) for n in z.namelist()]
-                else:
-                    data.seek(0)
-                    with tarfile.open(fileobj=data) as t:
-                        found = [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
-                rows = []
-                for name, raw in found:
-                    head, mark, rest = ("/" + name).partition(f"/{library}/")
-                    if mark and name.endswith(".py") and head.count("/") <= 1:
-                        rows.append((f"{path}!{name}", rest, raw.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["file", "below", "source"])
+                yield from _batches_by_bytes(texts(path, io.BytesIO(content)), ["file", "below", "source"])
 
     archives = spark.read.format("binaryFile").load(pattern).select("path", "content")
     rows = archives.mapInPandas(members, "file string, below string, source string")
