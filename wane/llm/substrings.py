@@ -240,7 +240,7 @@ def _earliest(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarr
 _WINDOW = ("<u8", "<u8", "<i8", "<i8")  # both digests, document, first byte
 
 
-def _fetched(docs: DataFrame, asked: DataFrame, length: int, shards: int, most_windows: int = 300_000) -> DataFrame:
+def _fetched(docs: DataFrame, asked: DataFrame, length: int, shards: int, most_windows: int = 150_000) -> DataFrame:
     """Bytes of the cells asked for (kind 2), and packed digests of windows by their shard (kind 3: `anchor` is the shard and `cells`
     their number). Of equal windows that a task has together only the earliest is packed, the others are spans at once (kind 4:
     `first` to `end`)."""
@@ -256,11 +256,11 @@ def _fetched(docs: DataFrame, asked: DataFrame, length: int, shards: int, most_w
         held: list[tuple] = []
 
         def reduced() -> pa.RecordBatch:
-            one, two, doc, start = (np.concatenate([h[i] for h in held]) for i in range(4))
+            one, two, doc, start, by = (np.concatenate([h[i] for h in held]) for i in range(5))
             held.clear()
             at, spans = _earliest(one, two, doc, start, length)
             rows = [(4, None, None, *x, None) for x in spans]
-            shard = ((one[at] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+            shard = ((by[at] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
             at = at[np.lexsort((start[at], doc[at], shard))]
             cuts = np.searchsorted(np.sort(shard), np.arange(shards + 1))
             for s in range(shards):
@@ -280,7 +280,10 @@ def _fetched(docs: DataFrame, asked: DataFrame, length: int, shards: int, most_w
                         out.append((2, c["anchor"], c["of"], doc, c["first"], None, piece))
                     else:
                         data = np.frombuffer(piece, np.uint8)
-                        held.append((rolled(data, length, BASE), rolled(data, length, _SECOND), np.full(n, doc, np.int64), np.arange(c["first"], c["first"] + n)))
+                        # Equal windows have equal second anchors, and neighbours mostly too: spans stay whole within a shard.
+                        k = min(ANCHOR_BYTES, length)
+                        by = _least(rolled(data, k, _SECOND), length - k + 1)
+                        held.append((rolled(data, length, BASE), rolled(data, length, _SECOND), np.full(n, doc, np.int64), np.arange(c["first"], c["first"] + n), by))
                         many += n
             yield batch_of(out)
             if many >= most_windows:
@@ -338,7 +341,7 @@ def _compared(cells: DataFrame, length: int, batch_bytes: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, most_cells: int = 32, shards: int | None = None, block_bytes: int = 32_000_000,
+    docs: DataFrame, length: int = 100, most_cells: int = 32, shards: int | None = None, block_bytes: int = 24_000_000,
     id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, n_bytes, spans, kept, kept_text, rest) of every row: the maximal removed runs of bytes and the bytes left, concatenated.
@@ -349,7 +352,7 @@ def remove_repeats(
     text. Null texts are empty. Texts shorter than `length` stay as they are. An empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(0)
     plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     plain_ids = plain.agg(F.count("id").alias("known"), F.count(F.lit(1)).alias("all")).first()
@@ -366,14 +369,14 @@ def remove_repeats(
     whole = judged.filter("kind = 1").select("doc", F.col("first").alias("start"), (F.col("first") + F.col("windows") + length - 1).alias("end"))
     asked = judged.filter("kind > 1")
     fetched = stored(_fetched(known, asked, length, shards), "substrings-texts")
-    compared = _compared(fetched.filter("kind = 2"), length, 1_000_000)
+    compared = _compared(fetched.filter("kind = 2"), length, 700_000)
     single = _late_windows(fetched.filter("kind = 3").select(F.col("anchor").alias("shard"), F.col("cells").alias("n"), F.col("cell").alias("packed")), length)
     early = fetched.filter("kind = 4").select("doc", F.col("first").alias("start"), "end")
     spans = whole.union(compared).union(single).union(early).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for block in byte_blocks(batches, "text", 4_000_000):
+        for block in byte_blocks(batches, "text", 1_500_000):
             sizes, merged, kept = [], [], []
             for text, found in zip(block["text"].to_pylist(), block["found"].to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
