@@ -14,7 +14,7 @@ from wane.llm.common import bucket_of, hashed_words, joined_bytes
 FILLER = [f"word{i}" for i in range(200)]
 
 
-def labelled(n=900, seed=5):
+def labelled(n=3000, seed=5):
     """Toxic only where an insult meets a group: neither is toxic alone."""
     r, rows = random.Random(seed), []
     for i in range(n):
@@ -30,7 +30,7 @@ def test_toxicity_learns_pairs(spark):
     rows = labelled()
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None), (10**9, 1)], "doc_id long, toxic int")
-    machine = toxicity.learn(docs.filter("doc_id % 3 != 1"), labels, rate=0.05, epochs=30)
+    machine = toxicity.learn(docs.filter("doc_id % 3 != 1"), labels, rate=0.02, epochs=15, decay=1e-3)
     out = {r["doc_id"]: r["score"] for r in toxicity.score(docs, machine).collect()}
     right = [(out[i] >= 0.5) == bool(y) for i, _, y in rows if i % 3 == 1]
     assert len(out) == len(rows) and np.mean(right) > 0.95

@@ -81,23 +81,29 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and the number of the text it stands in."""
+def hashed_words(data: np.ndarray, starts: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """Hash of each word `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and the number of the text it stands in.
+
+    With `prefix`, also a hash of each word's first so many bytes (under 64), 0 for words that have no more.
+    """
     low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     blank = (low == 32) | ((low >= 9) & (low <= 13))
     edge = np.diff(np.concatenate(([1], blank.view(np.int8), [1])))
     first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(first):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return (np.empty(0, np.uint64), np.empty(0, np.int64), *([np.empty(0, np.uint64)] if prefix else []))
     # Polynomial value of each word, Horner order: one step per byte position, long words only while they last.
     length = last - first
     order = np.argsort(-length, kind="stable")
     begin, size = first[order], length[order]
     value = np.zeros(len(begin), np.uint64)
-    alive = len(begin)
+    alive, early = len(begin), np.zeros(len(begin) if prefix else 0, np.uint64)
     for k in range(int(size[0])):
         if k >= 64:
             break
+        if prefix and k == prefix:
+            alive = int(np.searchsorted(-size, -k, side="left"))
+            early[:alive] = mixed(value[:alive] ^ np.uint64(prefix))
         alive = int(np.searchsorted(-size, -k, side="left"))
         value[:alive] = value[:alive] * BASE + low[begin[:alive] + k] + np.uint64(1)
     if k >= 64:
@@ -108,4 +114,9 @@ def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
                 value[i] = value[i] * p[-1] + (rest * p[:-1][::-1]).sum(dtype=np.uint64)
     out = np.empty_like(value)
     out[order] = mixed(value ^ (size.astype(np.uint64) << np.uint64(48)))
-    return out, np.searchsorted(starts, first, side="right") - 1
+    of = np.searchsorted(starts, first, side="right") - 1
+    if not prefix:
+        return out, of
+    head = np.empty_like(early)
+    head[order] = early
+    return out, of, head

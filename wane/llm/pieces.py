@@ -26,10 +26,11 @@ from wane.llm.common import byte_blocks, stored
 from wane.llm.suffixes import _runs
 
 SPACE = "▁"
-#: Blanks stay with the word after them; a line end is a word. Where no piece mixes them, runs of ASCII digits, of other ASCII
-#: marks and of letters (with all that is not ASCII) are words of their own, which makes far fewer different words.
+#: Blanks stay with the word after them; a line end is a word. Where no piece mixes them, runs of letters, of ASCII digits and of
+#: other characters are words of their own, which makes far fewer different words.
+_LETTER = r"[^\W\d_²³¹¼-¾]"
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-_FINE = re.compile(f"{SPACE}*(?:(?:[A-Za-z]|[^\x00-\x7f{SPACE}])+|[0-9]+|[^A-Za-z0-9\n\x80-\U0010ffff]+)|{SPACE}+|\n")
+_FINE = re.compile(rf"{SPACE}*(?:{_LETTER}+|[0-9]+|(?:[^\w\n{SPACE}]|[_²³¹¼-¾]|(?![0-9])\d)+)|{SPACE}+|\n")
 #: Words of more characters are merged with a queue instead of a fold.
 LONG_WORD = 48
 
@@ -57,18 +58,19 @@ class Vocabulary:
         return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
 
 
-def lattice(words: DataFrame, vocabulary: Vocabulary, edge: Column) -> DataFrame:
+def lattice(words: DataFrame, vocabulary: Vocabulary, edge: Column, parts: int) -> DataFrame:
     """(word, edges): for each distinct word the list of `edge`, an expression over (start, length, id, score, rank).
 
     The piece table is as large as the vocabulary file and is broadcast. Exploding and joining keep the words' partitioning, so the
     edges are grouped where they are; a number in front of the word makes that sort cheap. Words without a match have no edges.
+    A word is many rows here, so words are dealt to more partitions (`parts`) than their own size asks for: no sort spills.
     """
     size = F.char_length("word")
-    at = words.withColumn("h", F.xxhash64("word")).repartition("h", "word").select("h", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    parts = at.select("h", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start")))).alias("length"))
-    parts = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("length")))
+    at = words.withColumn("h", F.xxhash64("word")).repartition(parts, "h", "word").select("h", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    cut = at.select("h", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start")))).alias("length"))
+    cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("length")))
     first = (F.col("start") == 0) & (F.col("length") == 1)
-    edges = parts.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left").filter(F.col("id").isNotNull() | first)
+    edges = cut.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left").filter(F.col("id").isNotNull() | first)
     edges = edges.select("h", "word", F.when(F.col("id").isNotNull(), edge).alias("edge"))
     return edges.groupBy("h", "word").agg(F.collect_list("edge").alias("edges")).select("word", "edges")
 
@@ -176,7 +178,7 @@ def merge_word(word: str, plain: dict[str, tuple[int, float]], bytes_of: list[in
     return out
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary, fold=merged) -> DataFrame:
+def encode_words(words: DataFrame, vocabulary: Vocabulary, fold=merged, parts: int = 8) -> DataFrame:
     """(word, ids array<int>) of distinct words, cut by `fold`. Only `merged` has words longer than LONG_WORD, through a queue."""
     plain, bytes_of = vocabulary.plain, vocabulary.bytes
 
@@ -190,7 +192,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, fold=merged) -> DataF
         edge, known, piece = packed_edge(), ranked(F.col("edges")), lambda key: F.col("known")[key].bitwiseAND(2**21 - 1).cast("int")
     else:
         edge, known, piece = F.struct("start", "length", "id", "score"), scored(F.col("edges")), lambda key: F.col("known")[key]["id"]
-    folded = lattice(short, vocabulary, edge).withColumn("known", known).withColumn("cuts", fold(F.col("word"), F.col("known")))
+    folded = lattice(short, vocabulary, edge, parts).withColumn("known", known).withColumn("cuts", fold(F.col("word"), F.col("known")))
     found = folded.select("word", numbers_of(F.col("word"), F.col("cuts"), bytes_of, piece).alias("ids"))
     other = words.filter(F.char_length("word") > LONG_WORD).mapInPandas(long_ones, "word string, ids array<int>")
     return found.union(other)
@@ -262,7 +264,8 @@ def encode(
     Null and empty texts have no ids. Null ids and repeated rows are encoded like others. An empty table gives no rows. Other
     columns are left out.
     """
-    shards = shards or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(64, partitions)
     kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     blocks = stored(_numbered(plain, kind, vocabulary.word, shards, block_bytes), "pieces-blocks")
@@ -275,7 +278,7 @@ def encode(
         return pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in words]})
 
     words = cells.groupBy("shard").applyInPandas(distinct, "word string")
-    known = stored(encode_words(words, vocabulary), "pieces-words").withColumn("shard", (F.crc32(F.col("word").cast("binary")) % shards).cast("int"))
+    known = stored(encode_words(words, vocabulary, parts=4 * partitions), "pieces-words").withColumn("shard", (F.crc32(F.col("word").cast("binary")) % shards).cast("int"))
 
     def answer(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         of = {w.encode("utf-8", "surrogatepass"): np.asarray(i, np.uint32) for w, i in zip(right["word"], right["ids"], strict=True)}

@@ -1,7 +1,8 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 logit = w0 + sum w_i + sum over pairs i < j of <v_i, v_j>, over the distinct terms of a text, so two terms can weigh more together
-than apart. Terms are words hashed to 24 bits; the machine keeps those of the sample that enough documents have.
+than apart. Terms are words, and the first letters of longer words, hashed to 24 bits; the machine keeps those of the sample that enough
+documents have and whose share differs between the labels by more than chance.
 """
 
 from __future__ import annotations
@@ -13,18 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wane.llm.common import byte_blocks, hashed_words, joined_bytes
+from wane.llm.common import byte_blocks, hashed_words, joined_bytes, mixed
 from wane.llm.fingerprints import _BYTES
 
 TERM_BITS = 24
+#: Bytes of a word that stand for its inflected forms.
+PREFIX = 5
 
 
 def distinct_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Term and text number of each distinct term of each text, by text."""
+    """Term and text number of each distinct term of each text, by text. A word that recurs in its text is one more term."""
     data, starts = joined_bytes(texts)
-    word, doc = hashed_words(_BYTES[data], starts)
-    key = np.unique((doc.astype(np.uint64) << np.uint64(TERM_BITS)) | (word >> np.uint64(64 - TERM_BITS)))
-    return (key & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64), (key >> np.uint64(TERM_BITS)).astype(np.int64)
+    word, doc, head = hashed_words(_BYTES[data], starts, PREFIX)
+    word, doc = np.concatenate([word, head[head > 0]]), np.concatenate([doc, doc[head > 0]])
+    drop, low = np.uint64(64 - TERM_BITS), np.uint64((1 << TERM_BITS) - 1)
+    key, count = np.unique((doc.astype(np.uint64) << np.uint64(TERM_BITS)) | (word >> drop), return_counts=True)
+    again = key[count > 1]
+    key = np.unique(np.concatenate([key, (again & ~low) | (mixed(again & low) >> drop)]))
+    return (key & low).astype(np.int64), (key >> np.uint64(TERM_BITS)).astype(np.int64)
 
 
 class Machine:
@@ -52,17 +59,27 @@ class Machine:
 
 
 def fit(
-    rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, least_documents: int = 8, factors: int = 4, epochs: int = 12,
-    batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7,
+    rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, least_documents: int = 8, least_deviation: float = 4.0, factors: int = 4,
+    epochs: int = 24, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7,
 ) -> Machine:
     """Minimize the weighted logistic loss by Adam. rows: the distinct terms of each document.
 
-    Without documents of both labels the machine is constant.
+    A term is kept if at least `least_documents` have it and its shares in the two labels differ by `least_deviation` standard
+    errors. Without documents of both labels the machine is constant.
     """
     share = float((labels * weights).sum() / max(weights.sum(), 1e-9)) if len(labels) else 0.0
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     seen, count = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_counts=True)
-    terms = seen[count >= least_documents]
+    toxic = np.zeros(len(seen))
+    if labels.any():
+        own, times = np.unique(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), return_counts=True)
+        toxic[np.searchsorted(seen, own)] = times
+    n, n1 = len(labels), float(labels.sum())
+    n0, p = max(n - n1, 1e-9), count / max(n, 1)
+    gap = toxic / max(n1, 1e-9) - (count - toxic) / n0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deviation = np.abs(gap) / np.sqrt(p * (1 - p) * (1 / max(n1, 1e-9) + 1 / n0))
+    terms = seen[(count >= least_documents) & (deviation >= least_deviation)]
     if not len(terms) or share in (0.0, 1.0):
         return Machine(np.empty(0, np.int64), bias, np.empty(0), np.empty((0, factors)))
     random = np.random.default_rng(seed)
