@@ -104,11 +104,11 @@ code_verifier.repeatable = True
 
 
 def remote_verifier(send: Callable[[str], tuple[str, int, int]], parallel: int = 5, interval: float = 0.2,
-                    attempts: int = 5, version: str = fixed.PROMPT_VERSION):
+                    attempts: int = 5, version: str = fixed.PROMPT_VERSION, text: Column | None = None):
     """Verifier that asks a service: paced per task, with exponential back-off.
 
     ``send`` takes a prompt and returns (text, prompt tokens, answer tokens). Whatever it raises is tried
-    again up to the limit, then ends the run. The number of tasks bounds the load on the service, not on Spark.
+    again up to the limit, then ends the run. ``text`` is another prompt, such as the zero-shot one. The number of tasks bounds the load on the service, not on Spark.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +128,7 @@ def remote_verifier(send: Callable[[str], tuple[str, int, int]], parallel: int =
             yield pd.DataFrame(rows, columns=["cache_key", "response_json", "prompt_tokens", "candidate_tokens", "total_tokens"])
 
     def verify(misses: DataFrame) -> DataFrame:
-        asked = misses.select("cache_key", prompt(version).alias("prompt")).repartition(parallel, "cache_key")
+        asked = misses.select("cache_key", (prompt(version) if text is None else text).alias("prompt")).repartition(parallel, "cache_key")
         return asked.mapInPandas(ask, RESPONSE)
 
     return verify
@@ -157,17 +157,17 @@ def split_by_cache(keyed: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
 
 
 def verify(requests: DataFrame, cache: DataFrame, verifier=rule_verifier, model: str = "primary",
-           version: str = fixed.PROMPT_VERSION, with_context: bool = True, store: str | None = None):
+           version: str = fixed.PROMPT_VERSION, with_context: bool = True, store: str | None = None, key=None):
     """Return (predictions, cache with the new responses).
 
     ``store`` is a folder in shared storage for the responses of this run. Only a verifier that is
     marked ``repeatable`` may go without: all other responses are written there once and read back, so
     that lost executors or reuse of the result do not repeat calls. A request without an answer stays,
-    as a negative that says so.
+    as a negative that says so. ``key`` adds another cache key than that of the evidence prompt.
     """
     if store is None and not getattr(verifier, "repeatable", False):
         raise ValueError("store must name a shared folder for the responses of this verifier")
-    keyed = add_key(requests, model, version, with_context)
+    keyed = key(requests) if key else add_key(requests, model, version, with_context)
     misses, first = split_by_cache(keyed, cache)
     fresh = verifier(misses).withColumn("created_at", F.current_timestamp())
     about = misses.select("cache_key", "target_api", "call_site_snippet", evidence_text(

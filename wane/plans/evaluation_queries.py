@@ -10,7 +10,7 @@ from wane.functions import text as tx
 from wane.functions.keys import candidate_id, draw
 from wane.operators import agreement as agr, annotation as ann, audit, catalog as cat, ranking as rank
 from wane.operators import reports as rep, sampling as smp, significance as sig
-from wane.operators import verification as ver
+from wane.operators import studies, verification as ver
 from wane.plans import derived
 from wane.plans.catalog_queries import flat
 from wane.plans.derived import load, sql
@@ -83,13 +83,13 @@ def conditional_metrics(spark, d):
     return r6(m.select("lang", *keep), "e2e_f1", "cond_f1")
 
 
-def _agreement_sql(by: str, edge: str) -> str:
+def _agreement_sql(by: str, edge: str, pairs: str | None = None) -> str:
     kappa = {"one": "case when pe >= 1 then 1.0 else (po - pe) / (1 - pe) end",
              "agree": "case when abs(pe - 1) <= 1e-9 then case when abs(po - 1) <= 1e-9 then 1.0 else 0.0 end else (po - pe) / (1 - pe) end",
              "zero": "case when 1 - pe > 1e-9 then (po - pe) / (1 - pe) else 0.0 end"}[edge]
     return f"""
     with c as (select {by} count(*) filter (where truth and second) as a, count(*) filter (where truth and not second) as b, count(*) filter (where not truth and second) as c,
-        count(*) filter (where not truth and not second) as d, count(*) filter (where truth is null or second is null) as n_missing from ({JUDGED_SQL}) {'group by all' if by else ''}),
+        count(*) filter (where not truth and not second) as d, count(*) filter (where truth is null or second is null) as n_missing from ({pairs or JUDGED_SQL}) {'group by all' if by else ''}),
     n as (select *, a + b + c + d as n from c), e as (select *, (a + d) / n as po, ((a + b) * (a + c) + (c + d) * (b + d)) / (n * n) as pe from n)
     select {by} a as both_true, b as first_only, c as second_only, d as both_false, n_missing, n, a + d as agreed, round(po, 6) as concordance, round({kappa}, 6) as kappa,
       round(2 * po - 1, 6) as pabak, round((coalesce(a / nullif(a + c, 0), 0) + coalesce(d / nullif(d + b, 0), 0)) / 2, 6) as balanced_accuracy from e"""
@@ -312,6 +312,87 @@ def benign_spot_check(spark, d):
     return report
 
 
+# ---- whole verification runs --------------------------------------------------------
+_REQ = sql(derived.REQUESTS)
+_CALL_RULE = f"({_any_sql('call_site_snippet', fixed.NATIVE_CALL_WORDS)} or not ({_any_sql('call_site_snippet', fixed.WRAPPER_CALL_WORDS)} or contains(call_site_snippet, 'itertools.')))"
+_CODE_RULE = _CALL_RULE.replace("call_site_snippet", "enclosing_code")
+#: A second model that differs: it also takes odd lines for benign.
+_SECOND_RULE = f"({_CALL_RULE} and client_line % 2 = 0)"
+_RUN_COLUMNS = ["both_true", "first_only", "second_only", "both_false", "n", "agreed", "concordance", "kappa"]
+
+
+def _second(misses):
+    benign = F.lit('{"is_deprecated_usage": false, "confidence": 0.6, "rationale": "odd line"}')
+    answers = ver.rule_verifier(misses).join(misses.select("cache_key", "client_line"), "cache_key")
+    return answers.withColumn("response_json", F.when(F.col("client_line") % 2 == 0, F.col("response_json")).otherwise(benign)).drop("client_line")
+
+
+_second.repeatable = True
+
+
+def _asked(spark, d):
+    """Requests whose text differs in every row, so that no two share a cache key, and the primary predictions on them."""
+    r = load(spark, d, derived.REQUESTS).withColumn("call_site_snippet", F.concat("call_site_snippet", F.lit(" "), "candidate_id"))
+    return r, ver.verify(r, ver.empty_cache(spark))[0]
+
+
+def _run_report(report):
+    return r6(report.select(*_RUN_COLUMNS), "concordance", "kappa")
+
+
+_PAIRS = f"select candidate_id, library, stage2_status, mode, {_CALL_RULE} as truth, {_SECOND_RULE} as second, {_draw_sql(42, 'candidate_id')} as dr from ({_REQ})"
+
+
+@query("stratified_validation", f"select {', '.join(_RUN_COLUMNS)} from (" + _agreement_sql("", "one", f"""
+    with d as ({_PAIRS}), n as (select library, truth, count(*) as n from d group by all),
+    a as (select *, least(greatest(1, round_even(n / sum(n) over () * 90, 0)::bigint), n) as ask from n),
+    t as (select *, greatest(least(ask, 90 - coalesce(sum(ask) over (order by library, truth rows between unbounded preceding and 1 preceding), 0)), 0) as take from a),
+    r as (select d.*, row_number() over (partition by library, truth order by dr) as rn from d),
+    c as (select r.* from r join t using (library, truth) where rn <= take),
+    x as (select *, row_number() over (order by dr) as rn from d where candidate_id not in (select candidate_id from c))
+    select truth, second from c union all select truth, second from x where rn <= 90 - (select count(*) from c)""") + ")")
+def stratified_validation(spark, d):
+    requests, primary = _asked(spark, d)
+    _, report, _ = studies.stratified_validation(primary, requests, ver.empty_cache(spark), 90, _second)
+    return _run_report(report)
+
+
+_LOW_ALLOC = [(f"src{i}", v, n) for i in range(20) for v, n in ((True, 3), (False, 2))]
+_LOW_SQL = f"""
+    with d as ({_PAIRS}), b as (select candidate_id from d where stage2_status = 'resolved_deprecated' and dr < '2' union select candidate_id from d where stage2_status = 'low_confidence' and dr < '1'),
+    r as (select d.*, row_number() over (partition by library, truth order by b.candidate_id is not null desc, dr) as rn from d left join b using (candidate_id) where stage2_status = 'low_confidence'),
+    c as (select r.* from r join (values {', '.join(f"('{k}', {str(v).lower()}, {n})" for k, v, n in _LOW_ALLOC)}) as q(library, truth, n) using (library, truth) where rn <= n)"""
+
+
+@query("low_confidence_validation", f"""
+    select 'own' as part, {', '.join(_RUN_COLUMNS)} from ({_agreement_sql("", "zero", _LOW_SQL + " select truth, second from c")})
+    union all select 'composite', {', '.join(_RUN_COLUMNS)} from ({_agreement_sql("", "zero", _LOW_SQL + " select truth, second from c union all select truth, second from d join b using (candidate_id) where candidate_id not in (select candidate_id from c)")})""")
+def low_confidence_validation(spark, d):
+    requests, primary = _asked(spark, d)
+    drawn = primary.withColumn("dr", draw(42, F.col("candidate_id")))
+    earlier = drawn.where("(stage2_status = 'resolved_deprecated' and dr < '2') or (stage2_status = 'low_confidence' and dr < '1')").drop("dr")
+    before, _ = studies.second_opinion(earlier, requests, ver.empty_cache(spark), _second)
+    _, own, both, _ = studies.low_confidence_validation(primary, requests, ver.empty_cache(spark), before, _second, allocation=_LOW_ALLOC)
+    return _run_report(own).withColumn("part", F.lit("own")).unionByName(_run_report(both).withColumn("part", F.lit("composite")))
+
+
+@query("zero_shot_run", f"""
+    select candidate_id, candidate_id <> min(candidate_id) over (partition by library, client_line, call_site_snippet, enclosing_code) as cached, {_CODE_RULE} as is_deprecated_usage from ({_REQ})""")
+def zero_shot_run(spark, d):
+    predictions, _ = studies.zero_shot_run(load(spark, d, derived.REQUESTS), ver.empty_cache(spark))
+    return predictions.select("candidate_id", "cached", "is_deprecated_usage")
+
+
+@query("second_pass_sample", f"""
+    with i as (select doc_id, case when quality = 1 then 'candidate_positive' else 'hard_negative' end as stratum, {_draw_sql(42, 'doc_id')} as dr from labels where toxic = 0)
+    select doc_id as benchmark_id, stratum from (select *, row_number() over (partition by stratum order by dr) as rn from i) where rn <= case stratum when 'hard_negative' then 8 else 22 end""")
+def second_pass_sample(spark, d):
+    items = table(spark, d, "labels").selectExpr(
+        "doc_id as benchmark_id", "case when quality = 1 then 'candidate_positive' else 'hard_negative' end as stratum",
+        "case when toxic = 1 then 'pre_labeled' else 'annotated' end as annotation_status")
+    return studies.second_pass_sample(items).select("benchmark_id", "stratum")
+
+
 # ---- annotation --------------------------------------------------------------------
 def _items(spark, d):
     return table(spark, d, "labels").select(
