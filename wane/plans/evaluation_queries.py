@@ -172,11 +172,26 @@ def cp_bounds(spark, d):
     return g.select("source", "k", "n", F.round(e["low"], 9).alias("low"), F.round(e["high"], 9).alias("high"))
 
 
-@query("clopper_pearson")
+def _tail_sql(first: str, last: str) -> str:
+    """Chance of `first` to `last` successes of n at the middle of the interval that is being halved."""
+    return (f"list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))"
+            f" for i in range({first}, {last} + 1)])")
+
+
+# the bounds by their definition: the tail beyond k has chance alpha / 2 at each of them
+@query("clopper_pearson", f"""
+    with recursive g as (select lang, count(*) filter (where truth) as k, count(*) as n from ({JUDGED_SQL}) group by 1),
+    b(lang, k, n, side, lo, hi, step) as (
+      select lang, k, n, side, 0.0::double, 1.0::double, 0 from g, (values ('low'), ('high')) as s(side) where k > 0 and k < n
+      union all select lang, k, n, side, case when up then (lo + hi) / 2 else lo end, case when up then hi else (lo + hi) / 2 end, step + 1
+      from (select *, case side when 'low' then {_tail_sql('k', 'n')} < 0.025 else {_tail_sql('0', 'k')} > 0.025 end as up from b) where step < 45),
+    e as (select lang, max(lo) filter (where side = 'low') as low, max(lo) filter (where side = 'high') as high from b where step = 45 group by 1)
+    select lang, k, n, round(case when k = 0 then 0.0 when k = n then pow(0.025, 1.0 / n) else low end, 6) as low,
+      round(case when k = n then 1.0 when k = 0 then 1 - pow(0.025, 1.0 / n) else high end, 6) as high from g left join e using (lang)""")
 def clopper_pearson(spark, d):
     g = judged(spark, d).groupBy("lang").agg(F.count_if("truth").alias("k"), F.count("*").alias("n"))
     e = sig.clopper_pearson(F.col("k"), F.col("n"))
-    return g.select("lang", "k", "n", e["low"].alias("low"), e["high"].alias("high"))
+    return r6(g.select("lang", "k", "n", e["low"].alias("low"), e["high"].alias("high")), "low", "high")
 
 
 @query("ppv_table", f"""
@@ -209,11 +224,29 @@ def paired_bootstrap(spark, d):
     return sig.paired_bootstrap(c, ["lang"])
 
 
-@query("mcnemar_power")
+def _normal_sql(x: str) -> str:
+    """The normal distribution function by its series of odd powers over double factorials."""
+    size = f"greatest(abs({x}), 1e-300)"
+    series = f"list_sum([exp((2 * i + 1) * ln({size}) - {size} * {size} / 2 - lgamma(2.0 * i + 2) + i * ln(2) + lgamma(i + 1.0)) for i in range(0, 400)])"
+    return f"case when {x} > 12 then 1.0 when {x} < -12 then 0.0 else 0.5 + sign({x}) * {series} / sqrt(2 * pi()) end"
+
+
+_POWER = ["lang", "both_correct", "b", "c", "both_wrong", "discordant", "p_observed", "effect", "required_discordant", "required_total", "post_hoc_power"]
+
+
+@query("mcnemar_power", f"""
+    with d as ({DISC_SQL}), p as (select *, b + c as discordant, coalesce(b / nullif(b + c, 0), 0.0) as p from d),
+    v as (select *, p * (1 - p) as var, sqrt(discordant * p * (1 - p)) as se from p),
+    z as (select *, (discordant * 0.5 + 1.959963984540054 * sqrt(discordant * 0.25) - discordant * p) / nullif(se, 0) as high,
+      (discordant * 0.5 - 1.959963984540054 * sqrt(discordant * 0.25) - discordant * p) / nullif(se, 0) as low,
+      cast(ceil(pow(1.959963984540054 * 0.5 + 0.8416212335729143 * sqrt(var), 2) / nullif(pow(p - 0.5, 2), 0)) as bigint) as needed from v)
+    select lang, both_correct, b, c, both_wrong, discordant, round(p, 6) as p_observed, round(abs(p - 0.5), 6) as effect, needed as required_discordant,
+      cast(ceil(needed * (both_correct + b + c + both_wrong) / nullif(discordant, 0)) as bigint) as required_total,
+      round(1 - ({_normal_sql('high')}) + ({_normal_sql('low')}), 6) as post_hoc_power from z""")
 def mcnemar_power(spark, d):
     c = sig.discordance(judged(spark, d), "truth", "pred_a", "pred_b", ["lang"])
     total = F.col("both_correct") + F.col("b") + F.col("c") + F.col("both_wrong")
-    return sig.mcnemar_power(c, total)
+    return r6(sig.mcnemar_power(c, total).select(*_POWER), "p_observed", "effect", "post_hoc_power")
 
 
 # ---- samples -----------------------------------------------------------------------
