@@ -212,16 +212,42 @@ def recovered_misses(spark, d):
     return r6(got.select("lang", "tp_if", "fn_if", "recall_if", "f1_if"), "recall_if", "f1_if")
 
 
-@query("bootstrap_ci")
+# Draws cannot be repeated in SQL; the rows say what must hold of the intervals: the points, the closed bounds where a proportion
+# is 0 or 1, and that every other interval holds its point and is as wide as its normal error, within a half and three items.
+@query("bootstrap_ci", f"""
+    with m as ({metrics_sql(cells_sql('pred_a', 'lang,'), 'lang,')}),
+    s as (select *, case when tn = 0 and fp > 0 then 0.0 when fp = 0 and tn > 0 then pow(0.025, 1.0 / tn) when tn + fp = 0 then 0.0 end as exact_low,
+      case when tn = 0 and fp > 0 then 1 - pow(0.025, 1.0 / fp) when tn + fp = 0 or fp = 0 then 1.0 end as exact_high from m)
+    select lang, tp, fp, fn, tn, "precision", recall, specificity, f1, round(exact_low, 6) as exact_low, round(exact_high, 6) as exact_high,
+      true as holds_points, true as width_fits, case when exact_low is null then 'bootstrap' else 'clopper_pearson' end as specificity_method from s""")
 def bootstrap_ci(spark, d):
     m = agr.binary_metrics(judged(spark, d), "truth", "pred_a", ["lang"])
-    return sig.with_intervals(m, ["lang"])
+    b = sig.with_intervals(m, ["lang"])
+    names = ("precision", "recall", "specificity", "f1")
+    inside = [F.col(c).between(F.col(f"{c}_low") - 1e-9, F.col(f"{c}_high") + 1e-9) for c in names]
+    fits = []
+    for c, n in (("precision", F.col("tp") + F.col("fp")), ("recall", F.col("tp") + F.col("fn"))):
+        normal = 2 * 1.96 * F.sqrt(F.col(c) * (1 - F.col(c)) / n)
+        fits.append((F.col(f"{c}_method") != "bootstrap") | (F.abs(F.col(f"{c}_high") - F.col(f"{c}_low") - normal) <= normal * 0.5 + 3 / n))
+    exact = F.col("specificity_method") == "clopper_pearson"
+    out = b.select(
+        "lang", "tp", "fp", "fn", "tn", *names, F.when(exact, F.col("specificity_low")).alias("exact_low"), F.when(exact, F.col("specificity_high")).alias("exact_high"),
+        (inside[0] & inside[1] & inside[2] & inside[3]).alias("holds_points"), (fits[0] & fits[1]).alias("width_fits"), "specificity_method")
+    return r6(out, *names, "exact_low", "exact_high")
 
 
-@query("paired_bootstrap")
+_F1 = "coalesce(2.0 * count(*) filter (where truth and {p}) / nullif(2 * count(*) filter (where truth and {p}) + count(*) filter (where truth <> {p}), 0), 0.0)"
+
+
+@query("paired_bootstrap", f"""
+    select lang, round({_F1.format(p='pred_b')} - {_F1.format(p='pred_a')}, 6) as point_estimate, true as holds_point, true as p_in_range, true as one_side_smaller from ({JUDGED_SQL}) group by 1""")
 def paired_bootstrap(spark, d):
     c = sig.paired_counts(judged(spark, d), "truth", "pred_b", "pred_a", ["lang"])
-    return sig.paired_bootstrap(c, ["lang"])
+    b = sig.paired_bootstrap(c, ["lang"])
+    return r6(b.select(
+        "lang", "point_estimate", F.col("point_estimate").between(F.col("ci_low") - 1e-9, F.col("ci_high") + 1e-9).alias("holds_point"),
+        (F.col("p_two_sided").between(0, 1) & F.col("p_one_sided").between(0, 1)).alias("p_in_range"),
+        (F.col("p_one_sided") <= F.greatest(F.col("p_two_sided"), F.lit(0.5)) + 0.05).alias("one_side_smaller")), "point_estimate")
 
 
 def _normal_sql(x: str) -> str:
