@@ -62,11 +62,12 @@ def match_target(rows: DataFrame, symbol: str, out: str = "target_api") -> DataF
     return first_match(clean, "_clean", dim, "_target", ["ord"], out).drop("_clean")
 
 
-def leaf_lookup(calls: DataFrame, catalog: DataFrame, name: str, out: str = "leaf_match") -> DataFrame:
+def leaf_lookup(calls: DataFrame, catalog: DataFrame, name: str, out: str = "leaf_match", only: list[str] | None = None) -> DataFrame:
     """The catalog name with the callee as its leaf; the receiver's spelling breaks ties.
 
     Per leaf only three names can ever be chosen, so the catalog side is reduced to
-    one row per leaf before the join.
+    one row per leaf before the join. With ``only``, calls without a match are dropped by the join
+    itself, but for the callees listed there.
     """
     named = catalog.select(F.col(name).alias("_n"), leaf(F.col(name)).alias("_leaf"))
     low = F.lower("_n")
@@ -79,5 +80,8 @@ def leaf_lookup(calls: DataFrame, catalog: DataFrame, name: str, out: str = "lea
         F.when(F.contains(receiver, F.lit("df")), F.coalesce("_frame", "_first"))
         .when(F.contains(receiver, F.lit("series")), F.coalesce("_series", "_first"))
         .otherwise(F.col("_first")))
-    joined = calls.join(dim, calls["callee"] == dim["_leaf"], "left")
+    if only is not None:
+        kept = calls.sparkSession.createDataFrame([(c, None, None, None) for c in only], dim.schema)
+        dim = dim.where(~F.col("_leaf").isin(only)).unionByName(kept)
+    joined = calls.join(dim, calls["callee"] == dim["_leaf"], "left" if only is None else "inner")
     return joined.withColumn(out, pick).drop("_leaf", "_first", "_frame", "_series")

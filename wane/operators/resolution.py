@@ -59,8 +59,7 @@ def call_statuses(samples: DataFrame, catalog: DataFrame, preamble: Column, name
     calls = parsed.select(
         *carry, F.explode_outer(F.when(F.col("s.ok"), F.col("s.calls")).otherwise(F.array(failed))).alias("c")
     ).where(F.col("c").isNotNull()).select(*carry, "c.*")
-    known = leaf_lookup(calls, catalog, name).where(
-        F.col("leaf_match").isNotNull() | (F.col("kind") == "syntax_error"))
+    known = leaf_lookup(calls, catalog, name, only=["<syntax_error>"])
     # the calls are read twice below; keep the small result of the parse, not the parse
     known = cut_lineage(known)
     # the last wildcard import can supply a bare name that the catalog knows
