@@ -68,6 +68,12 @@ def joined_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8), ends.astype(np.int64)
 
 
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one range after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit words."""
     h = (h ^ (h >> np.uint64(30))) * MIX1

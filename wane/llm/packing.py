@@ -8,46 +8,81 @@ bounded by the open sequences' free-space table and one block of pieces.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from wane.llm.common import byte_blocks, runs
+
 SCHEMA = "{id} {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long"
 #: Distinct words whose ids a Python worker remembers, over all its tasks. The memory is emptied when it is full; results do not
 #: depend on it.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 1_200_000
 _known: dict[str, Words] = {}
+#: Small letters that normalization leaves as they are.
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return dict(zip(visible, visible, strict=True)) | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
-class Words(dict):
+class Words:
     """Token ids of blank-separated pieces of text, computed once for each.
 
     The vocabulary's pre-tokenizer never joins characters across blanks and drops the blanks themselves. Marks after a letter
-    are tokens of their own, and ASCII capitals count as small letters.
+    are tokens of their own, and ASCII capitals count as small letters. A word of small letters is one unit of the vocabulary's
+    merges, so it goes to them directly.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = tokenizer.encode
+        self.encode, self.known, self.merge = tokenizer.encode, {"": b""}, tokenizer.model.tokenize
 
-    def __missing__(self, word: str) -> bytes:
+    def learn(self, word: str) -> bytes:
+        """Of a word that is not known as it stands; one that is made of known parts is put together each time."""
+        known = self.known
+        if word in known:
+            return known[word]
         bare = word.rstrip(".,;:!?")
         if bare != word and bare and bare[-1].isalpha():
-            ids = self[bare] + self[word[len(bare) :]]
-        elif word.isascii() and word.isalpha() and not word.islower():
-            ids = self[word.lower()]
+            return (known.get(bare) or self.learn(bare)) + (known.get(mark := word[len(bare) :]) or self.learn(mark))
+        if word.isascii() and word.isalpha() and not word.islower():
+            small = word.lower()
+            return known.get(small) or self.learn(small)
+        if _SMALL.fullmatch(word):
+            tokens = self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))
+            ids = known[word] = array("I", [t.id for t in tokens]).tobytes()
         else:
-            ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
+            ids = known[word] = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
         return ids
 
-    def of(self, text: str) -> bytes:
-        if len(self) > REMEMBERED_WORDS:
-            self.clear()
-        return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
+    def of(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text. The words of all texts are numbered first, so that each different one is looked up once."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known = {"": b""}
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        number = coded.indices.to_numpy()
+        get, learn = self.known.get, self.learn
+        each = [get(w) or learn(w) for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        ids, start = np.frombuffer(b"".join(each), np.uint32), np.cumsum(size) - size
+        size = size[number]
+        raw = memoryview(ids[runs(start[number], size)].tobytes())
+        ends = np.concatenate(([0], np.cumsum(size)))[parts.offsets.to_numpy() - parts.offsets[0].as_py()] * 4
+        return [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 class OpenBins:
@@ -123,10 +158,10 @@ def pack(
             return out
 
         kind = pa.int64()
-        for batch in batches:
+        for batch in byte_blocks(batches, text_column, 16_000_000):
             kind = batch.schema.field(0).type
-            for doc, text in zip(batch[0].to_pylist(), batch[1], strict=True):
-                ids = words.of(text.as_py() or "") + end
+            for doc, ids in zip(batch[0].to_pylist(), words.of(batch[1]), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     kept.append((doc, k, k * capacity, ids[at : at + width]))
                     if len(kept) >= block:

@@ -22,8 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wane.llm.common import byte_blocks, stored
-from wane.llm.suffixes import _runs
+from wane.llm.common import byte_blocks, runs, stored
 
 SPACE = "▁"
 #: Blanks stay with the word after them; a line end is a word. Where no piece mixes them, runs of letters, of ASCII digits and of
@@ -309,7 +308,7 @@ def encode(
         for n in row["sizes"]:
             own = numbers[at : at + n]
             at += n
-            out.append(flat[_runs(starts[own], sizes[own])].astype("<u4").tobytes())
+            out.append(flat[runs(starts[own], sizes[own])].astype("<u4").tobytes())
         return pa.table({id_column: pa.array(row["ids"], left.schema.field("ids").type.value_type), "n_tokens": pa.array([len(o) // 4 for o in out], pa.int64()), "ids": pa.array(out, pa.binary())})
 
     texts = blocks.filter("shard = -1").select("block", "raw", "packed", "ids", "sizes")
@@ -330,7 +329,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "text") ->
             texts = []
             for ids in block["ids"].to_pylist():
                 own = np.frombuffer(ids, "<u4")
-                text = blob[_runs(starts[own], length[own])].tobytes()
+                text = blob[runs(starts[own], length[own])].tobytes()
                 texts.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(texts, pa.string())], names=[*names, column])
 

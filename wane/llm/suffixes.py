@@ -12,11 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-
-def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All integers of the ranges, one range after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+from wane.llm.common import runs
 
 
 def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -45,7 +41,7 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     active = np.flatnonzero(cursor > begin)
     while len(active):
         top = group[order[cursor[active] - 1]]
-        member = order[_runs(top, cursor[active] - top)]
+        member = order[runs(top, cursor[active] - top)]
         level, low = group[member], floor[member]
         p = before[member]
         while True:
@@ -71,7 +67,7 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         count = np.diff(np.append(at, len(p)))
         g = old[at]
         tail = g + size[g] - count
-        slots = _runs(tail, count)
+        slots = runs(tail, count)
         moved[p] = True
         out = order[slots]
         out = out[~moved[out]]
