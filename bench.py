@@ -6,6 +6,7 @@ to warm up and then timed into a sink that keeps every column.
 
 from __future__ import annotations
 
+import importlib.util
 import json
 import os
 import sys
@@ -23,6 +24,22 @@ HEADLINE = [
 ]
 
 
+def installed_tree(spark) -> dict[str, float]:
+    """Seconds from the files of an installed package to its catalog, cold and warm (median of three)."""
+    from wane.operators.catalog import union_candidates
+    from wane.operators.declarations import find_candidates
+    from wane.sources.trees import scan_tree
+
+    root = importlib.util.find_spec("pandas").submodule_search_locations[0]
+    took = []
+    for _ in range(4):
+        start = time.perf_counter()
+        files = scan_tree(spark, f"file://{root}", "pandas", "installed").where("error is null").drop("error")
+        union_candidates(find_candidates(files)).write.format("noop").mode("overwrite").save()
+        took.append(round(time.perf_counter() - start, 3))
+    return {"installed_tree_cold": took[0], "installed_tree": sorted(took[1:])[1]}
+
+
 def main() -> None:
     from wane.plans.queries import QUERIES
     from wane.session import local_session
@@ -37,6 +54,8 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
+    if not sys.argv[1:]:
+        times |= installed_tree(spark)
     files = spark.read.parquet(f"{folder}/part.parquet").count()
     snippets = spark.read.parquet(f"{folder}/customer.parquet").count()
     rates = {}

@@ -16,6 +16,7 @@ from wane.streaming.verdicts import verify_stream
 def test_tree_scan(spark, tmp_path):
     root = tmp_path / "numpy-1.0" / "numpy"
     (root / "core").mkdir(parents=True)
+    (root / "empty").mkdir()
     (root / "__init__.py").write_text("x = 1\n")
     (root / "core" / "a.py").write_bytes(b'def product():\n    """deprecated \xff"""\n')
     (root / "core" / "b.txt").write_text("no")

@@ -28,6 +28,8 @@ def _list_files(batches):
                 found = system.get_file_info(fs.FileSelector(folders.pop()))
                 folders += [f.path for f in found if f.type == fs.FileType.Directory]
                 paths = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".py"))
+                if not paths:
+                    continue
                 yield pd.DataFrame({"root": root, "file": paths, "below": [p[below:] for p in paths]})
 
 
@@ -69,7 +71,9 @@ def scan_roots(roots: DataFrame) -> DataFrame:
     others = [c for c in roots.columns if c not in ("root", "library")]
     listed = roots.select("root").distinct().repartition("root").mapInPandas(
         _list_files, "root string, file string, below string")
-    paths = listed.join(roots, "root").repartition("file")
+    # a number of its own: paths are small, and adaptive execution would put the reading of all files into one task
+    parts = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = listed.join(roots, "root").repartition(parts, "file")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in paths.schema.fields)
     read = paths.mapInPandas(_read_files, f"{kinds}, source string, error string")
     return read.select(
