@@ -55,7 +55,7 @@ def test_language(spark):
     r = random.Random(2)
     kinds = {"aa": "bdgk ou", "bb": "ptfs ei", "cc": "éàç lm"}
     rows = [(i, "".join(r.choice(kinds[k]) for _ in range(r.randint(30, 900))), k) for i in range(400) for k in [r.choice([*kinds])]]
-    rows += [(900, None, "aa"), (901, "123 ... !", "bb"), (902, "bdou" * 60, None)]
+    rows += [(900, None, "aa"), (901, "123 ... ² !", "bb"), (902, "bdou" * 60, None)]
     docs = spark.createDataFrame([(*x, 0.0) for x in rows], "doc_id long, text string, lang string, lang_score double")
     network = language.learn(docs.filter("doc_id % 5 != 0"), epochs=6)
     out = {x["doc_id"]: x for x in language.identify(docs, network).collect()}

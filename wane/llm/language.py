@@ -28,6 +28,11 @@ _KIND = np.array(
 _BLANK = 27
 
 
+def has_letter(text: str | None) -> bool:
+    first = _LETTER.search(text) if text else None
+    return first is not None and (first[0].isalpha() or any(c.isalpha() for c in text))  # numbers like ² also match
+
+
 def windows(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Kinds of bytes in windows that cover each text from end to end, the last filled up with blanks, and the text of each."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -119,7 +124,7 @@ class Network:
 
     def predict(self, texts: list[str | None], tables: dict[int, list[np.ndarray]]) -> tuple[list[str], np.ndarray]:
         """Language and its probability. Null texts and texts without a letter are undetermined, with score 0."""
-        letters = np.array([bool(t and _LETTER.search(t)) for t in texts])
+        letters = np.array([has_letter(t) for t in texts], bool)
         names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         at = np.flatnonzero(letters)
         if not len(at) or not self.languages:
