@@ -94,3 +94,25 @@ def test_last_row_per_key_with_maps(spark):
     rows = spark.createDataFrame([("a", 1, {"x": 1}), ("a", 2, {"y": 2}), ("b", 1, None)], "k string, n int, m map<string,int>")
     assert {(r.k, r.n) for r in latest_per_key(rows, ["k"], [F.col("n")]).collect()} == {("a", 2), ("b", 1)}
     assert {(r.k, r.n) for r in first_per_key(rows, ["k"], [F.col("n")]).collect()} == {("a", 1), ("b", 1)}
+
+
+def test_reports_caches_and_arrays_read_back(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from wane.operators.verification import empty_cache
+    from wane.sinks.writers import write_cache, write_report
+    from wane.sources.records import read_array, status_of
+
+    write_report(spark.createDataFrame([(3, [1, 2])], "n int, xs array<int>"), str(tmp_path / "report"))
+    (line,) = [x for f in (tmp_path / "report").glob("part-*") for x in f.read_text().splitlines()]
+    assert json.loads(line) == {"n": 3, "xs": [1, 2]}
+    write_cache(empty_cache(spark), str(tmp_path / "cache"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        write_cache(empty_cache(spark), str(tmp_path / "cache"))
+    (tmp_path / "a.json").write_text('[{"x": 1},\n {"x": 2}]')
+    assert sorted(r.x for r in read_array(spark, str(tmp_path / "a.json"), "x int").collect()) == [1, 2]
+    (tmp_path / "empty.jsonl").write_text("")
+    rows = status_of(spark, {"empty": str(tmp_path / "empty.jsonl"), "none": str(tmp_path / "none.jsonl")}, "x int").collect()
+    assert {(r.input, r.n, r.present) for r in rows} == {("empty", 0, True), ("none", 0, False)}

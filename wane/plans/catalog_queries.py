@@ -85,6 +85,12 @@ def candidate_union(spark, d):
     return flat(cat.union_candidates(event_candidates(spark, d)), "origins")
 
 
+@query("catalog_records", f"""
+    select qualified_name, origin, origins, file || ':' || line as location, scope, param_name, message, raw_evidence from ({union_sql(EVENT_CANDIDATES_SQL)})""")
+def catalog_records(spark, d):
+    return flat(cat.catalog_records(cat.union_candidates(event_candidates(spark, d))), "origins")
+
+
 @query("scope_isolation", f"""
     select key_name as function_name, params, origins, raw_evidence, raw_hits, line from (
       select function_name as key_name, array_to_string(list_sort(string_split(param_name, '+')), '+') as params,

@@ -442,6 +442,12 @@ def zero_shot_run(spark, d):
     return predictions.select("candidate_id", "cached", "is_deprecated_usage")
 
 
+@query("validation_cost", f"select source, count(*) as n, round(count(*) * {fixed.VALIDATION_TOKENS[0]} / 1e6 * {fixed.VALIDATION_PRICE[0]} + count(*) * {fixed.VALIDATION_TOKENS[1]} / 1e6 * {fixed.VALIDATION_PRICE[1]}, 6) as cost from documents group by 1")
+def validation_cost(spark, d):
+    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return r6(g.withColumn("cost", ver.validation_cost(F.col("n"))), "cost")
+
+
 @query("second_pass_sample", f"""
     with i as (select doc_id, case when quality = 1 then 'candidate_positive' else 'hard_negative' end as stratum, {_draw_sql(42, 'doc_id')} as dr from labels where toxic = 0)
     select doc_id as benchmark_id, stratum from (select *, row_number() over (partition by stratum order by dr) as rn from i) where rn <= case stratum when 'hard_negative' then 8 else 22 end""")

@@ -44,13 +44,18 @@ def read_corpus(spark: SparkSession, path: str, library: str) -> DataFrame:
 
 
 def status_of(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
-    """Which inputs exist and how many rows they hold."""
-    parts = [read_lines(spark, p, schema).agg(F.count("*").alias("n")).select(F.lit(k).alias("input"), "n")
-             for k, p in paths.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("present", F.col("n") > 0)
+    """Which inputs exist and how many rows they hold; a file without rows exists."""
+    out = None
+    for name, path in paths.items():
+        try:
+            rows, present = spark.read.schema(schema).json(path), True
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows, present = spark.createDataFrame([], schema), False
+        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("input"), "n", F.lit(present).alias("present"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
