@@ -16,8 +16,6 @@ from wane.llm.common import stored, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: From this score on a document is toxic.
 TOXIC = 0.7
-#: Below this probability the best language says nothing.
-LEAST_LANGUAGE_SCORE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose language the network can tell."""
+    """Documents whose language is determined: a text without any letter goes, a short one with a doubtful language stays."""
     told = language.identify(docs.select(COLUMNS), language.learn(docs))
-    return told.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
+    return told.filter(F.col("lang_pred") != language.UNDETERMINED).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
