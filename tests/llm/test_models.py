@@ -125,6 +125,18 @@ def test_language_model_counts(spark):
     assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
 
 
+def test_each_word_before_is_a_context(spark):
+    """3,000 words, each always before the same other one: classes of several of them would share their chances."""
+    n, times = 3000, 20
+    rows = [(i, f"a{i} b{i} " * times) for i in range(n)] + [(n + i, f"a{i} b{i}") for i in range(0, n, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r for r in lm.score(docs, F.col("doc_id") >= n, shards=5, block_bytes=100_000).collect()}
+    follows = (times - 0.8) / (times + 5)  # one table, without what the parent adds
+    for i in range(n):  # each line has the pair so often
+        assert out[i]["n_tokens"] == 2 * times + 1 and out[i]["train_tokens"] == n * (2 * times + 1)
+        assert out[i]["score"] > times * math.log10(follows * 0.9) + (times - 1) * math.log10(0.9 * (times - 1 - 0.8) / (times + 5)) - 12
+
+
 def test_chances_sum_to_one():
     """Over all known words and the unknown one, in every context."""
     contexts, words = 4, 30

@@ -1,12 +1,14 @@
 """Word model of hierarchical Pitman-Yor processes, sampled by Gibbs in Chinese restaurants.
 
-A word's context is the class of the word before it (its hash, modulo `contexts`; the begin of a text is a word). Each context has
-a restaurant, and all share one parent restaurant of words without context, whose base is uniform over the known words and one
-unknown. A customer of a context either joins a table of its dish or opens one, which sends a customer to the parent.
-
-The corpus is dealt once, by hash of the word: a shard holds every occurrence of its words as packed rows, so counts, tables
-and the parent's probabilities of a word are all local and only totals of contexts (a fixed number) pass through the
-driver. A sweep seats each dish of each restaurant anew given all others. Predictive probabilities are averaged over the samples.
+A word's context is the word before it (the begin of a text is a word). Each context has a restaurant, and all share one parent
+restaurant of words without context, whose base is uniform over the known words and one unknown. A customer of a context either
+joins a table of its dish or opens one, which sends a customer to the parent; contexts with few customers mostly follow the parent.
+
+Each block of texts sends its distinct (word, context) pairs with their counts to shards by hash of the word, so counts, tables and
+the parent's probabilities of a word are local. Customers and tables of contexts are a table, dealt by context: after each
+sweep shards send it what they hold, and it answers each shard with the sums. Only the parent's totals pass through the driver. A sweep
+seats each dish of each restaurant anew given all others. Predictive probabilities are averaged over the samples and go back
+to the blocks, in the order of their pairs.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def _unzip(raw: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
-def tokens(texts: list[str | None], contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(texts: list[str | None], contexts: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, context and text of every token in order: the words of each text, then its end."""
     data, starts = joined_bytes(texts)
     word, doc = hashed_words(data, starts)
@@ -53,15 +55,22 @@ def tokens(texts: list[str | None], contexts: int) -> tuple[np.ndarray, np.ndarr
     before = np.empty_like(out)
     before[1:] = out[:-1]
     before[np.concatenate(([0], last[:-1]))] = BEGIN
-    return out, (mixed(before ^ BEGIN) % np.uint64(contexts)).astype(np.int32), of
+    before = mixed(before ^ BEGIN)
+    return out, before if contexts is None else mixed(before % np.uint64(contexts)), of
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Number of the part that a hash is dealt to; it grows with the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
-def _dealt(docs: DataFrame, kind: str, contexts: int, shards: int, block_bytes: int) -> DataFrame:
-    """Packed (word, context) pairs of blocks of texts by shard of the word: training count and the texts that have them.
+def _dealt(docs: DataFrame, kind: str, contexts: int | None, shards: int, block_bytes: int) -> DataFrame:
+    """Distinct (word, context) pairs of blocks of texts with training counts, packed, by shard of the word.
 
-    A row with shard -1 lists the block's texts. docs: (id, text, held).
+    A row with shard -1 lists the block's texts, and packed the number of each token's pair: those of the first shard come first.
+    docs: (id, text, held).
     """
-    schema = f"shard int, block long, n_pairs int, n_posts int, packed binary, ids array<{kind}>, held array<boolean>, sizes array<long>"
+    schema = f"shard int, block long, n int, packed binary, ids array<{kind}>, held array<boolean>, sizes array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, turn = TaskContext.get().partitionId() << 32, 0
@@ -71,31 +80,25 @@ def _dealt(docs: DataFrame, kind: str, contexts: int, shards: int, block_bytes:
             nonlocal turn
             word, context, of = tokens(texts, contexts)
             teaches = ~np.array(held)[of]
-            order = np.lexsort((context, word))  # stable: texts stay in order; the shard grows with the word
-            word, context, of, teaches = word[order], context[order], of[order], teaches[order]
-            del order
-            shard = ((word >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+            order = np.lexsort((context, word))
+            word, context, teaches = word[order], context[order], teaches[order]
             pair = np.ones(len(word), bool)
             pair[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-            post = pair.copy()
-            post[1:] |= of[1:] != of[:-1]
-            pairs, posts = np.flatnonzero(pair), np.flatnonzero(post)
+            pairs = np.flatnonzero(pair)
             taught = np.add.reduceat(teaches.astype(np.int64), pairs)
-            times = np.diff(np.append(posts, len(word)))
-            each = np.diff(np.append(np.searchsorted(posts, pairs), len(posts)))
-            p_cut, q_cut = np.searchsorted(shard[pairs], np.arange(shards + 1)), np.searchsorted(shard[posts], np.arange(shards + 1))
-            rows = [(-1, 0, 0, None, ids, held, np.bincount(of, minlength=len(texts)).tolist())]
-            for s in range(shards):
-                a, b, c, d = p_cut[s], p_cut[s + 1], q_cut[s], q_cut[s + 1]
-                if b > a:
-                    at = pairs[a:b]
-                    raw = _zip(word[at], context[at].astype("<u4"), taught[a:b].astype("<u4"), each[a:b].astype("<u4"), of[posts[c:d]].astype("<u4"), times[c:d].astype("<u4"))
-                    rows.append((s, b - a, d - c, raw, None, None, None))
-            number = first + turn
+            number = np.empty(len(word), np.int64)
+            number[order] = np.cumsum(pair) - 1
+            word, context = word[pairs], context[pairs]
+            cuts = np.searchsorted(_part(word, shards), np.arange(shards + 1))
+            rows = [(-1, len(number), _zip(number.astype("<u4")), ids, held, np.bincount(of, minlength=len(texts)).tolist())]
+            for s in np.flatnonzero(np.diff(cuts)):
+                a, b = cuts[s], cuts[s + 1]
+                rows.append((s, b - a, _zip(word[a:b], context[a:b], taught[a:b].astype("<u4")), None, None, None))
+            block = first + turn
             turn += 1
-            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())]
-            columns += [pa.array([r[4] for r in rows], pa.list_(id_kind)), pa.array([r[5] for r in rows], pa.list_(pa.bool_())), pa.array([r[6] for r in rows], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "n_pairs", "n_posts", "packed", "ids", "held", "sizes"])
+            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())]
+            columns += [pa.array([r[3] for r in rows], pa.list_(id_kind)), pa.array([r[4] for r in rows], pa.list_(pa.bool_())), pa.array([r[5] for r in rows], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "n", "packed", "ids", "held", "sizes"])
 
         size, id_kind = 0, pa.int64()
         for block in byte_blocks(batches, "text", 2_000_000):
@@ -113,32 +116,31 @@ def _dealt(docs: DataFrame, kind: str, contexts: int, shards: int, block_bytes:
     return docs.mapInArrow(run, schema)
 
 
-_PAIR = ("<u8", "<u4", "<u4", "<u4")
-
-
 def _shards(dealt: DataFrame) -> DataFrame:
-    """One row for each shard: its distinct pairs with training counts, and each block's texts with the number of the pair."""
-    schema = "shard int, n int, pairs binary, blocks array<struct<block:bigint,n:int,packed:binary>>"
+    """Of each shard one row of its distinct pairs (block null), and one for each block with the numbers of its pairs there.
+
+    The pairs are packed as number of the word, number of the context and training count; the words and contexts follow.
+    """
+    schema = "shard int, block long, n int, words int, contexts int, pairs binary, own binary"
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unzip(r.packed, *((k, r.n_pairs) for k in _PAIR), ("<u4", r.n_posts), ("<u4", r.n_posts)) for r in pdf.itertuples()]
+        parts = [_unzip(r.packed, ("<u8", r.n), ("<u8", r.n), ("<u4", r.n)) for r in pdf.itertuples()]
         word, context, taught = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((context, word))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (word[order][1:] != word[order][:-1]) | (context[order][1:] != context[order][:-1])
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
-        count = np.bincount(number, taught).astype("<u4")
         at = order[fresh]
-        blocks, a = [], 0
-        for block, p in zip(pdf["block"], parts, strict=True):
-            own = number[a : a + len(p[0])]
-            a += len(p[0])
-            posts = np.repeat(own, p[3]).astype("<u4")
-            blocks.append({"block": block, "n": len(posts), "packed": _zip(posts, p[4], p[5])})
-        return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "n": len(at), "pairs": _zip(word[at], context[at].astype("<u4"), count), "blocks": blocks}])
+        words, of_word = np.unique(word[at], return_inverse=True)
+        contexts, of_context = np.unique(context[at], return_inverse=True)
+        pairs = _zip(of_word.astype("<u4"), of_context.astype("<u4"), np.bincount(number, taught).astype("<u4"), words, contexts)
+        shard, cuts = pdf["shard"].iloc[0], np.cumsum([0, *pdf["n"]])
+        rows = [(shard, None, len(at), len(words), len(contexts), pairs, None)]
+        rows += [(shard, b, n, 0, 0, None, _zip(number[a : a + n].astype("<u4"))) for b, n, a in zip(pdf["block"], pdf["n"], cuts[:-1], strict=True)]
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("shard", "block", "n", "words", "contexts", "pairs", "own"))})
 
-    return dealt.filter("shard >= 0").select("shard", "block", "n_pairs", "n_posts", "packed").groupBy("shard").applyInPandas(merge, schema)
+    return dealt.filter("shard >= 0").select("shard", "block", "n", "packed").groupBy("shard").applyInPandas(merge, schema)
 
 
 def tables_of(count: np.ndarray, rate: np.ndarray, strength: float, discount: float, others: np.ndarray, random: np.random.Generator) -> np.ndarray:
@@ -212,94 +214,120 @@ class Model:
         return total / max(n, 1)
 
 
-def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the word, context and training count of each pair of a shard."""
-    word, context, count = _unzip(row["pairs"], ("<u8", row["n"]), ("<u4", row["n"]), ("<u4", row["n"]))
-    fresh = np.ones(len(word), bool)
-    fresh[1:] = word[1:] != word[:-1]
-    return np.cumsum(fresh) - 1, context.astype(np.int64), count.astype(float)
+class Shard:
+    """A shard's pairs, and the model as far as it is known: `answers` are rows (sweep, part, n, packed) of the contexts' table."""
+
+    def __init__(self, row, answers: pd.DataFrame, totals: list[tuple[float, float, int]], settings: tuple, parts: int):
+        n = row["n"]
+        self.number = int(row["shard"])
+        word, context, count, self.words, self.contexts = _unzip(row["pairs"], ("<u4", n), ("<u4", n), ("<u4", n), ("<u8", row["words"]), ("<u8", row["contexts"]))
+        self.word, self.context, self.count = word.astype(np.int64), context.astype(np.int64), count.astype(float)
+        self.cuts = np.searchsorted(_part(self.contexts, parts), np.arange(parts + 1))
+        self.model = Model(len(self.contexts), *settings)
+        tables = np.zeros((len(totals), len(self.contexts)))
+        for sweep, part, m, raw in answers[["sweep", "part", "n", "packed"]].itertuples(index=False):
+            customers, tables[sweep, self.cuts[part] : self.cuts[part + 1]] = _unzip(raw, ("<i8", m), ("<i8", m))
+            self.model.customers[self.cuts[part] : self.cuts[part + 1]] = customers
+        for k, (customers, parents, known) in enumerate(totals):
+            self.model.known = known
+            self.model.states.append((tables[k], customers, parents))
+
+
+#: What the contexts' table answers in place of a shard: the parent's customers and tables, the known words and all training tokens.
+_PARENT = -1
+
+
+def _swept(shards: DataFrame, answers: DataFrame | None, totals: list[tuple[float, float, int]], settings: tuple, parts: int) -> DataFrame:
+    """One more sweep, and the table of contexts after it: customers and tables, summed by context and sent to each shard that has it."""
+    sent = "part int, shard int, n int, packed binary"
+    sweep = len(totals)
+
+    def seat(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        s = Shard(left.iloc[0], right, totals, settings, parts)
+        for t, up, tables in s.model.replay(s.number, s.word, s.context, s.count):
+            pass
+        size = len(s.contexts)
+        customers, own = (np.bincount(s.context, x, size).astype("<i8") for x in (s.count, t))
+        rows = [(_PARENT, s.number, 4, _zip(np.array([up.sum(), tables.sum(), (np.bincount(s.word, s.count) > 0).sum(), s.count.sum()])))]
+        for p in np.flatnonzero(np.diff(s.cuts)):
+            a, b = s.cuts[p], s.cuts[p + 1]
+            rows.append((p, s.number, b - a, _zip(s.contexts[a:b], customers[a:b], own[a:b])))
+        return pd.DataFrame(rows, columns=["part", "shard", "n", "packed"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[0] == _PARENT:
+            sums = sum(_unzip(raw, ("<f8", n))[0] for n, raw in zip(pdf["n"], pdf["packed"], strict=True))
+            rows = [(_PARENT, sweep, _PARENT, len(sums), _zip(sums))]
+        else:
+            got = [_unzip(raw, ("<u8", n), ("<i8", n), ("<i8", n)) for n, raw in zip(pdf["n"], pdf["packed"], strict=True)]
+            _, number = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            customers, tables = (np.bincount(number, np.concatenate([g[i] for g in got])).astype("<i8")[number] for i in (1, 2))
+            cuts = np.cumsum([0, *pdf["n"]])
+            rows = [(shard, sweep, key[0], n, _zip(customers[a : a + n], tables[a : a + n])) for shard, n, a in zip(pdf["shard"], pdf["n"], cuts[:-1], strict=True)]
+        return pd.DataFrame(rows, columns=["shard", "sweep", "part", "n", "packed"])
 
+    pairs = shards.filter("block is null").select("shard", "n", "words", "contexts", "pairs")
+    answers = answers if answers is not None else shards.sparkSession.createDataFrame([], _ANSWER)
+    return pairs.groupBy("shard").cogroup(answers.filter(F.col("shard") >= 0).groupBy("shard")).applyInPandas(seat, sent).groupBy("part").applyInPandas(add, _ANSWER)
 
-def _totals(shards: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, float, float, int]:
-    """Customers and tables of every context, the parent's customers and tables, and the known words, after the last sweep."""
-    schema = "context int, customers double, tables double, known long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, parent, known = np.zeros((2, model.contexts)), np.zeros(2), 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                word, context, count = _opened(row)
-                for t, up, s in model.replay(row["shard"], word, context, count):
-                    pass
-                sums += np.stack([np.bincount(context, x, model.contexts) for x in (count, t)])
-                parent += up.sum(), s.sum()
-                known += int((np.bincount(word, count) > 0).sum())
-        own = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(own, -1), pa.int32()), pa.array(np.append(sums[0][own], parent[0])), pa.array(np.append(sums[1][own], parent[1])), pa.array(np.append(np.zeros(len(own), np.int64), known))],
-            names=["context", "customers", "tables", "known"])
-
-    rows = shards.select("shard", "n", "pairs").mapInArrow(run, schema).groupBy("context").agg(F.sum("customers"), F.sum("tables"), F.sum("known")).collect()
-    customers, tables, parent, known = np.zeros(model.contexts), np.zeros(model.contexts), (0.0, 0.0), 0
-    for c, x, y, k in rows:
-        if c < 0:
-            parent, known = (x, y), k
-        else:
-            customers[c], tables[c] = x, y
-    return customers, tables, *parent, known
+_ANSWER = "shard int, sweep int, part int, n int, packed binary"
 
 
 def score(
-    docs: DataFrame, held_out, contexts: int = 1024, strengths: tuple[float, float] = (50.0, 5.0), discounts: tuple[float, float] = (0.5, 0.8),
+    docs: DataFrame, held_out, contexts: int | None = None, strengths: tuple[float, float] = (50.0, 5.0), discounts: tuple[float, float] = (0.5, 0.8),
     sweeps: int = 3, burn_in: int = 1, shards: int | None = None, block_bytes: int = 7_000_000, seed: int = 3, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities.
 
     The model learns from the rows where `held_out` (a column) is not true. base_score is that of words alone with one added to every
-    count. Null and blank texts are one end. Null ids and repeated rows are scored like others. Without rows to learn from,
-    every word is unknown. An empty table gives no rows. Other columns are left out.
+    count. Each word before another is a context of its own; with `contexts`, they are merged into so many classes. Null and blank
+    texts are one end. Null ids and repeated rows are scored like others. Without rows to learn from, every word is unknown. An
+    empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
-    # Texts send a number to every shard that has words of theirs: as many shards for small inputs, or that traffic grows faster than they do.
+    # Blocks send a row to every shard that has words of theirs: as many shards for small inputs, or that traffic grows faster than they do.
     shards = shards or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     dealt = stored(_dealt(rows, kind, contexts, shards, block_bytes), "lm-dealt")
     by_shard = stored(_shards(dealt), "lm-shards")
-    model = Model(contexts, strengths, discounts, sweeps, burn_in, seed)
+    settings, answers, total = (strengths, discounts, sweeps, burn_in, seed), None, 0
+    totals: list[tuple[float, float, int]] = []  # the parent's customers and tables and the known words, after each sweep
     for _ in range(sweeps + 1):
-        model.customers, tables, customers, parents, model.known = _totals(by_shard, model)
-        model.states.append((tables, customers, parents))
-    total = float(model.customers.sum())
-    unseen = 1.0 / (total + model.known + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                word, context, count = _opened(row)
-                own = np.bincount(word, count)[word]
-                base, chance = np.log10((own + 1) * unseen), np.log10(model.chances(row["shard"], word, context, count))
-                out = []
-                for b in row["blocks"]:
-                    pair, text, times = _unzip(b["packed"], *[("<u4", b["n"])] * 3)
-                    seen = np.unique(text)
-                    at = np.searchsorted(seen, text)
-                    sums = [np.bincount(at, x, len(seen)) for x in (base[pair] * times, chance[pair] * times, (own[pair] > 0) * times)]
-                    out.append((b["block"], len(seen), _zip(seen.astype("<u4"), sums[0], sums[1], sums[2].astype("<u4"))))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["block", "n", "packed"])
-
-    sums = by_shard.mapInArrow(run, "block long, n int, packed binary")
-    texts = dealt.filter("shard = -1").select("block", "ids", "held", "sizes")
+        table = stored(_swept(by_shard, answers, totals, settings, shards), "lm-contexts")
+        answers = table if answers is None else answers.union(table)
+        parent = table.filter(F.col("shard") == _PARENT).first()
+        customers, parents, known, total = _unzip(parent["packed"], ("<f8", 4))[0] if parent else np.zeros(4)
+        totals.append((float(customers), float(parents), int(known)))
+    total = int(total)
+    unseen = 1.0 / (total + totals[-1][2] + 1)
+
+    def chances(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        alone = left["block"].isna()
+        s = Shard(left[alone].iloc[0], right, totals, settings, shards)
+        own, chance = np.bincount(s.word, s.count)[s.word].astype("<i8"), s.model.chances(s.number, s.word, s.context, s.count)
+        out = []
+        for block, n, raw in left[~alone][["block", "n", "own"]].itertuples(index=False):
+            pair, = _unzip(raw, ("<u4", n))
+            out.append((int(block), s.number, n, _zip(own[pair], chance[pair])))
+        return pd.DataFrame(out, columns=["block", "shard", "n", "packed"])
+
+    # Blocks are numbered beyond what a double holds exactly; text keeps them whole next to nulls in pandas.
+    named = by_shard.withColumn("block", F.col("block").cast("string"))
+    known_to = answers.filter(F.col("shard") >= 0)
+    judged = named.groupBy("shard").cogroup(known_to.groupBy("shard")).applyInPandas(chances, "block long, shard int, n int, packed binary")
+    texts = dealt.filter("shard = -1").select("block", "n", "packed", "ids", "held", "sizes")
     schema = f"`{id_column}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def gather(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        n = len(left["ids"].iloc[0])
-        base, chance, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-        for m, raw in zip(right["n"], right["packed"], strict=True):
-            text, x, y, z = _unzip(raw, ("<u4", m), ("<f8", m), ("<f8", m), ("<u4", m))
-            base[text] += x
-            chance[text] += y
-            known[text] += z
-        return pd.DataFrame({id_column: pd.Series(list(left["ids"].iloc[0]), dtype=object), "held_out": list(left["held"].iloc[0]), "n_tokens": list(left["sizes"].iloc[0]), "n_known": known, "train_tokens": int(total), "base_score": base, "score": chance})
-
-    return texts.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(gather, schema)
+        row, right = left.iloc[0], right.sort_values("shard")
+        parts = [_unzip(raw, ("<i8", m), ("<f8", m)) for m, raw in zip(right["n"], right["packed"], strict=True)]
+        own, chance = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        pair, = _unzip(row["packed"], ("<u4", row["n"]))
+        sizes = np.asarray(row["sizes"])
+        starts = np.cumsum(sizes) - sizes
+        base, score, known = (np.add.reduceat(x[pair], starts) for x in (np.log10((own + 1) * unseen), np.log10(chance), (own > 0).astype(np.int64)))
+        return pd.DataFrame({id_column: pd.Series(list(row["ids"]), dtype=object), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": known, "train_tokens": total, "base_score": base, "score": score})
+
+    return texts.groupBy("block").cogroup(judged.groupBy("block")).applyInPandas(gather, schema)
