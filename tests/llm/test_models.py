@@ -137,6 +137,34 @@ def test_each_word_before_is_a_context(spark):
         assert out[i]["score"] > times * math.log10(follows * 0.9) + (times - 1) * math.log10(0.9 * (times - 1 - 0.8) / (times + 5)) - 12
 
 
+def test_frequent_words_are_dealt_by_pair(spark, monkeypatch):
+    """No shard holds all pairs of the most frequent word, and scores keep their scale; shards follow the input."""
+    r = random.Random(9)
+    rows = [(i, " ".join(f"the w{int(r.paretovariate(0.6)) % 5000}" for _ in range(40))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = docs.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held"))
+    the = hashed_words(*joined_bytes(["the"]))[0][0]
+    assert the in lm._frequent(plain, 2, 1) and lm.END not in lm._frequent(plain, 1, 1)
+    had = {}
+    for most in (0, 2):
+        kept = lm._shards(lm._dealt(plain, "bigint", None, 8, 20_000, lm._frequent(plain, most, 1))).filter("block is null").collect()
+        pairs = []
+        for k in kept:
+            word, _, _, words, _ = lm._unzip(k["pairs"], *[("<u4", k["n"])] * 3, ("<u8", k["words"]), ("<u8", k["contexts"]))
+            pairs.append(int((words[word] == the).sum()))
+        had[most] = pairs
+    assert sum(had[0]) == sum(had[2]) == max(had[0]) and max(had[2]) < 0.3 * sum(had[2])
+    scores = [{x["doc_id"]: x for x in lm.score(docs, F.col("doc_id") % 5 == 0, shards=8, block_bytes=20_000, most_frequent=m).collect()} for m in (0, 2, 1000)]
+    for other in scores[1:]:
+        assert all((x["base_score"], x["n_known"], x["train_tokens"]) == (pytest.approx(other[i]["base_score"]), other[i]["n_known"], other[i]["train_tokens"]) for i, x in scores[0].items())
+        assert np.mean([x["score"] for x in other.values()]) == pytest.approx(np.mean([x["score"] for x in scores[0].values()]), rel=0.02)
+    asked = []
+    dealt = lm._dealt
+    monkeypatch.setattr(lm, "_dealt", lambda *a: asked.append(a[3]) or dealt(*a))
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1000)
+    assert lm.score(docs, F.lit(False)).count() == 300 and asked[0] > 64
+
+
 def test_chances_sum_to_one():
     """Over all known words and the unknown one, in every context."""
     contexts, words = 4, 30

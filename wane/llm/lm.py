@@ -5,7 +5,8 @@ restaurant of words without context, whose base is uniform over the known words
 joins a table of its dish or opens one, which sends a customer to the parent; contexts with few customers mostly follow the parent.
 
 Each block of texts sends its distinct (word, context) pairs with their counts to shards by hash of the word, so counts, tables and
-the parent's probabilities of a word are local. Customers and tables of contexts are a table, dealt by context: after each
+the parent's probabilities of a word are local. The most frequent words are dealt by pair instead, and their sums added up on
+the driver: no shard holds more than a thousandth of the tokens for the sake of one word. Customers and tables of contexts are a table, dealt by context: after each
 sweep shards send it what they hold, and it answers each shard with the sums. Only the parent's totals pass through the driver. A sweep
 seats each dish of each restaurant anew given all others. Predictive probabilities are averaged over the samples and go back
 to the blocks, in the order of their pairs.
@@ -26,6 +27,8 @@ from wane.llm.common import byte_blocks, hashed_words, joined_bytes, mixed, stor
 
 #: Words of their own: the end of a text, and what stands before its first word.
 END, BEGIN = np.uint64(0x51ED270B9A3C15D7), np.uint64(0x1B56C4E9A1D2F083)
+#: Bytes of texts for each shard at most on average, and those in which frequent words are looked for.
+SHARD_BYTES, SAMPLE_BYTES = 12_000_000, 8_000_000
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -64,8 +67,21 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
-def _dealt(docs: DataFrame, kind: str, contexts: int | None, shards: int, block_bytes: int) -> DataFrame:
-    """Distinct (word, context) pairs of blocks of texts with training counts, packed, by shard of the word.
+def _frequent(docs: DataFrame, most: int, share: int) -> np.ndarray:
+    """The `most` words with most tokens in one of `share` texts, ascending. They decide where pairs go, not what is counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in byte_blocks(batches, "text", 2_000_000):
+            word, count = np.unique(tokens(block["text"].to_pylist())[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))], names=["word", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(share)) == 0).select("text")
+    counts = some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def _dealt(docs: DataFrame, kind: str, contexts: int | None, shards: int, block_bytes: int, frequent: np.ndarray) -> DataFrame:
+    """Distinct (word, context) pairs of blocks of texts with training counts, packed, by shard of the word, or of the pair if it is frequent.
 
     A row with shard -1 lists the block's texts, and packed the number of each token's pair: those of the first shard come first.
     docs: (id, text, held).
@@ -89,7 +105,12 @@ def _dealt(docs: DataFrame, kind: str, contexts: int | None, shards: int, block_
             number = np.empty(len(word), np.int64)
             number[order] = np.cumsum(pair) - 1
             word, context = word[pairs], context[pairs]
-            cuts = np.searchsorted(_part(word, shards), np.arange(shards + 1))
+            shard = np.where(np.isin(word, frequent), _part(mixed(word ^ mixed(context)), shards), _part(word, shards))
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            number, word, context, taught = place[number], word[order], context[order], taught[order]
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             rows = [(-1, len(number), _zip(number.astype("<u4")), ids, held, np.bincount(of, minlength=len(texts)).tolist())]
             for s in np.flatnonzero(np.diff(cuts)):
                 a, b = cuts[s], cuts[s + 1]
@@ -175,6 +196,8 @@ class Model:
         self.customers = np.zeros(contexts)
         self.known = 0
         self.states: list[tuple[np.ndarray, float, float]] = []  # tables of each context, the parent's customers and tables
+        # Numbers of words that other shards have too, and their customers and tables at the parent in each state.
+        self.shared, self.whole = np.empty(0, np.int64), []
 
     def replay(self, shard: int, word: np.ndarray, context: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """After the start and after each sweep known so far: tables of the pairs, customers and tables of the words at the parent.
@@ -188,13 +211,21 @@ class Model:
         up = np.bincount(word, t, words)
         s = (up > 0).astype(float)
         yield t, up, s
-        for tables, customers, parents in self.states:
+        for k, (tables, customers, parents) in enumerate(self.states):
+            up, s = self.joined(k, up, s)
             rate = self.parent(up, s, customers, parents)[word]
             t = np.where(taught, tables_of(count, rate, self.strengths[1], self.discounts[1], np.maximum(tables[context] - t, 0), random), 0)
             up = np.bincount(word, t, words)
             s = tables_of(up, np.full(words, 1 / (self.known + 1)), self.strengths[0], self.discounts[0], np.maximum(parents - s, 0), random)
             yield t, up, s
 
+    def joined(self, k: int, up: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of the words at the parent in a state, with what other shards have."""
+        if len(self.shared):
+            up, s = up.copy(), s.copy()
+            up[self.shared], s[self.shared] = self.whole[k]
+        return up, s
+
     def parent(self, up: np.ndarray, s: np.ndarray, customers: float, parents: float) -> np.ndarray:
         strength, discount = self.strengths[0], self.discounts[0]
         return (np.maximum(up - discount * s, 0) + (strength + discount * parents) / (self.known + 1)) / (strength + customers)
@@ -207,6 +238,7 @@ class Model:
             if k < self.burn_in or k >= len(self.states):
                 continue
             tables, customers, parents = self.states[k]
+            up, s = self.joined(k, up, s)
             rate = self.parent(up, s, customers, parents)[word]
             here = self.customers[context]
             total += (np.maximum(count - discount * t, 0) + (strength + discount * tables[context]) * rate) / (strength + here)
@@ -214,10 +246,24 @@ class Model:
         return total / max(n, 1)
 
 
+class Totals:
+    """The parent's customers, tables, known words and all training tokens after a sweep; customers, tables and tokens of frequent words."""
+
+    def __init__(self, sums: np.ndarray, last: Totals | None, settings: tuple, shards: int, sweep: int):
+        strengths, discounts, *_, seed = settings
+        self.up, self.count = np.split(sums[4:], 2)
+        self.known, self.tokens = int(sums[2] + (self.count > 0).sum()), int(sums[3])
+        self.tables = (self.up > 0).astype(float)
+        if last and len(self.up):
+            others = np.maximum(last.parents - last.tables, 0)
+            self.tables = tables_of(self.up, np.full(len(self.up), 1 / (self.known + 1)), strengths[0], discounts[0], others, np.random.default_rng((seed, shards, sweep)))
+        self.customers, self.parents = float(sums[0] + self.up.sum()), float(sums[1] + self.tables.sum())
+
+
 class Shard:
     """A shard's pairs, and the model as far as it is known: `answers` are rows (sweep, part, n, packed) of the contexts' table."""
 
-    def __init__(self, row, answers: pd.DataFrame, totals: list[tuple[float, float, int]], settings: tuple, parts: int):
+    def __init__(self, row, answers: pd.DataFrame, totals: list[Totals], settings: tuple, parts: int, frequent: np.ndarray):
         n = row["n"]
         self.number = int(row["shard"])
         word, context, count, self.words, self.contexts = _unzip(row["pairs"], ("<u4", n), ("<u4", n), ("<u4", n), ("<u8", row["words"]), ("<u8", row["contexts"]))
@@ -228,27 +274,35 @@ class Shard:
         for sweep, part, m, raw in answers[["sweep", "part", "n", "packed"]].itertuples(index=False):
             customers, tables[sweep, self.cuts[part] : self.cuts[part + 1]] = _unzip(raw, ("<i8", m), ("<i8", m))
             self.model.customers[self.cuts[part] : self.cuts[part + 1]] = customers
-        for k, (customers, parents, known) in enumerate(totals):
-            self.model.known = known
-            self.model.states.append((tables[k], customers, parents))
+        self.model.shared = np.flatnonzero(np.isin(self.words, frequent))
+        self.among = np.searchsorted(frequent, self.words[self.model.shared])
+        for k, x in enumerate(totals):
+            self.model.known = x.known
+            self.model.states.append((tables[k], x.customers, x.parents))
+            self.model.whole.append((x.up[self.among], x.tables[self.among]))
 
 
-#: What the contexts' table answers in place of a shard: the parent's customers and tables, the known words and all training tokens.
+#: What the contexts' table answers in place of a shard: sums for Totals.
 _PARENT = -1
 
 
-def _swept(shards: DataFrame, answers: DataFrame | None, totals: list[tuple[float, float, int]], settings: tuple, parts: int) -> DataFrame:
+def _swept(shards: DataFrame, answers: DataFrame | None, totals: list[Totals], settings: tuple, parts: int, frequent: np.ndarray) -> DataFrame:
     """One more sweep, and the table of contexts after it: customers and tables, summed by context and sent to each shard that has it."""
     sent = "part int, shard int, n int, packed binary"
     sweep = len(totals)
 
     def seat(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        s = Shard(left.iloc[0], right, totals, settings, parts)
+        s = Shard(left.iloc[0], right, totals, settings, parts, frequent)
         for t, up, tables in s.model.replay(s.number, s.word, s.context, s.count):
             pass
         size = len(s.contexts)
         customers, own = (np.bincount(s.context, x, size).astype("<i8") for x in (s.count, t))
-        rows = [(_PARENT, s.number, 4, _zip(np.array([up.sum(), tables.sum(), (np.bincount(s.word, s.count) > 0).sum(), s.count.sum()])))]
+        count, shared = np.bincount(s.word, s.count), s.model.shared
+        alone, sums = np.ones(len(s.words), bool), np.zeros(4 + 2 * len(frequent))
+        alone[shared] = False
+        sums[:4] = up[alone].sum(), tables[alone].sum(), (count[alone] > 0).sum(), s.count.sum()
+        sums[4 + s.among], sums[4 + len(frequent) + s.among] = up[shared], count[shared]
+        rows = [(_PARENT, s.number, len(sums), _zip(sums))]
         for p in np.flatnonzero(np.diff(s.cuts)):
             a, b = s.cuts[p], s.cuts[p + 1]
             rows.append((p, s.number, b - a, _zip(s.contexts[a:b], customers[a:b], own[a:b])))
@@ -276,7 +330,7 @@ _ANSWER = "shard int, sweep int, part int, n int, packed binary"
 
 def score(
     docs: DataFrame, held_out, contexts: int | None = None, strengths: tuple[float, float] = (50.0, 5.0), discounts: tuple[float, float] = (0.5, 0.8),
-    sweeps: int = 3, burn_in: int = 1, shards: int | None = None, block_bytes: int = 7_000_000, seed: int = 3, id_column: str = "doc_id", text_column: str = "text",
+    sweeps: int = 3, burn_in: int = 1, shards: int | None = None, block_bytes: int = 7_000_000, seed: int = 3, most_frequent: int = 1000, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities.
 
@@ -286,27 +340,31 @@ def score(
     empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
-    # Blocks send a row to every shard that has words of theirs: as many shards for small inputs, or that traffic grows faster than they do.
-    shards = shards or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    dealt = stored(_dealt(rows, kind, contexts, shards, block_bytes), "lm-dealt")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Blocks send a row to every shard that has words of theirs: as many shards for small inputs, or that traffic grows faster than they do.
+    shards = shards or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
+    frequent = _frequent(rows, most_frequent, max(1, size // SAMPLE_BYTES))
+    dealt = stored(_dealt(rows, kind, contexts, shards, block_bytes, frequent), "lm-dealt")
     by_shard = stored(_shards(dealt), "lm-shards")
-    settings, answers, total = (strengths, discounts, sweeps, burn_in, seed), None, 0
-    totals: list[tuple[float, float, int]] = []  # the parent's customers and tables and the known words, after each sweep
-    for _ in range(sweeps + 1):
-        table = stored(_swept(by_shard, answers, totals, settings, shards), "lm-contexts")
+    settings, answers = (strengths, discounts, sweeps, burn_in, seed), None
+    totals: list[Totals] = []
+    for sweep in range(sweeps + 1):
+        table = stored(_swept(by_shard, answers, totals, settings, shards, frequent), "lm-contexts")
         answers = table if answers is None else answers.union(table)
         parent = table.filter(F.col("shard") == _PARENT).first()
-        customers, parents, known, total = _unzip(parent["packed"], ("<f8", 4))[0] if parent else np.zeros(4)
-        totals.append((float(customers), float(parents), int(known)))
-    total = int(total)
-    unseen = 1.0 / (total + totals[-1][2] + 1)
+        sums = _unzip(parent["packed"], ("<f8", parent["n"]))[0] if parent else np.zeros(4 + 2 * len(frequent))
+        totals.append(Totals(sums, totals[-1] if totals else None, settings, shards, sweep))
+    total = totals[-1].tokens
+    unseen = 1.0 / (total + totals[-1].known + 1)
 
     def chances(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         alone = left["block"].isna()
-        s = Shard(left[alone].iloc[0], right, totals, settings, shards)
-        own, chance = np.bincount(s.word, s.count)[s.word].astype("<i8"), s.model.chances(s.number, s.word, s.context, s.count)
+        s = Shard(left[alone].iloc[0], right, totals, settings, shards, frequent)
+        count = np.bincount(s.word, s.count)
+        count[s.model.shared] = totals[-1].count[s.among]
+        own, chance = count[s.word].astype("<i8"), s.model.chances(s.number, s.word, s.context, s.count)
         out = []
         for block, n, raw in left[~alone][["block", "n", "own"]].itertuples(index=False):
             pair, = _unzip(raw, ("<u4", n))
