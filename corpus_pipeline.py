@@ -1,6 +1,6 @@
 """From documents to packed training sequences: each stage takes what the one before has kept.
 
-A document goes when the toxicity machine scores it 0.7 or more, when no language can be told, or when a near-duplicate with a smaller id
+A document goes when the toxicity machine scores it 0.7 or more, when it has no letter or cannot be read, or when a near-duplicate with a smaller id
 stays. What remains loses the byte strings that occurred earlier and is packed.
 """
 
@@ -16,6 +16,8 @@ from wane.llm.common import stored, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: From this score on a document is toxic.
 TOXIC = 0.7
+#: Windows of noise for each window of text that teaches the languages.
+NOISE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined: a text without any letter goes, a short one with a doubtful language stays."""
-    told = language.identify(docs.select(COLUMNS), language.learn(docs))
+    """Documents that can be read in some language: those without a letter go, and those of 60 letters or more that the network takes
+    for noise. A short one with a doubtful language stays, and all with a letter if there is no language to learn."""
+    network = language.learn(docs, noise_share=NOISE)
+    if not network.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    told = language.identify(docs.select(COLUMNS), network)
     return told.filter(F.col("lang_pred") != language.UNDETERMINED).select(COLUMNS)
 
 

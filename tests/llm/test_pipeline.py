@@ -62,3 +62,26 @@ def test_stages(spark, tmp_path):
 def test_run_on_given_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_unreadable_texts_go(spark):
+    """The network rejects long texts of noise and scripts never learned; short ones and those without a label stay."""
+    rows, _ = corpus()
+    r = random.Random(8)
+    made = {
+        "letters": lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(500)),
+        "keys": lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(500)),
+        "script": lambda: "".join(r.choice("абвгдежзийклмнопрст   ") for _ in range(500)),
+        "bytes": lambda: "".join(chr(r.randrange(0xA0, 0x250)) for _ in range(400)),
+    }
+    bad = [(5000 + i, make(), None, "s", False) for i, make in enumerate(m for m in made.values() for _ in range(10))]
+    short = [(6000 + i, make()[:40], None, "s", False) for i, make in enumerate(made.values())]
+    unlabelled = [(7000 + i, t, None, "s", False) for i, t, *_ in rows[:50]]
+    docs = spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s, _ in rows + bad + short + unlabelled], SCHEMA)
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_unknown_language(spark, docs, "").collect()}
+    assert not kept & {b[0] for b in bad} and kept == {x[0] for x in rows + short + unlabelled} - {900, 901}
+
+
+def test_no_language_to_learn(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "... 12", None, "s", 6), (3, None, "en", "s", 0)], SCHEMA)
+    assert [x["doc_id"] for x in corpus_pipeline.drop_unknown_language(spark, docs, "").collect()] == [1]

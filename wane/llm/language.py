@@ -2,7 +2,7 @@
 
 Filters of several widths slide over windows of a fixed number of bytes, each filter keeps its largest value in the window, and a
 softmax over those gives the language. Trained in numpy. A text is cut into windows from end to end and their logits
-are averaged.
+are averaged. With windows of noise as one more class, the network also tells texts that cannot be read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ _KIND = np.array(
     dtype=np.uint8,
 )
 _BLANK = 27
+#: A text is unreadable from this probability on, if it has so many letters at least: less says too little.
+UNREADABLE, LEAST_LETTERS = 0.9, 60
+#: First characters of stretches of Unicode, from Latin-1 to private use.
+_STRETCHES = (0x80, 0x100, 0x370, 0x400, 0x590, 0x600, 0x900, 0xE00, 0x3040, 0x4E00, 0xAC00, 0xE000)
 
 
 def has_letter(text: str | None) -> bool:
@@ -41,13 +45,31 @@ def windows(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]
     return _KIND[np.frombuffer(data, np.uint8)].reshape(-1, size), np.repeat(np.arange(len(raw)), counts)
 
 
+def noise(x: np.ndarray, count: int, seed: int = 17) -> np.ndarray:
+    """Windows that cannot be read, by turns: the bytes of one of x in any order, any letters, any characters of a stretch of Unicode."""
+    random = np.random.default_rng(seed)
+    size, out = x.shape[1], []
+    for k in range(count):
+        blank = random.random(size) < random.random() / 4
+        if k % 3 == 0:
+            out.append(random.permutation(x[random.integers(len(x))]))
+        elif k % 3 == 1:
+            out.append(np.where(blank, _BLANK, random.integers(0, 26 + random.integers(0, 2), size)).astype(np.uint8))
+        else:
+            first = random.choice(_STRETCHES) + random.integers(0, random.choice([32, 64, 128, 1024]), size)
+            out.append(windows(["".join(" " if b else chr(c) for b, c in zip(blank, first, strict=True))], size)[0][0])
+    return np.array(out, np.uint8).reshape(-1, size)
+
+
 class Network:
-    def __init__(self, languages: list[str], widths: tuple[int, ...], filters: int, size: int, seed: int = 5):
+    def __init__(self, languages: list[str], widths: tuple[int, ...], filters: int, size: int, seed: int = 5, rejects: bool = False):
+        """rejects: one more class, of what cannot be read, comes after the languages."""
         random = np.random.default_rng(seed)
+        self.rejects, self.bar = rejects, UNREADABLE
         self.languages, self.widths, self.filters, self.size = languages, widths, filters, size
         self.weights = {f"conv{w}": random.normal(0, 0.3, (w, KINDS, filters)).astype(np.float32) for w in widths}
         self.weights |= {f"bias{w}": np.zeros(filters, np.float32) for w in widths}
-        self.weights |= {"out": random.normal(0, 0.1, (filters * len(widths), len(languages))).astype(np.float32), "base": np.zeros(len(languages), np.float32)}
+        self.weights |= {"out": random.normal(0, 0.1, (filters * len(widths), len(languages) + rejects)).astype(np.float32), "base": np.zeros(len(languages) + rejects, np.float32)}
 
     def _pooled(self, x: np.ndarray, w: int) -> np.ndarray:
         """Values of the filters of one width at every place of the windows."""
@@ -123,7 +145,10 @@ class Network:
         return np.maximum(pooled, 0) @ self.weights["out"] + self.weights["base"]
 
     def predict(self, texts: list[str | None], tables: dict[int, list[np.ndarray]]) -> tuple[list[str], np.ndarray]:
-        """Language and its probability. Null texts and texts without a letter are undetermined, with score 0."""
+        """Language and its probability. Null texts and texts without a letter are undetermined, with score 0.
+
+        So are unreadable texts for a network that rejects, with the best language's score; short ones are never.
+        """
         letters = np.array([has_letter(t) for t in texts], bool)
         names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         at = np.flatnonzero(letters)
@@ -135,7 +160,12 @@ class Network:
         mean = np.stack([np.bincount(of, z[:, c]) / number for c in range(z.shape[1])], axis=1)
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        for i, c in zip(at, p.argmax(axis=1), strict=True):
+        unreadable = np.zeros(len(at), bool)
+        if self.rejects:
+            for k in np.flatnonzero(p[:, -1] >= self.bar):
+                unreadable[k] = sum(c.isalpha() for c in texts[at[k]]) >= LEAST_LETTERS
+            p = p[:, :-1]
+        for i, c in zip(at[~unreadable], p[~unreadable].argmax(axis=1), strict=True):
             names[i] = self.languages[c]
         score[at] = p.max(axis=1)
         return names, score
@@ -143,10 +173,12 @@ class Network:
 
 def learn(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", per_language: int = 800,
-    most_documents: int = 8000, windows_each: int = 3, size: int = 256, widths: tuple[int, ...] = (2, 3, 4), filters: int = 8, **settings,
+    most_documents: int = 8000, windows_each: int = 3, size: int = 256, widths: tuple[int, ...] = (2, 3, 4), filters: int = 8, noise_share: float = 0.0, **settings,
 ) -> Network:
     """Train on a sample: up to `per_language` documents of each language and `most_documents` in all, first by hash of id and text,
     and `windows_each` windows spread over each whole text. Rows without text or language, or without a letter, teach nothing.
+    With `noise_share`, so many windows of noise for each of these are a class of their own, and the network rejects what is like
+    them. The bar is raised above nine tenths of the windows of every language, so that none is taken for noise as a whole.
     """
     rows = docs.select(F.col(language_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -166,10 +198,18 @@ def learn(
     got = rows.join(F.broadcast(keys), ["lang", "h"]).select("lang", "text", "h").mapInArrow(run, "lang string, h long, window binary").collect()
     got = sorted((r[0], r[1], bytes(r[2])) for r in got)
     languages = sorted({r[0] for r in got})
-    network = Network(languages, widths, filters, size)
-    if len(languages) > 1:
+    network = Network(languages, widths, filters, size, rejects=noise_share > 0)
+    if len(languages) > 1 or languages and network.rejects:
         number = {name: k for k, name in enumerate(languages)}
-        network.train(np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, size), np.array([number[r[0]] for r in got]), **settings)
+        x, y = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, size), np.array([number[r[0]] for r in got])
+        if network.rejects:
+            more = noise(x, max(3, int(noise_share * len(x))))
+            network.train(np.concatenate([x, more]), np.concatenate([y, np.full(len(more), len(languages))]), **settings)
+            z = network.logits(x, network.tables()).astype(float)
+            p = 1 / np.exp(z - z[:, -1:]).sum(axis=1)
+            network.bar = max([UNREADABLE, *(float(np.quantile(p[y == k], 0.9)) for k in range(len(languages)))])
+        else:
+            network.train(x, y, **settings)
     return network
 
 
