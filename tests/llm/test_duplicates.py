@@ -121,6 +121,32 @@ def test_repeated_strings(spark, docs, length, most_cells):
     assert got == removed_of(sorted(some_documents(), key=lambda x: x[0]), length)
 
 
+def test_heavy_second_anchors_are_parted(spark):
+    """Windows that reach into one passage share anchors and differ outside: no task holds them all, and the result stays exact."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    passage = "q" + "zx" * 14 + "q"
+    rows = [(i, " ".join([word() for _ in range(4)] + [passage] * (i % 3 != 0) + [word() for _ in range(4)])) for i in range(150)]
+    rows += [(i, rows[i - 150][1]) for i in range(150, 170)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {i: spans for i, _, spans, _ in removed_of(rows, 30)}
+    got = substrings.remove_repeats(docs, length=30, most_cells=2, shards=3, block_bytes=2000, most_windows=60).collect()
+    assert {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"]] for x in got} == want
+
+    n, same = 4000, np.uint64(7)
+    one = np.random.default_rng(0).integers(0, 2**63, n // 2, np.uint64).repeat(2)
+    kinds = np.random.default_rng(1).permutation(n)
+    window = [x[kinds] for x in (one, one, np.arange(n), np.zeros(n, np.int64), np.full(n, same))]
+    packed = [(0, n // 8, bytearray(substrings._pack(*(w[a : a + n // 8] for w in window)))) for a in range(0, n, n // 8)]
+    windows = spark.createDataFrame(packed, "shard long, n int, packed binary")
+    heavy = substrings._heavy(windows, 200)
+    assert heavy == {7: 20} and substrings._heavy(windows, n) == {}
+    parts = {x["part"]: x["n"] for x in substrings._parted(windows, heavy).groupBy("part").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert len(parts) == 20 and max(parts.values()) < 400 and sum(parts.values()) == n
+    late = substrings._late_windows(windows, 30, 200).collect()
+    assert sorted(x["doc"] for x in late) == list(range(1, n, 2))
+
+
 def test_repeated_strings_edge_rows(spark):
     text = "é the quick brown fox jumps over the lazy dog " * 3
     rows = [(None, text), (2, text), (2, text), (1, "z" + text), (5, None)]

@@ -4,7 +4,8 @@ Every window of `length` bytes has an anchor, its smallest hashed k-mer; equal w
 one anchor form a cell. Cells are dealt by anchor: later cells of equal content are repeats as a whole, anchors with one cell
 are done, and only cells that share an anchor but differ need their windows compared. Those go, some anchors at a time, to suffix
 arrays; the windows of an anchor with very many different cells (the edge of a passage that many documents share) are
-grouped by their own digests instead, so that no anchor has to fit in one task.
+grouped by their own digests instead, so that no anchor has to fit in one task. These are dealt by a second anchor, so that neighbours
+stay together, and those of a second anchor with very many windows also by their digests.
 """
 
 from __future__ import annotations
@@ -237,7 +238,7 @@ def _earliest(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarr
     return order[fresh], list(zip(doc[late[at]].tolist(), start[late[at]].tolist(), (start[late[last]] + length).tolist(), strict=True)) if len(late) else []
 
 
-_WINDOW = ("<u8", "<u8", "<i8", "<i8")  # both digests, document, first byte
+_WINDOW = ("<u8", "<u8", "<i8", "<i8", "<u8")  # both digests, document, first byte, second anchor
 
 
 def _fetched(docs: DataFrame, asked: DataFrame, length: int, shards: int, most_windows: int = 150_000) -> DataFrame:
@@ -266,7 +267,7 @@ def _fetched(docs: DataFrame, asked: DataFrame, length: int, shards: int, most_w
             for s in range(shards):
                 own = at[cuts[s] : cuts[s + 1]]
                 if len(own):
-                    rows.append((3, s, len(own), None, None, None, _pack(one[own], two[own], doc[own], start[own])))
+                    rows.append((3, s, len(own), None, None, None, _pack(one[own], two[own], doc[own], start[own], by[own])))
             return batch_of(rows)
 
         many = 0
@@ -295,15 +296,51 @@ def _fetched(docs: DataFrame, asked: DataFrame, length: int, shards: int, most_w
     return docs.join(wanted, "doc").select("doc", "text", "cells").mapInArrow(run, schema)
 
 
-def _late_windows(windows: DataFrame, length: int) -> DataFrame:
-    """Spans of all but the earliest of equal windows. windows: packed rows (shard, n, packed)."""
+def _heavy(windows: DataFrame, most: int) -> dict[int, int]:
+    """Second anchors of more than `most` windows, and into how many parts each is dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, raw in zip(batch["n"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+                by, count = np.unique(_unpack(raw, n, *_WINDOW)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(by.view(np.int64)), pa.array(count.astype(np.int64))], names=["by", "n"])
+
+    counts = windows.select("n", "packed").mapInArrow(run, "by long, n long").groupBy("by").agg(F.sum("n").alias("n"))
+    return {r["by"]: -(-r["n"] // most) for r in counts.filter(F.col("n") > most).collect()}
+
+
+def _parted(windows: DataFrame, heavy: dict[int, int]) -> DataFrame:
+    """The windows by shard and part: 0, and for those of heavy second anchors one by their own digest, so that equal ones still meet."""
+    anchors = np.array(sorted(heavy), np.int64)
+    parts = np.array([heavy[a] for a in anchors.tolist()], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, n, raw in zip(*(batch[c].to_pylist() for c in ("shard", "n", "packed")), strict=True):
+                window = _unpack(raw, n, *_WINDOW)
+                by = window[4].view(np.int64)
+                at = np.minimum(np.searchsorted(anchors, by), len(anchors) - 1)
+                # Anchors of one shard have parts of their own.
+                part = np.where(anchors[at] == by, 1 + (mixed(window[0] ^ window[4]) % parts[at] + mixed(window[4]) % np.uint64(2**40)).astype(np.int64), 0)
+                order = np.argsort(part, kind="stable")
+                cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), n)
+                rows = [(part[order[a]], b - a, _pack(*(w[order[a:b]] for w in window))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), *(pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary())))], names=["shard", "part", "n", "packed"])
+
+    return windows.select("shard", "n", "packed").mapInArrow(run, "shard long, part long, n int, packed binary")
+
+
+def _late_windows(windows: DataFrame, length: int, most: int = 500_000) -> DataFrame:
+    """Spans of all but the earliest of equal windows; neighbours in different parts are spans of their own. windows: packed rows (shard, n, packed)."""
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(raw, n, *_WINDOW) for n, raw in zip(pdf["n"], pdf["packed"], strict=True)]
         _, spans = _earliest(*(np.concatenate([p[i] for p in parts]) for i in range(4)), length)
         return pd.DataFrame(spans, columns=["doc", "start", "end"]).astype(np.int64)
 
-    return windows.groupBy("shard").applyInPandas(judge, "doc long, start long, end long")
+    heavy = _heavy(windows, most)
+    dealt = _parted(windows, heavy) if heavy else windows.withColumn("part", F.lit(0).cast("long"))
+    return dealt.groupBy("shard", "part").applyInPandas(judge, "doc long, start long, end long")
 
 
 def _compared(cells: DataFrame, length: int, batch_bytes: int) -> DataFrame:
@@ -341,7 +378,7 @@ def _compared(cells: DataFrame, length: int, batch_bytes: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, most_cells: int = 32, shards: int | None = None, block_bytes: int = 24_000_000,
+    docs: DataFrame, length: int = 100, most_cells: int = 32, shards: int | None = None, block_bytes: int = 24_000_000, most_windows: int = 500_000,
     id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, n_bytes, spans, kept, kept_text, rest) of every row: the maximal removed runs of bytes and the bytes left, concatenated.
@@ -370,7 +407,7 @@ def remove_repeats(
     asked = judged.filter("kind > 1")
     fetched = stored(_fetched(known, asked, length, shards), "substrings-texts")
     compared = _compared(fetched.filter("kind = 2"), length, 700_000)
-    single = _late_windows(fetched.filter("kind = 3").select(F.col("anchor").alias("shard"), F.col("cells").alias("n"), F.col("cell").alias("packed")), length)
+    single = _late_windows(fetched.filter("kind = 3").select(F.col("anchor").alias("shard"), F.col("cells").alias("n"), F.col("cell").alias("packed")), length, most_windows)
     early = fetched.filter("kind = 4").select("doc", F.col("first").alias("start"), "end")
     spans = whole.union(compared).union(single).union(early).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
