@@ -36,6 +36,17 @@ def test_toxicity_learns_pairs(spark):
     assert len(out) == len(rows) and np.mean(right) > 0.95
 
 
+def test_toxicity_learns_from_given_documents_only(spark, monkeypatch):
+    """Labels of other ids neither use up the sample nor count for the labels' shares."""
+    docs = spark.createDataFrame([(i, f"word{i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)] + [(i, 1) for i in range(1000, 3000)], "doc_id long, toxic int")
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y, weights, **_: got.append((y, weights)))
+    toxicity.learn(docs, labels, per_label=10)
+    y, weights = got[0]
+    assert (y == 1).sum() == 10 and (y == 0).sum() == 10 and weights[y == 1].sum() == pytest.approx(10) and weights[y == 0].sum() == pytest.approx(30)
+
+
 def test_toxicity_edge_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     machine = toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int"))

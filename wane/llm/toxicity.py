@@ -120,10 +120,11 @@ def learn(
 ) -> Machine:
     """Fit a machine to a sample of at most `per_label` labelled documents of each label, the first by hash of the id.
 
-    Only their hashed terms reach the driver. Rows without id or label teach nothing; an id with both labels counts as 1. The
-    two samples are weighted to the shares of the labels in all labelled rows.
+    Only their hashed terms reach the driver. Rows without id or label teach nothing, nor do labels of ids that
+    `docs` lacks; an id with both labels counts as 1. The two samples are weighted to the shares of the labels in all labelled rows.
     """
     known = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label_column)).cast("int").alias("y"))
+    known = known.join(docs.select(F.col(id_column).alias("id")), "id", "left_semi")
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64("id")
     sample = known.filter("y = 0").orderBy(order, "id").limit(per_label).union(known.filter("y = 1").orderBy(order, "id").limit(per_label))
