@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wane.llm import ann, fingerprints, language, lm, neardup, packing, pieces, substrings, toxicity, warc
+from wane.llm import ann, fingerprints, hardneg, language, lm, neardup, packing, pieces, substrings, tokenfiles, toxicity, turns, turns_check, warc
 from wane.llm.common import bucket_of, shared_folder, table
 
 
@@ -74,8 +74,28 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_neighbours": op2_neighbours, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_warc": op5_warc, "op6_pieces": op6_pieces, "op7_language_model": op7_language_model, "op8_toxicity": op8_toxicity, "op9_language": op9_language,
-           "op10_spotsigs": op10_spotsigs}
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "tokens")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return tokenfiles.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, ((F.col("label") + 1) % 10).cast(rows.schema["label"].dataType)).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {
+    "op1_packing": op1_packing, "op2_neighbours": op2_neighbours, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings,
+    "op5_warc": op5_warc, "op6_pieces": op6_pieces, "op7_language_model": op7_language_model, "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language, "op10_spotsigs": op10_spotsigs, "op11_turns": op11_turns, "op12_token_files": op12_token_files,
+    "op13_hard_negatives": op13_hard_negatives,
+}
 
 #: Where SQL can express an operator. The others are compared with brute force, an exact round trip or held-out rows in tests/llm.
 CHECKS = {
@@ -92,5 +112,28 @@ SELECT page_id,
   CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_page THEN first_page END AS refers_to
 FROM f
+""",
+    "op11_turns": turns_check.CHECK,
+    "op13_hard_negatives": """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+    list_sum([CAST(a.v[i] * b.v[i] AS BIGINT) FOR i IN range(1, len(a.v) + 1)])::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> anchor_label AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
 """,
 }
