@@ -88,7 +88,7 @@ def test_manifest_rules(spark):
 def test_one_python_pass(spark):
     from wane.functions.syntax import snippet_calls
     df = spark.createDataFrame([("s", "x")], "sample_id string, function string")
-    out = df.select("sample_id", snippet_calls(F.col("function"), F.lit(None).cast("string")).alias("s"))
+    out = df.select("sample_id", snippet_calls(F.col("function")).alias("s"))
     out = out.select("sample_id", F.explode_outer("s.calls").alias("c"), "s.ok").where("c is not null")
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
@@ -102,19 +102,56 @@ def test_leaf_prediction_reports_the_first_target(spark):
 def test_long_chains_and_deep_code_stay_rows():
     from wane.functions.syntax import definition_rows, snippet_rows
 
-    chain = "from numpy import product as p0\n" + "".join(f"p{i + 1} = p{i}\n" for i in range(50)) + "p50(x)\n"
-    assert [c["resolved"] for c in snippet_rows(chain, None)["calls"]] == ["numpy.product"]
-    assert snippet_rows("a = b\nb = a\na.x()\n", None)["calls"][0]["resolved"] is None
-    methods = snippet_rows("x" + ".f()" * 1500, None)
+    methods = snippet_rows("x" + ".f()" * 1500)
     assert methods["ok"] and len(methods["calls"]) == 1500 and methods["calls"][0]["receiver_expr"] == "x" + ".f()" * 1499
     terms = "+".join(["a"] * 6000)
-    assert snippet_rows(f"({terms}).sum()", None)["calls"][0]["receiver_expr"].strip("()") == terms
+    assert snippet_rows(f"({terms}).sum()")["calls"][0]["receiver_expr"].strip("()") == terms
     (row,) = definition_rows(f"def f(b):\n    if {terms}:\n        warnings.warn('deprecated', DeprecationWarning)\n")
     assert row["warns"][0]["guards"][0]["test"] == terms
 
 
+def test_alias_chains_of_any_length_and_circles(spark):
+    chain = "from numpy import product as p0\n" + "".join(f"p{i + 1} = p{i}\n" for i in range(50)) + "product = p50\nproduct(x)\n"
+    rows = run(spark, chain, "a = b\nb = a\na.product()\n")
+    assert [(r.status, r.qualified_name) for r in rows] == [("resolved_deprecated", "numpy.product"), ("low_confidence", None)]
+
+
+SETS = {
+    # the later assignment hides the earlier one only where it must run
+    "import numpy as np\nimport itertools as it\nproduct = np.product\nproduct = it.product\nproduct(x)\n": ("resolved_benign", "itertools.product", None),
+    "import numpy as np\nimport itertools as it\nproduct = np.product\nproduct(x)\nproduct = it.product\n": ("resolved_deprecated", "numpy.product", None),
+    "import numpy as np\nimport itertools as it\nproduct = np.product\nif x:\n    product = it.product\nproduct(x)\n": ("low_confidence", None, "ambiguous_definitions"),
+    "import numpy as np\nimport itertools as it\nproduct = np.product\nif x:\n    product = it.product\n    product(x)\n": ("resolved_benign", "itertools.product", None),
+    "if x:\n    from numpy import product\nelse:\n    from itertools import product\n    product(x)\n": ("resolved_benign", "itertools.product", None),
+    "if x:\n    from numpy import product\nelse:\n    from itertools import product\nproduct(x)\n": ("low_confidence", None, "ambiguous_definitions"),
+    "try:\n    from scipy.misc import comb\nexcept ImportError:\n    from scipy.special import comb\ncomb(3)\n": ("low_confidence", None, "ambiguous_definitions"),
+    "try:\n    from numpy import product\nexcept ImportError:\n    product = None\nproduct(3)\n": ("resolved_deprecated", "numpy.product", None),
+    "if x:\n    from numpy import product\nelse:\n    from numpy.core.fromnumeric import product\nproduct(3)\n": ("resolved_deprecated", "numpy.product", None),
+    "if x:\n    from a.b import product\nelif y:\n    from a.b import product as product\nproduct(3)\n": ("resolved_benign", "a.b.product", None),
+    "import numpy as np\ndef f():\n    return np.product(3)\nimport itertools as np\n": ("resolved_benign", "itertools.product", None),
+    "match x:\n    case 1:\n        from numpy import product\n    case _:\n        from itertools import product\nproduct(3)\n": ("low_confidence", None, "ambiguous_definitions"),
+    "class A:\n    def product(self):\n        return self.product()\n": ("resolved_benign", "__main__.A.product", None),
+    "import pandas as pd\nclass A(pd.DataFrame):\n    pass\nclass B(A):\n    def g(self):\n        self.iteritems()\n": ("resolved_deprecated", "pandas.DataFrame.iteritems", None),
+}
+
+
+def test_definitions_that_reach_a_call(spark):
+    rows = run(spark, *SETS)
+    got = {r.sample_id: (r.status, r.qualified_name, r.reason) for r in rows}
+    assert got == {f"s{i}": want for i, want in enumerate(SETS.values())}
+    assert len(rows) == len(SETS)
+
+
+def test_code_that_the_parser_gives_up_on_is_a_row(spark):
+    (r,) = run(spark, "x = " + "-" * 200_000 + "1\n")
+    assert (r.status, r.reason) == ("low_confidence", "jedi_exception") and r.details
+    from wane.functions.syntax import definition_rows
+    (row,) = definition_rows("x = " + "-" * 200_000 + "1\n")
+    assert row["kind"] == "error" and "Error" in row["message"]
+
+
 def test_place_of_a_call_over_several_lines():
     from wane.functions.syntax import snippet_rows
 
-    (call,) = snippet_rows("y = (df\n     .é\n     .iteritems())\n", None)["calls"]
+    (call,) = snippet_rows("y = (df\n     .é\n     .iteritems())\n")["calls"]
     assert (call["line"], call["col"], call["receiver"], call["text"]) == (3, 6, "é", ".iteritems())")

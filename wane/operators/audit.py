@@ -17,7 +17,7 @@ DIRECT = "<direct_call>"
 def receiver_of_call(items: DataFrame, code: str = "enclosing_code", line: str = "client_line",
                      target: str = "target_api") -> DataFrame:
     """Source text of the receiver of the marked call; null when the line does not call the target."""
-    s = items.withColumn("_s", snippet_calls(F.col(code), F.lit(None).cast("string")))
+    s = items.withColumn("_s", snippet_calls(F.col(code)))
     hits = F.filter("_s.calls", lambda c: (c["line"] == F.col(line)) & c["kind"].isin("name", "attribute")
                     & (c["callee"] == leaf(F.col(target))))
     last = F.try_element_at(hits, F.lit(-1))

@@ -10,8 +10,10 @@ from wane import fixed_values as fixed
 from wane.functions.keys import candidate_id
 from wane.functions.names import compatible, leaf
 from wane.functions.syntax import snippet_calls
+from wane.operators.bindings import symbols
 from wane.operators.evidence import add_evidence
 from wane.operators.matching import first_match, leaf_lookup, match_target
+from wane.operators.reexports import traced
 from wane.session import cut_lineage
 
 def baseline_preamble() -> Column:
@@ -37,61 +39,118 @@ def reconstructed_preamble(alias_dict: Column) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
-def call_statuses(samples: DataFrame, catalog: DataFrame, preamble: Column, name: str = "qualified_name",
-                  order: list[str] | None = None, code: str = "function", carry: list[str] = ("sample_id", "library"),
-                  aliases: DataFrame | None = None) -> DataFrame:
-    """One row per call whose leaf name is in the catalog, with its status.
+def parsed_calls(samples: DataFrame, catalog: DataFrame, name: str, code: str, carry: list[str], *preambles: Column) -> DataFrame:
+    """Calls whose leaf name is in the catalog, with the symbols each may denote under every preamble: ``symbols_1`` and so on.
 
-    ``resolved_deprecated`` and ``resolved_benign`` calls resolve to an imported path
-    that is, or is not, in the catalog; all others are ``low_confidence`` with a reason.
-    The leaf join drops unrelated calls before anything is matched.
+    One parse per snippet. A snippet that cannot be parsed is a row of its own. The result is checkpointed: it is small, is read
+    more than once, and must not be parsed again.
     """
-    order = order or [name]
-    parsed = samples.select(*carry, snippet_calls(F.col(code), preamble).alias("s"))
-    # one pass over the parsed rows: a failed parse becomes a row of its own
+    parsed = samples.select(*carry, snippet_calls(F.col(code), *preambles).alias("s"))
+    error = F.col("s.error")
+    none = F.array().cast("array<string>")
     failed = F.struct(
-        F.lit(0).alias("idx"), F.lit("syntax_error").alias("kind"), F.lit("<syntax_error>").alias("callee"),
-        F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_expr"),
-        F.lit(None).cast("string").alias("resolved"), F.col("s.error.message").alias("resolved_late"),
-        F.array().cast("array<string>").alias("wildcards"), F.col("s.error.line").alias("line"),
-        F.col("s.error.offset").alias("col"), F.lit(0).alias("node_col"), F.col("s.error.text").alias("text"))
+        F.lit(0).alias("idx"), error["kind"].alias("kind"), F.concat(F.lit("<"), error["kind"], F.lit(">")).alias("callee"),
+        F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_expr"), F.lit("").alias("scope"),
+        none.alias("names"), F.lit(0).cast("bigint").alias("place"), F.array().cast("array<int>").alias("branch"),
+        none.alias("wildcards"), error["line"].alias("line"), error["offset"].alias("col"), F.lit(0).alias("node_col"),
+        error["text"].alias("text"))
     # explode_outer keeps the optimizer from parsing twice (see find_candidates)
     calls = parsed.select(
-        *carry, F.explode_outer(F.when(F.col("s.ok"), F.col("s.calls")).otherwise(F.array(failed))).alias("c")
-    ).where(F.col("c").isNotNull()).select(*carry, "c.*")
-    known = leaf_lookup(calls, catalog, name, only=["<syntax_error>"])
-    # the calls are read twice below; keep the small result of the parse, not the parse
-    known = cut_lineage(known)
+        *carry, F.col("s.bindings").alias("bindings"), error["message"].alias("message"),
+        F.explode_outer(F.when(F.col("s.ok"), F.col("s.calls")).otherwise(F.array(failed))).alias("c")
+    ).where(F.col("c").isNotNull()).select(*carry, "bindings", "message", "c.*", F.col("c").alias("call"))
+    known = leaf_lookup(calls, catalog, name, only=list(ERRORS.values()))
+    # names are followed after the leaf filter: most calls never get here
+    found = [symbols(F.col("call"), F.col("bindings"), k).alias(f"symbols_{k}") for k in range(1, max(1, len(preambles)) + 1)]
+    return cut_lineage(known.select(*[c for c in known.columns if c not in ("bindings", "call", "names", "scope", "place", "branch")], *found))
+
+
+#: Kinds of rows that stand for snippets without calls.
+ERRORS = {"syntax_error": "<syntax_error>", "resolver_error": "<resolver_error>"}
+
+
+def call_statuses(samples: DataFrame, catalog: DataFrame, preamble: Column, name: str = "qualified_name",
+                  order: list[str] | None = None, code: str = "function", carry: list[str] = ("sample_id", "library"),
+                  aliases: DataFrame | None = None, returns: DataFrame | None = None) -> DataFrame:
+    """One row per call whose leaf name is in the catalog, with its status.
+
+    ``resolved_deprecated`` and ``resolved_benign`` calls resolve to an imported path that is, or is not, in the catalog; all others are
+    ``low_confidence`` with a reason. Where several definitions reach a call, it is resolved if all of them are in the catalog or if all
+    stand in one module; else it is ambiguous. ``aliases`` (from_symbol, to_symbol) and ``returns`` (function, made) are what
+    ``operators.reexports`` finds in the libraries: they lead from the names that snippets use to those of the catalog.
+    """
+    known = parsed_calls(samples, catalog, name, code, carry, preamble)
+    return statuses_of(known, catalog, name, order or [name], carry, 1, aliases, returns)
+
+
+def compared_statuses(samples: DataFrame, catalog: DataFrame, preambles: dict[str, Column], name: str = "qualified_name",
+                      order: list[str] | None = None, code: str = "function", carry: list[str] = ("sample_id", "library"),
+                      aliases: DataFrame | None = None, returns: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The statuses under each of several preambles, from one parse."""
+    known = parsed_calls(samples, catalog, name, code, carry, *preambles.values())
+    return {p: statuses_of(known, catalog, name, order or [name], carry, k, aliases, returns) for k, p in enumerate(preambles, 1)}
+
+
+def module_of(symbol: Column) -> Column:
+    """The part of a symbol before its first capitalised part, or before its last part."""
+    of_class = F.regexp_extract(symbol, r"^((?:[^.\p{Lu}][^.]*\.)*)\p{Lu}", 1)
+    return F.when(of_class != "", of_class).otherwise(F.regexp_replace(symbol, r"[^.]*$", ""))
+
+
+def statuses_of(known: DataFrame, catalog: DataFrame, name: str, order: list[str], carry: list[str], layer: int = 1,
+                aliases: DataFrame | None = None, returns: DataFrame | None = None) -> DataFrame:
+    """Statuses of parsed calls under one preamble.
+
+    Each different set of symbols is looked up once, so neither a frequent call nor its code is moved by the matching.
+    """
+    usable = ~F.col("kind").isin("getattr", *ERRORS)
+    mine = F.col(f"symbols_{layer}")
+    if returns is None:
+        mine = F.filter(mine, lambda x: ~F.contains(x, F.lit("()")))
     # the last wildcard import can supply a bare name that the catalog knows
-    guess = F.when(F.size("wildcards") > 0, F.concat_ws(".", F.element_at("wildcards", -1), "callee"))
-    usable = ~F.col("kind").isin("getattr", "syntax_error")
-    firm = F.when(usable, F.coalesce("resolved", "resolved_late"))
-    known = known.withColumn("symbol", F.coalesce(firm, F.when(usable, guess))).withColumn("firm", firm.isNotNull())
-    if aliases is not None:
-        a = aliases.select(F.col("from_symbol").alias("symbol"), "to_symbol")
-        known = known.join(a, "symbol", "left").withColumn("symbol", F.coalesce("to_symbol", "symbol")).drop("to_symbol")
-    found = first_match(known, "symbol", catalog, name, order, "matched")
-    hit = F.col("matched").isNotNull()
+    guess = F.when(F.size("wildcards") > 0, F.array(F.concat_ws(".", F.element_at("wildcards", -1), "callee")))
+    firm = usable & (F.size(mine) > 0)
+    known = known.withColumn("firm", firm).withColumn(
+        "symbols", F.when(firm, mine).when(usable, guess))
+    sets = known.where("symbols is not null").select("symbols").distinct()
+    each = sets.select("symbols", F.posexplode("symbols").alias("k", "symbol"))
+    if aliases is not None or returns is not None:
+        each = traced(each, aliases, returns)
+    found = first_match(each, "symbol", catalog, name, order, "matched")
+    if "variant" in found.columns:
+        best = F.struct(F.col("matched").isNull(), "variant", "symbol")
+        found = found.groupBy("symbols", "k").agg(F.min_by("symbol", best).alias("symbol"), F.min_by("matched", best).alias("matched"))
+    # one row for each different set of symbols
+    lookup = found.groupBy("symbols").agg(
+        F.min_by("symbol", F.struct(F.col("matched").isNull(), "k")).alias("symbol"), F.min_by("matched", F.struct(F.col("matched").isNull(), "k")).alias("matched"),
+        F.count_distinct(module_of(F.col("symbol"))).alias("modules"), F.bool_and(F.col("matched").isNotNull()).alias("every"))
+    found = known.join(lookup.withColumnRenamed("symbols", "_set"), F.col("symbols") == F.col("_set"), "left")
+    several = F.coalesce(F.col("firm") & (F.col("modules") > 1) & ~F.col("every"), F.lit(False))
+    hit = F.col("matched").isNotNull() & ~several
+    error = F.col("kind").isin(*ERRORS)
     reason = (
         F.when(F.col("kind") == "syntax_error", F.lit("syntax_error"))
+        .when(error, F.lit("jedi_exception"))
         .when(F.col("kind") == "getattr", F.lit("dynamic_dispatch"))
+        .when(several, F.lit("ambiguous_definitions"))
         .when(F.col("receiver").isNotNull(), F.lit("unresolved_receiver"))
         .otherwise(F.lit("empty_goto")))
     details = (
-        F.when(F.col("kind") == "syntax_error", F.col("resolved_late"))
+        F.when(error, F.col("message"))
         .when(F.col("kind") == "getattr", F.lit("Dynamic invocation via getattr"))
+        .when(several, F.concat(F.lit("Definitions in several modules: "), F.array_join(F.array_sort("symbols"), ", ")))
         .when(F.col("receiver").isNotNull(),
               F.concat(F.lit("Receiver '"), "receiver", F.lit("' could not be statically resolved")))
         .otherwise(F.lit("The name has no definition in the snippet or its imports")))
     status = (
-        F.when(hit, F.lit("resolved_deprecated")).when(F.col("firm"), F.lit("resolved_benign"))
+        F.when(hit, F.lit("resolved_deprecated")).when(F.col("firm") & ~several & F.col("_set").isNotNull(), F.lit("resolved_benign"))
         .otherwise(F.lit("low_confidence")))
     low = F.col("status") == "low_confidence"
     return found.withColumn("status", status).select(
         *carry, "status", "idx", "callee", "receiver", "receiver_expr",
         F.col("line").alias("client_line"), F.col("col").alias("client_col"), "node_col",
         F.when(~low, F.col("symbol")).alias("qualified_name"),
-        F.when(low & (F.col("kind") != "syntax_error"), F.col("leaf_match")).otherwise(F.col("matched")).alias("matched"),
+        F.when(low & ~error, F.col("leaf_match")).when(~low, F.col("matched")).alias("matched"),
         F.when(low, reason).alias("reason"), F.when(low, details).alias("details"),
         F.col("text").alias("snippet"))
 
@@ -206,7 +265,7 @@ def leaf_on_line(items: DataFrame, targets: list[str], code: str = "enclosing_co
     for t in targets:
         by_leaf.setdefault(t.rsplit(".", 1)[-1], t)
     lookup = F.create_map(*[F.lit(x) for kv in by_leaf.items() for x in kv])
-    s = items.withColumn("_s", snippet_calls(F.col(code), F.lit(None).cast("string")))
+    s = items.withColumn("_s", snippet_calls(F.col(code)))
     hits = F.filter("_s.calls", lambda c: (c["line"] == F.col(line)) & c["kind"].isin("name", "attribute")
                     & F.coalesce(F.map_contains_key(lookup, c["callee"]), F.lit(False)))
     return s.withColumn("_hit", F.get(hits, F.lit(0))["callee"]).withColumn(

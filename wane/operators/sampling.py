@@ -95,7 +95,7 @@ def _pool_calls(samples: DataFrame, pools: DataFrame, first_only: bool) -> DataF
         & F.col("sample_idx").between(F.col("lo"), F.col("hi")))
     # parse once per sample, not once per pool
     parsed = rows.select("sample_id").distinct().join(samples, "sample_id").select(
-        "sample_id", snippet_calls(F.col("function"), F.lit(None).cast("string")).getField("calls").alias("calls"))
+        "sample_id", snippet_calls(F.col("function")).getField("calls").alias("calls"))
     j = rows.join(parsed, "sample_id")
     hits = F.filter("calls", lambda c: c["kind"].isin("name", "attribute")
                     & F.map_contains_key(F.col("callees"), c["callee"]))
