@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import types
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -31,16 +33,19 @@ REMEMBERED = 1_500_000
 #: White space beside other white space or at an edge, rare white space, or the mark of a text's first word.
 _UNUSUAL = "[ \n][ \n]|^[ \n]|[ \n]$|[\\t\\v\\f\\r\\x00\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _FIRST = "\x00"
-#: Letters, then marks that the vocabulary's pattern parts from them.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏа-яА-Яα-ω]*)([.,;:!?]*)")
-_known: dict[str, ByteWords] = {}
+#: Runs of letters, digits or marks that the vocabulary's pattern never joins. Words with an apostrophe, other letters or signs have none.
+_UNIT = re.compile("[A-Za-zÀ-ÖØ-öø-ɏа-яА-Яα-ω]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: visible ones themselves, the others from 256 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = iter(range(256, 512))
-    return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
+    return {b: chr(b) if b in visible else chr(next(hidden)) for b in range(256)}
+
+
+_SHOWN = _byte_letters()
+_BLANK = _SHOWN[32]
 
 
 class ByteWords:
@@ -62,7 +67,7 @@ class ByteWords:
             and not before.get("add_prefix_space") and before.get("use_regex", True)
             and not spec["model"].get("dropout") and not spec.get("truncation") and not spec.get("padding"))
         self.unusual = "|".join([_UNUSUAL, *(re.escape(t["content"]) for t in spec.get("added_tokens") or [])])
-        self.letters, self.known = _byte_letters(), {}
+        self.known, self.merge = {}, self.tokenizer.model.tokenize
 
     @property
     def size(self) -> int:
@@ -71,26 +76,25 @@ class ByteWords:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _merged(self, unit: str) -> bytes:
-        """Of one unit of the vocabulary's pattern."""
-        got = self.known.get(unit)
-        if got is None:
-            shown = "".join([self.letters[b] for b in unit.encode()])
-            got = self.known[unit] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        return got
-
     def learn(self, part: str) -> bytes:
-        """Of a word with what stands before it: `_FIRST`, a line end, or else a blank."""
-        before, word = ("", part[1:]) if part[:1] == _FIRST else (part[0], part[1:]) if part[:1] == "\n" else (" ", part)
-        plain = _PLAIN.fullmatch(word)
-        if not plain or not word:
-            return self.whole(before + word)
-        letters, marks = plain.groups()
-        if before == "\n":
-            return self._merged("\n") + (self._merged(letters) if letters else b"") + (self._merged(marks) if marks else b"")
-        if not letters:
-            return self._merged(before + marks)
-        return self._merged(before + letters) + (self._merged(marks) if marks else b"")
+        """Of a word with what stands before it. Runs of letters, digits and marks are units of the vocabulary's pattern; they are
+        remembered and go to its merges directly. Words with other characters are encoded by the library and remembered too."""
+        if part.isascii() and part.isalpha():
+            ids = self.known[part] = array("I", [t.id for t in self.merge(_BLANK + part)]).tobytes()
+            return ids
+        before, word = (part[0], part[1:]) if part[0] in (_FIRST, "\n") else (" ", part)
+        units = _UNIT.findall(word)
+        if sum(map(len, units)) < len(word) or not word:
+            ids = self.known[part] = self.whole(word if before == _FIRST else before + word)
+            return ids
+        if before == " ":
+            units[0] = " " + units[0]
+        return b"".join([self.known.get(_FIRST + u) or self._merged(u) for u in (["\n", *units] if before == "\n" else units)])
+
+    def _merged(self, unit: str) -> bytes:
+        shown = unit.encode().decode("latin-1").translate(_SHOWN)
+        ids = self.known[_FIRST + unit] = array("I", [t.id for t in self.merge(shown)]).tobytes()
+        return ids
 
     def of(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, null as empty."""
@@ -98,13 +102,14 @@ class ByteWords:
         if not self.by_words:
             return [self.whole(t) for t in texts.to_pylist()]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known, self.merge = {}, self.tokenizer.model.tokenize
         odd = pc.or_(pc.match_substring_regex(texts, self.unusual), pc.equal(texts, ""))
         usual = pc.if_else(odd, "", texts)
         parts = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(_FIRST, usual, ""), "\n", " \n"), " ")
         coded = parts.flatten().dictionary_encode()
         number = coded.indices.to_numpy()
-        each = [self.learn(w) if w != _FIRST else b"" for w in coded.dictionary.to_pylist()]
+        get, learn = self.known.get, self.learn
+        each = [get(w) or learn(w) if w != _FIRST else b"" for w in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         ids, start = np.frombuffer(b"".join(each), np.uint32), np.cumsum(size) - size
         size = size[number]
@@ -117,10 +122,9 @@ class ByteWords:
 
 
 def words_of(path: str) -> ByteWords:
-    """The worker's own tokenizer for a file, kept over tasks."""
-    if path not in _known:
-        _known[path] = ByteWords(path)
-    return _known[path]
+    """A worker's tokenizer for a file. It is kept in a module of the process, not in this one: code comes with each task anew."""
+    held = vars(sys.modules.setdefault("wane_worker", types.ModuleType("wane_worker")))
+    return held.get(path) or held.setdefault(path, ByteWords(path))
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
