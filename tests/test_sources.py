@@ -49,6 +49,63 @@ def test_records(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "md")).collect()) == ["# head", "a", "b"]
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 8_000_000])
+def test_one_array_is_read_by_many_tasks(spark, tmp_path, size):
+    from wane.sources.arrays import array_records
+
+    odd = ['"', "\\", '\\"', "{", "}]", "[[", "é{\n", '\\\\"', ""]
+    rows = [{"k": i, "text": odd[i % 9] + odd[i % 7] * 2, "deep": {"a": [{"b": [odd[i % 5]]}, []]}} for i in range(12)]
+    (tmp_path / "a.json").write_text(" [" + ",\n ".join(json.dumps(r, ensure_ascii=i % 2 == 0) for i, r in enumerate(rows)) + "]\n")
+    (tmp_path / "b.json").write_text("[]")
+    (tmp_path / "c.json").write_text('[{"k": 1}]')
+    got = array_records(spark, str(tmp_path / "*.json"), size)
+    found = sorted((r.path[-6:], r.position, json.dumps(json.loads(r.value))) for r in got.collect())
+    assert found == [("a.json", i, json.dumps(r)) for i, r in enumerate(rows)] + [("c.json", 0, '{"k": 1}')]
+    if size == 64:
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_an_array_that_breaks_off_is_an_error(spark, tmp_path):
+    from wane.sources.arrays import array_records
+
+    (tmp_path / "a.json").write_text('[{"k": 1}, {"k": ')
+    with pytest.raises(Exception, match="ends within a record"):
+        array_records(spark, str(tmp_path / "a.json"), 4).collect()
+
+
+def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
+    import io
+    import tarfile
+
+    with zipfile.ZipFile(tmp_path / "w.whl", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(60):
+            z.writestr(f"lib/p{i % 4}/m{i}.py", f"x = {i}\n")
+            z.writestr(f"lib/p{i % 4}/m{i}.so", "binary")
+    with tarfile.open(tmp_path / "s.tar.gz", "w:gz") as t:
+        for i in range(5):
+            data = f"y = {i}\n".encode()
+            info = tarfile.TarInfo(f"lib-1.0/lib/t{i}.py")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    got = trees.from_archives(spark, str(tmp_path / "*.*"), "lib")
+    rows = {r.prefix: r.source for r in got.collect()}
+    assert rows == {f"lib.p{i % 4}.m{i}": f"x = {i}\n" for i in range(60)} | {f"lib.t{i}": f"y = {i}\n" for i in range(5)}
+    assert got.where("source like 'x%'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_one_root_is_listed_by_many_tasks(spark, tmp_path):
+    for i in range(30):
+        folder = tmp_path / "lib" / f"p{i % 10}" / f"q{i % 3}" / "deep"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"m{i}.py").write_text("")
+        (folder.parent.parent / f"_n{i}.py").write_text("")
+    roots = spark.createDataFrame([(str(tmp_path / "lib"),)], "root string")
+    listed = trees.list_files(roots)
+    assert listed.count() == 60 and listed.where("below like '%deep%'").select(F.spark_partition_id()).distinct().count() > 1
+    assert {r.below for r in listed.collect()} == {str(p.relative_to(tmp_path / "lib")) for p in (tmp_path / "lib").rglob("*.py")}
+    assert trees.list_files(roots, enough=5).count() == 60
+
+
 def test_diagnostics(spark):
     lines = ["m.py:3: error: function m.old is deprecated: use new  [deprecated]", "m.py:3: note: m.old is deprecated [deprecated]", "m.py:4: error: bad [misc]"]
     df = spark.createDataFrame([("r", "m", i, t) for i, t in enumerate(lines)], "source string, module string, ord long, value string")

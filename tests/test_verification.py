@@ -1,3 +1,4 @@
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -123,6 +124,50 @@ def test_only_repeatable_verifiers_go_without_a_store(spark):
         ver.verify(requests(spark, [{}]), ver.empty_cache(spark), lambda misses: ver.rule_verifier(misses))
 
 
+def test_a_request_that_fails_leaves_the_others_their_answers(spark):
+    def send(prompt):
+        if "x.y" in prompt:
+            raise OSError("refused")
+        return '{"is_deprecated_usage": true, "confidence": 0.8, "rationale": "r"}', 1, 1
+
+    with tempfile.TemporaryDirectory() as d:
+        r = requests(spark, [{}, {"target_api": "x.y"}])
+        p, cache = ver.verify(r, ver.empty_cache(spark), ver.remote_verifier(send, parallel=1, interval=0, attempts=1), store=f"{d}/run")
+        assert {x.candidate_id: x.rationale for x in p.collect()} == {"c0": "r", "c1": fixed.NO_ANSWER} and cache.count() == 1
+
+
+def test_store_reads_only_the_partitions_of_its_keys(spark):
+    from wane.sinks.store import ResponseStore
+
+    with tempfile.TemporaryDirectory() as d:
+        log = ResponseStore(spark, f"file://{d}/log")
+        assert log.rows().count() == 0 and log.compact() is None
+        ver.verify_with_store(requests(spark, [{"target_api": f"lib.f{i}"} for i in range(60)]), log)
+        ver.verify_with_store(requests(spark, [{"target_api": f"lib.g{i}"} for i in range(20)]), log)
+        some = ver.add_key(requests(spark, [{"target_api": "lib.f7"}, {"target_api": "lib.g3"}, {"target_api": "unknown"}]), "primary")
+        found = log.lookup(some)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        buckets = {r.cache_key[:2] for r in some.collect()}
+        filters = re.search(r"PartitionFilters: \[(.*?)\]", plan)[1]
+        assert "bucket" in filters and all(b in filters for b in buckets) and found.count() == 2
+        assert log.live() == ["run-000000000", "run-000000001"]
+        before = sorted(r.cache_key for r in log.rows().collect())
+        assert log.compact() == "upto-000000001" and log.live() == ["upto-000000001"]
+        assert sorted(r.cache_key for r in log.rows().collect()) == before and log.next_run() == 2
+        assert log.retire() == ["run-000000000", "run-000000001"] and log.lookup(some).count() == 2
+
+
+def test_a_repeated_run_replaces_its_part(spark):
+    from wane.sinks.store import ResponseStore
+
+    with tempfile.TemporaryDirectory() as d:
+        log = ResponseStore(spark, f"file://{d}/log", digits=1)
+        r = requests(spark, [{"target_api": f"lib.f{i}"} for i in range(5)])
+        for _ in range(2):
+            assert ver.telemetry(ver.verify_with_store(r, log, run=0)).first().api_calls == 5
+        assert ver.telemetry(ver.verify_with_store(r, log, run=1)).first().api_calls == 0 and log.rows().count() == 5
+
+
 def test_any_failure_is_retried(spark):
     seen = spark.sparkContext.accumulator(0)
     state = {"n": 0}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -201,13 +203,27 @@ def outcome_report(outcomes: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
+def by_sample(df: DataFrame, folder: str, buckets: int | None = None) -> DataFrame:
+    """Write a table in buckets of ``sample_id`` and read it back: whatever joins or groups by the sample leaves its rows in place.
+
+    ``folder`` is in shared storage and must not exist.
+    """
+    spark = df.sparkSession
+    name = "by_sample_" + uuid.uuid4().hex
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt as the buckets are, so that each is one file
+    dealt = df.repartition(buckets, "sample_id")
+    dealt.write.bucketBy(buckets, "sample_id").sortBy("sample_id").option("path", folder).saveAsTable(name)
+    return spark.table(name)
+
+
 def build_manifest(statuses: DataFrame, samples: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Candidates for verification: resolved calls of target APIs, and low-confidence
     calls of outdated samples that look like one.
 
     ``statuses`` carries ``sample_idx`` and ``category``. Targets and their evidence are
-    looked up per distinct name; the snippet text joins last, so that it is not moved by
-    the matching.
+    looked up per distinct name; the snippet text joins last. With ``samples`` kept by ``by_sample`` only the candidates are
+    dealt to it, and the text is read in place.
     """
     spark = statuses.sparkSession
     low = F.col("status") == "low_confidence"
@@ -216,7 +232,7 @@ def build_manifest(statuses: DataFrame, samples: DataFrame, catalog: DataFrame |
     nth = F.row_number().over(W.partitionBy("sample_id", "status").orderBy("idx")) - 1
     wanted = wanted.withColumn("nth", nth).withColumn("symbol", F.coalesce("matched", "qualified_name"))
     pilot_leaves = sorted({t.rsplit(".", 1)[-1] for t in fixed.PILOT_TARGETS})
-    wanted = cut_lineage(wanted.where(~low | ((F.col("category") == "outdated") & F.col("callee").isin(pilot_leaves))))
+    wanted = wanted.where(~low | ((F.col("category") == "outdated") & F.col("callee").isin(pilot_leaves)))
     of_leaf: dict[str, tuple[str, dict[str, str]]] = {}
     for t in fixed.PILOT_TARGETS:
         _, of_lib = of_leaf.setdefault(t.rsplit(".", 1)[-1], (t, {}))

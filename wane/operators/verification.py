@@ -14,7 +14,8 @@ from wane import fixed_values as fixed
 from wane.functions.keys import cache_key, draw, evidence_text, zero_shot_key
 from wane.functions.text import contains_any
 from wane.operators.agreement import half_even
-from wane.operators.ranking import upsert
+from wane.sinks.store import COLUMNS as STORED
+from wane.sinks.store import ResponseStore
 
 DECISION = "struct<is_deprecated_usage:boolean,confidence:double,rationale:string>"
 RESPONSE = "cache_key string, response_json string, prompt_tokens int, candidate_tokens int, total_tokens int"
@@ -108,7 +109,7 @@ def remote_verifier(send: Callable[[str], tuple[str, int, int]], parallel: int =
     """Verifier that asks a service: paced per task, with exponential back-off.
 
     ``send`` takes a prompt and returns (text, prompt tokens, answer tokens). Whatever it raises is tried
-    again up to the limit, then ends the run. ``text`` is another prompt, such as the zero-shot one. The number of tasks bounds the load on the service, not on Spark.
+    again up to the limit; then the request stays without an answer, and the others keep theirs. ``text`` is another prompt, such as the zero-shot one. The number of tasks bounds the load on the service, not on Spark.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,9 +123,8 @@ def remote_verifier(send: Callable[[str], tuple[str, int, int]], parallel: int =
                         rows.append((key, answer.strip(), used, said, used + said))
                         break
                     except Exception:
-                        if attempt == attempts - 1:
-                            raise
-                        time.sleep(2 ** attempt + random.uniform(0.5, 1.5))
+                        if attempt < attempts - 1:
+                            time.sleep(2 ** attempt + random.uniform(0.5, 1.5))
             yield pd.DataFrame(rows, columns=["cache_key", "response_json", "prompt_tokens", "candidate_tokens", "total_tokens"])
 
     def verify(misses: DataFrame) -> DataFrame:
@@ -146,56 +146,85 @@ def decode(response: Column) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), d).otherwise(bad)
 
 
+ANSWER = ("response_json", "prompt_tokens", "candidate_tokens", "total_tokens")
+
+
 def split_by_cache(keyed: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct missing requests, all requests): one call per missing key.
+    """(requests to be asked, keys): one request per key that the cache does not hold; every key with its first candidate and stored answer.
 
-    The missing keys are found on the keys alone; the request text joins afterwards.
+    Keys are matched on their own; the request text joins afterwards.
     """
-    missing = keyed.groupBy("cache_key").agg(F.min("candidate_id").alias("candidate_id")).join(
-        cache.select("cache_key"), "cache_key", "left_anti")
-    return keyed.join(missing, ["cache_key", "candidate_id"], "left_semi"), missing
-
+    keys = keyed.groupBy("cache_key").agg(F.min("candidate_id").alias("_first")).join(
+        cache.select("cache_key", *ANSWER), "cache_key", "left")
+    missing = keys.where("response_json is null").select("cache_key", F.col("_first").alias("candidate_id"))
+    return keyed.join(missing, ["cache_key", "candidate_id"], "left_semi"), keys
 
-def verify(requests: DataFrame, cache: DataFrame, verifier=rule_verifier, model: str = "primary",
-           version: str = fixed.PROMPT_VERSION, with_context: bool = True, store: str | None = None, key=None):
-    """Return (predictions, cache with the new responses).
 
-    ``store`` is a folder in shared storage for the responses of this run. Only a verifier that is
-    marked ``repeatable`` may go without: all other responses are written there once and read back, so
-    that lost executors or reuse of the result do not repeat calls. A request without an answer stays,
-    as a negative that says so. ``key`` adds another cache key than that of the evidence prompt.
-    """
-    if store is None and not getattr(verifier, "repeatable", False):
-        raise ValueError("store must name a shared folder for the responses of this verifier")
-    keyed = key(requests) if key else add_key(requests, model, version, with_context)
-    misses, first = split_by_cache(keyed, cache)
+def responses_of(misses: DataFrame, verifier, model: str, version: str) -> DataFrame:
+    """What a verifier says about the requests, as rows of the cache."""
     fresh = verifier(misses).withColumn("created_at", F.current_timestamp())
     about = misses.select("cache_key", "target_api", "call_site_snippet", evidence_text(
         F.col("evidence_docstring"), F.col("evidence_warning"), F.col("recommended_replacement")).alias("evidence_snippet"))
-    fresh = fresh.join(about, "cache_key").select(
+    return fresh.join(about, "cache_key").select(
         "cache_key", F.lit(model).alias("model_name"), F.lit(version).alias("prompt_version"),
         F.col("target_api").alias("api_name"), F.col("call_site_snippet").alias("call_site_text"), "evidence_snippet",
         F.to_json(decode(F.col("response_json"))).alias("response_json"),
         "prompt_tokens", "candidate_tokens", "total_tokens", "created_at")
-    if store is not None:
-        fresh.write.mode("overwrite").parquet(store)
-        fresh = requests.sparkSession.read.parquet(store)
-    known = upsert(cache, fresh, ["cache_key"], "created_at")
-    answers = known.select("cache_key", "response_json", "prompt_tokens", "candidate_tokens", "total_tokens")
-    called = first.select("cache_key", "candidate_id", F.lit(False).alias("_cached"))
-    out = keyed.join(answers, "cache_key", "left").join(called, ["cache_key", "candidate_id"], "left")
+
+
+def predictions_of(keyed: DataFrame, keys: DataFrame, fresh: DataFrame, model: str) -> DataFrame:
+    """Every request with its answer, stored or fresh; one without an answer stays, as a negative that says so."""
+    said = fresh.select("cache_key", *[F.col(c).alias(f"_{c}") for c in ANSWER])
+    answers = keys.join(said, "cache_key", "left").select(
+        "cache_key", "_first", F.col("response_json").isNull().alias("_asked"), *[F.coalesce(c, f"_{c}").alias(c) for c in ANSWER])
+    out = keyed.join(answers, "cache_key", "left")
     unanswered = F.struct(F.lit(False).alias("is_deprecated_usage"), F.lit(0.0).alias("confidence"), F.lit(fixed.NO_ANSWER).alias("rationale"))
     d = F.when(F.col("response_json").isNull(), unanswered).otherwise(decode(F.col("response_json")))
     kept = [c for c in ("candidate_id", "sample_id", "sample_idx", "library", "cohort", "stage2_status", "mode",
                         "target_api", "client_line", "column", "call_site_snippet", "failure_reason") if c in out.columns]
-    predictions = out.select(
+    asked = F.col("_asked") & (F.col("candidate_id") == F.col("_first"))
+    return out.select(
         *kept, F.array().cast("array<string>").alias("origin_channels"), F.lit(model).alias("model"),
-        F.coalesce("_cached", F.col("response_json").isNotNull()).alias("cached"), "cache_key",
+        (F.col("response_json").isNotNull() & ~F.coalesce(asked, F.lit(False))).alias("cached"), "cache_key",
         d["is_deprecated_usage"].alias("is_deprecated_usage"), d["confidence"].alias("confidence"),
         d["rationale"].alias("rationale"), F.coalesce("prompt_tokens", F.lit(0)).alias("prompt_tokens"),
         F.coalesce("candidate_tokens", F.lit(0)).alias("candidate_tokens"),
         F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"))
-    return predictions, known
+
+
+def verify(requests: DataFrame, cache: DataFrame, verifier=rule_verifier, model: str = "primary",
+           version: str = fixed.PROMPT_VERSION, with_context: bool = True, store: str | None = None, key=None):
+    """Return (predictions, cache with the new responses). The cache has one row for each key.
+
+    ``store`` is a folder in shared storage for the responses of this run. Only a verifier that is
+    marked ``repeatable`` may go without: all other responses are written there once and read back, so
+    that lost executors or reuse of the result do not repeat calls. ``key`` adds another cache key than that of the evidence prompt.
+    """
+    if store is None and not getattr(verifier, "repeatable", False):
+        raise ValueError("store must name a shared folder for the responses of this verifier")
+    keyed = key(requests) if key else add_key(requests, model, version, with_context)
+    misses, keys = split_by_cache(keyed, cache)
+    fresh = responses_of(misses, verifier, model, version)
+    if store is not None:
+        fresh.write.mode("overwrite").parquet(store)
+        fresh = requests.sparkSession.read.parquet(store)
+    return predictions_of(keyed, keys, fresh, model), cache.unionByName(fresh, allowMissingColumns=True)
+
+
+def verify_with_store(requests: DataFrame, store: ResponseStore, verifier=rule_verifier, model: str = "primary",
+                      version: str = fixed.PROMPT_VERSION, with_context: bool = True, run: int | None = None, key=None) -> DataFrame:
+    """Predictions from a log of responses; new ones are appended to it as one part, before any is used.
+
+    Only the partitions of the batch's keys are read. With ``run``, parts of later runs are left out, so a batch that is repeated after a
+    failure asks and answers the same as before.
+    """
+    keyed = key(requests) if key else add_key(requests, model, version, with_context)
+    run = store.next_run() if run is None else run
+    hits = store.lookup(keyed, before=run)
+    misses, keys = split_by_cache(keyed, hits)
+    store.append(responses_of(misses, verifier, model, version), run)
+    part = store.spark.read.schema(STORED).parquet(f"{store.root}/part=run-{run:09d}")
+    return predictions_of(keyed, keys, part, model)
 
 
 def telemetry(predictions: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -253,9 +282,4 @@ def spot_check(samples: DataFrame, cache: DataFrame, size: int = 40, seed: int =
 
 
 def empty_cache(spark) -> DataFrame:
-    return spark.createDataFrame([], (
-        "cache_key string, model_name string, prompt_version string, api_name string, call_site_text string, "
-        "evidence_snippet string, response_json string, prompt_tokens int, candidate_tokens int, total_tokens int, "
-        "created_at timestamp"))
-
-
+    return spark.createDataFrame([], STORED)

@@ -14,6 +14,8 @@ from wane.operators.ranking import upsert
 from wane.plans import derived
 from wane.plans.catalog_queries import TARGETS_SQL, flat
 from wane.plans.derived import load, sql
+from wane.session import shared_folder
+from wane.sinks import store
 from wane.sources.diagnostics import from_mypy, from_pyright
 from wane.sources.records import last_by_key, table
 
@@ -114,7 +116,9 @@ def reconstructed_preamble(spark, d):
 
 def manifest(spark, d) -> DataFrame:
     s = statuses(spark, d, ("sample_id", "library", "sample_idx", "category"))
-    return res.build_manifest(s, samples(spark, d))
+    # the corpus is kept by sample once; statuses follow its buckets
+    kept = res.by_sample(samples(spark, d), shared_folder(spark, "samples"))
+    return res.build_manifest(res.by_sample(s, shared_folder(spark, "statuses")), kept)
 
 
 _NUMPY = {t: (w, doc) for t, w, doc, _ in fixed.GROUNDING}
@@ -373,6 +377,30 @@ def cache_repeat_run(spark, d):
     return ver.telemetry(p).select("total_requests", "api_calls", "cache_hits")
 
 
+_FULL_KEY = f"sha256({_KEY5} || ':' || sha256(mode) || ':' || sha256(enclosing_code))"
+
+
+@query("stored_responses", f"""
+    with k as (select cohort, {_FULL_KEY} as key from ({REQ})), a as (select * from k where cohort in ('en', 'de')),
+    r as (select 1 as run, count(*) as total_requests, count(distinct key) as api_calls from a
+      union all select 2, count(*), count(distinct key) filter (where key not in (select key from a)) from k
+      union all select 3, count(*), 0 from k)
+    select run, total_requests, api_calls, total_requests - api_calls as cache_hits from r""")
+def stored_responses(spark, d):
+    """Three runs over a log of responses: part of the requests, all of them, and all again after the log was compacted."""
+    r = load(spark, d, derived.REQUESTS)
+    log = store.ResponseStore(spark, shared_folder(spark, "responses"))
+    some = ver.verify_with_store(r.where("cohort in ('en', 'de')"), log)
+    every = ver.verify_with_store(r, log)
+    log.compact()
+    again = ver.verify_with_store(r, log)
+    out = None
+    for run, p in enumerate((some, every, again), 1):
+        t = ver.telemetry(p).select(F.lit(run).alias("run"), "total_requests", "api_calls", "cache_hits")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 @query("cost_estimate", """
     select event_type, sum(cast(json_extract(props, '$.k') as bigint)) as prompt_tokens, cast(sum(hour(ts)) as bigint) as candidate_tokens,
       round_even(sum(cast(json_extract(props, '$.k') as bigint)) / 1e6 * 0.10 + sum(hour(ts)) / 1e6 * 0.40, 4) as estimated_cost_usd from events group by 1""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wane import fixed_values as fixed
 from wane.operators import agreement as agr
 from wane.operators import catalog as cat
+from wane.operators import reexports as rex
 from wane.operators import resolution as res
 from wane.operators import significance as sig
 from wane.operators import verification as ver
@@ -40,13 +41,27 @@ def catalog_report(catalog: DataFrame) -> dict[str, DataFrame]:
         "coverage_summary": cat.coverage_summary(coverage)}
 
 
-def resolve_corpus(spark: SparkSession, samples: DataFrame, catalog: DataFrame, out: str, reconstructed: bool = True) -> DataFrame:
-    """Statuses of all calls that may use a catalog entry; the targets are always part of the catalog."""
+def trace_libraries(spark: SparkSession, base: str, out: str, snapshots: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(re-exports, annotated returns) of all snapshots, each followed within its own tree."""
+    files = scan_snapshots(spark, base, snapshots or fixed.SNAPSHOTS)
+    names = stored(rex.library_names(files.where("error is null"), ["library", "version"]), f"{out}/names")
+    exports = stored(rex.re_exports(names), f"{out}/exports")
+    return exports, stored(rex.returned(names, exports), f"{out}/returns")
+
+
+def resolve_corpus(spark: SparkSession, samples: DataFrame, catalog: DataFrame, out: str, reconstructed: bool = True,
+                   traced: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Statuses of all calls that may use a catalog entry, kept by sample; the targets are always part of the catalog.
+
+    ``traced`` is what ``trace_libraries`` found; without it the few re-exports of the targets are taken as given.
+    """
     pilot = target_dim(spark).where(F.col("target_api").isin(fixed.PILOT_TARGETS)).select(F.col("target_api").alias("qualified_name"))
     names = catalog.select("qualified_name").unionByName(pilot).distinct()
     preamble = res.reconstructed_preamble(F.col("alias_dict")) if reconstructed else res.baseline_preamble()
-    s = res.call_statuses(samples, names, preamble, carry=["sample_id", "library", "sample_idx", "category", "deprecated_api"])
-    return stored(s, out)
+    exports, returns = traced or (spark.createDataFrame(fixed.RE_EXPORTS, "from_symbol string, to_symbol string"), None)
+    s = res.call_statuses(samples, names, preamble, carry=["sample_id", "library", "sample_idx", "category", "deprecated_api"],
+                          aliases=exports, returns=returns)
+    return res.by_sample(s, out)
 
 
 def make_manifest(statuses: DataFrame, samples: DataFrame, catalog: DataFrame, out: str) -> DataFrame:

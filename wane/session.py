@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,25 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the cluster names.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only a local session without one (tests) gets a folder here."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="wane-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder in shared storage."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
-    Only a local session without ``spark.checkpoint.dir`` (tests) gets a folder here.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder the cluster names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wane-checkpoint-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
-

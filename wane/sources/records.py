@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from wane.functions.text import as_array
 from wane.operators.ranking import latest_per_key
 from wane.schemas import CORPUS_RAW
+from wane.sources.arrays import array_records
 
 
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON array of records per file."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    """The records of JSON arrays; a large array is read by many tasks."""
+    return array_records(spark, path).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -33,8 +34,7 @@ def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str, library: str) -> DataFrame:
     """Corpus samples with normalised API lists and ids by position in the array."""
-    raw = spark.read.text(path, wholetext=True)
-    s = raw.select(F.posexplode(F.from_json("value", f"array<struct<{CORPUS_RAW}>>")).alias("sample_idx", "s"))
+    s = array_records(spark, path).select(F.col("position").cast("int").alias("sample_idx"), F.from_json("value", CORPUS_RAW).alias("s"))
     return s.select(
         F.concat_ws("_", F.lit(library), F.col("sample_idx").cast("string")).alias("sample_id"),
         F.lit(library).alias("library"), "sample_idx", F.coalesce("s.function", F.lit("")).alias("function"),

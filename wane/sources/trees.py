@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 import zipfile
 
@@ -12,25 +11,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wane.functions.text import module_path
+from wane.session import cut_lineage
 
 
 #: Bytes of text that a reader hands on at a time.
 BATCH_BYTES = 8_000_000
 
 
-def _list_files(batches):
-    """Python files below each root. Spark's own listing hides names that begin with an underscore."""
+def _listed(folders, deep):
+    """Rows (root, folder, file, below) of the folders in (root, folder): Python files, and folders within or, with ``deep``, their files too.
+
+    Spark's own listing hides names that begin with an underscore.
+    """
+    for root, folder in folders:
+        system, base = fs.FileSystem.from_uri(root)
+        todo, cut = [folder or base], len(base.rstrip("/")) + 1
+        while todo:  # folder by folder, so that a large tree is not held as a whole
+            found = system.get_file_info(fs.FileSelector(todo.pop()))
+            within = sorted(f.path for f in found if f.type == fs.FileType.Directory)
+            paths = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".py"))
+            rows = [(root, None, p, p[cut:]) for p in paths]
+            if deep:
+                todo += within
+            else:
+                rows += [(root, p, None, None) for p in within]
+            if rows:
+                yield pd.DataFrame(rows, columns=["root", "folder", "file", "below"])
+
+
+def _list_level(batches):
     for batch in batches:
-        for root in batch["root"]:
-            system, base = fs.FileSystem.from_uri(root)
-            folders, below = [base], len(base.rstrip("/")) + 1
-            while folders:  # folder by folder, so that a large tree is not held as a whole
-                found = system.get_file_info(fs.FileSelector(folders.pop()))
-                folders += [f.path for f in found if f.type == fs.FileType.Directory]
-                paths = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".py"))
-                if not paths:
-                    continue
-                yield pd.DataFrame({"root": root, "file": paths, "below": [p[below:] for p in paths]})
+        yield from _listed(zip(batch["root"], batch["folder"]), False)
+
+
+def _list_below(batches):
+    for batch in batches:
+        yield from _listed(zip(batch["root"], batch["folder"]), True)
+
+
+def list_files(roots: DataFrame, levels: int = 2, enough: int = 256) -> DataFrame:
+    """(root, file, below) of the Python files below each root.
+
+    The first ``levels`` of folders are listed one level at a time, so that the folders of one large root spread over tasks; from there, or
+    from ``enough`` folders on, each task walks what is below its folders.
+    """
+    parts = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    form = "root string, folder string, file string, below string"
+    front = roots.select("root", F.lit(None).cast("string").alias("folder")).distinct()
+    found = []
+    for _ in range(levels):
+        level = cut_lineage(front.repartition(parts, "root", "folder").mapInPandas(_list_level, form))
+        found.append(level.where("file is not null"))
+        front = level.where("folder is not null").select("root", "folder")
+        if front.limit(enough).count() >= enough:
+            break
+    below = front.repartition(parts, "root", "folder").mapInPandas(_list_below, form)
+    for level in found:
+        below = below.unionByName(level)
+    return below.select("root", "file", "below")
 
 
 def _batches_by_bytes(rows, columns):
@@ -69,8 +107,7 @@ def scan_roots(roots: DataFrame) -> DataFrame:
     paths, never to texts.
     """
     others = [c for c in roots.columns if c not in ("root", "library")]
-    listed = roots.select("root").distinct().repartition("root").mapInPandas(
-        _list_files, "root string, file string, below string")
+    listed = list_files(roots)
     # a number of its own: paths are small, and adaptive execution would put the reading of all files into one task
     parts = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paths = listed.join(roots, "root").repartition(parts, "file")
@@ -110,34 +147,53 @@ def scan_file(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     return read.where(found).select("file", F.lit(prefix).alias("prefix"), "source")
 
 
+def _place(name, library):
+    """Path of a member below the library's folder, None for others."""
+    head, mark, rest = f"/{name}".partition(f"/{library}/")
+    return rest if mark and name.endswith(".py") and head.count("/") <= 1 else None
+
+
 def from_archives(spark: SparkSession, pattern: str, library: str) -> DataFrame:
     """Python members of wheels and source archives; compiled members are left out.
 
-    An archive is read by one task, its members become rows. Only members whose names fit are inflated.
+    The directory of a zip file is read alone, and its members are spread over tasks, which open the file at their places; so one large
+    archive is read by many. A compressed tar file can only be read from its beginning and goes to one task as a whole.
     """
-    def place(name):
-        head, mark, rest = f"/{name}".partition(f"/{library}/")
-        return rest if mark and name.endswith(".py") and head.count("/") <= 1 else None
-
-    def texts(path, data):
-        if zipfile.is_zipfile(data):
-            with zipfile.ZipFile(data) as z:
-                for name in z.namelist():
-                    if place(name) is not None:
-                        yield (f"{path}!{name}", place(name), text := z.read(name).decode("utf-8", "replace")), len(text)
+
+    def names(batches):
+        """(path, member): the members of zip files; tar files as they are."""
+        for batch in batches:
+            for path in batch["path"]:
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_input_file(place) as f:
+                    if not zipfile.is_zipfile(f):
+                        yield pd.DataFrame({"path": [path], "member": [None]})
+                        continue
+                    with zipfile.ZipFile(f) as z:
+                        found = [n for n in z.namelist() if _place(n, library) is not None]
+                for k in range(0, len(found), 10_000):
+                    yield pd.DataFrame({"path": path, "member": found[k : k + 10_000]})
+
+    def texts(path, members):
+        system, place = fs.FileSystem.from_uri(path)
+        if members == [None]:
+            with system.open_input_stream(place, compression=None) as f, tarfile.open(fileobj=f, mode="r|*") as t:
+                for m in t:
+                    if m.isfile() and _place(m.name, library) is not None:
+                        yield (f"{path}!{m.name}", _place(m.name, library), text := t.extractfile(m).read().decode("utf-8", "replace")), len(text)
             return
-        data.seek(0)
-        with tarfile.open(fileobj=data) as t:
-            for m in t:
-                if m.isfile() and place(m.name) is not None:
-                    yield (f"{path}!{m.name}", place(m.name), text := t.extractfile(m).read().decode("utf-8", "replace")), len(text)
+        with system.open_input_file(place) as f, zipfile.ZipFile(f) as z:
+            for name in members:
+                yield (f"{path}!{name}", _place(name, library), text := z.read(name).decode("utf-8", "replace")), len(text)
 
-    def members(batches):
+    def read(batches):
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield from _batches_by_bytes(texts(path, io.BytesIO(content)), ["file", "below", "source"])
+            for path, members in batch.groupby("path")["member"]:
+                yield from _batches_by_bytes(texts(path, members.tolist()), ["file", "below", "source"])
 
-    archives = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    rows = archives.mapInPandas(members, "file string, below string, source string")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    archives = spark.read.format("binaryFile").load(pattern).select("path").repartition(parts, "path")
+    members = archives.mapInPandas(names, "path string, member string").repartition(parts, "path", "member")
+    rows = members.mapInPandas(read, "file string, below string, source string")
     return rows.select("file", module_path(F.col("below"), F.lit(library)).alias("prefix"), "source",
                        F.lit(library).alias("library"))

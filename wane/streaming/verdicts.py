@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from wane.operators.verification import empty_cache, rule_verifier, verify
+from wane.operators.verification import rule_verifier, verify_with_store
 from wane.schemas import MANIFEST
-
-
-def responses_before(spark: SparkSession, cache: str, batch_id: int) -> DataFrame:
-    """Stored responses of earlier batches; none before the first."""
-    try:
-        return spark.read.parquet(cache).where(f"batch < {batch_id}").drop("batch")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return empty_cache(spark)
+from wane.sinks.store import ResponseStore
 
 
 def verify_stream(spark: SparkSession, arrivals: str, verdicts: str, cache: str, checkpoint: str,
                   verifier=rule_verifier) -> StreamingQuery:
     """Append JSON-lines verdicts for every new manifest file.
 
-    A batch writes its responses and its verdicts to folders of its own. When it is
-    repeated after a failure it replaces them, so nothing is counted twice.
+    A batch appends its responses as one part of the cache and writes its verdicts to a folder of its own. When it is
+    repeated after a failure it replaces them, so nothing is counted twice. It reads only the partitions that its keys fall into.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        known = responses_before(batch.sparkSession, cache, batch_id)
-        predictions, _ = verify(batch, known, verifier, store=f"{cache}/batch={batch_id}")
+        store = ResponseStore(batch.sparkSession, cache)
+        predictions = verify_with_store(batch, store, verifier, run=batch_id)
         predictions.write.mode("overwrite").json(f"{verdicts}/batch={batch_id}")
 
     source = spark.readStream.schema(MANIFEST).json(arrivals)
