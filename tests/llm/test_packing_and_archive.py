@@ -143,3 +143,26 @@ def test_queue_and_fold_agree(spark, vocabulary):
 def test_crc_of_packed_ids_is_the_contract(spark):
     raw = struct.pack("<3I", 1, 70000, 0)
     assert spark.createDataFrame([(raw,)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(raw)
+
+
+def test_every_letter_before_every_mark_has_the_ids_of_the_library():
+    import sys
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from wane.llm.packing import Words, _known_rules
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert _known_rules(path) and not _known_rules(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalpha()]
+    for mark in ".,;:!?":
+        texts = ["a" + c + mark for c in letters]
+        # CJK and Hangul alone are most of these: all of them before one mark, every tenth before the others
+        texts = texts if mark == "?" else [t for k, t in enumerate(texts) if k < 8000 or k % 10 == 0]
+        got = Words(library, True).of(pa.array(texts))
+        for text, ids, want in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == want.ids, text.encode("unicode_escape")

@@ -8,9 +8,12 @@ bounded by the open sequences' free-space table and one block of pieces.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,25 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
+def _stays_letter(c: str) -> bool:
+    """Whether normalization keeps a character one letter; some become a letter and a mark, which then joins the marks that follow."""
+    small = unicodedata.normalize("NFC", c.lower())
+    return c.isalpha() and len(small) == 1 and small.isalpha()
+
+
+def _known_rules(tokenizer_file: str) -> bool:
+    """Whether a tokenizer file has the rules that `Words` relies on: composed characters, small letters, no blanks, letters apart from marks."""
+    spec = json.loads(Path(tokenizer_file).read_text(encoding="utf-8"))
+    normal, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [n["type"] for n in normal.get("normalizers", [])]
+    cuts = [(p["type"], p.get("behavior"), p.get("invert"), p.get("use_regex")) for p in before.get("pretokenizers", [])]
+    pattern = (before.get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex", "")
+    return (
+        steps == ["NFC", "Replace", "Lowercase"] and cuts == [("Split", "Removed", True, None), ("ByteLevel", None, None, False)]
+        and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and spec["model"].get("end_of_word_suffix") == "</w>"
+        and not spec.get("truncation") and not spec.get("padding") and not spec["model"].get("dropout"))
+
+
 class Words:
     """Token ids of blank-separated pieces of text, computed once for each.
 
@@ -47,8 +69,8 @@ class Words:
     merges, so it goes to them directly.
     """
 
-    def __init__(self, tokenizer):
-        self.encode, self.known, self.merge = tokenizer.encode, {"": b""}, tokenizer.model.tokenize
+    def __init__(self, tokenizer, by_words: bool = True):
+        self.encode, self.known, self.merge, self.by_words = tokenizer.encode, {"": b""}, tokenizer.model.tokenize, by_words
 
     def learn(self, word: str) -> bytes:
         """Of a word that is not known as it stands; one that is made of known parts is put together each time."""
@@ -56,7 +78,7 @@ class Words:
         if word in known:
             return known[word]
         bare = word.rstrip(".,;:!?")
-        if bare != word and bare and bare[-1].isalpha():
+        if bare != word and bare and _stays_letter(bare[-1]):
             return (known.get(bare) or self.learn(bare)) + (known.get(mark := word[len(bare) :]) or self.learn(mark))
         if word.isascii() and word.isalpha() and not word.islower():
             small = word.lower()
@@ -70,6 +92,8 @@ class Words:
 
     def of(self, texts: pa.StringArray) -> list[bytes]:
         """Ids of each text. The words of all texts are numbered first, so that each different one is looked up once."""
+        if not self.by_words:
+            return [array("I", self.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts.to_pylist()]
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {"": b""}
         parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
@@ -136,7 +160,7 @@ def pack(
         from tokenizers import Tokenizer
 
         if tokenizer_file not in _known:
-            _known[tokenizer_file] = Words(Tokenizer.from_file(tokenizer_file))
+            _known[tokenizer_file] = Words(Tokenizer.from_file(tokenizer_file), _known_rules(tokenizer_file))
         words, bins = _known[tokenizer_file], OpenBins(capacity, open_bins)
         first = TaskContext.get().partitionId() << 36
         end, width = array("I", [end_id]).tobytes(), 4 * capacity
