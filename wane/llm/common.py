@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +46,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def give_back() -> None:
+    """Return the memory of a finished training to the system: the driver's Python would keep it while later stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bucket_of(id_column: Column | str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo a number; a null id counts as empty text."""
     c = F.col(id_column) if isinstance(id_column, str) else id_column

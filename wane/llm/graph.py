@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wane.llm.common import stored
@@ -26,8 +26,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", purpose: str = "com
         # Smaller neighbours and the node itself go to the smallest of them.
         floor = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(floor, "high").select(F.col("m").alias("low"), F.explode(F.array("low", "high")).alias("high")).filter("low != high").distinct()
-        now = stored(small, purpose)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)")), F.sum(F.col("low").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("high", "low"))).first()
+        # the write itself tells what it wrote
+        seen = Observation()
+        now = stored(small.observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)")).alias("a"),
+            F.sum(F.col("low").cast("decimal(38,0)")).alias("b"), F.bit_xor(F.xxhash64("high", "low")).alias("c")), purpose)
+        state = seen.get
         if state == mark:
             return now.select(F.col("high").alias("node"), F.col("low").alias("root")).union(now.select("low", "low").distinct())
         mark = state

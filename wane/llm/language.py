@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wane.llm.common import byte_blocks
+from wane.llm.common import byte_blocks, give_back
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -195,13 +195,15 @@ def learn(
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out]) for i in range(3)], names=["lang", "h", "window"])
 
     # Bounded by most_documents rows of a name and a number.
-    got = rows.join(F.broadcast(keys), ["lang", "h"]).select("lang", "text", "h").mapInArrow(run, "lang string, h long, window binary").collect()
-    got = sorted((r[0], r[1], bytes(r[2])) for r in got)
-    languages = sorted({r[0] for r in got})
+    got = rows.join(F.broadcast(keys), ["lang", "h"]).select("lang", "text", "h").mapInArrow(run, "lang string, h long, window binary").toArrow()
+    got = got.sort_by([(c, "ascending") for c in got.column_names])
+    names, raw = got["lang"].to_pylist(), b"".join(w.as_buffer() for w in got["window"])
+    del got
+    languages = sorted(set(names))
     network = Network(languages, widths, filters, size, rejects=noise_share > 0)
     if len(languages) > 1 or languages and network.rejects:
         number = {name: k for k, name in enumerate(languages)}
-        x, y = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, size), np.array([number[r[0]] for r in got])
+        x, y = np.frombuffer(raw, np.uint8).reshape(-1, size), np.array([number[n] for n in names])
         if network.rejects:
             more = noise(x, max(3, int(noise_share * len(x))))
             network.train(np.concatenate([x, more]), np.concatenate([y, np.full(len(more), len(languages))]), **settings)
@@ -210,6 +212,7 @@ def learn(
             network.bar = max([UNREADABLE, *(float(np.quantile(p[y == k], 0.9)) for k in range(len(languages)))])
         else:
             network.train(x, y, **settings)
+        give_back()
     return network
 
 

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wane.llm.common import byte_blocks, hashed_words, joined_bytes, mixed
+from wane.llm.common import byte_blocks, give_back, hashed_words, joined_bytes, mixed
 from wane.llm.fingerprints import _BYTES
 
 TERM_BITS = 24
@@ -69,7 +70,7 @@ def fit(
     """
     share = float((labels * weights).sum() / max(weights.sum(), 1e-9)) if len(labels) else 0.0
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    seen, count = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_counts=True)
+    seen, count = np.unique(np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32), return_counts=True)
     toxic = np.zeros(len(seen))
     if labels.any():
         own, times = np.unique(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), return_counts=True)
@@ -85,7 +86,7 @@ def fit(
     random = np.random.default_rng(seed)
     # Column 0 is linear, the others are factors.
     theta = np.concatenate([np.zeros((len(terms), 1)), random.normal(0, 0.01, (len(terms), factors))], axis=1)
-    at = [i[terms[i] == r] for r in rows for i in [np.minimum(np.searchsorted(terms, r), len(terms) - 1)]]
+    at = [i[terms[i] == r].astype(np.int32) for r in rows for i in [np.minimum(np.searchsorted(terms, r), len(terms) - 1)]]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     b_first = b_second = 0.0
     step = 0
@@ -138,12 +139,19 @@ def learn(
 
     # Bounded by 2 * per_label rows of two numbers.
     joined = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(sample), "id").select("y", "text")
-    got = sorted((tuple(r) for r in joined.mapInArrow(run, "y int, terms binary").collect()), key=lambda r: (r[0], bytes(r[1])))
-    rows = [np.frombuffer(bytes(t), "<i4").astype(np.int64) for _, t in got]
-    y = np.array([r[0] for r in got], dtype=float)
+    got = joined.mapInArrow(run, "y int, terms binary").toArrow().sort_by([("y", "ascending"), ("terms", "ascending")])
+    y = got["y"].to_numpy().astype(float)
+    # one array for all documents, each a part of it
+    sizes = pc.binary_length(got["terms"]).to_numpy() // 4
+    terms, ends = np.frombuffer(b"".join(t.as_buffer() for t in got["terms"]), "<i4"), np.cumsum(sizes)
+    del got
+    rows = [terms[b - n : b] for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
     taken = {k: max(1.0, float((y == k).sum())) for k in (0, 1)}
     weights = np.array([share.get(int(k), 0) / taken[int(k)] for k in y])
-    return fit(rows, y, weights, **settings)
+    machine = fit(rows, y, weights, **settings)
+    del rows, terms
+    give_back()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text_column: str = "text", column: str = "score") -> DataFrame:
