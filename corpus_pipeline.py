@@ -37,9 +37,9 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; rows that repeat its id count once, null ids stay."""
+    """One document of each group of near-duplicates, that of the smallest id; of equal rows of one id one stays, other texts of it and null ids stay too."""
     kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.select(COLUMNS).union(docs.filter("doc_id is null").select(COLUMNS))
 
 
