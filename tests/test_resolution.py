@@ -1,3 +1,4 @@
+import re
 from textwrap import dedent
 
 from pyspark.sql import functions as F
@@ -142,6 +143,38 @@ def test_definitions_that_reach_a_call(spark):
     assert len(rows) == len(SETS)
 
 
+def test_two_preambles_share_one_parse(spark, monkeypatch):
+    seen = []
+    kept = res.snippet_calls
+    monkeypatch.setattr(res, "snippet_calls", lambda *a: seen.append(a) or kept(*a))
+    df = spark.createDataFrame([("s", "pandas", "comb(1)\nnp.alltrue(x)\n")], "sample_id string, library string, function string")
+    preambles = {"baseline": res.baseline_preamble(), "with": F.lit("from scipy.misc import comb\n")}
+    got = res.compared_statuses(df, target_dim(spark), preambles, "target_api", ["ord"])
+    assert len(seen) == 1
+    for name, want in (("baseline", ["low_confidence"]), ("with", ["resolved_deprecated"])):
+        assert "ArrowEvalPython" not in got[name]._jdf.queryExecution().executedPlan().toString()
+        assert [r.status for r in got[name].where("callee = 'comb'").collect()] == want
+    assert [r.matched for r in got["baseline"].where("callee = 'alltrue'").collect()] == ["numpy.alltrue"]
+
+
+def test_manifest_reads_the_code_in_place(spark):
+    from wane.session import shared_folder
+
+    s = spark.createDataFrame([(f"pandas_{i}", "pandas", i, "outdated", "import numpy as np\nnp.product(x)\n") for i in range(20)],
+                              "sample_id string, library string, sample_idx int, category string, function string")
+    st = res.call_statuses(s, target_dim(spark), F.lit(None).cast("string"), "target_api", ["ord"], carry=["sample_id", "library", "sample_idx", "category"])
+    broad = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        m = res.build_manifest(res.by_sample(st, shared_folder(spark, "st")), res.by_sample(s, shared_folder(spark, "s")))
+        plan = m._sc._jvm.PythonSQLUtils.explainString(m._jdf.queryExecution(), "formatted")
+        exchanges = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", part)]
+        assert exchanges and not any("function#" in part for part in exchanges)
+        assert m.count() == 20 and m.first().enclosing_code.startswith("import numpy")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broad)
+
+
 def test_code_that_the_parser_gives_up_on_is_a_row(spark):
     (r,) = run(spark, "x = " + "-" * 200_000 + "1\n")
     assert (r.status, r.reason) == ("low_confidence", "jedi_exception") and r.details

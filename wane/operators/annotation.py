@@ -59,6 +59,83 @@ def freeze(items: DataFrame, annotated: DataFrame) -> DataFrame:
     return annotated.crossJoin(F.broadcast(open_items)).where(guard).drop("_open").orderBy("benchmark_id")
 
 
+STATE = "struct<label:boolean,status:string,annotator:string,done:boolean>"
+STEP = "struct<step:bigint,action:string,decision:boolean,reason:string,label:boolean,status:string,annotator:string,done:boolean>"
+#: What an event needs and what it makes of an item.
+ANNOTATORS = {"accept": "HUMAN_AUDITED_PRE_ESTABLISHED", "decide": "HUMAN_USER", "revise": "HUMAN_USER_REVISED", "adjudicate": "HUMAN_ADJUDICATED_CONSENSUS"}
+STATUSES = {"decide": "annotated", "revise": "revised", "adjudicate": "adjudicated"}
+
+
+def replay(items: DataFrame, events: DataFrame) -> DataFrame:
+    """State of every item after its events (benchmark_id, step, action, decision), with the trace of all steps.
+
+    ``accept`` takes over a documented label, ``decide`` labels an open item, ``skip`` leaves it open, ``revise`` labels it again, ``adjudicate``
+    replaces a label, ``reset`` opens it. A step that its item does not allow changes nothing and keeps a reason in the trace. Events of one item
+    go by step, equal steps by action and decision. Events without an item are left to ``unknown_events``.
+    """
+    mine = events.where("benchmark_id is not null").groupBy("benchmark_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("step").cast("bigint").alias("step"), "action", "decision"))).alias("_events"))
+    pre = F.col("annotation_status") == "pre_labeled"
+    start = F.struct(
+        F.lit(None).cast("boolean").alias("label"), F.lit("unannotated").alias("status"), F.lit(None).cast("string").alias("annotator"),
+        F.lit(False).alias("done")).cast(STATE)
+
+    def told(e, s):
+        """Why a step is not allowed; null if it is."""
+        kind, made = e["action"], e["action"].isin("decide", "revise", "adjudicate")
+        return (
+            F.when(~kind.isin("accept", "decide", "skip", "revise", "adjudicate", "reset"), F.lit("unknown action"))
+            .when(made & e["decision"].isNull(), F.lit("no decision"))
+            .when((kind == "accept") & ~F.coalesce(pre, F.lit(False)), F.lit("not documented"))
+            .when(kind.isin("accept", "decide", "skip") & s["done"], F.lit("already decided"))
+            .when(kind.isin("reset", "adjudicate") & ~s["done"], F.lit("not decided")))
+
+    def follow(trace, e):
+        s = F.when(F.size(trace) == 0, start).otherwise(F.element_at(trace, -1).dropFields("step", "action", "decision", "reason"))
+        reason, kind = told(e, s), e["action"]
+        same = reason.isNotNull() | (kind == "skip")
+        pick = lambda names: F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), kind)
+        label = F.when(same, s["label"]).when(kind == "accept", F.col("is_deprecated_call")).when(kind != "reset", e["decision"])
+        status = F.when(same, s["status"]).when(kind == "accept", F.lit("pre_labeled")).when(kind == "reset", F.lit("unannotated")).otherwise(pick(STATUSES))
+        by = F.when(same, s["annotator"]).when(kind != "reset", pick(ANNOTATORS))
+        return F.array_append(trace, F.struct(
+            e["step"].alias("step"), kind.alias("action"), e["decision"].alias("decision"), reason.alias("reason"), label.alias("label"),
+            status.alias("status"), by.alias("annotator"), F.when(same, s["done"]).otherwise(label.isNotNull()).alias("done")).cast(STEP))
+
+    joined = items.join(mine, "benchmark_id", "left")
+    trace = F.aggregate(F.coalesce("_events", F.array().cast("array<struct<step:bigint,action:string,decision:boolean>>")), F.array().cast(f"array<{STEP}>"), follow)
+    traced = joined.withColumn("trace", trace).drop("_events")
+    last = F.try_element_at("trace", F.lit(-1))
+    return traced.withColumn("is_deprecated_call", last["label"]).withColumn(
+        "annotation_status", F.coalesce(last["status"], F.lit("unannotated"))).withColumn("annotator", last["annotator"])
+
+
+def illegal_steps(replayed: DataFrame) -> DataFrame:
+    """One row for each step that its item did not allow."""
+    steps = replayed.select("benchmark_id", F.explode(F.filter("trace", lambda t: t["reason"].isNotNull())).alias("t"))
+    return steps.select("benchmark_id", "t.step", "t.action", "t.reason")
+
+
+def unknown_events(items: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of items that do not exist; a freeze names no item."""
+    named = events.where("benchmark_id is not null")
+    return named.join(items.select("benchmark_id"), "benchmark_id", "left_anti").select("benchmark_id", "step", "action", F.lit("unknown item").alias("reason"))
+
+
+def freezes(replayed: DataFrame, events: DataFrame) -> DataFrame:
+    """Each freeze with the items that are open at its step; one with open items is refused. ``deprecated`` and ``benign`` count what it fixes.
+
+    A freeze sees all events of its own step. Freezes are few: their steps travel as one list.
+    """
+    steps = events.where("action = 'freeze'").agg(F.array_sort(F.collect_set(F.col("step").cast("bigint"))).alias("_steps"))
+    at = replayed.crossJoin(F.broadcast(steps)).select("trace", F.explode("_steps").alias("step"))
+    seen = F.filter("trace", lambda t: t["step"] <= F.col("step"))
+    label = F.try_element_at(seen, F.lit(-1))["label"]
+    found = at.select("step", label.alias("label")).groupBy("step").agg(
+        F.count_if(F.col("label").isNull()).alias("open"), F.count_if("label").alias("deprecated"), F.count_if(~F.col("label")).alias("benign"))
+    return found.withColumn("frozen", F.col("open") == 0)
+
+
 def second_pass_agreement(pairs: DataFrame) -> DataFrame:
     """Concordance, kappa and PABAK; all 1 when nothing was reviewed."""
     counts = pairs.agg(*contingency(F.col("primary_decision"), F.col("second_pass_decision")))

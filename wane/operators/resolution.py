@@ -195,6 +195,13 @@ def sample_outcomes(samples: DataFrame, statuses: DataFrame, apis: str = "deprec
         outcome.alias("outcome"))
 
 
+def outcome_transitions(before: DataFrame, after: DataFrame, by: list[str] = ("library", "cohort")) -> DataFrame:
+    """Samples of each group by their outcome under one preamble and under another."""
+    later = after.select("sample_id", F.col("outcome").alias("outcome_after"))
+    return before.withColumnRenamed("outcome", "outcome_before").join(later, "sample_id").groupBy(
+        *by, "outcome_before", "outcome_after").agg(F.count("*").alias("n"))
+
+
 def outcome_report(outcomes: DataFrame) -> DataFrame:
     """Samples per library, per cohort and outcome, and both."""
     return outcomes.groupingSets(

@@ -6,9 +6,14 @@ possible, so map tasks drop what cannot be drawn before any shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wane import fixed_values as fixed
 from wane.functions.keys import draw
@@ -36,30 +41,56 @@ def quota_sample(rows: DataFrame, key: str, quotas: DataFrame, ids: list[str], s
     return kept.drop("_draw", "_rank", "quota")
 
 
+def bottom_rows(rows: DataFrame, strata: list[str], order: list[str], k: int) -> DataFrame:
+    """In one scan, what every task knows of each stratum: its ``k`` first rows by ``order``, and on one of them the task's row count ``_n``.
+
+    Partial answers of tasks can be put together: the first ``k`` rows of a stratum are among them, and its size is the sum of ``_n``.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("_n", T.LongType())])
+    names = rows.columns
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, counts = None, Counter()
+        for batch in batches:
+            for key, n in batch.groupby(strata, dropna=False, sort=False).size().items():
+                # missing values are not equal to themselves
+                counts[tuple(None if pd.isna(v) else v for v in (key if isinstance(key, tuple) else (key,)))] += n
+            kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            kept = kept.sort_values(order).groupby(strata, dropna=False, sort=False).head(k)
+        if kept is None or not len(kept):
+            return
+        first = ~kept.duplicated(strata)
+        keys = [tuple(None if pd.isna(v) else v for v in t) for t in kept[strata].itertuples(index=False, name=None)]
+        kept["_n"] = [counts[key] if one else 0 for key, one in zip(keys, first, strict=True)]
+        yield kept[[*names, "_n"]]
+
+    return rows.mapInPandas(reduce, schema)
+
+
 def proportional_sample(rows: DataFrame, strata: list[str], size: int, ids: list[str], seed: int = 42) -> DataFrame:
     """Proportional allocation over sorted strata, then a top-up to exactly ``size``.
 
     Each stratum gets ``max(1, round(share * size))`` rows, no more than it has and no
-    more than is left; rounding is half-even. Strata after the quota is used up get none.
+    more than is left; rounding is half-even. Strata after the quota is used up get none. The rows are scanned once: the first ``size`` of each
+    stratum answer the allocation and the top-up, which draws the first of all unused rows.
     """
-    counts = rows.groupBy(*strata).agg(F.count("*").alias("_n"))
-    total = W.partitionBy(F.lit(0))
-    ask = F.least(F.greatest(F.lit(1), F.rint(F.col("_n") / F.sum("_n").over(total) * size).cast("bigint")), F.col("_n"))
-    before = total.orderBy(*strata).rowsBetween(W.unboundedPreceding, -1)
-    alloc = counts.withColumn("_ask", ask).withColumn(
-        "_left", F.lit(size) - F.coalesce(F.sum("_ask").over(before), F.lit(0)))
-    # every kept stratum takes at least one row: no more than ``size`` strata remain
-    alloc = alloc.select(*strata, F.least("_ask", "_left").alias("_take")).where("_take > 0")
     drawn = rows.withColumn("_draw", draw(seed, *[F.col(i) for i in ids]))
-    order = [F.col("_draw"), *[F.col(i) for i in ids]]
-    ranked = top_per_key(drawn, strata, order, size, "_rank")
-    chosen = ranked.join(F.broadcast(alloc), strata).where(F.col("_rank") <= F.col("_take")).select(*rows.columns, "_draw")
-    n = chosen.agg(F.count("*").alias("_have"))
-    # the top-up draws from what is unused; no more than ``size`` rows can be needed
-    spare = drawn.join(chosen.select(*ids), ids, "left_anti").orderBy(*order).limit(size)
-    spare = spare.withColumn("_rank", F.row_number().over(total.orderBy(*order)))
-    extra = spare.crossJoin(F.broadcast(n)).where(F.col("_rank") + F.col("_have") <= size)
-    return chosen.select(*rows.columns).unionByName(extra.select(*rows.columns))
+    order = ["_draw", *ids]
+    small = bottom_rows(drawn, strata, order, size).withColumn("_key", F.struct(*strata))
+    of_stratum = W.partitionBy("_key")
+    ranked = small.withColumn("_rank", F.row_number().over(of_stratum.orderBy(*order))).withColumn("_have", F.sum("_n").over(of_stratum)).where(F.col("_rank") <= size)
+    # every kept stratum takes at least one row, so no more than the first ``size`` strata can get any
+    counts = ranked.where("_rank = 1").select("_key", "_have")
+    total = counts.agg(F.sum("_have").alias("_all"))
+    first = counts.orderBy("_key").limit(size).crossJoin(F.broadcast(total))
+    ask = F.least(F.greatest(F.lit(1), F.rint(F.col("_have") / F.col("_all") * size).cast("bigint")), F.col("_have"))
+    before = W.partitionBy(F.lit(0)).orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
+    alloc = first.withColumn("_ask", ask).withColumn("_left", F.lit(size) - F.coalesce(F.sum("_ask").over(before), F.lit(0)))
+    alloc = alloc.select("_key", F.greatest(F.least("_ask", "_left"), F.lit(0)).alias("_take"))
+    # within reach of the top-up are no more rows of a stratum than it has left
+    marked = ranked.join(alloc, "_key", "left").withColumn("_taken", F.col("_rank") <= F.coalesce("_take", F.lit(0)))
+    # taken rows first, then the unused ones in order of their draw: the first ``size`` rows are the sample
+    return marked.orderBy(F.desc("_taken"), *order).limit(size).select(*rows.columns)
 
 
 def fixed_allocation(rows: DataFrame, keys: list[str], allocation: DataFrame, existing: DataFrame, ids: list[str],

@@ -99,6 +99,22 @@ SNIPPETS = ("customer", [
     + " else " + _text("def broken(:", "    return {c_nationkey}") + " end end as function",
 ])
 
+# calls that the two preambles resolve differently, and one of every reason for doubt
+VARIED = ("customer", [
+    "'v_' || cast(c_custkey as varchar(20)) as sample_id",
+    "case c_nationkey % 3 when 0 then 'numpy' when 1 then 'pandas' else 'scipy' end as library",
+    "case when c_acctbal < 5000 then 'outdated' else 'up-to-dated' end as category",
+    "cast(c_custkey % 10 as int) as kind",
+    "case c_custkey % 10 when 1 then 'pandas.io.formats.style.Styler.render' when 2 then 'scipy.misc.comb' when 3 then 'pandas.DataFrame.applymap' "
+    "when 4 then 'scipy.misc.comb' when 5 then 'numpy.product' when 9 then 'pandas.DataFrame.iteritems' else 'numpy.alltrue' end as api",
+    "case c_custkey % 10 when 0 then " + _text("def f(x):", "    return np.alltrue(x)")
+    + " when 1 then " + _text("Styler(x).render()") + " when 2 then " + _text("choose = comb", "y = comb(5, {c_nationkey})")
+    + " when 3 then " + _text("DataFrame(x).applymap(str)") + " when 4 then " + _text("scipy.special.comb(3)")
+    + " when 5 then " + _text("if x:", "    from numpy import product", "else:", "    from itertools import product", "product({c_nationkey})")
+    + " when 6 then 'x = ' || repeat('-', 20000) || '1' when 7 then " + _text("def broken(:")
+    + " when 8 then " + _text('getattr(np, "alltrue")(x)') + " else " + _text("for k in pdf.iteritems():", "    pass") + " end as function",
+])
+
 # symbols of line items and a catalog of parts; both carry the part's name as leaf
 SYMBOLS = ("lineitem join part on l_partkey = p_partkey", [
     "case when l_returnflag = 'A' and l_linestatus = 'O' then 'pandas.DataFrame.' "
@@ -161,7 +177,7 @@ def load(spark: SparkSession, folder: str, spec: tuple[str, list[str]]) -> DataF
         df = l.join(r, l[a] == r[b])
     else:
         df = spark.read.parquet(f"{folder}/{table}.parquet")
-        if spec in (SOURCES, SNIPPETS):
+        if spec in (SOURCES, SNIPPETS, VARIED):
             # parsing costs far more than reading: deal the rows by a key that every one of them has
             key = "p_partkey" if spec is SOURCES else "c_custkey"
             df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)

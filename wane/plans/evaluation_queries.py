@@ -498,6 +498,73 @@ def annotation_adjudicated(spark, d):
     return got.where("annotation_status = 'adjudicated'").select("benchmark_id", "adjudication_divergence")
 
 
+# items of the labels; every event is a step on one of them, on an item that does not exist, or a freeze
+_ACTION = "case event_type when 'click' then 'decide' when 'view' then 'skip' when 'purchase' then 'revise' when 'error' then 'reset' else 'adjudicate' end"
+_EVENTS_SQL = f"""
+    select doc_id as benchmark_id, cast(-1 as bigint) as step, 'accept' as action, cast(null as boolean) as decision from labels where doc_id % 3 <> 0
+    union all select event_id % 700, event_id, {_ACTION}, case when user_id % 11 = 0 then null else value > 20 end from events
+    union all select doc_id, cast(1000000 as bigint), 'revise', toxic = 0 from labels
+    union all select null, cast(500 as bigint), 'freeze', null union all select null, cast(1000000 as bigint), 'freeze', null"""
+_REPLAY_SQL = f"""
+    with recursive ev as ({_EVENTS_SQL}), items as (select doc_id as id, toxic = 1 as pre, quality = 1 as own from labels),
+    o as (select i.*, e.step, e.action, e.decision, row_number() over (partition by id order by step, action, decision nulls first) as k from items i join ev e on e.benchmark_id = i.id),
+    t as (
+      select id, cast(0 as bigint) as k, cast(null as bigint) as step, cast(null as varchar) as action, cast(null as varchar) as reason, cast(null as boolean) as label,
+        'unannotated' as status, cast(null as varchar) as annotator, false as done from items
+      union all
+      select id, k, step, action, reason,
+        case when reason is not null or action = 'skip' then label when action = 'accept' then own when action = 'reset' then null else decision end,
+        case when reason is not null or action = 'skip' then status when action = 'accept' then 'pre_labeled' when action = 'reset' then 'unannotated'
+          when action = 'decide' then 'annotated' when action = 'revise' then 'revised' else 'adjudicated' end,
+        case when reason is not null or action = 'skip' then annotator when action = 'accept' then 'HUMAN_AUDITED_PRE_ESTABLISHED' when action = 'decide' then 'HUMAN_USER'
+          when action = 'revise' then 'HUMAN_USER_REVISED' when action = 'adjudicate' then 'HUMAN_ADJUDICATED_CONSENSUS' end,
+        case when reason is not null or action = 'skip' then done else action <> 'reset' end
+      from (select o.id, o.k, o.step, o.action, o.decision, o.own, t.label, t.status, t.annotator, t.done,
+          case when o.action in ('decide', 'revise', 'adjudicate') and o.decision is null then 'no decision' when o.action = 'accept' and not o.pre then 'not documented'
+            when o.action in ('accept', 'decide', 'skip') and t.done then 'already decided' when o.action in ('reset', 'adjudicate') and not t.done then 'not decided' end as reason
+        from t join o on o.id = t.id and o.k = t.k + 1))"""
+
+
+def _replayed(spark, d):
+    items, ev = _items(spark, d), table(spark, d, "events")
+    null = F.lit(None).cast("boolean")
+    kind = F.expr(_ACTION)
+    labels = table(spark, d, "labels")
+    log = labels.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("benchmark_id"), F.lit(-1).cast("bigint").alias("step"), F.lit("accept").alias("action"), null.alias("decision"))
+    log = log.unionByName(ev.select(
+        (F.col("event_id") % 700).alias("benchmark_id"), F.col("event_id").alias("step"), kind.alias("action"), F.when(F.col("user_id") % 11 != 0, F.col("value") > 20).alias("decision")))
+    log = log.unionByName(labels.select(F.col("doc_id").alias("benchmark_id"), F.lit(1_000_000).cast("bigint").alias("step"), F.lit("revise").alias("action"), (F.col("toxic") == 0).alias("decision")))
+    log = log.unionByName(spark.createDataFrame([(None, 500, "freeze", None), (None, 1_000_000, "freeze", None)], log.schema))
+    quality = labels.select(F.col("doc_id").alias("benchmark_id"), (F.col("quality") == 1).alias("is_deprecated_call"))
+    return ann.replay(items.drop("is_deprecated_call").join(quality, "benchmark_id"), log), items, log
+
+
+@query("annotation_replay", f"""
+    {_REPLAY_SQL} select id as benchmark_id, label as is_deprecated_call, status as annotation_status, annotator, k as steps from t qualify row_number() over (partition by id order by k desc) = 1""")
+def annotation_replay(spark, d):
+    """Labels after accepting, deciding, skipping, revising, adjudicating and resetting, replayed from the log of events."""
+    r, _, _ = _replayed(spark, d)
+    return r.select("benchmark_id", "is_deprecated_call", "annotation_status", "annotator", F.size("trace").cast("bigint").alias("steps"))
+
+
+@query("annotation_illegal_steps", f"""
+    {_REPLAY_SQL} select id as benchmark_id, step, action, reason from t where reason is not null
+    union all select benchmark_id, step, action, 'unknown item' from ev where benchmark_id is not null and benchmark_id not in (select id from items)""")
+def annotation_illegal_steps(spark, d):
+    r, items, log = _replayed(spark, d)
+    return ann.illegal_steps(r).unionByName(ann.unknown_events(items, log))
+
+
+@query("annotation_freezes", f"""
+    {_REPLAY_SQL}, f as (select unnest([500, 1000000]) as step),
+    s as (select f.step, t.id, t.label from f join t on t.k = 0 or t.step <= f.step qualify row_number() over (partition by f.step, t.id order by t.k desc) = 1)
+    select cast(step as bigint) as step, count(*) filter (where label is null) as open, count(*) filter (where label) as deprecated, count(*) filter (where not label) as benign,
+      count(*) filter (where label is null) = 0 as frozen from s group by step""")
+def annotation_freezes(spark, d):
+    r, _, log = _replayed(spark, d)
+    return ann.freezes(r, log)
+
+
 # ---- reports -----------------------------------------------------------------------
 @query("stage_report", """
     select event_type as stage2_status, cast(user_id % 3 as varchar) as library, count(*) as total, count(*) filter (where value > 20) as deprecated,

@@ -99,6 +99,38 @@ def outcome_report(spark, d):
     return res.outcome_report(sample_outcomes(spark, d))
 
 
+def _varied(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(samples, their statuses under both preambles), from one parse."""
+    s = load(spark, d, derived.VARIED).withColumn("deprecated_api", F.array("api"))
+    alias = F.when(F.col("kind") == 2, F.create_map(F.lit("comb"), F.lit("scipy.misc.comb"))).when(
+        F.col("kind") == 3, F.create_map(F.lit("DataFrame.applymap"), F.lit("pandas.DataFrame.applymap")))
+    preambles = {"baseline": res.baseline_preamble(), "reconstructed": res.reconstructed_preamble(alias)}
+    return s, res.compared_statuses(s, target_dim(spark), preambles, "target_api", ["ord"], carry=["sample_id", "library", "deprecated_api"])
+
+
+@query("every_reason", f"""
+    with v as ({sql(derived.VARIED)}), r as (select case kind when 5 then 'ambiguous_definitions' when 6 then 'jedi_exception' when 7 then 'syntax_error'
+      when 8 then 'dynamic_dispatch' when 9 then 'unresolved_receiver' else 'empty_goto' end as reason from v where kind not in (0, 4))
+    select reason, count(*) as n from r group by 1""")
+def every_reason(spark, d):
+    """All six reasons for doubt under the baseline preamble."""
+    return res.reason_counts(_varied(spark, d)[1]["baseline"])
+
+
+def _outcome_case(resolved: str, low: str) -> str:
+    return f"""case when category = 'outdated' then case when kind in ({resolved}) then 'target_resolved_deprecated' when kind in ({low}) then 'target_in_low_confidence' else 'target_missed' end
+      else case when kind in ({resolved}) then 'spurious_deprecated_flagged' when kind in ({low}) then 'clean_in_low_confidence' else 'clean_resolved_benign' end end"""
+
+
+@query("preamble_transitions", f"""
+    select library, case when category = 'outdated' then 'outdated' else 'up_to_dated' end as cohort, {_outcome_case('0', '1, 2, 3, 5, 8, 9')} as outcome_before,
+      {_outcome_case('0, 1, 2, 3', '5, 8, 9')} as outcome_after, count(*) as n from ({sql(derived.VARIED)}) group by all""")
+def preamble_transitions(spark, d):
+    """What the reconstructed preamble changes for each sample."""
+    s, by = _varied(spark, d)
+    return res.outcome_transitions(*(res.sample_outcomes(s, by[p]) for p in ("baseline", "reconstructed")))
+
+
 @query("reconstructed_preamble", """
     select c_custkey, 'import numpy' || chr(10) || 'import numpy as np' || chr(10) || 'import scipy' || chr(10) || 'import scipy.misc' || chr(10) || 'import scipy.special'
       || chr(10) || 'import pandas' || chr(10) || 'import pandas as pd' || chr(10) || 'from pandas.io.formats.style import Styler' || chr(10) ||
