@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from wane import fixed_values as fixed
 from wane.functions.keys import draw
-from wane.functions.syntax import snippet_calls
+from wane.functions.syntax import marked_calls
 from wane.functions.text import contains_any, strip
 from wane.operators.ranking import numbered, top_per_key
 from wane.operators.reports import expectations
@@ -117,40 +117,41 @@ def candidate_positives(manifest: DataFrame, seed: int = 42) -> DataFrame:
         F.lit(None).cast("boolean").alias("is_deprecated_call"))
 
 
-def _pool_calls(samples: DataFrame, pools: DataFrame, first_only: bool) -> DataFrame:
-    """Calls of the pools' callees in the samples that pass the pools' text filter."""
-    passing = F.exists("words", lambda w: F.contains("function", w)) | (F.size("words") == 0)
-    per_library = pools.withColumn("library", F.explode("libraries")).drop("libraries")
-    rows = samples.join(F.broadcast(per_library), "library").where(
-        passing & (F.col("only").isNull() | (F.col("only") == F.col("category")))
-        & F.col("sample_idx").between(F.col("lo"), F.col("hi")))
-    # parse once per sample, not once per pool
-    parsed = rows.select("sample_id").distinct().join(samples, "sample_id").select(
-        "sample_id", snippet_calls(F.col("function")).getField("calls").alias("calls"))
-    j = rows.join(parsed, "sample_id")
-    hits = F.filter("calls", lambda c: c["kind"].isin("name", "attribute")
-                    & F.map_contains_key(F.col("callees"), c["callee"]))
+def _pool_calls(samples: DataFrame, pools: list[tuple], first_only: bool) -> DataFrame:
+    """Calls of the pools' callees in the samples that pass the pools' text filter.
+
+    Pools are (pool, tag, libraries, category or None, words, callees, number, first index, last index). A sample is read once: its words are
+    found by one automaton for all pools, and it is parsed if any pool may use it. Nothing is joined.
+    """
+    texts = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    dims = F.array(*[
+        F.struct(
+            F.lit(pool).alias("pool"), F.lit(tag).alias("tag"), texts(libraries).alias("libraries"), F.lit(only).cast("string").alias("only"),
+            texts(words).alias("words"), F.create_map(*[F.lit(x) for kv in callees.items() for x in kv]).alias("callees"),
+            F.lit(n).alias("quota"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+        for pool, tag, libraries, only, words, callees, n, lo, hi in pools])
+    open_ = F.filter(dims, lambda p: F.array_contains(p["libraries"], F.col("library")) & (p["only"].isNull() | (p["only"] == F.col("category")))
+                     & F.col("sample_idx").between(p["lo"], p["hi"]))
+    rows = samples.withColumn("_open", open_).where(F.size("_open") > 0)
+    words = sorted({w for p in pools for w in p[4]})
+    rows = rows.withColumn("_m", marked_calls(F.col("function"), F.exists("_open", lambda p: F.size(p["words"]) == 0), words))
+    serves = F.filter("_open", lambda p: (F.size(p["words"]) == 0) | F.arrays_overlap(p["words"], F.col("_m.found")))
+    # explode_outer keeps the optimizer from parsing twice
+    j = rows.select("*", F.explode_outer(serves).alias("p")).where(F.col("p").isNotNull())
+    hits = F.filter("_m.calls", lambda c: c["kind"].isin("name", "attribute") & F.map_contains_key(F.col("p.callees"), c["callee"]))
     hits = F.slice(hits, 1, 1) if first_only else hits
     j = j.select("*", F.explode_outer(hits).alias("c")).where(F.col("c").isNotNull())
     line = F.try_element_at(F.split("function", "\r?\n"), F.col("c.line"))
     return j.select(
-        F.concat_ws("_", "sample_id", "tag", F.col("c.line").cast("string"), F.col("c.node_col").cast("string")).alias("candidate_id"),
-        "sample_id", "sample_idx", "library", F.col("category").alias("cohort"), F.col("pool").alias("sub_stratum"),
-        F.element_at("callees", F.col("c.callee")).alias("target_api"), F.col("c.line").alias("client_line"),
+        F.concat_ws("_", "sample_id", "p.tag", F.col("c.line").cast("string"), F.col("c.node_col").cast("string")).alias("candidate_id"),
+        "sample_id", "sample_idx", "library", F.col("category").alias("cohort"), F.col("p.pool").alias("sub_stratum"),
+        F.element_at("p.callees", F.col("c.callee")).alias("target_api"), F.col("c.line").alias("client_line"),
         F.col("c.node_col").alias("column"), strip(line).alias("call_site_snippet"),
-        F.col("function").alias("enclosing_code"), F.col("c.callee").alias("callee"), "pool", "quota")
-
-
-def _pools(spark, rows) -> DataFrame:
-    return spark.createDataFrame(rows, (
-        "pool string, tag string, libraries array<string>, only string, words array<string>, "
-        "callees map<string,string>, quota int, lo int, hi int"))
+        F.col("function").alias("enclosing_code"), F.col("c.callee").alias("callee"), F.col("p.pool").alias("pool"), F.col("p.quota").alias("quota"))
 
 
 def pipeline_misses(samples: DataFrame, seed: int = 42) -> DataFrame:
-    pools = _pools(samples.sparkSession, [
-        (kind, tag, ["scipy"], None, [], {callee: target}, n, lo, hi)
-        for callee, tag, kind, target, lo, hi, n in fixed.MISS_POOLS])
+    pools = [(kind, tag, ["scipy"], None, [], {callee: target}, n, lo, hi) for callee, tag, kind, target, lo, hi, n in fixed.MISS_POOLS]
     calls = _pool_calls(samples, pools, first_only=False)
     kept = _draw_pools(calls, seed, ["sample_id", "client_line", "column"])
     return kept.select("*", F.lit("pipeline_miss").alias("stratum"), F.lit(True).alias("expected_ground_truth"),
@@ -164,9 +165,7 @@ def hard_negatives(samples: DataFrame, used: DataFrame, seed: int = 42) -> DataF
         used.select("sample_id")).distinct()
     fresh = samples.join(blocked, "sample_id", "left_anti")
     top = 2**31 - 1
-    pools = _pools(spark, [
-        (pool, tag, libs, only, words, callees, n, 0, top)
-        for pool, tag, libs, only, words, callees, n in fixed.NEGATIVE_POOLS])
+    pools = [(*pool, 0, top) for pool in fixed.NEGATIVE_POOLS]
     calls = _pool_calls(fresh, pools, first_only=True)
     kept = _draw_pools(calls, seed, ["candidate_id"])
     return kept.select("*", F.lit("hard_negative").alias("stratum"), F.lit(False).alias("expected_ground_truth"),

@@ -99,6 +99,21 @@ SNIPPETS = ("customer", [
     + " else " + _text("def broken(:", "    return {c_nationkey}") + " end end as function",
 ])
 
+# one snippet for each pool of the benchmark's negatives and misses, some for two
+POOLED = ("part", [
+    "cast(p_partkey % 10 as int) as kind",
+    "case when p_partkey % 10 in (4, 5, 7) then 'pandas' when p_partkey % 10 in (6, 9) then 'numpy' else 'scipy' end as library",
+    "case when p_partkey % 10 in (4, 5, 7) then 'pandas' when p_partkey % 10 in (6, 9) then 'numpy' else 'scipy' end || '_' || cast(p_partkey as varchar(20)) as sample_id",
+    "cast(p_partkey as int) as sample_idx",
+    "case when p_size > 15 then 'up-to-dated' else 'outdated' end as category",
+    "case p_partkey % 10 when 0 then " + _text("import scipy.special as sps", "sps.comb({p_size})")
+    + " when 1 then " + _text("simpson(y)", "x = cumulative_trapezoid(y)") + " when 2 then " + _text("linalg.pinv(a)")
+    + " when 3 then " + _text("misc.ascent()") + " when 4 then " + _text("df.map(f)", "x.ffill()")
+    + " when 5 then " + _text("import pyspark", "psdf.items()") + " when 6 then " + _text("itertools.product(a)")
+    + " when 7 then " + _text("it.product(psdf.first())") + " when 8 then " + _text("errprint()", "stats.rvs_ratio_uniforms(f)")
+    + " else " + _text("x = {p_size}") + " end as function",
+])
+
 # calls that the two preambles resolve differently, and one of every reason for doubt
 VARIED = ("customer", [
     "'v_' || cast(c_custkey as varchar(20)) as sample_id",
@@ -177,9 +192,9 @@ def load(spark: SparkSession, folder: str, spec: tuple[str, list[str]]) -> DataF
         df = l.join(r, l[a] == r[b])
     else:
         df = spark.read.parquet(f"{folder}/{table}.parquet")
-        if spec in (SOURCES, SNIPPETS, VARIED):
+        if spec in (SOURCES, SNIPPETS, VARIED, POOLED):
             # parsing costs far more than reading: deal the rows by a key that every one of them has
-            key = "p_partkey" if spec is SOURCES else "c_custkey"
+            key = "p_partkey" if table == "part" else "c_custkey"
             df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     return df.selectExpr(*exprs)
 

@@ -346,6 +346,67 @@ def negative_pools(spark, d):
     return smp.hard_negatives(s, s.where("kind = 'BUILDING'")).select("candidate_id", "sample_id", "target_api", "call_site_snippet")
 
 
+_Q = lambda x: "'" + str(x).replace("'", "''") + "'"
+# what each pool takes from the snippets: (pool, kind of snippet, line, column, target, text of the line, only of up-to-dated samples)
+_POOL_HITS = [
+    ("replacement_overload_comb", 0, 2, 0, "scipy.misc.comb", "sps.comb(", True), ("replacement_overload_integrate", 1, 1, 0, "scipy.integrate.simps", "simpson(y)", True),
+    ("replacement_overload_pandas", 4, 1, 0, "pandas.DataFrame.applymap", "df.map(f)", True), ("submodule_non_deprecated_pinv", 2, 1, 0, "scipy.linalg.pinv2", "linalg.pinv(a)", False),
+    ("misc_non_benchmark_symbol", 3, 1, 0, "scipy.misc.face", "misc.ascent()", False), ("stdlib_name_collision_product", 6, 1, 0, "numpy.product", "itertools.product(a)", False),
+    ("stdlib_name_collision_product", 7, 1, 0, "numpy.product", "it.product(psdf.first())", False), ("wrapper_lookalike_pyspark", 5, 2, 0, "pandas.DataFrame.iteritems", "psdf.items()", False),
+    ("wrapper_lookalike_pyspark", 7, 1, 11, "pandas.DataFrame.iteritems", "it.product(psdf.first())", False)]
+_TARGETS = list(fixed.QUOTAS)
+_POSITIVE_SQL = f"""select 'm' || p_partkey || '_res_0' as candidate_id, 'm_' || p_partkey as sample_id, case p_partkey % 31 {' '.join(f'when {i} then {_Q(t)}' for i, t in enumerate(_TARGETS))} end as target_api from part"""
+_STRATA_SQL = f"""
+    with s as ({sql(derived.POOLED)}), quotas as (select * from (values {', '.join(f'({_Q(t)}, {n})' for t, n in fixed.QUOTAS.items())}) as q(target_api, quota)),
+    pos as (select candidate_id, sample_id, 'candidate_positive' as stratum, 'manifest_candidate' as sub_stratum, target_api from ({_POSITIVE_SQL}) m join quotas using (target_api)
+      qualify row_number() over (partition by target_api order by {_draw_sql(42, 'candidate_id')}) <= quota),
+    miss as (select sample_id || '_' || tag || '_' || line || '_0' as candidate_id, sample_id, 'pipeline_miss' as stratum, kind_of as sub_stratum, target as target_api
+      from s join (values {', '.join(f'({_Q(t)}, {_Q(k)}, {_Q(api)}, {lo}, {hi}, {n}, {1 if c == "errprint" else 2})' for c, t, k, api, lo, hi, n in fixed.MISS_POOLS)}) as p(tag, kind_of, target, lo, hi, n, line)
+        on kind = 8 and sample_idx between lo and hi qualify row_number() over (partition by tag order by {_draw_sql(42, "sample_id || ':' || line || ':0'")}) <= n),
+    odd as (select a.sample_id || '_label_anomaly_' || line || '_' || col as candidate_id, a.sample_id, 'label_anomaly' as stratum, a.kind_of as sub_stratum, target as target_api
+      from (values {', '.join(f'({_Q(i)}, {_Q(k)}, {_Q(t)}, {line}, {col})' for i, _, k, t, line, col, _ in fixed.ANOMALIES)}) as a(sample_id, kind_of, target, line, col) join s on s.sample_id = a.sample_id),
+    neg as (select sample_id || '_' || tag || '_' || line || '_' || col as candidate_id, sample_id, 'hard_negative' as stratum, pool as sub_stratum, target as target_api
+      from s join (values {', '.join(f"({_Q(p)}, {k}, {line}, {col}, {_Q(t)}, {str(only).lower()}, {_Q(next(x[1] for x in fixed.NEGATIVE_POOLS if x[0] == p))}, {next(x[-1] for x in fixed.NEGATIVE_POOLS if x[0] == p)})" for p, k, line, col, t, _, only in _POOL_HITS)}) as h(pool, of_kind, line, col, target, newer, tag, n)
+        on kind = of_kind and (not newer or category = 'up-to-dated')
+      where sample_id not in ({', '.join(map(_Q, fixed.CALIBRATION_SAMPLES))}) and sample_id not in (select sample_id from miss) and sample_id not in (select sample_id from odd)
+      qualify row_number() over (partition by pool order by {_draw_sql(42, "sample_id || '_' || tag || '_' || line || '_' || col")}) <= n),
+    b as (select * from pos union all select * from miss union all select * from odd union all select * from neg)"""
+
+
+def _benchmark_inputs(spark, d):
+    m = table(spark, d, "part").select(
+        F.concat(F.lit("m"), "p_partkey", F.lit("_res_0")).alias("candidate_id"), F.concat(F.lit("m_"), "p_partkey").alias("sample_id"),
+        F.col("p_partkey").cast("int").alias("sample_idx"), F.lit("numpy").alias("library"), F.lit("outdated").alias("cohort"),
+        F.element_at(F.array(*map(F.lit, _TARGETS)), (F.col("p_partkey") % 31 + 1).cast("int")).alias("target_api"), F.lit(1).alias("client_line"), F.lit(0).alias("column"),
+        F.lit("x").alias("call_site_snippet"), F.lit("x").alias("enclosing_code"))
+    return m, load(spark, d, derived.POOLED)
+
+
+@query("every_negative_pool", f"""
+    with s as ({sql(derived.POOLED)}), h as ({' union all '.join(f"select sample_id, {_Q(p)} as sub_stratum, {_Q(next(x[1] for x in fixed.NEGATIVE_POOLS if x[0] == p))} as tag, {line} as line, {col} as col, {_Q(t)} as target_api, {next(x[-1] for x in fixed.NEGATIVE_POOLS if x[0] == p)} as n from s where kind = {k}{chr(32) + 'and category = ' + _Q('up-to-dated') if only else ''}" for p, k, line, col, t, _, only in _POOL_HITS)})
+    select candidate_id, sub_stratum, target_api from (select *, sample_id || '_' || tag || '_' || line || '_' || col as candidate_id from h where sample_id not in ({', '.join(map(_Q, fixed.CALIBRATION_SAMPLES))}))
+    qualify row_number() over (partition by sub_stratum order by {_draw_sql(42, 'candidate_id')}) <= n""")
+def every_negative_pool(spark, d):
+    """Lookalike calls of all seven pools, drawn at once."""
+    _, s = _benchmark_inputs(spark, d)
+    return smp.hard_negatives(s, s.limit(0)).select("candidate_id", "sub_stratum", "target_api")
+
+
+@query("assembled_benchmark", f"""
+    {_STRATA_SQL} select printf('bench_%03d', row_number() over (order by {_draw_sql(42, 'candidate_id')})) as benchmark_id, candidate_id, sample_id, stratum, sub_stratum, target_api from b""")
+def assembled_benchmark(spark, d):
+    """Positives by quota, pipeline misses, label anomalies and hard negatives from samples that none of these uses."""
+    return smp.assemble_benchmark(*_benchmark_inputs(spark, d)).select("benchmark_id", "candidate_id", "sample_id", "stratum", "sub_stratum", "target_api")
+
+
+@query("benchmark_expectations", f"""
+    {_STRATA_SQL}, n as (select count(*) as total, count(*) filter (where stratum in ('candidate_positive', 'pipeline_miss')) as positive from b)
+    select 'total' as name, total as found, cast(150 as bigint) as expected, total = 150 as ok from n union all select 'positive', positive, 108, positive = 108 from n
+    union all select 'negative', total - positive, 42, total - positive = 42 from n union all select 'contaminated', 0, 0, true from n""")
+def benchmark_expectations(spark, d):
+    return smp.benchmark_checks(smp.assemble_benchmark(*_benchmark_inputs(spark, d)))
+
+
 @query("fresh_wrappers", f"""
     select candidate_id, call_site_snippet from ({sql(derived.REQUESTS)}) where cohort in ('en', 'fr') and (contains(lower(call_site_snippet), 'psdf') or contains(lower(enclosing_code), 'ks.'))
       and sample_id not in (select 's' || doc_id from labels where toxic = 0)""")

@@ -421,7 +421,7 @@ _FULL_KEY = f"sha256({_KEY5} || ':' || sha256(mode) || ':' || sha256(enclosing_c
 def stored_responses(spark, d):
     """Three runs over a log of responses: part of the requests, all of them, and all again after the log was compacted."""
     r = load(spark, d, derived.REQUESTS)
-    log = store.ResponseStore(spark, shared_folder(spark, "responses"))
+    log = store.ResponseStore(spark, shared_folder(spark, "responses"), digits=1)
     some = ver.verify_with_store(r.where("cohort in ('en', 'de')"), log)
     every = ver.verify_with_store(r, log)
     log.compact()
