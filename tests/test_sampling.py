@@ -16,6 +16,18 @@ def test_proportional_sample_is_exact_and_stable(spark):
     assert ids == sorted(r.id for r in again.collect())
 
 
+def test_proportional_sample_scans_its_rows_once(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "source")
+    got = smp.proportional_sample(rows, ["lang", "source"], 20, ["doc_id"])
+    assert len(got.collect()) == 20
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and final.count("FileScan parquet") == 1
+    with_nulls = spark.createDataFrame([(i, None if i % 2 else "a", None) for i in range(40)], "id int, lib string, cohort string")
+    kept = smp.proportional_sample(with_nulls, ["lib", "cohort"], 10, ["id"]).collect()
+    assert len(kept) == 10 and sum(r.lib is None for r in kept) == 5
+    assert smp.proportional_sample(with_nulls.limit(0), ["lib", "cohort"], 10, ["id"]).count() == 0
+
+
 def test_quota_errors_when_a_key_is_short(spark):
     rows = spark.createDataFrame([(i, "a") for i in range(3)], "id int, k string")
     quotas = spark.createDataFrame([("a", 2), ("b", 0)], "k string, quota int")
@@ -50,6 +62,22 @@ def test_benchmark_is_assembled(spark):
     assert strata == {"candidate_positive": 100, "pipeline_miss": 8, "label_anomaly": 2, "hard_negative": 40}
 
 
+def test_events_that_an_item_does_not_allow_stay_in_its_trace(spark):
+    items = spark.createDataFrame([("b1", "pre_labeled", True), ("b2", "unannotated", None), ("b3", None, None)],
+                                  "benchmark_id string, annotation_status string, is_deprecated_call boolean")
+    log = [("b1", 1, "accept", None), ("b1", 2, "accept", None), ("b2", 1, "accept", None), ("b2", 2, "reset", None), ("b2", 3, "decide", True),
+           ("b2", 4, "decide", False), ("b2", 5, "adjudicate", False), ("b2", 6, "reset", None), ("b2", 7, "revise", True), ("b2", 8, "dance", None),
+           ("b9", 1, "decide", True), (None, 3, "freeze", None), (None, 9, "freeze", None)]
+    events = spark.createDataFrame(log, "benchmark_id string, step int, action string, decision boolean")
+    r = ann.replay(items, events)
+    got = {x.benchmark_id: (x.is_deprecated_call, x.annotation_status, x.annotator) for x in r.collect()}
+    assert got == {"b1": (True, "pre_labeled", "HUMAN_AUDITED_PRE_ESTABLISHED"), "b2": (True, "revised", "HUMAN_USER_REVISED"), "b3": (None, "unannotated", None)}
+    bad = {(x.benchmark_id, x.step): x.reason for x in ann.illegal_steps(r).collect()}
+    assert bad == {("b1", 2): "already decided", ("b2", 1): "not documented", ("b2", 2): "not decided", ("b2", 4): "already decided", ("b2", 8): "unknown action"}
+    assert [x.benchmark_id for x in ann.unknown_events(items, events).collect()] == ["b9"]
+    assert {(x.step, x.open, x.frozen) for x in ann.freezes(r, events).collect()} == {(3, 1, False), (9, 1, False)}
+
+
 def test_annotation_states(spark):
     items = spark.createDataFrame([("b1", "pre_labeled", True), ("b2", "unannotated", None), ("b3", "unannotated", None)],
                                   "benchmark_id string, annotation_status string, is_deprecated_call boolean")

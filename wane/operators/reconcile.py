@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +22,10 @@ def _site(df: DataFrame, file: str, symbol: str) -> DataFrame:
 
 
 def _classes(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Group the names met at one site into classes of mutually compatible names.
+    """The names met at one site, in parts that have no compatible names in common.
 
-    Compatible names share their leaf, so a site splits by leaf first. ``clean`` says
-    that the classes do not overlap; then any left row of a class fits any right row.
+    Compatible names share their leaf, so a site splits by leaf first. Each left name has its ``fits`` among the right names and the part
+    these belong to; a part is ``clean`` if every left name of it fits all its right names.
     """
     names = left.select(*_SITE, "_sym", F.lit(True).alias("_l")).unionByName(
         right.select(*_SITE, "_sym", F.lit(False).alias("_l"))).distinct()
@@ -37,50 +36,63 @@ def _classes(left: DataFrame, right: DataFrame) -> DataFrame:
     fits = F.transform(
         "_ls", lambda a: F.struct(a.alias("sym"), F.filter("_rs", lambda b: compatible(a, b)).alias("fits")))
     site = site.select(*_SITE, fits.alias("_fits")).withColumn("_fits", F.filter("_fits", lambda f: F.size(f["fits"]) > 0))
+
+    def grow(parts, g):
+        """Parts so far, with those that share a name with ``g`` and ``g`` itself as one."""
+        apart = F.filter(parts, lambda p: ~F.arrays_overlap(p, g))
+        joined = F.flatten(F.concat(F.filter(parts, lambda p: F.arrays_overlap(p, g)), F.array(g)))
+        return F.array_append(apart, F.array_sort(F.array_distinct(joined)))
+
     groups = F.array_distinct(F.transform("_fits", lambda f: f["fits"]))
-    site = site.select(*_SITE, "_fits", groups.alias("_groups"))
-    clean = F.size(F.flatten("_groups")) == F.size(F.array_distinct(F.flatten("_groups")))
-    return site.select(*_SITE, "_fits", "_groups", clean.alias("_clean"))
+    parts = F.aggregate(groups, F.array().cast("array<array<string>>"), grow)
+    site = site.select(*_SITE, "_fits", F.explode(parts).alias("_part"))
+    mine = F.filter("_fits", lambda f: F.arrays_overlap(f["fits"], F.col("_part")))
+    return site.select(*_SITE, "_part", mine.alias("_fits"), F.forall(mine, lambda f: f["fits"] == F.col("_part")).alias("_clean"))
 
 
 def match_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One-to-one pairs: each left row, in order, takes the first free compatible right row.
+    """One-to-one pairs of orders: each left row, in order, takes the first free compatible right row.
 
-    In a clean class the k-th left row meets the k-th right row, which is a join on the
-    position. Only sites whose classes overlap need the sequential rule; they are sent
-    to Python as (name, order) pairs without their payload.
+    In a clean part the k-th left row meets the k-th right row, which is a join on the position. In other parts a row's choice depends on
+    all rows before it, but only through the number of right rows that each name has given away; they are followed by a
+    Python task for each part, as two numbers a row.
     """
     site = _classes(left, right)
-    of_left = site.select(*_SITE, "_clean", F.explode("_fits").alias("f")).select(
-        *_SITE, "_clean", F.col("f.sym").alias("_sym"), F.col("f.fits").alias("_fit"))
-    of_right = site.select(*_SITE, "_clean", F.explode("_groups").alias("_fit")).select(
-        *_SITE, "_clean", "_fit", F.explode("_fit").alias("_sym")).distinct()
-    l = left.join(of_left, [*_SITE, "_sym"])
-    r_clean = right.join(of_right.where("_clean"), [*_SITE, "_sym"])
-    keys = [*_SITE, "_fit"]
+    of_left = site.select(*_SITE, "_part", "_clean", F.explode("_fits").alias("f")).select(
+        *_SITE, "_part", "_clean", F.col("f.sym").alias("_sym"), F.col("f.fits").alias("_fit"))
+    of_right = site.select(*_SITE, "_part", "_clean", F.posexplode("_part").alias("_name", "_sym"))
+    l, r = left.join(of_left, [*_SITE, "_sym"]), right.join(of_right, [*_SITE, "_sym"])
+    keys = [*_SITE, "_part"]
     by_order = [F.col("_ord")]
     lp = positions(l.where("_clean"), keys, by_order, id_bucket(F.col("_ord")), "_k")
-    rp = positions(r_clean, keys, by_order, id_bucket(F.col("_ord")), "_k")
+    rp = positions(r.where("_clean"), keys, by_order, id_bucket(F.col("_ord")), "_k")
     simple = lp.select(*keys, "_k", F.col("_ord").alias("_lo")).join(
-        rp.select(*keys, "_k", F.col("_ord").alias("_ro")), [*keys, "_k"]).select(*_SITE, "_lo", "_ro")
+        rp.select(*keys, "_k", F.col("_ord").alias("_ro")), [*keys, "_k"]).select("_lo", "_ro")
 
-    mixed_sites = site.where(~F.col("_clean")).select(*_SITE)
-    l_mixed = l.where(~F.col("_clean")).select(*_SITE, "_sym", "_ord", "_fit")
-    r_mixed = right.join(mixed_sites, _SITE, "left_semi").select(*_SITE, "_sym", "_ord")
+    # two digests stand for a part, and places of its names for what a row fits: no text goes to Python for each row
+    group = [F.xxhash64(*keys).alias("_g"), F.xxhash64(F.lit(1), *keys).alias("_h")]
+    places = F.array_join(F.transform("_fit", lambda x: F.array_position("_part", x) - 1), ",")
+    l_mixed = l.where(~F.col("_clean")).select(*group, places.alias("_fit"), "_ord")
+    r_mixed = r.where(~F.col("_clean")).select(*group, "_name", "_ord")
 
     def serve(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free = {s: deque(sorted(o)) for s, o in b.groupby("_sym")["_ord"]}
-        pairs = []
-        for order, fits in sorted(zip(a["_ord"], a["_fit"])):
-            heads = [(free[s][0], s) for s in fits if free.get(s)]
+        name, order = b["_name"].to_numpy(), b["_ord"].to_numpy()
+        queue = [np.sort(order[name == n]).tolist() for n in range(int(name.max(initial=-1)) + 1)]
+        given = [0] * len(queue)
+        code, sets = pd.factorize(a["_fit"])
+        fits = [[int(n) for n in s.split(",") if int(n) < len(queue)] for s in sets]
+        first = np.argsort(a["_ord"].to_numpy())
+        lo, ro = [], []
+        for place, one in zip(a["_ord"].to_numpy()[first].tolist(), code[first].tolist()):
+            heads = [(queue[n][given[n]], n) for n in fits[one] if given[n] < len(queue[n])]
             if heads:
-                taken, s = min(heads)
-                free[s].popleft()
-                pairs.append((*key, order, taken))
-        return pd.DataFrame(pairs, columns=[*_SITE, "_lo", "_ro"])
+                taken, n = min(heads)
+                given[n] += 1
+                lo.append(place)
+                ro.append(taken)
+        return pd.DataFrame({"_lo": lo, "_ro": ro}, dtype="int64")
 
-    mixed = l_mixed.groupBy(*_SITE).cogroup(r_mixed.groupBy(*_SITE)).applyInPandas(
-        serve, "_file string, _line int, _leaf string, _lo bigint, _ro bigint")
+    mixed = l_mixed.groupBy("_g", "_h").cogroup(r_mixed.groupBy("_g", "_h")).applyInPandas(serve, "_lo bigint, _ro bigint")
     return simple.unionByName(mixed)
 
 

@@ -99,6 +99,30 @@ SNIPPETS = ("customer", [
     + " else " + _text("def broken(:", "    return {c_nationkey}") + " end end as function",
 ])
 
+def combined_source(div: str) -> list[str]:
+    """Library files of four independent parts: a decorator or assignment, a guarded warning, a comment, a nested definition.
+
+    ``div`` is the engine's integer division, with two placeholders.
+    """
+    n = "c_custkey"
+    a, b, c, d = f"{n} % 4", f"{div.format(n, 4)} % 4", f"{div.format(n, 16)} % 3", f"{div.format(n, 48)} % 2"
+    warn = '        warnings.warn("m", FutureWarning)'
+    text = (
+        f"case {a} when 0 then " + _text('@deprecate_kwarg("old", "new")', "def fa(new): pass")
+        + " when 1 then " + _text('@deprecate_kwarg(new_arg_name="n", old_arg_name="o")', "def fa(n): pass")
+        + " when 2 then " + _text('@deprecated("argument x is obsolete")', "def fa(x): pass")
+        + " else " + _text("def fa(x): pass", 'old = np.deprecate(fa, message="use {c_custkey}")') + " end || "
+        + f"case {b} when 0 then " + _text("def fb(p, q):", "    if p and q:", warn) + " when 1 then " + _text("def fb(p, q):", "    if p or q:", warn)
+        + " when 2 then " + _text("def fb(p, q):", "    if GLOBAL:", warn) + " else " + _text("def fb(p, **kw):", '    if "k" in kw:', warn) + " end || "
+        + f"case {c} when 0 then " + _text("# Deprecated: use y", "def fc(): pass") + " when 1 then " + _text("def fc():  # deprecated since 2", "    pass")
+        + " else " + _text("def fc():", "    # leading deprecation note", "    return 1") + " end || "
+        + f"case {d} when 0 then " + _text("class K:", "    class L:", "        def m(self):", '            """Deprecated."""')
+        + " else " + _text("def outer():", "    def inner():", warn) + " end as source")
+    return [
+        f"'lib.m' || cast({n} as varchar(20)) as prefix", f"'m' || cast({n} as varchar(20)) || '.py' as file",
+        f"cast({a} as int) as a", f"cast({b} as int) as b", f"cast({c} as int) as c", f"cast({d} as int) as d", text]
+
+
 # one snippet for each pool of the benchmark's negatives and misses, some for two
 POOLED = ("part", [
     "cast(p_partkey % 10 as int) as kind",

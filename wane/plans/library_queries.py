@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wane.operators import reexports as rex, resolution as res
-from wane.plans.derived import _text
+from wane.operators.declarations import find_candidates
+from wane.plans.derived import _text, combined_source
 from wane.sources.records import table
 
 QUERIES: dict = {}
@@ -88,3 +89,22 @@ def statuses_through_re_exports(spark, d):
     catalog = s.where(f"not ({_CIRCLE})").selectExpr(f"explode(array(concat('lib', {_K}, '.m', {_N}, '.f'), concat('lib', {_K}, '.m', {_N}, '.C.old'))) as qualified_name")
     got = res.call_statuses(samples, catalog, F.lit(""), carry=["sample_id"], aliases=exports, returns=returns)
     return got.select("sample_id", "callee", "status", "qualified_name", "matched", "reason")
+
+
+_PARTS = f"select {', '.join(combined_source('({0} // {1})')[:-1])}, c_custkey as k from customer"
+
+
+@query("find_candidates_combined", f"""
+    with s as ({_PARTS})
+    select prefix || case a when 0 then '.fa::old' when 1 then '.fa::o' when 2 then '.fa' else '.old' end as qualified_name, 'decorator' as origin,
+      case when a < 2 then 'parameter' else 'function' end as scope, case when a = 3 then 'use ' || k end as message from s
+    union all select prefix || case b when 0 then '.fb::p+q' when 1 then '.fb::p' when 2 then '.fb' else '.fb::k' end, 'warning', case when b = 2 then 'function' else 'parameter' end, null from s
+    union all select prefix || '.fb::q', 'warning', 'parameter', null from s where b = 1
+    union all select prefix || '.fc', 'comment', 'function', null from s
+    union all select prefix || case d when 0 then '.K.L.m' else '.outer.inner' end, case d when 0 then 'docstring' else 'warning' end, 'function', null from s""")
+def find_candidates_combined(spark, d):
+    """All rules on files whose parts vary independently of one another."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = table(spark, d, "customer").select("c_custkey").repartition(parts, "c_custkey").selectExpr(*combined_source("cast(floor({0} / {1}) as bigint)"))
+    found = find_candidates(files.select("file", "prefix", "source"))
+    return found.select("qualified_name", "origin", "scope", F.when(F.col("qualified_name").endswith(".old"), F.col("message")).alias("message"))

@@ -271,6 +271,42 @@ def reconcile_channels(spark, d):
         F.count("*").alias("n"), F.min("raw_evidence").alias("first_evidence"), F.sum(F.length("raw_evidence")).alias("evidence_chars"))
 
 
+# names that fit several others, on many sites and on one that a third of all rows share
+_L4 = ["pandas.DataFrame.pad", "pandas.Series.pad", "pandas.core.generic.NDFrame.pad", "numpy.pad"]
+_R4 = ["pandas.core.frame.DataFrame.pad", "pandas.core.series.Series.pad", "pandas.core.generic.NDFrame.pad", "numpy.lib.arraypad.pad"]
+
+
+@query("reconcile_overlapping", """
+    with recursive l as (select *, row_number() over (partition by file, c = 3 order by ord) as k from (
+        select o_orderkey as ord, o_orderkey % 4 as c, case when o_orderkey % 3 = 0 then 'hot' else 'd' || day(o_orderdate) end as file from orders)),
+    r as (select *, row_number() over (partition by file, c order by ord) - 1 as j from (
+        select event_id as ord, event_id % 4 as c, case when event_id % 3 = 0 then 'hot' else 'd' || day(ts) end as file from events)),
+    w(file, k, c0, c1, c2, lo, ro) as (
+      select distinct file, cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(null as bigint), cast(null as bigint) from l
+      union all
+      select file, k, c0 + case when m = o0 then 1 else 0 end, c1 + case when m = o1 then 1 else 0 end, c2 + case when m = o2 then 1 else 0 end, ord, m
+      from (select *, least(o0, o1, o2) as m from (
+        select w.file, l.k, w.c0, w.c1, w.c2, l.ord, case when l.c in (0, 2) then r0.ord end as o0, case when l.c in (1, 2) then r1.ord end as o1, r2.ord as o2
+        from w join l on l.file = w.file and l.c < 3 and l.k = w.k + 1 left join r r0 on r0.file = w.file and r0.c = 0 and r0.j = w.c0
+          left join r r1 on r1.file = w.file and r1.c = 1 and r1.j = w.c1 left join r r2 on r2.file = w.file and r2.c = 2 and r2.j = w.c2))),
+    p as (select lo, ro from w where ro is not null union all select l.ord, r.ord from l join r on l.c = 3 and r.c = 3 and l.file = r.file and l.k = r.j + 1)
+    select 'L' || lo || ' | R' || ro as raw_evidence, 'both' as "case" from p
+    union all select 'L' || ord, 'catalog_only' from l where ord not in (select lo from p) union all select 'R' || ord, 'checker_only' from r where ord not in (select ro from p)""")
+def reconcile_overlapping(spark, d):
+    null = F.lit(None).cast("string")
+    pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % 4 + 1).cast("int"))
+    place = lambda key, ts: F.when(F.col(key) % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), F.day(ts).cast("string")))
+    left = table(spark, d, "orders").select(
+        place("o_orderkey", "o_orderdate").alias("client_file"), F.lit(1).alias("line"), pick(_L4, "o_orderkey").alias("target_symbol"),
+        F.array(F.lit("warning")).alias("origins"), F.concat(F.lit("L"), "o_orderkey").alias("raw_evidence"), null.alias("message"),
+        null.alias("param_name"), F.lit("function").alias("scope"), F.col("o_orderkey").alias("ord"))
+    right = table(spark, d, "events").select(
+        place("event_id", "ts").alias("file"), F.lit(1).alias("line"), pick(_R4, "event_id").alias("qualified_name"), F.lit("pep702:mypy").alias("origin"),
+        F.array(F.lit("pep702")).alias("origins"), F.concat(F.lit("R"), "event_id").alias("raw_evidence"), null.alias("message"),
+        null.alias("param_name"), F.lit("function").alias("scope"), F.col("event_id").alias("ord"))
+    return rec.reconcile(left, right).select("raw_evidence", "case")
+
+
 @query("semi_scope_filter", """
     select c_mktsegment as target_api, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey where c_acctbal > 0 group by 1""")
 def semi_scope_filter(spark, d):
