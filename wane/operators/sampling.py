@@ -21,6 +21,7 @@ from wane.functions.syntax import marked_calls
 from wane.functions.text import contains_any, strip
 from wane.operators.ranking import numbered, top_per_key
 from wane.operators.reports import expectations
+from wane.session import cut_lineage
 
 
 def quota_sample(rows: DataFrame, key: str, quotas: DataFrame, ids: list[str], seed: int = 42, strict: bool = True) -> DataFrame:
@@ -76,7 +77,8 @@ def proportional_sample(rows: DataFrame, strata: list[str], size: int, ids: list
     """
     drawn = rows.withColumn("_draw", draw(seed, *[F.col(i) for i in ids]))
     order = ["_draw", *ids]
-    small = bottom_rows(drawn, strata, order, size).withColumn("_key", F.struct(*strata))
+    # read below more than once: a few rows of each task and stratum are kept, not the scan
+    small = cut_lineage(bottom_rows(drawn, strata, order, size)).withColumn("_key", F.struct(*strata))
     of_stratum = W.partitionBy("_key")
     ranked = small.withColumn("_rank", F.row_number().over(of_stratum.orderBy(*order))).withColumn("_have", F.sum("_n").over(of_stratum)).where(F.col("_rank") <= size)
     # every kept stratum takes at least one row, so no more than the first ``size`` strata can get any
