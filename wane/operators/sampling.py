@@ -215,9 +215,9 @@ def benchmark_checks(benchmark: DataFrame) -> DataFrame:
         {"total": 150, "positive": 108, "negative": 42, "contaminated": 0}, benchmark)
 
 
-def fresh_wrapper_rows(manifest: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Wrapper-related candidates of samples that the benchmark does not use."""
-    related = contains_any(F.lower("call_site_snippet"), fixed.WRAPPER_WORDS) | contains_any(
-        F.lower("enclosing_code"), fixed.WRAPPER_WORDS)
+def fresh_wrapper_rows(manifest: DataFrame, benchmark: DataFrame, in_call: list[str] = fixed.WRAPPER_WORDS,
+                       in_code: list[str] = fixed.WRAPPER_WORDS) -> DataFrame:
+    """Wrapper-related candidates of samples that the benchmark does not use: those with a word in their call or in the code around it."""
+    related = contains_any(F.lower("call_site_snippet"), in_call) | contains_any(F.lower("enclosing_code"), in_code)
     pandas_only = F.contains("target_api", F.lit("pandas")) | (F.col("library") == "pandas")
     return manifest.join(benchmark.select("sample_id").distinct(), "sample_id", "left_anti").where(related & pandas_only)
