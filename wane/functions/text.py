@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEPRECATION = "(?i)deprecat"
+#: The start of a word of ASCII letters, digits and underscores, and ASCII white space: the Java classes also know other letters and the vertical tab.
+WORD_START, SPACE = "(?<![0-9A-Za-z_])", r"[\t\n\f\r ]"
 
 
 def strip(c: Column) -> Column:
