@@ -23,7 +23,10 @@ def _joined(a: Column, b: Column) -> Column:
 
 
 def library_names(files: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(tree, module, name, kind, to_module, to_name, made, seq) for ``file, prefix, source`` rows; ``by`` names the columns that tell trees apart."""
+    """(tree, module, name, kind, to_module, to_name, made, seq) for ``file, prefix, source`` rows; ``by`` names the columns that tell trees apart.
+
+    Every round of following names reads these rows again, so they are checkpointed: a file is parsed once.
+    """
     package = F.col("file").rlike(r"(^|/)__init__\.pyi?$")
     tree = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]) if by else F.lit("")
     rows = files.select(tree.alias("tree"), F.coalesce("prefix", F.lit("")).alias("module"), package.alias("package"), F.explode_outer(module_names("source")).alias("n"))
@@ -33,10 +36,10 @@ def library_names(files: DataFrame, by: list[str] = ()) -> DataFrame:
     path = F.coalesce("n.path", F.lit(""))
     source = F.when(F.col("n.level") > 0, _joined(base, path)).otherwise(path)
     kind = F.col("n.kind")
-    return rows.select(
+    return cut_lineage(rows.select(
         "tree", "module", F.coalesce("n.name", F.lit("")).alias("name"), F.coalesce(kind, F.lit("empty")).alias("kind"),
         F.when(kind == "alias", F.col("module")).when(kind.isin("module", "import", "star"), source).alias("to_module"),
-        F.when(kind.isin("import", "alias"), F.col("n.member")).alias("to_name"), F.col("n.made").alias("made"), F.col("n.seq").alias("seq"))
+        F.when(kind.isin("import", "alias"), F.col("n.member")).alias("to_name"), F.col("n.made").alias("made"), F.col("n.seq").alias("seq")))
 
 
 def _with_stars(names: DataFrame) -> DataFrame:

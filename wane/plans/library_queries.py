@@ -27,9 +27,14 @@ def query(name: str, check: str):
 _N, _K, _CIRCLE = "s_suppkey % 5 + 1", "s_suppkey", "s_nationkey % 4 = 0"
 
 
+def suppliers(spark, d) -> DataFrame:
+    """Parsing costs far more than reading: the rows are dealt by their key."""
+    return table(spark, d, "supplier").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+
+
 def files(spark, d) -> DataFrame:
     """file, prefix, source: module 0 is the package, the last one defines the names."""
-    s = table(spark, d, "supplier").selectExpr(
+    s = suppliers(spark, d).selectExpr(
         "s_suppkey", "s_nationkey", f"{_N} as n", "concat('lib', s_suppkey) as lib", f"explode(sequence(0, cast({_N} as int))) as j")
     code = (
         "case when j = 0 and s_suppkey % 3 = 0 then " + _text("from .m1 import *")
@@ -83,10 +88,10 @@ def annotated_returns(spark, d):
 def statuses_through_re_exports(spark, d):
     """Calls of re-exported functions and of methods of what they return."""
     exports, returns = traced_names(spark, d)
-    s = table(spark, d, "supplier")
+    s = suppliers(spark, d)
     samples = s.selectExpr(
         "concat('lib', s_suppkey) as sample_id", _text("import lib{s_suppkey} as lib", "def g():", "    lib.f()", "    x = lib.make(1)", "    return x.old()") + " as function")
-    catalog = s.where(f"not ({_CIRCLE})").selectExpr(f"explode(array(concat('lib', {_K}, '.m', {_N}, '.f'), concat('lib', {_K}, '.m', {_N}, '.C.old'))) as qualified_name")
+    catalog = table(spark, d, "supplier").where(f"not ({_CIRCLE})").selectExpr(f"explode(array(concat('lib', {_K}, '.m', {_N}, '.f'), concat('lib', {_K}, '.m', {_N}, '.C.old'))) as qualified_name")
     got = res.call_statuses(samples, catalog, F.lit(""), carry=["sample_id"], aliases=exports, returns=returns)
     return got.select("sample_id", "callee", "status", "qualified_name", "matched", "reason")
 
