@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,24 +77,30 @@ def match_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     l_mixed = l.where(~F.col("_clean")).select(*group, places.alias("_fit"), "_ord")
     r_mixed = r.where(~F.col("_clean")).select(*group, "_name", "_ord")
 
-    def serve(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        name, order = b["_name"].to_numpy(), b["_ord"].to_numpy()
-        queue = [np.sort(order[name == n]).tolist() for n in range(int(name.max(initial=-1)) + 1)]
+    def serve(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        """Eight bytes for each number of a row: Python objects exist for one row at a time."""
+        numbers = lambda values: array("q", np.asarray(values, "int64").tobytes())
+        name, order = b.column("_name").to_numpy(), b.column("_ord").to_numpy()
+        queue = [numbers(np.sort(order[name == n])) for n in range(int(name.max(initial=-1)) + 1)]
         given = [0] * len(queue)
-        code, sets = pd.factorize(a["_fit"])
+        sets, codes = {}, [np.empty(0, "int64")]
+        for c in a.column("_fit").dictionary_encode().chunks:
+            codes.append(np.array([sets.setdefault(s, len(sets)) for s in c.dictionary.to_pylist()], "int64")[c.indices.to_numpy()])
+        code = np.concatenate(codes)
         fits = [[int(n) for n in s.split(",") if int(n) < len(queue)] for s in sets]
-        first = np.argsort(a["_ord"].to_numpy())
-        lo, ro = [], []
-        for place, one in zip(a["_ord"].to_numpy()[first].tolist(), code[first].tolist()):
+        where = a.column("_ord").to_numpy()
+        first = np.argsort(where)
+        lo, ro = array("q"), array("q")
+        for place, one in zip(numbers(where[first]), numbers(code[first])):
             heads = [(queue[n][given[n]], n) for n in fits[one] if given[n] < len(queue[n])]
             if heads:
                 taken, n = min(heads)
                 given[n] += 1
                 lo.append(place)
                 ro.append(taken)
-        return pd.DataFrame({"_lo": lo, "_ro": ro}, dtype="int64")
+        return pa.table({"_lo": np.array(lo, "int64"), "_ro": np.array(ro, "int64")})
 
-    mixed = l_mixed.groupBy("_g", "_h").cogroup(r_mixed.groupBy("_g", "_h")).applyInPandas(serve, "_lo bigint, _ro bigint")
+    mixed = l_mixed.groupBy("_g", "_h").cogroup(r_mixed.groupBy("_g", "_h")).applyInArrow(serve, "_lo bigint, _ro bigint")
     return simple.unionByName(mixed)
 
 
