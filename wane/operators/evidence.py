@@ -58,4 +58,5 @@ def add_evidence(rows: DataFrame, catalog: DataFrame | None = None, symbol: str
         F.coalesce("c_warning", "e_warning").alias("warning"),
         F.coalesce("c_docstring", "e_docstring").alias("docstring"),
         F.coalesce("c_location", "e_location").alias("source_location"))
-    return rows.join(s, rows[symbol].eqNullSafe(s["_of"]), "left").drop("_of")
+    # one row for each symbol is hashed, so that rows of a frequent one stream by and are never sorted in one task
+    return rows.join(s.hint("shuffle_hash"), rows[symbol].eqNullSafe(s["_of"]), "left").drop("_of")

@@ -374,8 +374,9 @@ _CUR = "select * from (values " + ", ".join("(" + ", ".join(map(_quote, g)) + ")
 def evidence_fill(spark, d):
     rows = load(spark, d, derived.SYMBOLS).select("symbol").unionByName(load(spark, d, derived.TARGET_NAMES).select("symbol"))
     got = add_evidence(rows, load(spark, d, derived.PART_CATALOG), "symbol")
-    return got.groupBy("symbol").agg(
-        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("recommended_replacement", "warning", "docstring", "source_location")])
+    # a symbol has one evidence; counted by hash, as the first of several texts would sort all rows
+    evidence = ["recommended_replacement", "warning", "docstring", "source_location"]
+    return got.groupBy("symbol", *evidence).agg(F.count("*").alias("n")).select("symbol", "n", *evidence)
 
 
 # ---- catalogs of several snapshots: names recur in files whose ords clash --------
