@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from wane import fixed_values as fixed
 from wane.functions.names import build_keys, compatible, leaf, probe_keys
 from wane.functions.text import strip
+from wane.session import local_rows
 
 
 def target_dim(spark) -> DataFrame:
     rows = [(lib, t) for lib, names in fixed.TARGETS.items() for t in names]
-    return spark.createDataFrame(
-        [(lib, t, i) for i, (lib, t) in enumerate(rows)], "library string, target_api string, ord int")
+    return local_rows(spark, [(lib, t, i) for i, (lib, t) in enumerate(rows)], "library string, target_api string, ord int")
 
 
 def pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, how: str = "inner") -> DataFrame:
@@ -81,7 +81,7 @@ def leaf_lookup(calls: DataFrame, catalog: DataFrame, name: str, out: str = "lea
         .when(F.contains(receiver, F.lit("series")), F.coalesce("_series", "_first"))
         .otherwise(F.col("_first")))
     if only is not None:
-        kept = calls.sparkSession.createDataFrame([(c, None, None, None) for c in only], dim.schema)
+        kept = local_rows(calls.sparkSession, [(c, None, None, None) for c in only], dim.schema)
         dim = dim.where(~F.col("_leaf").isin(only)).unionByName(kept)
     joined = calls.join(dim, calls["callee"] == dim["_leaf"], "left" if only is None else "inner")
     return joined.withColumn(out, pick).drop("_leaf", "_first", "_frame", "_series")

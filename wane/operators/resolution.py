@@ -16,7 +16,7 @@ from wane.operators.bindings import symbols
 from wane.operators.evidence import add_evidence
 from wane.operators.matching import first_match, leaf_lookup, match_target
 from wane.operators.reexports import traced
-from wane.session import cut_lineage
+from wane.session import cut_lineage, local_rows
 
 def baseline_preamble() -> Column:
     return F.lit("\n".join(fixed.BASELINE_IMPORTS) + "\n")
@@ -126,7 +126,8 @@ def statuses_of(known: DataFrame, catalog: DataFrame, name: str, order: list[str
     lookup = found.groupBy("symbols").agg(
         F.min_by("symbol", F.struct(F.col("matched").isNull(), "k")).alias("symbol"), F.min_by("matched", F.struct(F.col("matched").isNull(), "k")).alias("matched"),
         F.count_distinct(module_of(F.col("symbol"))).alias("modules"), F.bool_and(F.col("matched").isNotNull()).alias("every"))
-    found = known.join(lookup.withColumnRenamed("symbols", "_set"), F.col("symbols") == F.col("_set"), "left")
+    # hashed on the lookup's side: calls of a frequent set, or of none, stream by and are never sorted in one task
+    found = known.join(lookup.withColumnRenamed("symbols", "_set").hint("shuffle_hash"), F.col("symbols") == F.col("_set"), "left")
     several = F.coalesce(F.col("firm") & (F.col("modules") > 1) & ~F.col("every"), F.lit(False))
     hit = F.col("matched").isNotNull() & ~several
     error = F.col("kind").isin(*ERRORS)
@@ -166,7 +167,7 @@ def call_counts(statuses: DataFrame, by: list[str] = ("library",)) -> DataFrame:
 def reason_counts(statuses: DataFrame) -> DataFrame:
     """Low-confidence calls per reason; reasons without calls count zero."""
     spark = statuses.sparkSession
-    dim = spark.createDataFrame([(r, i) for i, r in enumerate(fixed.FAILURE_REASONS)], "reason string, ord int")
+    dim = local_rows(spark, [(r, i) for i, r in enumerate(fixed.FAILURE_REASONS)], "reason string, ord int")
     n = statuses.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
     return dim.join(n, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -24,6 +26,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     return spark
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A few fixed rows whose size the optimizer knows, so that a join broadcasts them and not the table they meet."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(list(map(pa.array, columns)), names=kind.names), kind)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; only a local session without one (tests) gets a folder here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
