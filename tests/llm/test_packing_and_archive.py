@@ -140,6 +140,35 @@ def test_queue_and_fold_agree(spark, vocabulary):
         assert r["ids"] == pieces.merge_word(r["word"], vocabulary.plain, vocabulary.bytes)
 
 
+def test_merging_along_edges_takes_the_highest_and_leftmost():
+    rank = {"ab": 3, "ba": 3, "bb": 1, "abba": 2}
+    word = "abbabab"
+    edges = [(a * 64 + b - a) * 2**42 + rank.get(word[a:b], 0) * 2**21 + 7 for a in range(7) for b in range(a + 1, 8) if b - a == 1 or word[a:b] in rank]
+    assert pieces.merge_edges(7, edges)[0] == [0, 4, 6, 7]
+    assert pieces.merge_edges(3, []) == ([0, 1, 2, 3], {})
+
+
+def test_what_is_not_read_again_leaves_the_disk(spark):
+    from pathlib import Path
+
+    from wane.llm.common import discard, stored, stored_apart
+
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    shuffled = lambda: sum(f.stat().st_size for f in local.rglob("shuffle_*.data"))
+    frame = spark.range(100_000).withColumn("word", F.sha2(F.col("id").cast("string"), 256))
+    before = shuffled()
+    assert stored(frame.repartition(3, "word"), "test").count() == 100_000
+    assert shuffled() < before + 1_000_000
+    few, rest = stored_apart(frame, "test", F.col("id") < 10, "id", 3)
+    assert (few.count(), rest.count()) == (10, 99_990)
+    folder = Path(rest.inputFiles()[0].removeprefix("file:")).parent
+    discard(rest)
+    assert (few.count(), spark.read.schema(rest.schema).parquet(str(folder)).count()) == (10, 0)
+    assert sum(f.stat().st_size for f in folder.iterdir()) < 10_000
+    empty, all_of_them = stored_apart(frame, "test", F.lit(False), "id", 3)
+    assert (empty.count(), all_of_them.count()) == (0, 100_000)
+
+
 def test_crc_of_packed_ids_is_the_contract(spark):
     raw = struct.pack("<3I", 1, 70000, 0)
     assert spark.createDataFrame([(raw,)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(raw)

@@ -38,16 +38,52 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffle files of a finished execution; they would stay until the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files: for writes whose result is read back, and whose input nobody runs again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     folder = shared_folder(spark, purpose)
-    df.write.option("compression", "zstd").parquet(folder)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def stored_apart(df: DataFrame, purpose: str, test: Column, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Write in one pass, and read back apart, the rows that meet a test (never null) and the others, which can be discarded alone.
+
+    The first are in buckets of `key`: what groups them by it leaves them in place.
+    """
+    spark = df.sparkSession
+    folder, name = shared_folder(spark, purpose), f"stored_{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        df.withColumn("_apart", test).write.partitionBy("_apart").bucketBy(buckets, key).option("path", folder).option("compression", "zstd").saveAsTable(name)
+    spark.createDataFrame([], df.schema).write.mode("append").parquet(f"{folder}/_apart=false")  # a side without rows has no folder
+    return spark.table(name).filter("_apart").drop("_apart"), spark.read.schema(df.schema).parquet(f"{folder}/_apart=false")
+
+
+def discard(*frames: DataFrame) -> None:
+    """Empty the folders of stored tables that nothing reads any more. Not for the buckets of `stored_apart`: its folder holds both sides."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+
+
 def give_back() -> None:
-    """Return the memory of a finished training to the system: the driver's Python would keep it while later stages run."""
+    """Return the memory of finished work to the system: the driver's Python, or a worker that waits for its next task, would keep it."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

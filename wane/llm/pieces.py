@@ -1,8 +1,8 @@
 """Encoding texts as vocabulary pieces, and back, with a relational lattice.
 
 Texts are cut into words that no piece crosses. The distinct words of the corpus are exploded into their substrings of up to the
-longest piece's length and equi-joined with the piece table; the matches, grouped by word, are its lattice. Folds over the lattice
-choose the segmentation: `best_path` (Viterbi, the largest sum of scores) for vocabularies trained as word lists, `merged` for
+longest piece's length and equi-joined with the piece table; the matches, grouped by word, are its lattice. The segmentation is chosen
+along the lattice: by `best_path` (Viterbi, the largest sum of scores) for vocabularies trained as word lists, by `merge_edges` for
 those trained by pair merging, where the library's own result is the sequence of merges and not the best sum.
 
 Blocks of documents are stored as numbers of a block's own distinct words, so words travel once for each block.
@@ -18,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wane.llm.common import byte_blocks, runs, stored
+from wane.llm.common import byte_blocks, discard, give_back, runs, stored, stored_apart
 
 SPACE = "▁"
 #: Blanks stay with the word after them; a line end is a word. Where no piece mixes them, runs of letters, of ASCII digits and of
@@ -30,7 +31,7 @@ SPACE = "▁"
 _LETTER = r"[^\W\d_²³¹¼-¾]"
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _FINE = re.compile(rf"{SPACE}*(?:{_LETTER}+|[0-9]+|(?:[^\w\n{SPACE}]|[_²³¹¼-¾]|(?![0-9])\d)+)|{SPACE}+|\n")
-#: Words of more characters are merged with a queue instead of a fold.
+#: Words of more characters are merged with a queue, without a lattice.
 LONG_WORD = 48
 
 
@@ -57,14 +58,17 @@ class Vocabulary:
         return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
 
 
-def lattice(words: DataFrame, vocabulary: Vocabulary, edge: Column, parts: int) -> DataFrame:
+def lattice(words: DataFrame, vocabulary: Vocabulary, edge: Column, parts: int, most: int = 0) -> DataFrame:
     """(word, edges): for each distinct word the list of `edge`, an expression over (start, length, id, score, rank).
 
     The piece table is as large as the vocabulary file and is broadcast. Exploding and joining keep the words' partitioning, so the
     edges are grouped where they are; a number in front of the word makes that sort cheap. Words without a match have no edges.
-    A word is many rows here, so words are dealt to more partitions (`parts`) than their own size asks for: no sort spills.
+    A word is many rows here, so words are dealt to more partitions (`parts`) than their own size asks for: no sort spills. Words of
+    more than `most` characters are one row.
     """
     size = F.char_length("word")
+    if most:
+        size = F.when(size <= most, size).otherwise(1)
     at = words.withColumn("h", F.xxhash64("word")).repartition(parts, "h", "word").select("h", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     cut = at.select("h", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start")))).alias("length"))
     cut = cut.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("length")))
@@ -88,24 +92,21 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def ranked(edges: Column) -> Column:
-    """Rank and piece, as one number, of each packed edge by its key."""
-    return F.map_from_entries(F.transform(edges, lambda e: F.struct(F.shiftright(e, 42).cast("int"), e.bitwiseAND(2**42 - 1))))
-
-
-def merged(word: Column, known: Column) -> Column:
-    """Ends of the pieces after merging, again and again, the neighbours whose joint piece has the highest score, the leftmost first."""
-    size = F.char_length(word)
-
-    def step(cuts: Column, _: Column) -> Column:
-        pairs = F.transform(
-            F.sequence(F.lit(1), F.size(cuts) - 2),
-            lambda i: F.struct(F.shiftright(known[_key(F.get(cuts, i - 1), F.get(cuts, i + 1) - F.get(cuts, i - 1))], 21).alias("value"), (-i).alias("i")),
-        )
-        without = lambda b: F.when(b["value"].isNull(), cuts).otherwise(F.concat(F.slice(cuts, F.lit(1), -b["i"]), F.slice(cuts, 2 - b["i"], F.size(cuts))))
-        return F.when(F.size(cuts) < 3, cuts).otherwise(_bound(F.array_max(pairs), without))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.sequence(F.lit(0), size), step)
+def merge_edges(size: int, edges: list[int]) -> tuple[list[int], dict[int, int]]:
+    """Ends of a word's pieces after merging, again and again, the neighbours whose joint piece has the highest score, the leftmost first;
+    and the piece of each key. edges: `packed_edge` of each edge; size: the word's characters."""
+    rank = {e >> 42: e >> 21 & (1 << 21) - 1 for e in edges}
+    joint = lambda a, b: rank.get(a * 64 + b - a, -1)
+    cuts = list(range(size + 1))
+    joints = [joint(i, i + 2) for i in range(size - 1)]  # of the pieces at i and i + 1
+    while joints and (best := max(joints)) >= 0:
+        i = joints.index(best)
+        del cuts[i + 1], joints[i]
+        if i:
+            joints[i - 1] = joint(cuts[i - 1], cuts[i + 1])
+        if i < len(joints):
+            joints[i] = joint(cuts[i], cuts[i + 2])
+    return cuts, {e >> 42: e & (1 << 21) - 1 for e in edges}
 
 
 def scored(edges: Column) -> Column:
@@ -148,7 +149,7 @@ def numbers_of(word: Column, cuts: Column, bytes_of: list[int], piece) -> Column
 
 
 def merge_word(word: str, plain: dict[str, tuple[int, float]], bytes_of: list[int]) -> list[int]:
-    """What `merged` gives, with a queue: for words of any length."""
+    """What merging along the lattice gives, with a queue: for words of any length."""
     n = len(word)
     end = list(range(1, n + 1))  # of the symbol that begins here; 0 for none
     before = list(range(-1, n - 1))
@@ -177,24 +178,63 @@ def merge_word(word: str, plain: dict[str, tuple[int, float]], bytes_of: list[in
     return out
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary, fold=merged, parts: int = 8) -> DataFrame:
-    """(word, ids array<int>) of distinct words, cut by `fold`. Only `merged` has words longer than LONG_WORD, through a queue."""
+def merged_words(words: DataFrame, vocabulary: Vocabulary, parts: int, shards: int = 0) -> DataFrame:
+    """(word, ids array<int>) of distinct words by merging along the lattice. Words longer than LONG_WORD go through a queue.
+
+    With `shards`, packed by shard instead: (shard, n, m, raw, packed) of n words with m ids.
+    """
     plain, bytes_of = vocabulary.plain, vocabulary.bytes
 
-    def long_ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [merge_word(w, plain, bytes_of) for w in pdf["word"]]})
+    def ids_of(word: str, edges: list[int]) -> list[int]:
+        if len(word) > LONG_WORD:
+            return merge_word(word, plain, bytes_of)
+        cuts, piece = merge_edges(len(word), edges)
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            hit = piece.get(a * 64 + b - a)
+            out += [bytes_of[x] for x in word[a:b].encode("utf-8", "surrogatepass")] if hit is None else [hit]
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["word"].to_pylist()
+            ids = list(map(ids_of, texts, batch["edges"].to_pylist()))
+            if not shards:
+                yield pa.RecordBatch.from_arrays([batch["word"], pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+                continue
+            of: dict[int, list[int]] = {}
+            raw = [w.encode("utf-8", "surrogatepass") for w in texts]
+            for i, w in enumerate(raw):
+                of.setdefault(zlib.crc32(w) % shards, []).append(i)
+            rows = []
+            for shard, own in of.items():
+                own.sort(key=raw.__getitem__)
+                flat = np.array([x for i in own for x in ids[i]], np.uint32)
+                whole = b"\xff".join([raw[i] for i in own])
+                rows.append((shard, len(own), len(flat), len(whole), _squeeze(np.array([len(ids[i]) for i in own], np.uint32).tobytes() + flat.tobytes() + whole)))
+            yield _batch(rows, _KNOWN)
+
+    schema = "shard int, n int, m int, raw long, packed binary" if shards else "word string, ids array<int>"
+    return lattice(words, vocabulary, packed_edge(), parts, LONG_WORD).mapInArrow(run, schema)
+
+
+#: Names and kinds of packed rows.
+_KNOWN = {"shard": pa.int32(), "n": pa.int32(), "m": pa.int32(), "raw": pa.int64(), "packed": pa.binary()}
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=[*kinds])
+
+
+def encode_words(words: DataFrame, vocabulary: Vocabulary, fold=None, parts: int = 8) -> DataFrame:
+    """(word, ids array<int>) of distinct words, by merging, or cut by `fold` (`best_path`), which takes words of up to LONG_WORD characters."""
+    if fold is None:
+        return merged_words(words, vocabulary, parts)
     # Maps and cuts are columns of their own, so that later folds do not compute them anew.
-    short = words.filter(F.char_length("word") <= LONG_WORD)
-    if fold is merged:
-        edge, known, piece = packed_edge(), ranked(F.col("edges")), lambda key: F.col("known")[key].bitwiseAND(2**21 - 1).cast("int")
-    else:
-        edge, known, piece = F.struct("start", "length", "id", "score"), scored(F.col("edges")), lambda key: F.col("known")[key]["id"]
-    folded = lattice(short, vocabulary, edge, parts).withColumn("known", known).withColumn("cuts", fold(F.col("word"), F.col("known")))
-    found = folded.select("word", numbers_of(F.col("word"), F.col("cuts"), bytes_of, piece).alias("ids"))
-    other = words.filter(F.char_length("word") > LONG_WORD).mapInPandas(long_ones, "word string, ids array<int>")
-    return found.union(other)
+    edge, piece = F.struct("start", "length", "id", "score"), lambda key: F.col("known")[key]["id"]
+    folded = lattice(words.filter(F.char_length("word") <= LONG_WORD), vocabulary, edge, parts)
+    folded = folded.withColumn("known", scored(F.col("edges"))).withColumn("cuts", fold(F.col("word"), F.col("known")))
+    return folded.select("word", numbers_of(F.col("word"), F.col("cuts"), vocabulary.bytes, piece).alias("ids"))
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -205,8 +245,18 @@ def _expand(raw: bytes, size: int) -> bytes:
     return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Lowest bytes of all numbers first, then the next ones: these compress better."""
+    numbers = np.ascontiguousarray(numbers, "<u4")
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _numbered(docs: DataFrame, kind: str, word: re.Pattern, shards: int, block_bytes: int) -> DataFrame:
-    """Blocks of documents as numbers of their distinct words (shard -1), and those words by shard, in order of number."""
+    """Blocks of documents as numbers of their distinct words (shard -1), and those words by shard, in order of number and of their bytes."""
     schema = f"shard int, block long, n int, raw long, packed binary, ids array<{kind}>, sizes array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +272,13 @@ def _numbered(docs: DataFrame, kind: str, word: re.Pattern, shards: int, block_b
                 parts.append(np.array([seen.setdefault(w, len(seen)) for w in words], np.uint32))
             raw = [w.encode("utf-8", "surrogatepass") for w in seen]
             shard = np.array([zlib.crc32(w) % shards for w in raw], np.int64)
-            order = np.argsort(shard, kind="stable")
+            order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+            order = order[np.argsort(shard[order], kind="stable")]
             number = np.empty(len(order), np.uint32)
             number[order] = np.arange(len(order))
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             flat = number[np.concatenate(parts)] if len(raw) else np.empty(0, np.uint32)
-            rows = [(-1, len(flat), flat.nbytes, _squeeze(flat.tobytes()), ids, [len(p) for p in parts])]
+            rows = [(-1, len(flat), flat.nbytes, _squeeze(_planes(flat)), ids, [len(p) for p in parts])]
             for s in range(shards):
                 if cuts[s + 1] > cuts[s]:
                     own = b"\xff".join([raw[i] for i in order[cuts[s] : cuts[s + 1]]])
@@ -235,6 +286,7 @@ def _numbered(docs: DataFrame, kind: str, word: re.Pattern, shards: int, block_b
             number, turn = first + turn, turn + 1
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(id_kind), pa.list_(pa.int32()))
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            ids.clear(), texts.clear()
             return pa.RecordBatch.from_arrays([columns[0], pa.array([number] * len(rows), pa.int64()), *columns[1:]], names=["shard", "block", "n", "raw", "packed", "ids", "sizes"])
 
         for block in byte_blocks(batches, "text", 2_000_000):
@@ -244,9 +296,10 @@ def _numbered(docs: DataFrame, kind: str, word: re.Pattern, shards: int, block_b
             size += block["text"].nbytes
             if size >= block_bytes:
                 yield packed()
-                ids, texts, size = [], [], 0
+                size = 0
         if ids:
             yield packed()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -267,43 +320,72 @@ def encode(
     shards = shards or max(64, partitions)
     kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    blocks = stored(_numbered(plain, kind, vocabulary.word, shards, block_bytes), "pieces-blocks")
-    cells = blocks.filter("shard >= 0").select("shard", "block", "n", "raw", "packed")
-
-    def distinct(pdf: pd.DataFrame) -> pd.DataFrame:
-        words: set[bytes] = set()
-        for packed, raw in zip(pdf["packed"], pdf["raw"], strict=True):
-            words.update(_words_of(packed, raw))
-        return pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in words]})
-
-    words = cells.groupBy("shard").applyInPandas(distinct, "word string")
-    known = stored(encode_words(words, vocabulary, parts=4 * partitions), "pieces-words").withColumn("shard", (F.crc32(F.col("word").cast("binary")) % shards).cast("int"))
-
-    def answer(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        of = {w.encode("utf-8", "surrogatepass"): np.asarray(i, np.uint32) for w, i in zip(right["word"], right["ids"], strict=True)}
-        out = []
-        for block, packed, raw in zip(left["block"], left["packed"], left["raw"], strict=True):
-            ids = [of.get(w, ()) for w in _words_of(packed, raw)]
-            sizes = np.array([len(i) for i in ids], np.uint32)
-            flat = np.concatenate([i for i in ids if len(i)]).astype(np.uint32) if sizes.any() else np.empty(0, np.uint32)
-            out.append((block, key[0], len(sizes), len(flat), _squeeze(sizes.tobytes() + flat.tobytes())))
-        return pd.DataFrame(out, columns=["block", "shard", "n", "m", "packed"])
-
-    answers = cells.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answer, "block long, shard int, n int, m int, packed binary")
+    numbered = _numbered(plain, kind, vocabulary.word, shards, block_bytes)
+    texts, cells = stored_apart(numbered, "pieces-blocks", F.col("shard") < 0, "block", partitions)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Distinct words of a shard (block null), and the numbers of each block's words among them."""
+        own = [_words_of(packed, raw) for packed, raw in zip(pdf["packed"], pdf["raw"], strict=True)]
+        words = sorted(set().union(*own))
+        of, whole, shard = {w: i for i, w in enumerate(words)}, b"\xff".join(words), pdf["shard"].iloc[0]
+        rows = [(shard, None, len(words), len(whole), _squeeze(whole))]
+        for block, some in zip(pdf["block"], own, strict=True):
+            step = np.diff(np.fromiter(map(of.__getitem__, some), np.uint32, len(some)), prepend=np.uint32(0))
+            rows.append((shard, block, len(some), step.nbytes, _squeeze(_planes(step))))
+        del own, words, of
+        give_back()
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("shard", "block", "n", "raw", "packed"))})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, packed in zip(batch["raw"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+                words = _words_of(packed, raw)
+                for a in range(0, len(words), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in words[a : a + 10_000]], pa.string())], names=["word"])
+
+    by_shard = stored(cells.select("shard", "block", "n", "raw", "packed").groupBy("shard").applyInPandas(merge, "shard int, block long, n int, raw long, packed binary"), "pieces-shards")
+    discard(cells)
+    words = by_shard.filter("block is null").select("raw", "packed").mapInArrow(split, "word string")
+    known = stored(merged_words(words, vocabulary, 4 * partitions, shards), "pieces-words")
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        of: dict[bytes, int] = {}
+        sizes, flat = [], []
+        for n, m, raw, packed in zip(*(right[c].to_pylist() for c in ("n", "m", "raw", "packed")), strict=True):
+            data = _expand(packed, 4 * (n + m) + raw)
+            sizes.append(np.frombuffer(data, np.uint32, n))
+            flat.append(np.frombuffer(data, np.uint32, m, 4 * n))
+            for w in data[4 * (n + m) :].split(b"\xff"):
+                of[w] = len(of)
+        out, own = [], left.filter(pc.is_null(left["block"]))
+        if own.num_rows:
+            sizes, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat)
+            at = np.fromiter(map(of.__getitem__, _words_of(own["packed"][0].as_py(), own["raw"][0].as_py())), np.int64)
+            starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+            rest = left.filter(pc.is_valid(left["block"]))
+            for shard, block, n, packed in zip(*(rest[c].to_pylist() for c in ("shard", "block", "n", "packed")), strict=True):
+                number = np.cumsum(_from_planes(_expand(packed, 4 * n)), dtype=np.int64)
+                ids = flat[runs(starts[number], sizes[number])]
+                out.append((block, shard, n, len(ids), _squeeze(_planes(np.concatenate([sizes[number], ids])))))
+        return pa.Table.from_batches([_batch(out, {"block": pa.int64(), "shard": pa.int32(), "n": pa.int32(), "m": pa.int32(), "packed": pa.binary()})])
+
+    # Stored before the texts meet them, so that words are not on disk twice while the texts' numbers are.
+    answers = stored(by_shard.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "block long, shard int, n int, m int, packed binary"), "pieces-answers")
+    discard(by_shard, known)
     schema = f"`{id_column}` {kind}, n_tokens long, ids binary"
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         sizes, flat = [], []
         right = right.sort_by("shard")
         for n, m, packed in zip(*(right[c].to_pylist() for c in ("n", "m", "packed")), strict=True):
-            both = np.frombuffer(_expand(packed, 4 * (n + m)), np.uint32)
+            both = _from_planes(_expand(packed, 4 * (n + m)))
             sizes.append(both[:n])
             flat.append(both[n:])
         sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.empty(0, np.int64)
         flat = np.concatenate(flat) if flat else np.empty(0, np.uint32)
         starts = np.cumsum(sizes) - sizes
         row = {c: left[c].to_pylist()[0] for c in ("raw", "packed", "ids", "sizes")}
-        numbers = np.frombuffer(_expand(row["packed"], row["raw"]), np.uint32)
+        numbers = _from_planes(_expand(row["packed"], row["raw"]))
         out, at = [], 0
         for n in row["sizes"]:
             own = numbers[at : at + n]
@@ -311,8 +393,7 @@ def encode(
             out.append(flat[runs(starts[own], sizes[own])].astype("<u4").tobytes())
         return pa.table({id_column: pa.array(row["ids"], left.schema.field("ids").type.value_type), "n_tokens": pa.array([len(o) // 4 for o in out], pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    texts = blocks.filter("shard = -1").select("block", "raw", "packed", "ids", "sizes")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, schema)
+    return texts.select("block", "raw", "packed", "ids", "sizes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "text") -> DataFrame:
