@@ -241,3 +241,24 @@ def test_nearest(spark):
     assert hits >= 0.95 * 300
     assert got[5100] == {1: (5200, 1.0)} and got[5200] == {1: (5100, 1.0)} and set(got) == {*range(0, 1500, 50), 5100, 5200}
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_sweeps_leave_the_disk_before_the_texts_are_scored(spark):
+    from pathlib import Path
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(200))) for i in range(60)], "doc_id long, text string")
+    lm.score(docs.limit(0), F.lit(False)).count()  # names the shared folder
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(root.iterdir())
+    scored = lm.score(docs, F.col("doc_id") % 7 == 2, block_bytes=4000)
+    left = {f.name.rpartition("-")[0]: sum(x.stat().st_size for x in f.rglob("*.parquet")) for f in set(root.iterdir()) - before if f.name.startswith("lm-")}
+    assert "lm-dealt" not in left and left["lm-contexts"] < 2000
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in scored.collect()) == [(i, 201) for i in range(60)]
+
+
+def test_numbers_keep_their_bytes():
+    import numpy as np
+
+    arrays = [np.arange(300, dtype="<u4") ** 2, np.array([2**63 + 5, 1], np.uint64), np.array([-1, 2**40]), np.array([1e-9, -0.5]), np.empty(0, "<u4")]
+    back = lm._unzip(lm._zip(*arrays), *((a.dtype.str, len(a)) for a in arrays))
+    assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(arrays, back, strict=True))

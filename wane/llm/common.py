@@ -62,24 +62,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def stored_apart(df: DataFrame, purpose: str, test: Column, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Write in one pass, and read back apart, the rows that meet a test (never null) and the others, which can be discarded alone.
-
-    The first are in buckets of `key`: what groups them by it leaves them in place.
-    """
+def stored_apart(df: DataFrame, purpose: str, test: Column, key: str, buckets: int) -> tuple[DataFrame, DataFrame, str]:
+    """Write in one pass, and read back apart, the rows that meet a test (never null) and the others, in buckets of `key`: what groups them
+    by it leaves them in place. Last comes the folder of the others, which can be discarded."""
     spark = df.sparkSession
     folder, name = shared_folder(spark, purpose), f"stored_{uuid.uuid4().hex}"
     with shuffles_removed(spark):
         df.withColumn("_apart", test).write.partitionBy("_apart").bucketBy(buckets, key).option("path", folder).option("compression", "zstd").saveAsTable(name)
-    spark.createDataFrame([], df.schema).write.mode("append").parquet(f"{folder}/_apart=false")  # a side without rows has no folder
-    return spark.table(name).filter("_apart").drop("_apart"), spark.read.schema(df.schema).parquet(f"{folder}/_apart=false")
+    both = spark.table(name)
+    return both.filter("_apart").drop("_apart"), both.filter("not _apart").drop("_apart"), f"{folder}/_apart=false"
 
 
-def discard(*frames: DataFrame) -> None:
-    """Empty the folders of stored tables that nothing reads any more. Not for the buckets of `stored_apart`: its folder holds both sides."""
-    for df in frames:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Empty folders that nothing reads any more: those named, and those of tables that `stored` gave."""
+    for x in tables:
+        for folder in {x} if isinstance(x, str) else {f.rpartition("/")[0] for f in x.inputFiles()}:
+            spark.range(0).write.mode("overwrite").parquet(folder)
 
 
 def give_back() -> None:

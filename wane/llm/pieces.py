@@ -316,12 +316,13 @@ def encode(
     Null and empty texts have no ids. Null ids and repeated rows are encoded like others. An empty table gives no rows. Other
     columns are left out.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = shards or max(64, partitions)
     kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     numbered = _numbered(plain, kind, vocabulary.word, shards, block_bytes)
-    texts, cells = stored_apart(numbered, "pieces-blocks", F.col("shard") < 0, "block", partitions)
+    texts, cells, of_cells = stored_apart(numbered, "pieces-blocks", F.col("shard") < 0, "block", partitions)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         """Distinct words of a shard (block null), and the numbers of each block's words among them."""
@@ -344,7 +345,7 @@ def encode(
                     yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in words[a : a + 10_000]], pa.string())], names=["word"])
 
     by_shard = stored(cells.select("shard", "block", "n", "raw", "packed").groupBy("shard").applyInPandas(merge, "shard int, block long, n int, raw long, packed binary"), "pieces-shards")
-    discard(cells)
+    discard(spark, of_cells)
     words = by_shard.filter("block is null").select("raw", "packed").mapInArrow(split, "word string")
     known = stored(merged_words(words, vocabulary, 4 * partitions, shards), "pieces-words")
 
@@ -371,7 +372,7 @@ def encode(
 
     # Stored before the texts meet them, so that words are not on disk twice while the texts' numbers are.
     answers = stored(by_shard.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "block long, shard int, n int, m int, packed binary"), "pieces-answers")
-    discard(by_shard, known)
+    discard(spark, by_shard, known)
     schema = f"`{id_column}` {kind}, n_tokens long, ids binary"
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
