@@ -43,3 +43,11 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == entry.entry(spark).columns
+
+
+def test_the_census_leaves_the_code_where_it_is(spark):
+    from wane.plans.resolution_queries import QUERIES
+
+    before = {t.name for t in spark.catalog.listTables()}
+    QUERIES["call_site_census"](spark, "/root/testdata/sf0.001")
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -225,13 +225,11 @@ def by_sample(df: DataFrame, folder: str, buckets: int | None = None) -> DataFra
     return spark.table(name)
 
 
-def build_manifest(statuses: DataFrame, samples: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """Candidates for verification: resolved calls of target APIs, and low-confidence
-    calls of outdated samples that look like one.
+def candidates(statuses: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Calls to verify: resolved calls of target APIs, and low-confidence calls of outdated samples that look like one.
 
-    ``statuses`` carries ``sample_idx`` and ``category``. Targets and their evidence are
-    looked up per distinct name; the snippet text joins last. With ``samples`` kept by ``by_sample`` only the candidates are
-    dealt to it, and the text is read in place.
+    ``statuses`` carries ``category``. Targets and their evidence are looked up per distinct name. Neither the code of the samples
+    nor its place is needed to count them: what is not used is not moved.
     """
     spark = statuses.sparkSession
     low = F.col("status") == "low_confidence"
@@ -253,12 +251,21 @@ def build_manifest(statuses: DataFrame, samples: DataFrame, catalog: DataFrame |
     target = F.when(low, F.coalesce("_target", F.try_element_at("_of_lib", "library"), "_any")).otherwise(F.col("_target"))
     m = m.withColumn("target_api", target).where(F.col("target_api").isNotNull())
     # at most one row per target API
-    grounds = add_evidence(match_dim(spark), catalog)
-    m = m.join(F.broadcast(grounds), "target_api").join(samples.select("sample_id", "function"), "sample_id")
+    return m.join(F.broadcast(add_evidence(match_dim(spark), catalog)), "target_api").withColumn("stage2_status", F.col("status"))
+
+
+def build_manifest(statuses: DataFrame, samples: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """The candidates with the code they stand in.
+
+    ``statuses`` carries ``sample_idx`` and ``category``; the snippet text joins last. With ``samples`` kept by ``by_sample`` only the
+    candidates are dealt to it, and the text is read in place.
+    """
+    low = F.col("status") == "low_confidence"
+    m = candidates(statuses, catalog).join(samples.select("sample_id", "function"), "sample_id")
     return m.select(
         candidate_id(F.col("sample_id"), F.when(low, F.lit("lc")).otherwise(F.lit("res")), F.col("nth"),
                      F.col("client_line"), F.col("client_col")).alias("candidate_id"),
-        "sample_id", "sample_idx", m["library"], F.col("category").alias("cohort"),
+        "sample_id", "sample_idx", "library", F.col("category").alias("cohort"),
         F.col("status").alias("stage2_status"),
         F.when(low, F.lit("inference")).otherwise(F.lit("confirmation")).alias("mode"),
         "target_api", F.col("symbol").alias("resolved_symbol"), "client_line", F.col("client_col").alias("column"),
@@ -273,7 +280,7 @@ def match_dim(spark) -> DataFrame:
 
 
 def census(manifest: DataFrame) -> DataFrame:
-    """Candidate call sites per library and overall."""
+    """Candidate call sites per library and overall, from a manifest or from bare candidates."""
     low = F.col("stage2_status") == "low_confidence"
     return manifest.rollup("library").agg(
         F.count_if(~low).alias("resolved_deprecated_calls"), F.count_if(low).alias("target_low_confidence_calls"),

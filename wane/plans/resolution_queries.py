@@ -184,7 +184,7 @@ def build_manifest(spark, d):
       count(*) filter (where stage2_status = 'low_confidence') as target_low_confidence_calls, count(*) as total_candidate_calls
     from ({MANIFEST_SQL}) group by rollup (library)""")
 def call_site_census(spark, d):
-    return res.census(manifest(spark, d))
+    return res.census(res.candidates(statuses(spark, d, ("sample_id", "library", "category"))))
 
 
 def _items(spark, d) -> DataFrame:
